@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesloom.llm import simhash
+from seriesloom.llm import mixing, sharding, simhash
 
 
 def _pipeline(spark, sf_dir):
@@ -14,8 +14,12 @@ def _pipeline(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op7_kd_tree_sharding": sharding.op7_kd_tree_sharding,
+        "op10_capped_water_filling": mixing.op10_capped_water_filling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_capped_water_filling": mixing.OP10_SQL,
+    }
