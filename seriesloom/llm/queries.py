@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesloom.llm import decontam, mixing, quality, sharding, simhash
+from seriesloom.llm import decontam, langid, mixing, quality, sharding, simhash
 
 
 def _pipeline(spark, sf_dir):
@@ -15,6 +15,7 @@ def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op3_pu_quality": quality.op3_pu_quality,
+        "op5_rank_order_language": langid.op5_rank_order_language,
         "op7_kd_tree_sharding": sharding.op7_kd_tree_sharding,
         "op8_spaced_seed_decontamination": decontam.op8_spaced_seed_decontamination,
         "op10_capped_water_filling": mixing.op10_capped_water_filling,
