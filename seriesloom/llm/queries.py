@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesloom.llm import decontam, langid, mixing, quality, sharding, simhash, topk, warc
+from seriesloom.llm import chat, decontam, langid, mixing, quality, sharding, simhash, topk, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op2_warc_boundary_chain": warc.op2_warc_boundary_chain,
         "op3_pu_quality": quality.op3_pu_quality,
         "op5_rank_order_language": langid.op5_rank_order_language,
+        "op6_schema_fingerprint_chat": chat.op6_schema_fingerprint_chat,
         "op7_kd_tree_sharding": sharding.op7_kd_tree_sharding,
         "op8_spaced_seed_decontamination": decontam.op8_spaced_seed_decontamination,
         "op9_block_at_a_time_top_k": topk.op9_block_at_a_time_top_k,
