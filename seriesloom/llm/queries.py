@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesloom.llm import chat, decontam, langid, mixing, quality, sharding, simhash, topk, warc
+from seriesloom.llm import chat, decontam, langid, mixing, pii, quality, sharding, simhash, topk, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -13,9 +13,11 @@ def _pipeline(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_warc_boundary_chain": warc.op2_warc_boundary_chain,
         "op3_pu_quality": quality.op3_pu_quality,
+        "op4_surrogate_pii": pii.op4_surrogate_pii,
         "op5_rank_order_language": langid.op5_rank_order_language,
         "op6_schema_fingerprint_chat": chat.op6_schema_fingerprint_chat,
         "op7_kd_tree_sharding": sharding.op7_kd_tree_sharding,
