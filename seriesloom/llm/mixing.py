@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from seriesloom.functions.staging import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bits of the seeded order by which the words of a source are summed first; no task sorts more than about one part in 16,384 of a source.
-BUCKET_BITS = 14
+#: The place in the seeded order at which a source is cut is narrowed down by so many bits a pass: a source has 256 sums a
+#: pass, and only about one part in 16 million of it is sorted by the whole key.
+LEVEL_BITS, LEVELS = 8, 3
 _KEY_BITS = 60
 
 
@@ -56,27 +57,38 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_of(F.col(text_col)).alias("size"), order_key(F.col(id_col), seed).alias("key"))
 
 
+def _border(sums: DataFrame, goal: DataFrame, by: str) -> DataFrame:
+    """(source, by, words, left): the row of `sums` at which a source's running sum reaches `left` of `goal`, and what is left for it."""
+    upto = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = sums.withColumn("upto", F.sum("words").over(upto)).alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")))
+    summed = summed.where("upto >= left and upto - words < left")
+    return summed.select(F.col("g.source").alias("source"), by, "words", (F.col("left") - F.col("upto") + F.col("words")).alias("left"))
+
+
 def plan(sized: DataFrame, cycle=(3, 1, 2), share: float = 1.5, epochs: float = 2) -> DataFrame:
     """For each source of `sized` (source, size, key): how its documents are taken.
 
     whole: repetitions of every document. cut, part, tie: documents whose key is below `cut` are
     taken once more; at `cut`, `part` of the `tie` words there are; above it, nothing.
     """
-    shift = _KEY_BITS - BUCKET_BITS
-    buckets = staged(sized.withColumn("bucket", F.shiftright("key", shift)).groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
-    targets = staged(water_fill(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), cycle, share, epochs), "targets")
+    shift = _KEY_BITS - LEVEL_BITS
+    sums = staged(sized.groupBy("source", F.shiftright("key", shift).alias("part")).agg(F.sum("size").alias("words")), "sums")
+    targets = staged(water_fill(sums.groupBy("source").agg(F.sum("words").alias("source_size")), cycle, share, epochs), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("missing", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = buckets.withColumn("upto", F.sum("words").over(upto)).alias("s")
-    border = summed.join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
-    border = border.where("upto >= missing and upto - words < missing").select(F.col("t.source").alias("source"), "bucket", (F.col("missing") - F.col("upto") + F.col("words")).alias("left"))
-    border = staged(border, "border")
-    inside = sized.alias("d").join(border.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.shiftright("d.key", shift) == F.col("b.bucket")))
-    keys = inside.groupBy(F.col("b.source").alias("source"), "key").agg(F.sum("size").alias("tie"), F.min("left").alias("left"))
-    upto = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = keys.withColumn("upto", F.sum("tie").over(upto)).where("upto >= left and upto - tie < left")
-    cuts = cuts.select(F.col("source").alias("at"), F.col("key").alias("cut"), (F.col("left") - F.col("upto") + F.col("tie")).alias("part"), "tie")
+    goal = targets.select("source", F.col("missing").alias("left"))
+    for level in range(LEVELS):
+        border = staged(_border(sums, goal, "part"), "border")
+        if level == LEVELS - 1:
+            break
+        inside = sized.alias("d").join(border.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.shiftright("d.key", shift) == F.col("b.part")))
+        shift -= LEVEL_BITS
+        sums = inside.groupBy(F.col("b.source").alias("source"), F.shiftright("d.key", shift).alias("part")).agg(F.sum("d.size").alias("words"))
+        goal = border.select("source", "left")
+    inside = sized.alias("d").join(border.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.shiftright("d.key", shift) == F.col("b.part")))
+    keys = inside.groupBy(F.col("b.source").alias("source"), "key").agg(F.sum("d.size").alias("words"))
+    cuts = _border(keys, border.select("source", "left"), "key").withColumnRenamed("words", "tie").withColumnRenamed("key", "cut").withColumnRenamed("left", "part")
+    cuts = cuts.withColumnRenamed("source", "at")
     found = targets.join(cuts, F.col("source").eqNullSafe(F.col("at")), "left")
     return staged(found.select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("tie", F.lit(1)).alias("tie")), "plan")
 
