@@ -165,10 +165,14 @@ def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each near-duplicate group: that whose id names the group.
 
-    Rows that repeat an id of a kept document are kept once. Rows with a null id are kept only
-    where their group has no other, once for each fingerprint.
+    Of rows that share the id of a kept document, equal or not, one stays. A null id stays only
+    where its group has no other, once in all. The ids to drop, far fewer than those to keep, are
+    what is joined with the texts; texts are shuffled only where those are too many to broadcast.
     """
     found = near_duplicates(docs, id_col, text_col)
-    keys = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep_id")).distinct()
-    kept = docs.join(keys, docs[id_col].cast("long").eqNullSafe(keys["__keep_id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    ids = found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows"), F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("__named"))
+    odd = staged(ids.where("__rows > 1 or not __named"), "odd")
+    key = docs[id_col].cast("long")
+    once = docs.join(odd, key.eqNullSafe(odd["__id"]), "left_anti")
+    again = odd.where("__named").select("__id")
+    return once.unionByName(docs.join(again, key.eqNullSafe(again["__id"]), "left_semi").dropDuplicates([id_col]))
