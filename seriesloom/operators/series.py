@@ -46,8 +46,11 @@ def centred_mean(key, order, column: str, size: int) -> Column:
 
 
 def rolling_median(key, order, column: str, size: int) -> Column:
+    """The median of a centred window, from its at most `size` values as a sorted array."""
     half = size // 2
-    return F.median(column).over(over(key, order).rowsBetween(-half, half))
+    a = F.array_sort(F.collect_list(column).over(over(key, order).rowsBetween(-half, half)))
+    n = F.size(a)
+    return F.when(n > 0, (F.try_element_at(a, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(a, F.floor(n / 2 + 1).cast("int"))) / 2)
 
 
 def forward_mean(key, order, column: str, size: int) -> Column:

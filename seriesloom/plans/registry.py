@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from seriesloom.plans import candidate_queries, decoder_queries, relational_queries, series_queries, stats_queries
+from seriesloom.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "candidate_queries", "decoder_queries", "relational_queries", "series_queries", "stats_queries"]
