@@ -93,7 +93,7 @@ def ngram_counts(docs: DataFrame, lang_col="lang", text_col="text") -> DataFrame
                         both, place = np.unique(np.concatenate((had[0], code[a:z])), return_inverse=True)
                         sums[name] = both, np.bincount(place, np.concatenate((had[1], n[a:z]))).astype(np.int64)
         for name, (code, n) in sums.items():
-            yield pa.record_batch([pa.array([name] * len(code)), pa.array(code), pa.array(n)], names=["lang", "code", "n"])
+            yield pa.record_batch([pa.array([name] * len(code), pa.string()), pa.array(code), pa.array(n)], names=["lang", "code", "n"])
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
