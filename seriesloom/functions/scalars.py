@@ -67,7 +67,7 @@ def shrunk_sigma(sigma, prior, n, k: float, low: float, high: float) -> Column:
 def gaussian_log_emission(observed, reference, sigma, cap: float = 600.0) -> Column:
     """-z² / 2 with z² at most `cap`; a null observation is neutral, 0."""
     z = (_c(observed) - _c(reference)) / (_c(sigma) if isinstance(sigma, (str, Column)) else F.lit(float(sigma)))
-    return F.coalesce(-0.5 * F.least(z * z, F.lit(cap)), F.lit(0.0))
+    return F.when(z.isNotNull(), -0.5 * F.least(z * z, F.lit(cap))).otherwise(0.0)
 
 
 def robust_z(x, median, mad) -> Column:

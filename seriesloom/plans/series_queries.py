@@ -193,7 +193,7 @@ def multiscale_detail(spark, sf_dir):
 
 
 @query("sticky_filter", BASE.replace("WITH s AS", "WITH RECURSIVE s AS") + """,
-e AS (SELECT user_id, row_idx, coalesce(-0.5 * least(power((gr - 50) / 30, 2), 600), 0) AS g, -2.0::DOUBLE AS d FROM b),
+e AS (SELECT user_id, row_idx, CASE WHEN gr IS NULL THEN 0 ELSE -0.5 * least(power((gr - 50) / 30, 2), 600) END AS g, -2.0::DOUBLE AS d FROM b),
 r AS (
   SELECT user_id, row_idx, (0.9 * 0.95 + 0.1 * 0.1)::DOUBLE * exp(g - greatest(g, d)) / ((0.9 * 0.95 + 0.1 * 0.1)::DOUBLE * exp(g - greatest(g, d)) + (1 - (0.9 * 0.95 + 0.1 * 0.1)::DOUBLE) * exp(d - greatest(g, d))) AS p FROM e WHERE row_idx = 0
   UNION ALL
