@@ -21,21 +21,25 @@ TITLES = {
     "unknown": ("Dr", "Prof", "Mx", "Д-р"),
 }
 _TITLES = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
 #: Patterns of each type, tried in this order.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?:(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,80}|sk-[A-Za-z0-9_-]{20,120}|xox[abprs]-[A-Za-z0-9-]{10,120})(?![A-Za-z0-9]))|(?<=(?:secret|token|passwd|password|apikey|api_key)[ \t]{0,2}[=:][ \t]{0,2}[\"'])[^\"'\s]{8,128}(?=[\"'])",
+    "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "secret": r"(?:(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,80}|sk-[A-Za-z0-9_-]{20,120}|xox[abprs]-[A-Za-z0-9-]{10,120})(?![A-Za-z0-9]))|(?<=[\"'])(?<=(?:secret|token|passwd|password|apikey|api_key)[ \t]{0,2}[=:][ \t]{0,2}[\"'])[^\"'\s]{8,128}(?=[\"'])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "mac": r"(?<![A-Za-z0-9:])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![A-Za-z0-9:])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,5}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})(?![\p{{L}}\p{{N}}])\.? {_WORD}(?: {_WORD}){{0,2}}",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}])(?:{_TITLES})(?![\p{{L}}\p{{N}}])\.? {_WORD}(?: {_WORD}){{0,2}}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What a text with a mention holds at least.
-HINT = rf"[0-9@]|(?:secret|token|passwd|password|apikey|api_key)|(?:{_TITLES})\.? \p{{Lu}}"
+#: Times that clashing surrogates are derived anew before it is an error; each clears nearly all of those left.
+ROUNDS = 100
+#: Any mention; none begins within an ASCII word, which spares most places the patterns.
+ANY = f"(?<![A-Za-z0-9])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})"
+#: What a text with a mention holds at least, quick to look for.
+HINT = rf"[0-9@]|[=:][ \t]{{0,2}}[\"']|(?=[{_FIRST}])(?:{_TITLES})\.? \p{{Lu}}"
 #: Syllables from which names are built, and endings that show gender, by script.
 SYLLABLES = {
     "latin": (("ba", "ce", "di", "fo", "ga", "he", "ji", "ko", "la", "me", "ni", "po", "ra", "se", "ti", "vo"), {"male": ("n", "r"), "female": ("na", "ra"), "unknown": ("l", "s")}),
@@ -141,7 +145,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     """
     now = staged(entities.withColumn("attempt", F.lit(0)), "entities")
     columns = [F.col(c) for c in ("kind", "entity", "gender", "attempt")]
-    while True:
+    for _ in range(ROUNDS):
         named = staged(now.withColumn("surrogate", surrogate_of(*columns, key)), "surrogates")
         first = named.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", "first")
         real = named.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
@@ -153,6 +157,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         if after.where("clash").limit(1).count() == 0:
             return after.select("kind", "entity", "surrogate")
         now = after.select("kind", "entity", "gender", "attempt")
+    raise ValueError("too many entities for the surrogates that their format allows")
 
 
 def surrogates(docs: DataFrame, id_col="doc_id", text_col="text", key: str = "surrogates") -> DataFrame:
@@ -164,11 +169,11 @@ def surrogates(docs: DataFrame, id_col="doc_id", text_col="text", key: str = "su
     texts with mentions are shuffled. The key should be secret: who knows it can test guesses.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    mentions = F.when(F.rlike("text", F.lit(HINT)), F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = rows.withColumn("mentions", F.coalesce(mentions, F.array().cast("array<string>")))
-    none = found.where(F.size("mentions") == 0).select("id", "text", F.lit(0).alias("n_mentions"), F.array().cast("array<string>").alias("kinds"))
-    some = found.where(F.size("mentions") > 0)
-    some = staged(some.select("id", F.xxhash64("id", "text", F.lit(1)).alias("row"), "mentions", F.split("text", ANY, -1).alias("between")), "mentions")
+    hint = F.coalesce(F.rlike("text", F.lit(HINT)), F.lit(False))
+    none = lambda df, text: df.select("id", text.alias("text"), F.lit(0).alias("n_mentions"), F.array().cast("array<string>").alias("kinds"))
+    seen = rows.where(hint).select("id", F.xxhash64("id", "text", F.lit(1)).alias("row"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("mentions"), F.split("text", ANY, -1).alias("between"))
+    seen = staged(seen, "mentions")
+    some, plain = seen.where(F.size("mentions") > 0), seen.where(F.size("mentions") == 0)
     each = some.select("row", F.posexplode("mentions").alias("at", "mention")).distinct()
     each = each.withColumn("kind", kind_of(F.col("mention"))).withColumn("entity", entity_of(F.col("kind"), F.col("mention")))
     gender = F.when(F.col("kind") == "name", gender_of(F.col("mention"))).otherwise("unknown")
@@ -178,7 +183,7 @@ def surrogates(docs: DataFrame, id_col="doc_id", text_col="text", key: str = "su
     worn = worn.groupBy("row").agg(F.array_sort(F.collect_list("m")).alias("worn"))
     put = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice("between", 1, F.size("worn")).alias("b"), F.col("worn").alias("w")), lambda x: F.concat(x["b"], x["w"]["new"])), ""), F.element_at("between", -1))
     done = some.join(worn, "row").select("id", put.alias("text"), F.size("worn").alias("n_mentions"), F.array_sort(F.array_distinct(F.transform("worn", lambda w: w["kind"]))).alias("kinds"))
-    return none.unionByName(done).select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_mentions", "kinds")
+    return none(rows.where(~hint), F.col("text")).unionByName(none(plain, F.element_at("between", 1))).unionByName(done).select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_mentions", "kinds")
 
 
 def op4_surrogate_pii(spark, sf_dir: str) -> DataFrame:
