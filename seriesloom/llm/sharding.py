@@ -124,8 +124,9 @@ def shards(docs: DataFrame, n: int = 40, id_col="doc_id", text_col="text", meta:
     pieces = F.when(large & (F.col("bytes") > F.lit(target)) & (F.col("copies") > 1), F.ceil(F.col("bytes") / F.lit(max(1.0, target * LARGE)))).otherwise(F.lit(1)).cast("int")
     dims = ["d_size", *(f"d_meta{i}" for i in range(len(meta)))]
     spot = {"d_size": F.log2(F.col("size") + 1) / 40} | {f"d_meta{i}": F.coalesce(F.crc32(F.col(f"meta{i}")) / F.lit(float(1 << 32)), F.lit(0.0)) for i in range(len(meta))}
-    shape = groups.join(fixed, group, "left").withColumn("pieces", pieces)
-    joined = rows.select("id", *group).join(shape.select(*group, "pieces", "placed", *(v.alias(k) for k, v in spot.items())), group)
+    shape = groups.join(fixed, group, "left").select(*group, pieces.alias("pieces"), "placed", *(v.alias(k) for k, v in spot.items()))
+    # both sides of this join are plain tables, so that the planner can split the rows of a hot group
+    joined = rows.select("id", *group).join(staged(shape, "shape"), group)
     piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("id"), F.col("pieces"))).otherwise(F.lit(0))
     joined = joined.withColumn("piece", piece)
     tie = F.shiftright(F.xxhash64("same", "crc", "size", "piece").bitwiseAND(F.lit((1 << 62) - 1)), 44)
