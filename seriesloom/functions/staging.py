@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not sc.master.startswith("local["):
+    if sc.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-"))
 
