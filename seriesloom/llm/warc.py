@@ -13,22 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.staging import drop_staged, new_path, staged
+from seriesloom.llm.beside import beside
 
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 #: Payloads from this size on are written once and then referred to.
 REVISIT_BYTES = 1000
-#: Rows of about 100 bytes that are broadcast at most, some 20 MB, so that payloads needn't be shuffled.
-BESIDE_ROWS = 200_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
-def _beside(df: DataFrame, what: str) -> DataFrame:
-    """A table to be joined with payloads: broadcast where it has at most BESIDE_ROWS narrow rows, else joined by a shuffle."""
-    df = staged(df, what)
-    return F.broadcast(df) if df.count() <= BESIDE_ROWS else df
-
-
 def _payload(text: Column) -> Column:
     return F.coalesce(text.cast("string").cast("binary"), F.lit("").cast("binary"))
 
@@ -39,7 +32,7 @@ def plan_records(pages: DataFrame, id_col="page_id", url_col="url", html_col="ht
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
     large = staged(rows.where(F.col("bytes") >= REVISIT_BYTES).select("id", "digest", "bytes"), "digests")
     kept = large.groupBy("digest", "bytes").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(_beside(kept, "kept"), ["digest", "bytes"], "left").withColumn("keeper", F.when(F.col("keeper") != F.coalesce("id", F.lit(-1)), F.col("keeper")))
+    return rows.join(beside(kept, "kept"), ["digest", "bytes"], "left").withColumn("keeper", F.when(F.col("keeper") != F.coalesce("id", F.lit(-1)), F.col("keeper")))
 
 
 def record_text(row_id: Column, url: Column, html: Column, digest: Column, size: Column, keeper: Column, date: str) -> Column:
@@ -157,10 +150,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     other = found.where("not real or next is null").select("file", "block", "row").union(split.where("start = record").select("file", "block", "row"))
     # rows of a block are numbered as in `candidates`: the order of a task's rows is that of the file
     base = _pieces(spark, path)
-    mixed_blocks = _beside(other.select("file", "block").distinct(), "blocks")
+    mixed_blocks = beside(other.select("file", "block").distinct(), "blocks")
     numbered = base.join(mixed_blocks, ["file", "block"], "left_semi").withColumn("row", F.row_number().over(Window.partitionBy("file", "block").orderBy("seq")))
     plain = base.join(mixed_blocks, ["file", "block"], "left_anti")
-    plain = plain.join(_beside(found.where("start = 0 and real").select("file").distinct(), "files"), "file", "left_semi").where(F.octet_length("piece") > 0).select("file", "piece")
+    plain = plain.join(beside(found.where("start = 0 and real").select("file").distinct(), "files"), "file", "left_semi").where(F.octet_length("piece") > 0).select("file", "piece")
     mixed = numbered.join(found.where("real and next <= until").select("file", "block", "row", "start"), ["file", "block", "row"]).select("file", "piece")
     parts = numbered.join(split, ["file", "block", "row"]).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("start", F.col("piece").cast("binary").alias("piece")))).alias("parts"))
     glued = F.expr(f"aggregate(parts, cast(null as binary), (a, x) -> if(a is null, x.piece, concat(a, cast('{MAGIC}' as binary), x.piece)))")
@@ -185,7 +178,10 @@ def op2_warc_boundary_chain(spark, sf_dir: str) -> DataFrame:
     number = lambda name: F.regexp_extract(header(F.col("head"), name), r"<urn:page:(-?[0-9]+)>", 1).try_cast("long")
     read = read_archives(spark, path).select(number("WARC-Record-ID").alias("page_id"), header(F.col("head"), "WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest"))
     read = staged(read, "records")
-    kept = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("keeper")).agg(F.max(F.struct("bytes", "digest")).alias("full"))
+    # one payload may be that of very many revisits, but the payloads referred to are few beside the records
+    asked = read.where("refers_to is not null").select(F.col("refers_to").alias("keeper")).distinct()
+    kept = read.where("record_type = 'response'").join(asked, F.col("page_id") == F.col("keeper")).groupBy("keeper").agg(F.max(F.struct("bytes", "digest")).alias("full"))
+    kept = beside(kept, "referred")
     full = read.join(kept, read.refers_to == kept.keeper, "left")
     return full.select("page_id", F.coalesce("full.bytes", "bytes").alias("payload_bytes"), F.coalesce("full.digest", "digest").alias("payload_digest"), "record_type", "refers_to")
 
