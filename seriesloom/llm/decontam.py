@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.staging import staged
+from seriesloom.llm.beside import beside
 from seriesloom.llm.tokens import words
 
 #: Words of a window, and the places that each mask keeps.
@@ -182,5 +183,5 @@ def op8_spaced_seed_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """`docs` without the documents that hold a benchmark item; every row of such an id goes."""
-    found = overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__leak_id")).distinct()
+    found = beside(overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__leak_id")).distinct(), "leaks")
     return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["__leak_id"]), "left_anti")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.staging import staged
+from seriesloom.llm.beside import beside
 from seriesloom.llm.components import connected_components
 
 SEED = 42
@@ -171,8 +172,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col)
     ids = found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows"), F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("__named"))
-    odd = staged(ids.where("__rows > 1 or not __named"), "odd")
+    odd = beside(ids.where("__rows > 1 or not __named"), "odd")
     key = docs[id_col].cast("long")
     once = docs.join(odd, key.eqNullSafe(odd["__id"]), "left_anti")
-    again = odd.where("__named").select("__id")
+    again = beside(odd.where("__named").select("__id"), "again")
     return once.unionByName(docs.join(again, key.eqNullSafe(again["__id"]), "left_semi").dropDuplicates([id_col]))
