@@ -142,12 +142,18 @@ def local_plane(neighbours: DataFrame, queries: DataFrame, id_col: str, x: str,
     return m.select(id_col, F.when(F.abs(det) > 1e-12, top / det).otherwise(c["sv"] / c["s"]).alias("plane"))
 
 
-def kgram_pairs(rows: DataFrame, key: str, order: str, code: str, k: int, most: int) -> DataFrame:
-    """(left_key, right_key, shared): groups that share k successive codes, of windows that at most `most` groups hold."""
+def kgram_pairs(rows: DataFrame, key: str, order: str, code: str, k: int, block: int = 500) -> DataFrame:
+    """(left_key, right_key, shared): groups that share k successive codes, and how many distinct such windows, over all windows.
+
+    The groups that hold a window are dealt into blocks of about `block`, and each pair of blocks is
+    a join key of its own, so that no task pairs all holders of a common window.
+    """
     w = Window.partitionBy(key).orderBy(order).rowsBetween(0, k - 1)
     grams = rows.withColumn("g", F.collect_list(code).over(w)).where(F.size("g") == k)
     grams = grams.select(key, F.sha2(F.concat_ws(",", F.transform("g", lambda x: x.cast("string"))).cast("binary"), 256).alias("gram")).distinct()
-    rare = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("gram")
-    held = grams.join(rare, "gram")
-    a, b = held.select("gram", F.col(key).alias("left_key")), held.select("gram", F.col(key).alias("right_key"))
-    return a.join(b, "gram").where("left_key < right_key").groupBy("left_key", "right_key").agg(F.count("*").alias("shared"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    held = grams.join(common, "gram").withColumn("own", F.pmod(F.xxhash64(key), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = held.select("gram", F.col(key).alias("left_key"), F.col("own").alias("i"), every.alias("j"))
+    b = held.select("gram", F.col(key).alias("right_key"), every.alias("i"), F.col("own").alias("j"))
+    return a.join(b, ["gram", "i", "j"]).where("left_key < right_key").groupBy("left_key", "right_key").agg(F.count("*").alias("shared"))

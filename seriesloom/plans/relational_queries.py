@@ -116,7 +116,7 @@ g AS (SELECT user_id, sha256(list_aggregate(list(event_type) OVER w, 'string_agg
 d AS (SELECT DISTINCT user_id, gram FROM g WHERE c = 7), r AS (SELECT gram FROM d GROUP BY gram HAVING count(*) BETWEEN 2 AND 50), h AS (SELECT * FROM d JOIN r USING (gram))
 SELECT a.user_id AS left_key, b2.user_id AS right_key, count(*) AS shared FROM h a JOIN h b2 ON a.gram = b2.gram AND a.user_id < b2.user_id GROUP BY ALL""")
 def kgram_pairs(spark, sf_dir):
-    return joins.kgram_pairs(base(spark, sf_dir), KEY, ROW, "event_type", 7, 50)
+    return joins.kgram_pairs(base(spark, sf_dir), KEY, ROW, "event_type", 7)
 
 
 @query("anti_semi_coverage", """
