@@ -4,6 +4,10 @@ Mentions are found by patterns and reduced to what they name; each distinct enti
 surrogate, derived from a key, that every mention of it wears in its own format: separators, case
 and script stay, names keep their gender. Surrogates that two entities share, or that equal an
 entity of the corpus, are derived anew until there are none.
+
+A name is known by a title before it; each of its words is an entity. In a text with titled names
+their words are also found without a title, where they are capitalised. Names that no title
+precedes anywhere in their text are not found.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ TITLES = {
     "unknown": ("Dr", "Prof", "Mx", "Д-р"),
 }
 _TITLES = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_MORE = "(?:(?:Dr|Prof|Д-р)\\.? )*+"
 _FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
 #: Patterns of each type, tried in this order.
 PATTERNS = {
@@ -32,14 +37,16 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,5}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}])(?:{_TITLES})(?![\p{{L}}\p{{N}}])\.? {_WORD}(?: {_WORD}){{0,2}}",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}])(?:{_TITLES})(?![\p{{L}}\p{{N}}])\.? {_MORE}{_WORD}(?: {_WORD}){{0,2}}",
 }
 #: Times that clashing surrogates are derived anew before it is an error; each clears nearly all of those left.
 ROUNDS = 100
-#: Any mention; none begins within an ASCII word, which spares most places the patterns.
-ANY = f"(?<![A-Za-z0-9])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})"
+#: A word of a name.
+PART = r"(?<![\p{L}\p{M}'’])(?:\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]+)+|\p{L}[\p{L}\p{M}]+)"
+#: Any mention but names; none begins within an ASCII word, which spares most places the patterns.
+ANY = f"(?<![A-Za-z0-9])(?:{'|'.join(f'(?:{p})' for k, p in PATTERNS.items() if k != 'name')})"
 #: What a text with a mention holds at least, quick to look for.
-HINT = rf"[0-9@]|[=:][ \t]{{0,2}}[\"']|(?=[{_FIRST}])(?:{_TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?<![A-Za-z0-9])(?:AKIA|gh[pousr]_|sk-|xox[abprs]-|[a-f]{{32}})|[=:][ \t]{{0,2}}[\"']|(?=[{_FIRST}])(?:{_TITLES})\.? {_MORE}\p{{Lu}}"
 #: Syllables from which names are built, and endings that show gender, by script.
 SYLLABLES = {
     "latin": (("ba", "ce", "di", "fo", "ga", "he", "ji", "ko", "la", "me", "ni", "po", "ra", "se", "ti", "vo"), {"male": ("n", "r"), "female": ("na", "ra"), "unknown": ("l", "s")}),
@@ -53,10 +60,32 @@ def kind_of(mention: Column) -> Column:
     return F.coalesce(*(F.when(F.rlike(mention, F.lit(rf"^(?:{p})$")), F.lit(k)) for k, p in PATTERNS.items() if k != "secret"), F.lit("secret"))
 
 
+def _untitled(mention: Column) -> Column:
+    return F.regexp_replace(mention, rf"^(?:{_TITLES})\.? {_MORE}", "")
+
+
+def name_words(text: Column) -> Column:
+    """Array of (word, gender): the words of a text's titled names in lower case; the last of several shows no gender."""
+
+    def words(mention: Column) -> Column:
+        found = F.regexp_extract_all(F.lower(_untitled(mention)), F.lit(PART), F.lit(0))
+        found = F.when(F.size(found) == 0, F.array(F.lower(_untitled(mention)))).otherwise(found)
+        shown = lambda i: F.when((i == 0) | (i < F.size(found) - 1), gender_of(mention)).otherwise("unknown")
+        return F.transform(found, lambda x, i: F.struct(x.alias("word"), shown(i).alias("gender")))
+
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), words)))
+
+
+def mention_pattern(words: Column) -> Column:
+    """The pattern of any mention in a text whose names have these words: they are mentions wherever they are capitalised or stand behind a hyphen."""
+    known = F.concat(F.lit(rf"{ANY}|(?<![\p{{L}}\p{{M}}])(?:(?=\p{{Lu}})|(?<=\p{{L}}-))(?iu:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    return F.when(F.size(words) == 0, ANY).otherwise(known)
+
+
 def entity_of(kind: Column, mention: Column) -> Column:
-    """What a mention names, whatever its format: digits of numbers, letters in lower case; of names the words after the title."""
+    """What a mention names, whatever its format: digits of numbers, letters in lower case; of names what follows the title."""
     plain = F.regexp_replace(mention, r"[^0-9A-Za-z]", "")
-    name = F.lower(F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", ""))
+    name = F.lower(_untitled(mention))
     return F.when(kind == "email", F.lower(mention)).when(kind.isin("iban", "mac"), F.upper(plain)).when(kind.isin("card", "ssn", "phone"), F.regexp_replace(mention, "[^0-9]", "")).when(kind == "name", name).otherwise(mention)
 
 
@@ -104,7 +133,8 @@ def surrogate_of(kind: Column, entity: Column, gender: Column, attempt: Column,
         syllables, ends = SYLLABLES[script]
         pick = lambda values, at: F.element_at(F.array(*(F.lit(v) for v in values)), F.conv(F.substring(d, at % 256 + 1, F.lit(1)), 16, 10).cast("int") % len(values) + 1)
         end = F.coalesce(*(F.when(gender == g, pick(e, i * 8 + 7)) for g, e in ends.items()))
-        return F.concat(*(pick(syllables, i * 8 + k) for k in range(4)), F.when(last, F.lit("")).otherwise(end))
+        more = (F.when(attempt >= 2 * (k - 3), pick(syllables, i * 8 + k)).otherwise("") for k in range(4, 7))  # longer where short ones are taken
+        return F.concat(*(pick(syllables, i * 8 + k) for k in range(4)), *more, F.when(last, F.lit("")).otherwise(end))
 
     size = F.size(F.split(entity, " "))
     names = {s: F.array_join(F.transform(F.sequence(F.lit(0), size - 1), _word_at(word, s, size)), " ") for s in SYLLABLES}
@@ -163,26 +193,33 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 def surrogates(docs: DataFrame, id_col="doc_id", text_col="text", key: str = "surrogates") -> DataFrame:
     """(id_col, text_col, n_mentions, kinds): every row of `docs`, with surrogates in place of personal data.
 
-    One entity has one surrogate in all documents, and no two entities share one. Of a name with
-    several titles the most frequent gender by name order counts. `kinds` lists the types found. Null texts stay
+    One entity has one surrogate in all documents, and no two entities share one. Each word of a titled
+    name is an entity, also where its text repeats it without the title; adjacent ones count as one mention. Of a word with
+    several titles the first gender by name order counts. `kinds` lists the types found. Null texts stay
     null with no mentions; rows that repeat keep their number; other columns are not returned. Only
     texts with mentions are shuffled. The key should be secret: who knows it can test guesses.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     hint = F.coalesce(F.rlike("text", F.lit(HINT)), F.lit(False))
     none = lambda df, text: df.select("id", text.alias("text"), F.lit(0).alias("n_mentions"), F.array().cast("array<string>").alias("kinds"))
-    seen = rows.where(hint).select("id", F.xxhash64("id", "text", F.lit(1)).alias("row"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("mentions"), F.split("text", ANY, -1).alias("between"))
+    known = F.transform("names", lambda n: n["word"])
+    seen = rows.where(hint).withColumn("names", name_words(F.col("text"))).withColumn("pattern", mention_pattern(known))
+    seen = seen.select("id", F.xxhash64("id", "text", F.lit(1)).alias("row"), "names", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("mentions"), F.split("text", F.col("pattern"), -1).alias("between"))
     seen = staged(seen, "mentions")
     some, plain = seen.where(F.size("mentions") > 0), seen.where(F.size("mentions") == 0)
-    each = some.select("row", F.posexplode("mentions").alias("at", "mention")).distinct()
-    each = each.withColumn("kind", kind_of(F.col("mention"))).withColumn("entity", entity_of(F.col("kind"), F.col("mention")))
-    gender = F.when(F.col("kind") == "name", gender_of(F.col("mention"))).otherwise("unknown")
-    each = staged(each.withColumn("gender", gender), "each")
+    each = some.select("row", "names", F.posexplode("mentions").alias("at", "mention"))
+    word = F.lower("mention")
+    each = each.withColumn("kind", F.when(F.array_contains(known, word), "name").otherwise(kind_of(F.col("mention"))))
+    gender = F.array_min(F.transform(F.filter("names", lambda n: n["word"] == word), lambda n: n["gender"]))
+    each = each.select("row", "at", "mention", "kind", F.coalesce(gender, F.lit("unknown")).alias("gender")).distinct()
+    each = staged(each.withColumn("entity", entity_of(F.col("kind"), F.col("mention"))), "each")
     map_ = assign(each.groupBy("kind", "entity").agg(F.min("gender").alias("gender")), key)
     worn = each.join(map_, ["kind", "entity"]).select("row", F.struct("at", dressed(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"), "kind").alias("m"))
     worn = worn.groupBy("row").agg(F.array_sort(F.collect_list("m")).alias("worn"))
     put = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice("between", 1, F.size("worn")).alias("b"), F.col("worn").alias("w")), lambda x: F.concat(x["b"], x["w"]["new"])), ""), F.element_at("between", -1))
-    done = some.join(worn, "row").select("id", put.alias("text"), F.size("worn").alias("n_mentions"), F.array_sort(F.array_distinct(F.transform("worn", lambda w: w["kind"]))).alias("kinds"))
+    follows = lambda w, i: (w["kind"] == "name") & (F.get("worn", i - 1)["kind"] == "name") & F.rlike(F.get("between", i), F.lit("^[ -]$"))
+    mentions = F.size("worn") - F.size(F.filter("worn", follows))
+    done = some.join(worn, "row").select("id", put.alias("text"), mentions.alias("n_mentions"), F.array_sort(F.array_distinct(F.transform("worn", lambda w: w["kind"]))).alias("kinds"))
     return none(rows.where(~hint), F.col("text")).unionByName(none(plain, F.element_at("between", 1))).unionByName(done).select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_mentions", "kinds")
 
 

@@ -57,3 +57,19 @@ def test_edge_cases(spark):
     rows = pii.surrogates(docs).collect()
     assert len(rows) == 3 and len({r.text for r in rows}) == 1
     assert pii.surrogates(docs.where(F.lit(False))).count() == 0
+
+
+def test_names_are_found_without_their_title(spark):
+    got = run(spark, ["Mr. John Smith came. Smith's dog and JOHN stayed; the smith and Smithson did not.", "Dr. Anna Meyer-Lang and Frau Meyer", "Frau Prof. Dr. Meyer spoke, said Meyer.", "Smith has no title here."])
+    a = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+)'s dog and ([A-Z]+) stayed; the smith and Smithson did not\.", got[0].text)
+    assert a and a[2] == a[3] != "Smith" and a[1].upper() == a[4] != "JOHN" and got[0].n_mentions == 3
+    b = re.fullmatch(r"Dr\. (\w+) (\w+)-(\w+) and Frau (\w+)", got[1].text)
+    assert b and b[2] == b[4] != "Meyer" and "Anna" not in got[1].text and "Lang" not in got[1].text
+    c = re.fullmatch(r"Frau Prof\. Dr\. (\w+) spoke, said (\w+)\.", got[2].text)
+    assert c and c[1] == c[2] == b[4] and got[3].text == "Smith has no title here."
+
+
+def test_tokens_of_letters_alone_are_found(spark):
+    texts = ["key sk-" + "abcdefghij" * 3, "xoxb-abcdefghijklmno", "ghp_" + "abcdef" * 6, "AKIA" + "ABCDEFGH" * 2, "abcdef" * 6]
+    got = run(spark, texts)
+    assert [got[i].kinds for i in range(5)] == [["secret"]] * 5 and not any(got[i].text == t for i, t in enumerate(texts))
