@@ -155,6 +155,22 @@ def dtw(a: np.ndarray, b: np.ndarray, band: float = 0.12) -> float:
     return float(last[m])
 
 
+def dtw_each(a: np.ndarray, bs: np.ndarray, band: float = 0.12) -> np.ndarray:
+    """`dtw` of a series to each row of `bs`, a diagonal of the table at a time."""
+    n, m = len(a), bs.shape[1]
+    w = max(int(np.ceil(band * max(n, m))), abs(n - m))
+    before, last, now = (np.full((len(bs), n + 1), np.inf) for _ in range(3))
+    before[:, 0] = 0
+    for d in range(2, n + m + 1):
+        low, high = max(1, d - m, -((w - d) // 2)), min(n, d - 1, (d + w) // 2)
+        now[:, max(0, low - 2) : high + 3] = np.inf
+        if low <= high:
+            cost = np.abs(a[low - 1 : high] - bs[:, d - high - 1 : d - low][:, ::-1])
+            now[:, low : high + 1] = cost + np.minimum(np.minimum(last[:, low - 1 : high], last[:, low : high + 1]), before[:, low - 1 : high])
+        before, last, now = last, now, before
+    return last[:, n].copy()
+
+
 def rts(axis: np.ndarray, seen: np.ndarray, noise: float, drift: float) -> dict[str, np.ndarray]:
     """A level and its rate smoothed both ways (Rauch-Tung-Striebel), with the level's variance; missing values are bridged."""
     n = len(axis)

@@ -12,6 +12,8 @@ from seriesloom.plans.base import KEY, ROW, base, folds, query, rounded, table,
 
 GRID = np.arange(-50.0, 50.5, 2.0)
 RATES = np.linspace(-0.2, 0.2, 5)
+#: Points of a mean path, and the shifts along it that are tried.
+POINTS, SHIFTS = 192, np.arange(-24.0, 25.0, 2.0)
 
 
 def _tail(spark, sf_dir):
@@ -29,11 +31,21 @@ def _curve(spark, sf_dir):
 
 @query("particle_filter")
 def particle_filter(spark, sf_dir):
+    """500 particles and 4 seeds a user, whose noise, rate and start come from the known part of its series.
+
+    There the position is taken as the value less 50, in which the curve is measured.
+    """
+    known = base(spark, sf_dir).where("known is not null").select(KEY, ROW, "gr", (F.col("md") / 3600).alias("hours"), (F.col("value") - 50).alias("place"), F.lit(50.0).alias("ref"), F.lit(0.0).alias("z"))
+    sigma = candidates.noise_scale(known, KEY, "gr", "ref")
+    rate = candidates.initial_rate(known, KEY, ROW, "hours", "place", "z", 30).select(KEY, "rate")
+    start = known.groupBy(KEY).agg(F.max_by("place", ROW).alias("start"))
+    fit = sigma.join(rate, KEY).join(start, KEY).select(KEY, F.coalesce("sigma", F.lit(60.0)).alias("sigma"), F.coalesce("rate", F.lit(0.0)).alias("rate"), F.coalesce("start", F.lit(0.0)).alias("start"))
+
     def kernel(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> dict:
-        path, ll = decoders.particle_filter(rows, cx, cy, int(rows["seed"][0]), 0.0, 0.0, 30.0, n=100)
+        path, ll = decoders.particle_filter(rows, cx, cy, int(rows["seed"][0]), float(rows["start"][0]), float(rows["rate"][0]), float(rows["sigma"][0]))
         return {"path": path, "loglik": np.full(len(path), ll), KEY: rows[KEY].to_numpy()}
 
-    runs = decoders.seeded(_tail(spark, sf_dir), KEY, 4, "pf")
+    runs = decoders.seeded(_tail(spark, sf_dir).join(fit, KEY), KEY, 4, "pf")
     paths = decoders.decode(runs, _curve(spark, sf_dir), "seed_key", "curve", ROW, kernel, f"path double, loglik double, {KEY} long", "cx", "cy")
     return decoders.ensemble(paths, KEY, ROW, "path", "loglik", 5.0)
 
@@ -68,16 +80,26 @@ def rts_smooth(spark, sf_dir):
 
 @query("dtw_to_reference")
 def dtw_to_reference(spark, sf_dir):
-    """The warping distance of each user's first 64 values to the mean path of all users."""
-    rows = base(spark, sf_dir).where(F.col(ROW) < 64).select(KEY, ROW, "value")
-    packed = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(ROW, "value"))).alias("s")).select(KEY, F.col("s.value").alias("a"))
-    mean = rows.groupBy(ROW).agg(F.avg("value").alias("v")).agg(F.array_sort(F.collect_list(F.struct(ROW, "v"))).alias("m")).select(F.col("m.v").alias("b"))  # 64 values
-
-    @F.pandas_udf("double")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([decoders.dtw(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)])
-
-    return packed.crossJoin(F.broadcast(mean)).select(KEY, distance("a", "b").alias("distance"))
+    """The warping distance of each user's whole series to the mean path of all users, and the shift of that path at which it is least.
+
+    The mean path has POINTS points over the part of a series that has gone by; a series meets it at the places of its own rows.
+    Of equal distances the smaller shift, then the negative one counts.
+    """
+    rows = base(spark, sf_dir).select(KEY, ROW, "value", F.coalesce(F.col(ROW) / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0)).alias("part"))
+    packed = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(ROW, "value", "part"))).alias("s")).select(KEY, F.col("s.value").alias("a"), F.col("s.part").alias("t"))
+    mean = rows.groupBy(F.round(F.col("part") * (POINTS - 1)).alias("i")).agg(F.avg("value").alias("v")).where("v is not null")
+    mean = mean.agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("m")).select(F.col("m.i").alias("x"), F.col("m.v").alias("y"))  # POINTS values
+
+    @F.pandas_udf("distance double, shift double")
+    def nearest(a: pd.Series, t: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        out = []
+        for values, parts, cx, cy in zip(a, t, x, y, strict=True):
+            got = decoders.dtw_each(np.asarray(values, float), np.interp(np.asarray(parts, float)[None, :] * (POINTS - 1) + SHIFTS[:, None], cx, cy))
+            at = min(range(len(SHIFTS)), key=lambda i: (got[i], abs(SHIFTS[i]), SHIFTS[i]))
+            out.append((got[at], SHIFTS[at]))
+        return pd.DataFrame(out, columns=["distance", "shift"])
+
+    return packed.crossJoin(F.broadcast(mean)).select(KEY, nearest("a", "t", "x", "y").alias("b")).select(KEY, "b.distance", "b.shift")
 
 
 @query("switching_path")

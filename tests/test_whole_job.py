@@ -2,7 +2,9 @@
 
 import datetime
 
-from seriesloom.operators import joins
+import numpy as np
+
+from seriesloom.operators import decoders, joins
 from seriesloom.plans import registry
 
 
@@ -24,3 +26,27 @@ def test_kgram_pairs_in_blocks(spark):
     rows = spark.createDataFrame([(u, i, (i + u % 2) % 3) for u in range(23) for i in range(4)], "k long, i long, c long")
     whole, cut = (sorted(map(tuple, joins.kgram_pairs(rows, "k", "i", "c", 3, block).collect())) for block in (500, 4))
     assert whole == cut and len(whole) == 23 * 22 // 2
+
+
+def test_dtw_each_equals_dtw():
+    rng = np.random.default_rng(0)
+    for n, m, band in ((12, 12, 0.12), (30, 30, 0.12), (9, 14, 0.2), (14, 9, 1.0), (1, 1, 0.12), (40, 40, 0.05)):
+        a, bs = rng.random(n), rng.random((3, m))
+        assert np.array_equal(decoders.dtw_each(a, bs, band), [decoders.dtw(a, b, band) for b in bs])
+
+
+def test_dtw_to_reference_counts_late_rows(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    value = lambda u, i: 1000.0 if u == 0 and i >= 90 else float(i % 7)
+    rows = [(u * 1000 + i, at + datetime.timedelta(minutes=i), u, "view", value(u, i)) for u in range(4) for i in range(100)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.distance for r in registry.QUERIES["dtw_to_reference"](spark, str(tmp_path)).collect()}
+    assert got[0] > got[1] + 100 and got[1] == got[2] == got[3]
+
+
+def test_particle_filter_starts_where_the_known_part_ends(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(u * 1000 + i, at + datetime.timedelta(minutes=i), u, "view", 50.0 + (-1) ** u * 30 + i % 2) for u in range(4) for i in range(30)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES["particle_filter"](spark, str(tmp_path)).where("row_idx = 18").collect()
+    assert len(got) == 4 and all(abs(r["mean"] - (-1) ** r.user_id * 30) < 3 for r in got)
