@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from seriesloom.functions.staging import staged
 
 
-def self_matches(df: DataFrame, key: str, order: str, value: str, known: str, size: int) -> DataFrame:
+def self_matches(df: DataFrame, key: str, order: str, value: str, known: str, size: int, block: int = 4096) -> DataFrame:
     """(key, receiver, donor, orientation, ncc): for each window of the tail, the window of the known prefix it resembles most.
 
     Windows are arrays of `size` rows, scaled to mean 0 and length 1, every `size` rows of the tail against all
     of the prefix, forward and reversed; the earliest donor wins ties. Windows with gaps or without variation take no part.
+    Both sides are cut into blocks of `block` rows, and each pair of blocks is a join key of its own, so that no task pairs a whole long series.
     """
     w = Window.partitionBy(key).orderBy(order).rowsBetween(0, size - 1)
     rows = df.select(key, order, F.collect_list(value).over(w).alias("a"), (F.count(known).over(w) == size).alias("donor"), (F.count(known).over(w) == 0).alias("tail"))
@@ -25,7 +26,12 @@ def self_matches(df: DataFrame, key: str, order: str, value: str, known: str, si
     receivers = rows.where(F.col("tail") & (F.col(order) % size == 0)).select(key, F.col(order).alias("receiver"), F.col("a").alias("r"))
     donors = rows.where("donor").select(key, F.col(order).alias("donor"), F.explode(F.map_from_arrays(F.array(F.lit("forward"), F.lit("reversed")), F.array("a", F.reverse("a")))).alias("orientation", "d"))
     dot = F.aggregate(F.zip_with("r", "d", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = receivers.join(donors, key).select(key, "receiver", "donor", "orientation", F.round(dot, 9).alias("ncc"))
+    number = lambda c: F.floor(F.col(c) / block)
+    blocks = df.groupBy(key).agg(F.max(number(order)).alias("last"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))
+    receivers = receivers.join(blocks, key).select(key, "receiver", "r", number("receiver").alias("i"), every.alias("j"))
+    donors = donors.join(blocks, key).select(key, "donor", "orientation", "d", number("donor").alias("j"), every.alias("i"))
+    pairs = receivers.join(donors, [key, "i", "j"]).select(key, "receiver", "donor", "orientation", F.round(dot, 9).alias("ncc"))
     return pairs.groupBy(key, "receiver").agg(F.max_by(F.struct("donor", "orientation", "ncc"), F.struct("ncc", F.negate("donor").alias("n"), (F.col("orientation") == "forward").alias("f"))).alias("b")).select(key, "receiver", "b.donor", "b.orientation", "b.ncc")
 
 
@@ -54,17 +60,51 @@ def huber_plane(df: DataFrame, key: list[str], x: str, y: str, value: str, round
     return fit.join(middle, key).select(*key, (F.col("a") - F.col("b") * F.col("mx") - F.col("c") * F.col("my")).alias("a"), "b", "c", "rows")
 
 
+def _trend_solver(n: int, rho: float):
+    """Solves (I + rho D'D) x = b, D the second differences, by an LDL' factor of the five bands."""
+    a, b, c = np.ones(n), np.zeros(n), np.zeros(n)
+    for k, w in enumerate((1, -2, 1)):
+        a[k : n - 2 + k] += rho * w * w
+    b[: n - 2] += rho * -2
+    b[1 : n - 1] += rho * -2
+    c[: n - 2] += rho
+    a, b, c = a.tolist(), b.tolist(), c.tolist()
+    d, e, f = [0.0] * n, [0.0] * n, [0.0] * n  # pivots, and the two bands below them
+    for i in range(n):
+        d[i] = a[i] - (e[i - 1] ** 2 * d[i - 1] if i else 0.0) - (f[i - 2] ** 2 * d[i - 2] if i > 1 else 0.0)
+        e[i] = (b[i] - (e[i - 1] * f[i - 1] * d[i - 1] if i else 0.0)) / d[i]
+        f[i] = c[i] / d[i]
+
+    def solve(right: np.ndarray) -> np.ndarray:
+        x = right.tolist()
+        for i in range(1, n):
+            x[i] -= e[i - 1] * x[i - 1] + (f[i - 2] * x[i - 2] if i > 1 else 0.0)
+        for i in range(n - 1, -1, -1):
+            x[i] = x[i] / d[i] - (e[i] * x[i + 1] if i < n - 1 else 0.0) - (f[i] * x[i + 2] if i < n - 2 else 0.0)
+        return np.array(x)
+
+    return solve
+
+
 def l1_trend(y: np.ndarray, strength: float, rounds: int = 200, rho: float = 1.0) -> np.ndarray:
     """A piecewise linear trend: half the squared error plus strength times the absolute second differences, by ADMM."""
     n = len(y)
     if n < 3:
         return y.astype(float)
-    d = np.diff(np.eye(n), 2, axis=0)
-    solve = np.linalg.inv(np.eye(n) + rho * d.T @ d)
+    solve = _trend_solver(n, rho)
+    bend = lambda x: x[:-2] - 2 * x[1:-1] + x[2:]
+
+    def unbend(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        out[:-2] += v
+        out[1:-1] -= 2 * v
+        out[2:] += v
+        return out
+
     z, u = np.zeros(n - 2), np.zeros(n - 2)
     for _ in range(rounds):
-        x = solve @ (y + rho * d.T @ (z - u))
-        r = d @ x + u
+        x = solve(y + rho * unbend(z - u))
+        r = bend(x) + u
         z = np.sign(r) * np.maximum(np.abs(r) - strength / rho, 0)
         u = r - z
     return x
@@ -112,9 +152,13 @@ def corridor(barrier: np.ndarray, start: int, end: int) -> tuple[float, list[int
 
 def medoids(paths: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     """Which of some paths (rows) stand for all: k medoids by mean absolute distance, begun with the most central one, then the farthest."""
-    d = np.abs(paths[:, None, :] - paths[None, :, :]).mean(axis=2)
+    return medoids_of(np.abs(paths[:, None, :] - paths[None, :, :]).mean(axis=2), k, rounds)
+
+
+def medoids_of(d: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """`medoids` from the distances between the paths."""
     chosen = [int(d.sum(axis=1).argmin())]
-    while len(chosen) < min(k, len(paths)):
+    while len(chosen) < min(k, len(d)):
         chosen.append(int(d[:, chosen].min(axis=1).argmax()))
     for _ in range(rounds):
         of = d[:, chosen].argmin(axis=1)

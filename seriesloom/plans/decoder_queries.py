@@ -29,9 +29,8 @@ def _curve(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(q.alias("q")).select(F.lit("all").alias("curve"), F.posexplode("q").alias("i", "cy")).select("curve", (F.col("i") * 2.0 - 50).alias("cx"), "cy")
 
 
-@query("particle_filter")
-def particle_filter(spark, sf_dir):
-    """500 particles and 4 seeds a user, whose noise, rate and start come from the known part of its series.
+def particle_paths(spark, sf_dir):
+    """(seed_key, user_id, row_idx, path, loglik): 500 particles and 4 seeds a user, whose noise, rate and start come from the known part of its series.
 
     There the position is taken as the value less 50, in which the curve is measured.
     """
@@ -46,8 +45,12 @@ def particle_filter(spark, sf_dir):
         return {"path": path, "loglik": np.full(len(path), ll), KEY: rows[KEY].to_numpy()}
 
     runs = decoders.seeded(_tail(spark, sf_dir).join(fit, KEY), KEY, 4, "pf")
-    paths = decoders.decode(runs, _curve(spark, sf_dir), "seed_key", "curve", ROW, kernel, f"path double, loglik double, {KEY} long", "cx", "cy")
-    return decoders.ensemble(paths, KEY, ROW, "path", "loglik", 5.0)
+    return decoders.decode(runs, _curve(spark, sf_dir), "seed_key", "curve", ROW, kernel, f"path double, loglik double, {KEY} long", "cx", "cy")
+
+
+@query("particle_filter")
+def particle_filter(spark, sf_dir):
+    return decoders.ensemble(particle_paths(spark, sf_dir), KEY, ROW, "path", "loglik", 5.0)
 
 
 @query("hmm_decode")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from seriesloom.operators import series, shapes
+from seriesloom.functions.staging import staged
+from seriesloom.operators import shapes
+from seriesloom.plans import decoder_queries
 from seriesloom.plans.base import BASE, KEY, ROW, base, query, rounded, tails
 
 
@@ -42,13 +43,13 @@ def trend_filters(spark, sf_dir):
 
 @query("path_medoids")
 def path_medoids(spark, sf_dir):
-    """Two typical users of each fold, by the first 16 values of their tails."""
-    rows = tails(spark, sf_dir).withColumn("p", F.row_number().over(series.over(KEY, ROW)))
-    packed = rows.where("p <= 16").groupBy("fold", KEY).agg(F.array_sort(F.collect_list(F.struct("p", "value"))).alias("s")).where(F.size("s") == 16).select("fold", KEY, F.col("s.value").alias("a"))
+    """Two typical particle-filter paths of each user: the medoids of its seeds by the mean distance over the whole tail."""
+    paths = staged(decoder_queries.particle_paths(spark, sf_dir).select(KEY, ROW, "seed_key", "path"), "paths")
+    other = paths.select(KEY, ROW, F.col("seed_key").alias("other"), F.col("path").alias("theirs"))
+    apart = paths.join(other, [KEY, ROW]).groupBy(KEY, "seed_key", "other").agg(F.avg(F.abs(F.col("path") - F.col("theirs"))).alias("d"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(KEY).reset_index(drop=True)
-        return part.loc[shapes.medoids(np.stack(part["a"].to_list()), 2), ["fold", KEY]]
-
-    return packed.groupBy("fold").applyInPandas(run, f"fold int, {KEY} long")
+        d = part.pivot(index="seed_key", columns="other", values="d")
+        return pd.DataFrame({KEY: part[KEY].iloc[0], "seed_key": d.index[shapes.medoids_of(d.to_numpy(), 2)]})
 
+    return apart.groupBy(KEY).applyInPandas(run, f"{KEY} long, seed_key string")

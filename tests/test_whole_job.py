@@ -4,8 +4,8 @@ import datetime
 
 import numpy as np
 
-from seriesloom.operators import decoders, joins
-from seriesloom.plans import registry
+from seriesloom.operators import decoders, joins, shapes
+from seriesloom.plans import base, registry
 
 
 def events(spark, path, users, n):
@@ -50,3 +50,24 @@ def test_particle_filter_starts_where_the_known_part_ends(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = registry.QUERIES["particle_filter"](spark, str(tmp_path)).where("row_idx = 18").collect()
     assert len(got) == 4 and all(abs(r["mean"] - (-1) ** r.user_id * 30) < 3 for r in got)
+
+
+def test_trend_needs_no_matrix(monkeypatch):
+    rng = np.random.default_rng(1)
+    for n in (3, 4, 5, 30):
+        d, b = np.diff(np.eye(n), 2, axis=0), rng.random(n)
+        assert np.allclose(shapes._trend_solver(n, 0.7)(b), np.linalg.solve(np.eye(n) + 0.7 * d.T @ d, b))
+    monkeypatch.setattr(np, "eye", None)
+    assert np.abs(shapes.l1_trend(np.arange(30_000.0), 50.0, 3) - np.arange(30_000.0)).max() < 1e-6
+
+
+def test_path_medoids_stand_for_every_user(spark, tmp_path):
+    folder = events(spark, tmp_path, 6, 10)  # tails of 4 rows
+    got = registry.QUERIES["path_medoids"](spark, folder).collect()
+    assert sorted(r.user_id for r in got) == [u for u in range(6) for _ in range(2)] and len({r.seed_key for r in got}) == 12
+
+
+def test_self_matches_in_blocks(spark, sf):
+    rows = base.base(spark, sf)
+    whole, cut = (sorted(map(tuple, shapes.self_matches(rows, "user_id", "row_idx", "value", "known", 8, block).collect())) for block in (4096, 16))
+    assert whole == cut and whole
