@@ -29,13 +29,44 @@ def hash_fold(key: str, k: int, salt: str = "fold") -> Column:
 
 
 def group_kfold(sizes: DataFrame, key: str, rows: str, k: int) -> DataFrame:
-    """(key, fold): the largest groups first, each to the fold with the fewest rows. One row a group, on the driver: greedy by nature."""
-    loads, out = [0] * k, []
-    for r in sizes.select(key, rows).orderBy(F.desc(rows), key).toLocalIterator():
-        at = min(range(k), key=lambda i: (loads[i], i))
-        loads[at] += r[1]
-        out.append((r[0], at))
-    return sizes.sparkSession.createDataFrame(out, f"{key} {sizes.schema[key].dataType.simpleString()}, fold int")
+    """(key, fold): the largest groups first, each to the fold with the fewest rows, then the lowest fold.
+
+    Groups of one size are alike, so the greedy step deals whole classes of equal size; only the distinct
+    sizes with their numbers of groups come to the driver, few beside the groups. Which fold a group of a class
+    goes to follows from its place in the class by key hash: the first so many to fold 0, the next to fold 1.
+    """
+    groups = sizes.select(key, F.col(rows).cast("long").alias("__rows"))
+    loads, plan = [0] * k, []
+    for size, n in groups.groupBy("__rows").count().orderBy(F.desc("__rows")).toLocalIterator():
+        low = 0
+        for fold, part in enumerate(_dealt(loads, size or 0, n)):
+            loads[fold] += part * (size or 0)
+            plan.append((size, low, low + part, fold))
+            low += part
+    plan = sizes.sparkSession.createDataFrame(plan, "__size long, __low long, __high long, fold int").where("__low < __high")
+    rows_ = groups.withColumn("__h", _sha(key, "kfold")).withColumn("__p", F.substring("__h", 1, 2))
+    counts = rows_.groupBy("__rows", "__p").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("__rows").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("__rows").alias("__r"), F.col("__p").alias("__q"), "__before")
+    place = F.row_number().over(Window.partitionBy("__rows", "__p").orderBy("__h", key)) - 1
+    placed = rows_.withColumn("__i", place).join(before, F.col("__rows").eqNullSafe(F.col("__r")) & F.col("__p").eqNullSafe(F.col("__q"))).withColumn("__at", F.col("__before") + F.col("__i"))
+    return placed.join(plan, F.col("__rows").eqNullSafe(F.col("__size")) & (F.col("__at") >= F.col("__low")) & (F.col("__at") < F.col("__high"))).select(key, "fold")
+
+
+def _dealt(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of n groups of one size each fold gets, each going to the fold with the least load, then the lowest."""
+    if size <= 0:
+        return [n if i == min(range(len(loads)), key=lambda f: (loads[f], f)) else 0 for i in range(len(loads))]
+    # the last group goes where the load is at most `top`: the i-th group of a fold is placed at load + i * size
+    held = lambda top: [max(0, (top - x) // size + 1) for x in loads]
+    low, high = min(loads) - 1, max(loads) + size * n
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if sum(held(mid)) >= n else (mid, high)
+    out, full = held(low), held(high)
+    for i in range(len(loads)):
+        if sum(out) < n and full[i] > out[i]:
+            out[i] += 1
+    return out
 
 
 lpt_shards = group_kfold

@@ -3,8 +3,9 @@
 import datetime
 
 import numpy as np
+from pyspark.sql.classic.dataframe import DataFrame
 
-from seriesloom.operators import decoders, joins, shapes
+from seriesloom.operators import decoders, joins, shapes, splits
 from seriesloom.plans import base, registry
 
 
@@ -71,3 +72,26 @@ def test_self_matches_in_blocks(spark, sf):
     rows = base.base(spark, sf)
     whole, cut = (sorted(map(tuple, shapes.self_matches(rows, "user_id", "row_idx", "value", "known", 8, block).collect())) for block in (4096, 16))
     assert whole == cut and whole
+
+
+def test_group_kfold_is_greedy_without_collecting_groups(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = [int(x) for x in rng.integers(1, 9, 400)] + [70, 33]
+    loads = [0] * 5
+    for s in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += s
+    df = spark.createDataFrame(list(enumerate(sizes)), "k long, n long")
+    seen, every = [], DataFrame.toLocalIterator
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda d, *a: (seen.append(r) or r for r in every(d, *a)))
+    got = splits.group_kfold(df, "k", "n", 5)
+    assert len(seen) == len(set(sizes))
+    fold = {r.k: r.fold for r in got.collect()}
+    assert len(fold) == 402 == got.count() and [sum(s for i, s in enumerate(sizes) if fold[i] == f) for f in range(5)] == loads
+    taken = [0, 5, 12]
+    for n in (1, 2, 7, 40):
+        one, want = list(taken), [0, 0, 0]
+        for _ in range(n):
+            at = one.index(min(one))
+            one[at] += 3
+            want[at] += 1
+        assert splits._dealt(taken, 3, n) == want
