@@ -1,10 +1,10 @@
 """Shards of near-equal bytes by a k-d tree over document metadata.
 
 The tree splits a range of shards in two, at the weighted median (more exactly, the quantile that
-the two halves of the range need) along the dimension in which the node's units spread most. A
+the two parts of the range need) along the dimension in which the node's units spread most. A
 unit is a group of equal texts, so that copies stay together; a group larger than a shard is cut
-into pieces by id. Medians come from sums over bins of the coordinate, refined twice, over all
-units; no node's rows are ever gathered.
+into pieces by id. Medians come from sums over bins of the coordinate, refined once, over all
+units; no node's rows are ever gathered. Every unit is placed by the tree.
 """
 
 from __future__ import annotations
@@ -12,88 +12,127 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.functions.staging import staged
+from seriesloom.functions.staging import drop_staged, staged
 
-#: Groups above this part of a shard are placed whole before the tree is built; there are at most shards / LARGE of them.
-LARGE = 0.02
-#: Bits of a coordinate that a pass resolves, and passes.
-BITS, PASSES = 15, 2
+#: Bits of a coordinate that each of the two passes resolves, and those of them that break ties.
+BITS, TIE = 15, 18
+#: A group larger than a shard is cut into pieces of about a shard's bytes over this.
+PIECES = 50
+#: Units that may cross a node's cut to make up for what a cut between two units leaves over, if that is above this part of a shard.
+MOVES, EVEN = 3, 0.001
 #: Rows that one task numbers.
 SLOT_ROWS = 200_000
 
 
 def _coordinate(value: Column, tie: Column) -> Column:
-    """12 bits of a value in [0, 1), then 18 bits of the unit's hash, so that units of one value still part evenly."""
+    """12 bits of a value in [0, 1), then TIE bits of the unit's hash, so that units of one value still part evenly."""
     high = F.greatest(F.lit(0), F.least(F.lit(4095), F.floor(value * 4096))).cast("long")
-    return F.shiftleft(high, 18) + tie
+    return F.shiftleft(high, TIE) + tie
 
 
-def _capacities(loads: list[float], small: float) -> list[float]:
-    """What each shard takes of the small units so that all end at one level, or at their load if that is higher."""
-    low, high = min(loads), max(loads) + small
-    for _ in range(100):
-        mid = (low + high) / 2
-        if sum(max(0.0, mid - x) for x in loads) < small:
-            low = mid
-        else:
-            high = mid
-    return [max(0.0, high - x) for x in loads]
+def level_bytes(total: int, largest: list[int], n: int) -> float:
+    """The size that each of n shards would have if single rows above it took a shard each: the mean, less what they exceed it by.
+
+    `largest`: the sizes of the n largest rows, which must hold all rows above the result.
+    """
+    room, rest = n, float(total)
+    for size in sorted(largest, reverse=True):
+        if room > 1 and size > rest / room:
+            room, rest = room - 1, rest - size
+    return rest / room
 
 
 def _pick(values: list, kind: str) -> Column:
     """The entry of `values` for the row's node."""
-    return F.element_at(F.array(*(F.lit(v).cast(kind) for v in values)), F.col("node") + 1)
-
-
-def _tree(units: DataFrame, dims: list[str], room: list[float]) -> Column:
-    """An expression for the shard of a unit of `units` (*dims, weight)."""
-    cuts: dict[tuple[int, int], tuple[int, int]] = {}  # a range of shards -> the dimension that splits it, and where
-
-    def place(a: int, b: int, nodes: dict[tuple[int, int], int]) -> Column:
-        """The number in `nodes` of the range that a unit lies in; null where it isn't one of them."""
-        if (a, b) in nodes or (a, b) not in cuts:
-            return F.lit(nodes.get((a, b))).cast("int")
-        (dim, at), m = cuts[a, b], (a + b) // 2
-        return F.when(F.col(dims[dim]) < F.lit(at), place(a, m, nodes)).otherwise(place(m, b, nodes))
-
-    level = [(0, len(room))]
-    while level := [x for x in level if x[1] - x[0] > 1]:
-        seen = units.withColumn("node", place(0, len(room), {x: i for i, x in enumerate(level)})).where("node is not null")
-        sums = seen.groupBy("node").agg(F.sum("weight").alias("weight"), *(F.min(d).alias(f"low_{d}") for d in dims), *(F.max(d).alias(f"high_{d}") for d in dims))
-        spread = {r["node"]: r for r in sums.collect()}  # a row for each node, of which there are fewer than shards
-        widest, want, base = [0] * len(level), [0.0] * len(level), [0] * len(level)
+    return F.element_at(F.lit(list(values) or [0]).cast(f"array<{kind}>"), F.col("node") + 1)
+
+
+def _one_of(units: list[int]) -> Column:
+    return F.array_contains(F.lit(units).cast("array<bigint>"), F.col("unit")) if units else F.lit(False)
+
+
+def _borders(seen: DataFrame, dims: list[str], parts: list[float]) -> dict[int, dict]:
+    """For each node its weight, its widest dimension, and the two unit borders around the wanted part of its weight.
+
+    A border is (coordinate from which units lie right of it, weight left of it). What reaches the
+    driver is a row for each node and dimension.
+    """
+    spots = F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(d).alias("at")) for i, d in enumerate(dims))))
+    long = seen.select("node", "weight", spots.alias("s")).select("node", "weight", "s.dim", "s.at")
+    bins = long.groupBy("node", "dim", F.shiftright("at", BITS).alias("bin")).agg(F.sum("weight").alias("weight"), F.min("at").alias("low"), F.max("at").alias("high"))
+    whole = Window.partitionBy("node", "dim")
+    summed = bins.withColumn("upto", F.sum("weight").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    summed = summed.select("*", F.sum("weight").over(whole).alias("total"), (F.max("high").over(whole) - F.min("low").over(whole)).alias("spread"))
+    first = summed.where(F.col("upto") >= F.col("total") * _pick(parts, "double") * (1 - 1e-12))
+    found = first.groupBy("node", "dim").agg(F.min(F.struct("bin", "upto", "weight", "total", "spread")).alias("b")).select("node", "dim", "b.*").collect()
+    nodes: dict[int, dict] = {}
+    for r in sorted(found, key=lambda r: (r["node"], -r["spread"], r["dim"])):
+        nodes.setdefault(r["node"], {"dim": r["dim"], "total": r["total"], "bin": r["bin"], "below": r["upto"] - r["weight"], "borders": []})
+    of = lambda key, default: [nodes.get(i, {}).get(key, default) for i in range(len(parts))]
+    at = F.element_at(F.array(*dims), _pick(of("dim", 0), "int") + 1)
+    fine = seen.select("node", "weight", at.alias("at")).where(F.shiftright("at", BITS) == _pick(of("bin", -1), "long"))
+    fine = fine.groupBy("node", "at").agg(F.sum("weight").alias("weight"))
+    upto = F.sum("weight").over(Window.partitionBy("node").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + _pick(of("below", 0.0), "double")
+    want = _pick([p * w for p, w in zip(parts, of("total", 0.0), strict=True)], "double") * (1 - 1e-12)
+    near = fine.withColumn("upto", upto).where(F.col("upto") >= want).groupBy("node").agg(F.min(F.struct("at", "upto", "weight")).alias("b")).select("node", "b.*")
+    for r in near.collect():
+        nodes[r["node"]]["borders"] = [(r["at"], r["upto"] - r["weight"]), (r["at"] + 1, r["upto"])]
+    return nodes
+
+
+def _tree(units: DataFrame, dims: list[str], n: int) -> DataFrame:
+    """`units` (unit, *dims, weight, ...) with `shard`, the leaf of each."""
+    level, seen = [(0, n)], units.select("*", F.lit(0).alias("node"), F.lit(0 if n == 1 else None).cast("int").alias("shard"))
+    while any(b - a > 1 for a, b in level):
+        active = seen.where("shard is null")
+        nodes = _borders(active, dims, [((b - a) // 2) / (b - a) for a, b in level])
+        cuts, dim, lack, following = [0] * len(level), [0] * len(level), [0.0] * len(level), []
         for i, (a, b) in enumerate(level):
-            if i in spread:
-                r, total = spread[i], sum(room[a:b])
-                widest[i] = max(range(len(dims)), key=lambda d: r[f"high_{dims[d]}"] - r[f"low_{dims[d]}"])
-                want[i] = float(r["weight"]) * (sum(room[a : (a + b) // 2]) / total if total > 0 else ((b - a) // 2) / (b - a))
-        value = F.element_at(F.array(*dims), _pick([w + 1 for w in widest], "int"))
-        for k in range(PASSES):
-            shift = BITS * (PASSES - 1 - k)
-            part = seen.withColumn("value", value)
-            if k:
-                part = part.where(F.shiftright("value", shift + BITS) == F.shiftright(_pick(base, "long"), shift + BITS))
-            bins = part.groupBy("node", F.shiftright("value", shift).alias("bin")).agg(F.sum("weight").alias("weight"))
-            over = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            first = bins.withColumn("upto", F.sum("weight").over(over)).where(F.col("upto") >= _pick(want, "double") * (1 - 1e-12))
-            for r in first.groupBy("node").agg(F.min("bin").alias("bin"), F.min("upto").alias("upto"), F.min_by("weight", "bin").alias("weight")).collect():  # a row for each node
-                i, below = r["node"], r["upto"] - r["weight"]
-                nearer = k == PASSES - 1 and r["upto"] - want[i] <= want[i] - below  # the bin at the border goes to the nearer side
-                base[i] = (r["bin"] + nearer) << shift
-                want[i] -= below
-        for i, x in enumerate(level):
-            cuts[x] = (widest[i], base[i])
-        level = [y for a, b in level for y in ((a, (a + b) // 2), ((a + b) // 2, b))]
-    return place(0, len(room), {(i, i + 1): i for i in range(len(room))})
+            m = (b - a) // 2
+            if node := nodes.get(i):
+                each = node["total"] / (b - a)
+                tried = [(max(1, min(b - a - 1, round(left / each))), at, left) for at, left in node["borders"]]
+                m, cuts[i], left = min(tried, key=lambda x: (max(x[2] / x[0], (node["total"] - x[2]) / (b - a - x[0])), x))
+                dim[i], lack[i] = node["dim"], m * each - left
+            following += [(a, a + m), (a + m, b)]
+        right = F.element_at(F.array(*dims), _pick([d + 1 for d in dim], "int")) >= _pick(cuts, "long")
+        moved: list[int] = []
+        for _ in range(MOVES):
+            gaps = [abs(x) if i in nodes and abs(x) > EVEN * nodes[i]["total"] / (level[i][1] - level[i][0]) else 0.0 for i, x in enumerate(lack)]
+            if not any(gaps):
+                break
+            gap = _pick(gaps, "double")
+            heavier = F.when(_pick(lack, "double") > 0, right).otherwise(~right)
+            fits = active.where(heavier & ~_one_of(moved) & (F.col("weight") < 2 * gap)).select("node", F.struct(F.abs(F.col("weight") - gap).alias("off"), "unit", "weight").alias("u"))
+            found = fits.groupBy("node").agg(F.min("u").alias("u")).select("node", "u.*").collect()  # a row for each node
+            if not found:
+                break
+            for r in found:
+                moved.append(r["unit"])
+                lack[r["node"]] += -r["weight"] if lack[r["node"]] > 0 else r["weight"]
+        side = right != _one_of(moved)
+        child = F.when(F.col("shard").isNull(), 2 * F.col("node") + side.cast("int")).alias("node")
+        grown = seen.select(*units.columns, "shard", child)
+        leaf = F.coalesce("shard", _pick([a if b - a == 1 else None for a, b in following], "int")).alias("shard")
+        inner = [i for i, (a, b) in enumerate(following) if b - a > 1]
+        place = {i: k for k, i in enumerate(inner)}
+        grown = grown.select(*units.columns, leaf, _pick([place.get(i) for i in range(len(following))], "int").alias("node"))
+        before, seen = seen, staged(grown, "level")
+        if len(level) > 1:
+            drop_staged(before)
+        level = [following[i] for i in inner]
+    return seen.drop("node")
 
 
 def shards(docs: DataFrame, n: int = 40, id_col="doc_id", text_col="text", meta: tuple[str, ...] = ("lang", "source"), overhead: int = 16) -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard) for every row of `docs`.
 
     Size is the text's UTF-8 bytes plus `overhead`; the bytes of shards are near equal (law
-    `bytes`), as far as single rows and whole groups allow. A null text has no bytes, CRC 0, and is
+    `bytes`). A cut lies between two units, and at most MOVES units cross it to even out the rest,
+    so a shard is off the mean by no more than about its largest unit; a row larger than the mean
+    has a shard of its own, and the others share what is left. A null text has no bytes, CRC 0, and is
     equal to other null texts only. Dimensions: the logarithm of the size, and each column of
-    `meta`, of which a group of equal texts takes the least value; null counts as a value. Slots count each shard's rows from
+    `meta`, of which a unit takes the least value; null counts as a value. Slots count each shard's rows from
     0 without gaps. `grown_shard` is null under this law. Rows that repeat an id have a slot each.
     No rows: no result rows.
     """
@@ -108,35 +147,21 @@ def shards(docs: DataFrame, n: int = 40, id_col="doc_id", text_col="text", meta:
     )
     rows = staged(rows, "rows")
     group = ["same", "crc", "size"]
-    groups = rows.groupBy(*group).agg(F.count("*").alias("copies"), *(F.min(f"meta{i}").alias(f"meta{i}") for i in range(len(meta))))
-    groups = staged(groups.withColumn("bytes", F.col("copies") * F.col("size")), "groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    target = total / n
-    large = F.col("bytes") > F.lit(target * LARGE)
-    whole = groups.where(large & ((F.col("bytes") <= F.lit(target)) | (F.col("copies") == 1)))
-    loads = [0.0] * n
-    placed = []
-    for r in sorted(whole.select(*group, "bytes").collect(), key=lambda r: (-r["bytes"], r["same"], r["crc"])):  # at most n / LARGE rows: each is larger than LARGE of a shard
-        at = min(range(n), key=loads.__getitem__)
-        loads[at] += r["bytes"]
-        placed.append((r["same"], r["crc"], r["size"], at))
-    fixed = rows.sparkSession.createDataFrame(placed, "same long, crc long, size long, placed int")
-    pieces = F.when(large & (F.col("bytes") > F.lit(target)) & (F.col("copies") > 1), F.ceil(F.col("bytes") / F.lit(max(1.0, target * LARGE)))).otherwise(F.lit(1)).cast("int")
-    dims = ["d_size", *(f"d_meta{i}" for i in range(len(meta)))]
-    spot = {"d_size": F.log2(F.col("size") + 1) / 40} | {f"d_meta{i}": F.coalesce(F.crc32(F.col(f"meta{i}")) / F.lit(float(1 << 32)), F.lit(0.0)) for i in range(len(meta))}
-    shape = groups.join(fixed, group, "left").select(*group, pieces.alias("pieces"), "placed", *(v.alias(k) for k, v in spot.items()))
-    # both sides of this join are plain tables, so that the planner can split the rows of a hot group
-    joined = rows.select("id", *group).join(staged(shape, "shape"), group)
-    piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("id"), F.col("pieces"))).otherwise(F.lit(0))
-    joined = joined.withColumn("piece", piece)
-    tie = F.shiftright(F.xxhash64("same", "crc", "size", "piece").bitwiseAND(F.lit((1 << 62) - 1)), 44)
-    joined = joined.select("id", "size", "crc", "same", "piece", "placed", *(_coordinate(F.col(d), tie).alias(d) for d in dims))
-    joined = staged(joined, "joined")
-    small = joined.where("placed is null")
-    units = staged(small.groupBy(*group, "piece", *dims).agg(F.sum("size").cast("double").alias("weight")).drop(*group, "piece"), "units")
-    free = units.agg(F.sum("weight")).first()[0] or 0.0
-    shard = F.coalesce("placed", _tree(units, dims, _capacities(loads, free))).cast("int")
-    out = joined.select("id", "size", "crc", shard.alias("shard"))
+    groups = rows.groupBy(*group).agg(F.count("*").alias("copies"))
+    largest = groups.orderBy(F.desc(F.col("copies") * F.col("size")), *group).limit(n).collect()  # as many rows as shards
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    target = max(1.0, level_bytes(total, [r["size"] for r in largest if r["copies"] == 1], n))
+    hot = [(r["same"], r["crc"], r["size"], -int(-r["copies"] * r["size"] * PIECES // target)) for r in largest if r["copies"] > 1 and r["copies"] * r["size"] > target]
+    cut = F.broadcast(rows.sparkSession.createDataFrame(hot, "same long, crc long, size long, pieces int"))  # at most n rows
+    pieced = rows.join(cut, group, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id"), F.col("pieces")), F.lit(0)).cast("int"))
+    key = [*group, "piece"]
+    sums = pieced.groupBy(*key).agg(F.sum("size").alias("bytes"), *(F.min(f"meta{i}").alias(f"meta{i}") for i in range(len(meta))))
+    tie = F.shiftrightunsigned(F.xxhash64(*key), 64 - TIE)
+    spot = [F.log2(F.col("size") + 1) / 40, *(F.coalesce(F.crc32(F.col(f"meta{i}").cast("binary")) / F.lit(float(1 << 32)), F.lit(0.0)) for i in range(len(meta)))]
+    dims = [f"d{i}" for i in range(len(spot))]
+    units = sums.select(*key, F.xxhash64(*key, F.lit(7)).alias("unit"), *(_coordinate(v, tie).alias(d) for v, d in zip(spot, dims, strict=True)), F.least(F.col("bytes").cast("double"), F.lit(float(target))).alias("weight"))
+    leaves = _tree(staged(units, "units"), dims, n).select(*key, "shard")
+    out = pieced.select("id", *key).join(leaves, key).select("id", "size", "crc", "shard")
     return _slots(out, n).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

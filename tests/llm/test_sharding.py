@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from seriesloom.llm import sharding
@@ -46,3 +47,61 @@ def test_edge_cases(spark):
     check(rows, got)
     assert sorted((r["size"], r.text_crc32) for r in got)[:2] == [(16, 0), (16, 0)]
     assert sharding.shards(docs.limit(0)).count() == 0
+
+
+def plain_tree(units, n):
+    """unit -> shard, by sorting: (unit, d0, d1, weight) rows over shards 0 to n - 1."""
+    out, todo = {}, [(units, 0, n)]
+    while todo:
+        rows, a, b = todo.pop()
+        if b - a == 1 or not rows:
+            out |= {r[0]: a for r in rows}
+            continue
+        widest = max((1, 2), key=lambda d: (max(r[d] for r in rows) - min(r[d] for r in rows), -d))
+        rows.sort(key=lambda r: r[widest])
+        total, left, borders = sum(r[3] for r in rows), 0, []
+        for i, r in enumerate(rows):
+            left += r[3]
+            borders.append((i + 1, left))
+        each, k = total / (b - a), b - a
+        over = next(i for i, (_, w) in enumerate(borders) if w >= total * (k // 2) / k)
+        tried = []
+        for i, w in [borders[over - 1] if over else (0, 0), borders[over]]:
+            m = max(1, min(k - 1, round(w / each)))
+            tried.append((max(w / m, (total - w) / (k - m)), m, i, w))
+        _, m, i, w = min(tried)
+        lack, sides, moved = m * each - w, (rows[:i], rows[i:]), set()
+        for _ in range(sharding.MOVES):
+            if abs(lack) <= sharding.EVEN * each:
+                break
+            fits = [r for r in sides[lack > 0] if r[0] not in moved and r[3] < 2 * abs(lack)]
+            if not fits:
+                break
+            best = min(fits, key=lambda r: (abs(r[3] - abs(lack)), r[0]))
+            moved.add(best[0])
+            lack += -best[3] if lack > 0 else best[3]
+        at = {r[0] for r in sides[0]} ^ moved
+        todo += [([r for r in rows if r[0] in at], a, a + m), ([r for r in rows if r[0] not in at], a + m, b)]
+    return out
+
+
+def test_the_tree_equals_a_plain_one(spark):
+    rng = random.Random(5)
+    for n, count in ((1, 5), (7, 400), (12, 9)):
+        units = [(i, rng.randrange(4096) << 18 | i, rng.choice((100, 2000, 2001)) << 18 | rng.randrange(1 << 9) << 9 | i, float(rng.randrange(1, 90) ** 2)) for i in range(count)]
+        frame = spark.createDataFrame(units, "unit long, d0 long, d1 long, weight double")
+        got = {r.unit: r.shard for r in sharding._tree(frame, ["d0", "d1"], n).collect()}
+        assert got == plain_tree(units, n)
+
+
+def test_every_row_has_the_shard_of_its_unit_and_large_rows_have_their_own(spark):
+    sf = "/root/testdata/sf0.001"
+    got = sharding.op7_kd_tree_sharding(spark, sf).collect()
+    sizes = sorted((r["size"] for r in got), reverse=True)
+    level = sharding.level_bytes(sum(sizes), sizes[:40], 40)
+    loads, alone = [0] * 40, {}
+    for r in got:
+        loads[r.shard] += r["size"]
+        alone.setdefault(r.shard, []).append(r["size"])
+    assert min(loads) > 0.7 * level and max(x for s, x in enumerate(loads) if max(alone[s]) < level) < 1.2 * level
+    assert all(len(v) == 1 or max(v) < level for v in alone.values())
