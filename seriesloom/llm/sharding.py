@@ -129,8 +129,8 @@ def shards(docs: DataFrame, n: int = 40, id_col="doc_id", text_col="text", meta:
 
     Size is the text's UTF-8 bytes plus `overhead`; the bytes of shards are near equal (law
     `bytes`). A cut lies between two units, and at most MOVES units cross it to even out the rest,
-    so a shard is off the mean by no more than about its largest unit; a row larger than the mean
-    has a shard of its own, and the others share what is left. A null text has no bytes, CRC 0, and is
+    so a shard is off the mean by no more than about its largest unit; a row larger than
+    what is left for a shard counts as a full shard. A null text has no bytes, CRC 0, and is
     equal to other null texts only. Dimensions: the logarithm of the size, and each column of
     `meta`, of which a unit takes the least value; null counts as a value. Slots count each shard's rows from
     0 without gaps. `grown_shard` is null under this law. Rows that repeat an id have a slot each.
