@@ -20,8 +20,20 @@ from seriesloom.llm.tokens import slices
 
 #: N-grams of a profile, and of a text's own list.
 PROFILE, OWN = 400, 300
-#: Letters get numbers from 1 to 1023, 10 bits each: code points below 768 as they are, others folded to 256 numbers by their last bits.
-_BITS = 10
+#: Bits of a letter, a code point in lower case, in the number of an n-gram; three of them fit into 63.
+_BITS = 21
+
+
+def _numbers() -> np.ndarray:
+    """For each code point that is a letter its lower case, and 0 for any other."""
+    chars = np.arange(0x110000, dtype=np.uint32).view("<U1")
+    out = np.zeros(len(chars), np.int64)
+    at = np.flatnonzero(np.strings.isalpha(chars))
+    out[at] = np.strings.lower(chars[at]).astype("<U1").view(np.uint32)
+    return out
+
+
+_NUMBER = _numbers()
 
 
 def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,40 +48,49 @@ def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _NUMBER[np.minimum(code, len(_NUMBER) - 1)], at
 
 
-def _numbers() -> np.ndarray:
-    out = np.zeros(0x110000, np.int64)
-    for c in range(0x110000):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ord(ch.lower()[0])
-            out[c] = low if low < 768 else 768 + low % 256 if low % 256 < 255 else 1022
-    return out
-
-
-_NUMBER = _numbers()
-
+def count_ngrams(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, n-gram, count) of each distinct pair in texts, in that order; without `owner` the text's place is its owner.
 
-def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams of texts, and the text of each. Words are runs of letters with a blank (0) on either side."""
+    Words are runs of letters with a blank on either side. An n-gram's number holds its letters in
+    _BITS bits each, the last one lowest; a blank is 1.
+    """
     num, at = letters(data)
     text = np.searchsorted(offsets, at, "right") - 1
     # a blank after each text, so that words end with it
     cut = np.searchsorted(at, offsets[1:])
     num, text = np.insert(num, cut, 0), np.insert(text, cut, np.arange(len(offsets) - 1))
     num, text = np.append(0, num), np.append(text[:1], text) if len(text) else np.zeros(1, np.int64)
+    if owner is not None:
+        text = owner[text]
+    # letters in as few bits as those of these texts need, in the same order, so that owner and n-gram sort as one number
+    seen = np.zeros(len(_NUMBER), bool)
+    seen[num] = True
+    seen[0] = False
+    alphabet = np.concatenate(([0, 1], np.flatnonzero(seen)))
+    bits = int(len(alphabet)).bit_length()
+    small = 3 * bits + int(text.max()).bit_length() <= 63
+    if small:
+        rank = np.zeros(len(_NUMBER), np.int64)
+        rank[alphabet[2:]] = np.arange(2, len(alphabet))
+        num = rank[num]
+    width = bits if small else _BITS
     a, b = num[:-1], num[1:]
     pair = np.flatnonzero((a > 0) | (b > 0))
     one = np.flatnonzero(num > 0)
-    three = np.flatnonzero((num[1:-1] > 0)) if len(num) > 2 else np.zeros(0, np.int64)
-    codes = np.concatenate((num[one], (1 << 30) | (a[pair] << _BITS) | b[pair], (2 << 30) | (num[three] << 2 * _BITS) | (num[three + 1] << _BITS) | num[three + 2]))
-    return codes, np.concatenate((text[one], text[pair + (b[pair] > 0)], text[three + 1]))
-
-
-def _counts(codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, code, count) of each distinct pair, in that order."""
-    mixed = np.sort((text << 32) | codes)
-    first = np.flatnonzero(np.diff(mixed, prepend=-1) != 0)
-    return mixed[first] >> 32, mixed[first] & 0xFFFFFFFF, np.diff(np.append(first, len(mixed)))
+    three = np.flatnonzero(num[1:-1] > 0) if len(num) > 2 else np.zeros(0, np.int64)
+    blank = np.maximum(num, 1)
+    codes = np.concatenate((num[one], (blank[pair] << width) | blank[pair + 1], (blank[three] << 2 * width) | (blank[three + 1] << width) | blank[three + 2]))
+    who = np.concatenate((text[one], text[pair + (b[pair] > 0)], text[three + 1]))
+    if small:
+        mixed = np.sort((who << 3 * bits) | codes)
+        first = np.flatnonzero(np.diff(mixed, prepend=-1) != 0)
+        low, mask = mixed[first] & ((1 << 3 * bits) - 1), (1 << bits) - 1
+        code = (alphabet[low >> 2 * bits] << 2 * _BITS) | (alphabet[(low >> bits) & mask] << _BITS) | alphabet[low & mask]
+        return mixed[first] >> 3 * bits, code, np.diff(np.append(first, len(mixed)))
+    order = np.lexsort((codes, who))
+    codes, who = codes[order], who[order]
+    first = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(who, prepend=-1) != 0))
+    return who[first], codes[first], np.diff(np.append(first, len(codes)))
 
 
 def ngram_counts(docs: DataFrame, lang_col="lang", text_col="text") -> DataFrame:
@@ -80,10 +101,9 @@ def ngram_counts(docs: DataFrame, lang_col="lang", text_col="text") -> DataFrame
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), object)
             for first, offsets, data in slices(b.column(1)):
-                codes, text = ngrams(data, offsets)
                 mine = langs[first : first + len(offsets) - 1]
                 names, index = np.unique(mine.astype(str), return_inverse=True)
-                which, code, n = _counts(codes, index[text])
+                which, code, n = count_ngrams(data, offsets, index)
                 for i, name in enumerate(names):
                     a, z = np.searchsorted(which, [i, i + 1])
                     had = sums.get(name)
@@ -128,8 +148,7 @@ class Ranks:
 
 def top_ngrams(data: np.ndarray, offsets: np.ndarray, own: int = OWN) -> list[np.ndarray]:
     """For each text its most frequent n-grams, ties by code."""
-    codes, text = ngrams(data, offsets)
-    t, c, n = _counts(codes, text)
+    t, c, n = count_ngrams(data, offsets)
     order = np.lexsort((c, -n, t))
     c = c[order]
     bounds = np.searchsorted(t, np.arange(len(offsets)))
