@@ -3,13 +3,15 @@
 Trusted good documents are the positives; the whole corpus is the unlabelled side, which holds
 good and bad ones alike. A logistic model of text statistics minimises the non-negative unbiased
 risk for the share of good documents (the class prior), which is estimated from how the scores of
-both sides lie. No document is ever taken as a known negative.
+both sides lie. No document is ever taken as a known negative. The risk is minimised by Newton
+steps; each takes its sums from every document in one distributed pass, at any size of the corpus.
 """
 
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from seriesloom.functions.staging import staged
 from seriesloom.llm.tokens import words
 
-#: Positives that the model is fitted on at most, those whose ids come first in a seeded order; and about the most cells into which the unlabelled side is summed up.
-FIT_ROWS = 20_000
+#: Newton steps at most, the step below which a model has settled, and the pull of the weights towards 0.
+STEPS, SETTLED, DECAY = 30, 1e-4, 1e-4
 #: A document counts as good from this score on.
 THRESHOLD = 0.3
 #: Bins of the score by which the prior is estimated, and the least part of the positives that a bound may rest on.
@@ -103,28 +105,68 @@ def text_features(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
     return rows.mapInArrow(run, "id long, features array<float>")
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, counts: np.ndarray, prior: float | None, rounds: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights, the constant last, over features as `expand` gives them; each unlabelled row stands for `counts` documents.
+class Side(NamedTuple):
+    """Sums over the rows of a side, each taken as a negative."""
+
+    n: float
+    loss: float
+    score: float
+    gradient: np.ndarray
+    curvature: np.ndarray
+
+
+def sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The numbers of a Side for rows of features as `expand` gives them, in a row."""
+    g = np.clip(x @ w, -30, 30)
+    p = 1 / (1 + np.exp(-g))
+    return np.concatenate(([len(x), np.logaddexp(0, g).sum(), g.sum()], x.T @ p, ((x.T * (p * (1 - p))) @ x).ravel()))
+
+
+def _side(flat: np.ndarray, k: int) -> Side:
+    return Side(*flat[:3], flat[3 : 3 + k], flat[3 + k :].reshape(k, k))
+
+
+def fit(measure: Callable[[np.ndarray], tuple[Side, Side]], start: np.ndarray, prior: float | None) -> np.ndarray:
+    """Weights, the constant last, that minimise a risk of the positives and the unlabelled, which `measure` sums up for given weights.
 
     With a prior: the non-negative risk, prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]),
-    l the logistic loss; where the second part falls below 0 its gradient is reversed. Without:
-    positives against unlabelled, each side with the same weight.
+    l the logistic loss. Without: positives against unlabelled, each side with the same weight. As
+    l(g) - l(-g) = -g, both are convex while the part under max stays positive. A step that raises the
+    risk is halved; one that would turn that part negative is halved and is the last, so that
+    fitting ends where the positives begin to be learned by heart.
     """
-    w, m, v = (np.zeros(positive.shape[1]) for _ in range(3))
-    part = lambda x, w: 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    counts = counts / counts.sum()
-    for t in range(1, rounds + 1):
-        p, u = part(positive, w), part(unlabelled, w)
-        up, uu = positive.T @ p / len(p), unlabelled.T @ (u * counts)  # gradients of the loss as negatives
-        as_good = -(positive.T @ (1 - p)) / len(p)
+    k = len(start)
+    pull = DECAY * np.append(np.ones(k - 1), 0)
+
+    def risk(w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        p, u = measure(w)
+        own = p.loss - p.score  # the loss of positives as positives
+        part = p.gradient / p.n
+        mean = (p.gradient - p_sum) / p.n  # its gradient
         if prior is None:
-            g = as_good + uu
+            value, negatives = own / p.n + u.loss / u.n, 0.0
+            g, h = mean + u.gradient / u.n, p.curvature / p.n + u.curvature / u.n
         else:
-            risk = -np.log(1 - u + 1e-12) @ counts - prior * np.mean(-np.log(1 - p + 1e-12))
-            g = prior * as_good + (uu - prior * up) if risk >= 0 else -(uu - prior * up)
-        g = g + decay * np.append(w[:-1], 0)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            negatives = u.loss / u.n - prior * p.loss / p.n
+            value = prior * own / p.n + negatives
+            g, h = prior * (mean - part) + u.gradient / u.n, u.curvature / u.n
+        return value + (pull * w * w).sum() / 2, negatives, g + pull * w, h + np.diag(pull)
+
+    p_sum = 2 * measure(np.zeros(k))[0].gradient  # at weights 0 every row counts by a half
+    w = start
+    value, negatives, g, h = risk(w)
+    for _ in range(STEPS):
+        step = -np.linalg.solve(h + 1e-9 * np.eye(k), g)
+        step *= min(1.0, 20 / np.abs(step).max())
+        border = False
+        while (found := risk(w + step))[0] > value + 1e-12 or found[1] < min(0.0, negatives):
+            border = border or found[1] < min(0.0, negatives)
+            step = step / 2
+            if np.abs(step).max() < SETTLED:
+                return w
+        w, (value, negatives, g, h) = w + step, found
+        if border or np.abs(step).max() < SETTLED:
+            break
     return w
 
 
@@ -150,18 +192,22 @@ def fold(ident: Column, k: int) -> Column:
     return F.crc32(ident.cast("string").cast("binary")) % k
 
 
-def _cells(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All rows, summed up: the mean features and the count of each cell of a grid of at most about FIT_ROWS cells.
+def _measure(rows: DataFrame, w: np.ndarray) -> tuple[Side, Side]:
+    """(positives, unlabelled): sums over all of `rows` (features, trusted), of which each task sends one row a side to be added up in Spark."""
+    k = len(w)
 
-    The grid is the finest of a few that stays within that number, by an approximate count over all rows.
-    """
-    grids = [64, 32, 16, 8, 4, 2, 1]
-    cell = lambda k: F.xxhash64(F.transform("features", lambda x: F.floor(x * k)))
-    seen = rows.agg(*(F.approx_count_distinct(cell(k), 0.02).alias(f"g{k}") for k in grids)).first()
-    grid = next((k for k in grids if seen[f"g{k}"] <= FIT_ROWS), 0)
-    sums = rows.groupBy(cell(grid).alias("cell")).agg(F.count("*").alias("n"), *(F.avg(F.element_at("features", i + 1)).alias(f"f{i}") for i in range(len(FEATURES))))
-    got = sums.drop("cell").toArrow()
-    return np.stack([got.column(f"f{i}").to_numpy() for i in range(len(FEATURES))], axis=1), got.column("n").to_numpy().astype(float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 3 + k + k * k))
+        for b in batches:
+            x = expand(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)))
+            total += sums(x[b.column(1).to_numpy(zero_copy_only=False)], w), sums(x, w)
+        yield pa.record_batch([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["at", "value"])
+
+    got = rows.select("features", "trusted").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    flat = np.zeros(2 * (3 + k + k * k))  # as many numbers as rows come back
+    flat[got.column("at").to_numpy()] = got.column("value").to_numpy()
+    p, u = flat.reshape(2, -1)
+    return _side(p, k), _side(u, k)
 
 
 def _histogram(rows: DataFrame, w: np.ndarray) -> np.ndarray:
@@ -183,23 +229,22 @@ def estimate_prior(good: np.ndarray, all_: np.ndarray) -> float:
     return float(np.clip((u[ok] / p[ok]).min(), 0.05, 0.99)) if ok.any() else 0.5
 
 
-def train(rows: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality", seed: int = 3) -> np.ndarray:
+def train(rows: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality") -> np.ndarray:
     """Weights from `rows` (id, features) and the positives of `labels`.
 
-    An id with conflicting labels isn't a trusted positive. Of the positives at most FIT_ROWS are
-    fitted on; the unlabelled side and both histograms of the prior cover all rows. Without
-    positives all weights are 0 and every score is 0.5.
+    An id with conflicting labels isn't a trusted positive. All positives and all rows are fitted
+    on; a table that repeats all its rows gives the same weights. They are rounded to 6 places, so
+    that the order of sums doesn't show. Without positives all weights are 0 and every score is 0.5.
     """
-    trusted = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label")).where("label = 1").select("id")
-    known = staged(rows.join(trusted, "id", "left_semi"), "known")
-    bounded = known.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(FIT_ROWS).select("features").toArrow().column("features")
-    if not len(bounded):
-        return np.zeros(2 * len(FEATURES) + 1)
-    positive = expand(bounded.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)))
-    cells, counts = _cells(rows)
-    unlabelled = expand(cells)
-    first = fit(positive, unlabelled, counts, None, rounds=600)
-    return fit(positive, unlabelled, counts, estimate_prior(_histogram(known, first), _histogram(rows, first)))
+    trusted = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label")).where("label = 1").select("id", F.lit(True).alias("trusted"))
+    rows = staged(rows.join(trusted, "id", "left").select("features", F.coalesce("trusted", F.lit(False)).alias("trusted")), "marked")
+    measure = lambda w: _measure(rows, w)
+    zero = np.zeros(2 * len(FEATURES) + 1)
+    if not measure(zero)[0].n:
+        return zero
+    first = np.round(fit(measure, zero, None), 6)
+    prior = estimate_prior(_histogram(rows.where("trusted"), first), _histogram(rows, first))
+    return np.round(fit(measure, zero, prior), 6)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", folds: int = 5) -> DataFrame:
