@@ -142,11 +142,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     records; a chain that breaks off ends there. A record whose bytes end early keeps what there is.
     """
     found = staged(reachable(candidates(spark, path)), "candidates")
-    # pieces inside payloads, with the record that holds each; few, unless payloads are archives themselves
-    holders = found.where("real and next > until").select("file", F.col("start").alias("record"), F.col("next").alias("end"))
-    within = found.where("not real").alias("p").join(holders.alias("h"), (F.col("p.file") == F.col("h.file")) & (F.col("p.start") > F.col("h.record")) & (F.col("p.start") < F.col("h.end")))
-    within = within.select("p.file", "p.block", "p.row", "p.start", "h.record")
-    split = staged(within.union(found.where("real and next > until").select("file", "block", "row", "start", F.col("start").alias("record"))), "within")
+    # pieces inside payloads, with the record that holds each: the last one before that goes beyond its own piece
+    holds = F.col("real") & (F.col("next") > F.col("until"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = found.where(~F.col("real") | holds).withColumn("holder", F.last(F.when(holds, F.struct(F.col("start").alias("record"), F.col("next").alias("end"))), ignorenulls=True).over(before))
+    split = staged(held.where("start < holder.end").select("file", "block", "row", "start", "holder.record"), "within")
     other = found.where("not real or next is null").select("file", "block", "row").union(split.where("start = record").select("file", "block", "row"))
     # rows of a block are numbered as in `candidates`: the order of a task's rows is that of the file
     base = _pieces(spark, path)
@@ -176,14 +176,16 @@ def op2_warc_boundary_chain(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     number = lambda name: F.regexp_extract(header(F.col("head"), name), r"<urn:page:(-?[0-9]+)>", 1).try_cast("long")
-    read = read_archives(spark, path).select(number("WARC-Record-ID").alias("page_id"), header(F.col("head"), "WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest"))
+    named = F.regexp_extract(header(F.col("head"), "WARC-Payload-Digest"), "^sha1:([0-9a-f]{40})$", 1)
+    read = read_archives(spark, path).select(number("WARC-Record-ID").alias("page_id"), header(F.col("head"), "WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), named.alias("named"), F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest"))
     read = staged(read, "records")
-    # one payload may be that of very many revisits, but the payloads referred to are few beside the records
-    asked = read.where("refers_to is not null").select(F.col("refers_to").alias("keeper")).distinct()
-    kept = read.where("record_type = 'response'").join(asked, F.col("page_id") == F.col("keeper")).groupBy("keeper").agg(F.max(F.struct("bytes", "digest")).alias("full"))
-    kept = beside(kept, "referred")
-    full = read.join(kept, read.refers_to == kept.keeper, "left")
-    return full.select("page_id", F.coalesce("full.bytes", "bytes").alias("payload_bytes"), F.coalesce("full.digest", "digest").alias("payload_digest"), "record_type", "refers_to")
+    # one payload may be that of very many revisits, but the payloads referred to are few beside the records;
+    # rows may repeat an id, so a payload is that of an id and a digest
+    asked = read.where("refers_to is not null").select(F.col("refers_to").alias("keeper"), "named").distinct()
+    responses = read.where("record_type = 'response'").select(F.col("page_id").alias("keeper"), F.col("digest").alias("named"), F.col("bytes").alias("full_bytes"))
+    kept = beside(responses.join(asked, ["keeper", "named"]).groupBy("keeper", "named").agg(F.max("full_bytes").alias("full_bytes")), "referred")
+    full = read.join(kept.withColumnRenamed("named", "full_digest"), (F.col("refers_to") == F.col("keeper")) & (F.col("named") == F.col("full_digest")), "left")
+    return full.select("page_id", F.coalesce("full_bytes", "bytes").alias("payload_bytes"), F.coalesce("full_digest", "digest").alias("payload_digest"), "record_type", "refers_to")
 
 
 OP2_SQL = """

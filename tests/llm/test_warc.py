@@ -52,3 +52,25 @@ def test_a_file_that_starts_with_something_else_has_no_records(spark):
     path = new_path(spark, "test")
     spark.createDataFrame([("junk " + FAKE,)], "value string").coalesce(1).write.text(path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_repeated_ids_keep_their_own_payloads(spark, tmp_path):
+    rows = [(5, "u", "A" * 2000), (5, "u", "B" * 3000), (3, "u", "A" * 2000), (2, "u", "B" * 3000), (5, "u", "A" * 2000), (None, "u", "C" * 1200), (None, "u", "C" * 1200)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op2_warc_boundary_chain(spark, str(tmp_path)).collect())
+    keeper = {"A": 5, "B": 5, "C": None}
+    want = sorted((i or 0, len(h), hashlib.sha1(h.encode()).hexdigest(), "response" if i == keeper[h[0]] else "revisit", None if i == keeper[h[0]] else keeper[h[0]]) for i, _, h in rows)
+    assert got == want
+
+
+def test_no_pages_give_no_records(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string, extra int").write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc.op2_warc_boundary_chain(spark, str(tmp_path)).count() == 0
+
+
+def test_archives_inside_payloads_come_back_whole(spark, small_splits):
+    rows = [(i, f"u{i}", FAKE * (i % 40) + f"tail {i}") for i in range(120)]
+    path = new_path(spark, "test")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(3), path, records=17)
+    got = warc.read_archives(spark, path).collect()
+    assert sorted(bytes(r.payload) for r in got if "revisit" not in r.head) == sorted(r[2].encode() for r in rows)
