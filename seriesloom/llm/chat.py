@@ -150,15 +150,46 @@ def parsed(text: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(_unescape_role(head(p)).alias("role"), unescape(body(p)).alias("text")))
 
 
-def gather_turns(rows: DataFrame, id_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
-    """(id_col, record): each conversation as a JSON record of layout `turns`.
+def _first_char_is_plain(text: Column) -> Column:
+    return (text != "") & ~F.startswith(text, F.lit("{")) & ~F.startswith(text, F.lit("["))
+
+
+def fits(layout: Layout, turns: Column) -> Column:
+    """Whether records of `layout` can hold these turns so that they come back as they are.
+
+    Single turns need the layout's roles, and texts that aren't empty and don't begin like JSON
+    (their own fields would count as the record's); renamed roles must not be in use already.
+    """
+    ok = F.size(turns) > len(layout.parts) if layout.items else F.size(turns) == len(layout.parts)
+    for i, (role, _) in enumerate(layout.parts):
+        turn = F.get(turns, F.lit(i))
+        ok = ok & (turn["role"] == role) & _first_char_is_plain(turn["text"])
+    return ok & ~F.exists(turns, lambda t: F.lower(t["role"]).isin(*ROLES)) if layout.rename else ok
+
+
+def rendered(layout: Layout, turns: Column) -> Column:
+    """The JSON record of `layout` that holds these turns."""
+    name = {v: k for k, v in reversed(ROLES.items())} if layout.rename else {}
+    role_of = lambda r: F.coalesce(*(F.when(r == v, F.lit(k)) for v, k in name.items()), r)
+    fields = [F.get(turns, F.lit(i))["text"].alias(field) for i, (_, field) in enumerate(layout.parts)]
+    if layout.items:
+        rest = F.slice(turns, len(layout.parts) + 1, F.size(turns)) if layout.parts else turns
+        fields.append(F.transform(rest, lambda t: F.struct(role_of(t["role"]).alias(layout.role), t["text"].alias(layout.text))).alias(layout.items))
+    return F.to_json(F.struct(*fields))
+
+
+def gather_turns(rows: DataFrame, id_col="conv_id", turn_col="turn", role_col="role", text_col="text", layouts: tuple[str, ...] = ("turns",)) -> DataFrame:
+    """(id_col, record): each conversation as a JSON record of one of `layouts`, dealt by the id's hash among those that fit its turns.
 
     Turns are ordered by number, then role and text, null first; null roles and texts are empty. A
-    null id is one conversation. A conversation is one row, as its format is: its turns meet in one task.
+    null id is one conversation. A conversation is one row, as its format is: its turns meet in one
+    task. Where no layout fits, the record is null.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     whole = rows.groupBy(F.col(id_col).alias(id_col)).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return whole.select(id_col, F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))).alias("record"))
+    choice = F.array_compact(F.array(*(F.when(fits(LAYOUTS[n], F.col("turns")), F.lit(n)) for n in layouts)))
+    dealt = whole.withColumn("choice", choice).withColumn("dealt", F.get("choice", F.pmod(F.xxhash64(id_col), F.greatest(F.size("choice"), F.lit(1)))))
+    return dealt.select(id_col, F.coalesce(*(F.when(F.col("dealt") == n, rendered(LAYOUTS[n], F.col("turns"))) for n in layouts)).alias("record"))
 
 
 def probe(spark: SparkSession) -> DataFrame:
@@ -185,7 +216,7 @@ def format_digests(done: DataFrame, id_col="conv_id") -> DataFrame:
 
 def op6_schema_fingerprint_chat(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return format_digests(formatted(canonical_turns(gather_turns(rows.unionByName(probe(spark))))))
+    return format_digests(formatted(canonical_turns(gather_turns(rows.unionByName(probe(spark)), layouts=tuple(LAYOUTS)))))
 
 
 OP6_SQL = """

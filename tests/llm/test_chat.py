@@ -42,3 +42,23 @@ def test_edge_cases(spark):
     got = {r.conv_id: r for r in chat.format_digests(chat.formatted(chat.canonical_turns(chat.gather_turns(conv)))).collect()}
     assert got[1].n_turns == 3 and got[1].loss_chars == 0 and got[None].loss_chars == 1 and got[2].n_turns == 1
     assert chat.gather_turns(conv.limit(0)).count() == 0
+
+
+def test_conversations_come_in_all_layouts_and_leave_in_one(spark):
+    rows, want = [], {}
+    shapes = [["user", "assistant"], ["user", "user", "assistant"], ["system", "user", "assistant"], ["system", "user"], ["user"], ["Human", "gpt"]]
+    for i in range(600):
+        roles = shapes[i % len(shapes)]
+        texts = [["hi", "", '{"a": 1}', "[INST]", '[{"b": 2}]', "a\nb"][(i // 6 + k) % 6 if i % 5 == 0 else 5 * (i % 2)] for k in range(len(roles))]
+        rows += [(i, k, r, t) for k, (r, t) in enumerate(zip(roles, texts, strict=True))]
+        want[i] = list(zip(roles, texts, strict=True))
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.canonical_turns(chat.gather_turns(conv, layouts=tuple(chat.LAYOUTS))).collect()
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in got} == want
+    assert {r.layout for r in got} == set(chat.LAYOUTS)
+
+
+def test_the_query_meets_several_layouts(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    got = chat.canonical_turns(chat.gather_turns(rows, layouts=tuple(chat.LAYOUTS))).collect()
+    assert len({r.layout for r in got}) >= 5 and None not in {r.layout for r in got}
