@@ -39,8 +39,8 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,5}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}])(?:{_TITLES})(?![\p{{L}}\p{{N}}])\.? {_MORE}{_WORD}(?: {_WORD}){{0,2}}",
 }
-#: Times that clashing surrogates are derived anew before it is an error; each clears nearly all of those left.
-ROUNDS = 100
+#: Attempts after which a surrogate gets one more digit or letter, and again after as many: a format whose values are nearly all taken has no room.
+WIDEN = 4
 #: A word of a name.
 PART = r"(?<![\p{L}\p{M}'’])(?:\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]+)+|\p{L}[\p{L}\p{M}]+)"
 #: Any mention but names; none begins within an ASCII word, which spares most places the patterns.
@@ -116,25 +116,63 @@ def _like(pattern: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.split(pattern, ""), drawn), "")
 
 
+def luhn(digits: Column) -> Column:
+    """The sum by which cards are checked: a multiple of 10 where the number is valid."""
+    n = F.char_length(digits)
+    twice = lambda d, i: F.when((n - i) % 2 == 0, F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)).otherwise(d)
+    return F.aggregate(F.transform(F.split(digits, ""), lambda c, i: twice(c.cast("int"), i)), F.lit(0), lambda a, x: a + x)
+
+
+def mod97(iban: Column) -> Column:
+    """The remainder by which IBANs are checked: 1 where the number is valid."""
+    moved = F.concat(F.substring(iban, F.lit(5), F.char_length(iban)), F.substring(iban, 1, 4))
+    value = lambda c: F.conv(c, 36, 10).cast("int")
+    return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+
+
+def _valid_card(entity: Column, made: Column) -> Column:
+    """`made`, with its last digit such that it is valid where `entity` is."""
+    body = F.substring(made, F.lit(1), F.char_length(made) - 1)
+    return F.when(luhn(entity) % 10 == 0, F.concat(body, ((10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))).otherwise(made)
+
+
+def _valid_iban(entity: Column, made: Column) -> Column:
+    """`made`, with check digits such that it is valid where `entity` is."""
+    rest = F.substring(made, F.lit(5), F.char_length(made))
+    check = 98 - mod97(F.concat(F.substring(made, 1, 2), F.lit("00"), rest))
+    return F.when(mod97(entity) == 1, F.concat(F.substring(made, 1, 2), F.lpad(check.cast("string"), 2, "0"), rest)).otherwise(made)
+
+
 def surrogate_of(kind: Column, entity: Column, gender: Column, attempt: Column, key: str) -> Column:
     """The surrogate of an entity, in the form that `entity_of` gives.
 
     IP addresses come from the reserved block 240.0.0.0/4, email domains from example.org; phone
-    numbers keep their first digit, IBANs their country; hex stays hex.
+    numbers and cards keep their first digit, IBANs their country; hex stays hex. Cards and IBANs
+    with right check digits get such; social security numbers are in the ranges that are given out.
+    Later attempts are longer: digits and letters more, an IP address of version 6 from 2001:db8::/32.
     """
     d = _nibbles(kind, entity, attempt, key)
     byte = lambda i: F.conv(F.substring(d, 2 * i + 1, 2), 16, 10).cast("int")
+    wide = F.floor(attempt / WIDEN).cast("int")
     ip = F.concat_ws(".", *((x).cast("string") for x in (byte(0) % 15 + 240, byte(1), byte(2), byte(3))))
-    email = F.concat(_like(F.substring_index(entity, "@", 1), d), F.lit("@"), F.translate(F.substring(d, 200, 8), "0123456789", "ghijklmnop"), F.lit(".example.org"))
-    hexed = F.substring(F.repeat(d, 4), F.lit(1), F.char_length(entity))
-    secret = F.when(F.rlike(entity, F.lit("^[0-9a-f]+$")), hexed).otherwise(_like(entity, d))
+    ip = F.when(wide > 0, F.concat(F.lit("2001:db8:"), F.concat_ws(":", *(F.substring(d, 4 * i + 1, 4) for i in range(6))))).otherwise(ip)
+    email = F.concat(_like(F.substring_index(entity, "@", 1), d), F.lit("@"), F.translate(F.substring(d, F.lit(200), wide + 8), "0123456789", "ghijklmnop"), F.lit(".example.org"))
+    hexed = F.substring(F.repeat(d, 4), F.lit(1), F.char_length(entity) + wide)
+    longer = lambda x: F.concat(x, F.repeat(F.lit("0"), wide))
+    secret = F.when(F.rlike(entity, F.lit("^[0-9a-f]+$")), hexed).otherwise(_like(longer(entity), d))
+    number = _like(longer(entity), d)
+    kept = F.concat(F.substring(entity, 1, 1), _like(longer(F.substring(entity, F.lit(2), F.char_length(entity))), d))
+    part = lambda at, n, top: (F.conv(F.substring(d, at, n), 16, 10).cast("long") % top + 1).cast("string")
+    area = F.conv(F.substring(d, 1, 6), 16, 10).cast("long") % 898 + 1  # 1 to 899 but for 666
+    ssn = F.concat(F.lpad((area + (area >= 666).cast("long")).cast("string"), 3, "0"), F.lpad(part(7, 4, 99), 2, "0"), F.lpad(part(11, 8, 9999), 4, "0"))
+    iban = F.concat(F.substring(entity, 1, 2), _like(longer(F.substring(entity, F.lit(3), F.char_length(entity))), d))
 
     def word(script: str, i: Column, last: Column) -> Column:
         syllables, ends = SYLLABLES[script]
         pick = lambda values, at: F.element_at(F.array(*(F.lit(v) for v in values)), F.conv(F.substring(d, at % 256 + 1, F.lit(1)), 16, 10).cast("int") % len(values) + 1)
-        end = F.coalesce(*(F.when(gender == g, pick(e, i * 8 + 7)) for g, e in ends.items()))
-        more = (F.when(attempt >= 2 * (k - 3), pick(syllables, i * 8 + k)).otherwise("") for k in range(4, 7))  # longer where short ones are taken
-        return F.concat(*(pick(syllables, i * 8 + k) for k in range(4)), *more, F.when(last, F.lit("")).otherwise(end))
+        end = F.coalesce(*(F.when(gender == g, pick(e, i * 16 + 15)) for g, e in ends.items()))
+        more = (F.when(attempt >= 2 * (k - 3), pick(syllables, i * 16 + k)).otherwise("") for k in range(4, 15))  # longer where short ones are taken
+        return F.concat(*(pick(syllables, i * 16 + k) for k in range(4)), *more, F.when(last, F.lit("")).otherwise(end))
 
     size = F.size(F.split(entity, " "))
     names = {s: F.array_join(F.transform(F.sequence(F.lit(0), size - 1), _word_at(word, s, size)), " ") for s in SYLLABLES}
@@ -144,10 +182,12 @@ def surrogate_of(kind: Column, entity: Column, gender: Column, attempt: Column,
         .when(kind == "ip", ip)
         .when(kind == "name", name)
         .when(kind == "secret", secret)
-        .when(kind == "mac", F.upper(F.concat(F.lit("02"), F.substring(d, 1, 10))))
-        .when(kind == "iban", F.concat(F.substring(entity, 1, 2), _like(F.substring(entity, F.lit(3), F.char_length(entity)), d)))
-        .when(kind == "phone", F.concat(F.substring(entity, 1, 1), _like(F.substring(entity, F.lit(2), F.char_length(entity)), d)))
-        .otherwise(_like(entity, d))
+        .when(kind == "mac", F.upper(F.concat(F.lit("02"), F.substring(d, F.lit(1), 10 + 2 * wide))))
+        .when(kind == "iban", _valid_iban(entity, iban))
+        .when(kind == "phone", kept)
+        .when(kind == "card", _valid_card(entity, kept))
+        .when((kind == "ssn") & (wide == 0) & (F.char_length(entity) == 9), ssn)
+        .otherwise(number)
     )
 
 
@@ -156,10 +196,11 @@ def _word_at(word, script: str, size: Column):
 
 
 def dressed(kind: Column, mention: Column, surrogate: Column) -> Column:
-    """`surrogate` in the format of `mention`: its separators, its capitals, a name's title."""
+    """`surrogate` in the format of `mention`: its separators, its capitals, a name's title. What a longer surrogate has more stands at the end."""
     begin = F.struct(F.lit("").alias("done"), F.lit(1).alias("at"))
     step = lambda a, c: F.when(F.rlike(c, F.lit("[0-9A-Za-z]")), F.struct(F.concat(a["done"], F.substring(surrogate, a["at"], F.lit(1))).alias("done"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["done"], c).alias("done"), a["at"].alias("at")))
-    digits = F.when(F.rlike(mention, F.lit("^[0-9]+$")), surrogate).otherwise(F.aggregate(F.split(mention, ""), begin, step)["done"])
+    put = lambda a: F.concat(a["done"], F.substring(surrogate, a["at"], F.char_length(surrogate)))
+    digits = F.when(F.rlike(mention, F.lit("^[0-9]+$")), surrogate).otherwise(F.aggregate(F.split(mention, ""), begin, step, put))
     mac = F.when(mention == F.lower(mention), F.lower(digits)).otherwise(digits)
     title = F.regexp_extract(mention, rf"^((?:{_TITLES})\.? )", 1)
     rest = F.substring(mention, F.char_length(title) + 1, F.char_length(mention))
@@ -171,11 +212,12 @@ def dressed(kind: Column, mention: Column, surrogate: Column) -> Column:
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, entity, surrogate) for distinct `entities` (kind, entity, gender), surrogates distinct and none an entity.
 
-    Each round derives those anew that aren't the first of their surrogate by entity, or whose surrogate is an entity.
+    Each round derives those anew that aren't the first of their surrogate by entity, or whose
+    surrogate is an entity. Surrogates of later rounds are longer, so that rounds end however dense a format is.
     """
     now = staged(entities.withColumn("attempt", F.lit(0)), "entities")
     columns = [F.col(c) for c in ("kind", "entity", "gender", "attempt")]
-    for _ in range(ROUNDS):
+    while True:
         named = staged(now.withColumn("surrogate", surrogate_of(*columns, key)), "surrogates")
         first = named.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", "first")
         real = named.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
@@ -187,15 +229,15 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         if after.where("clash").limit(1).count() == 0:
             return after.select("kind", "entity", "surrogate")
         now = after.select("kind", "entity", "gender", "attempt")
-    raise ValueError("too many entities for the surrogates that their format allows")
 
 
 def surrogates(docs: DataFrame, id_col="doc_id", text_col="text", key: str = "surrogates") -> DataFrame:
     """(id_col, text_col, n_mentions, kinds): every row of `docs`, with surrogates in place of personal data.
 
-    One entity has one surrogate in all documents, and no two entities share one. Each word of a titled
+    One entity has one surrogate in all documents, and no two entities share one. A surrogate is as long as
+    its entity unless nearly all values of that form are taken; then it gets longer. Each word of a titled
     name is an entity, also where its text repeats it without the title; adjacent ones count as one mention. Of a word with
-    several titles the first gender by name order counts. `kinds` lists the types found. Null texts stay
+    titles of both genders the more frequent one counts, at a tie the female. `kinds` lists the types found. Null texts stay
     null with no mentions; rows that repeat keep their number; other columns are not returned. Only
     texts with mentions are shuffled. The key should be secret: who knows it can test guesses.
     """
@@ -204,7 +246,7 @@ def surrogates(docs: DataFrame, id_col="doc_id", text_col="text", key: str = "su
     none = lambda df, text: df.select("id", text.alias("text"), F.lit(0).alias("n_mentions"), F.array().cast("array<string>").alias("kinds"))
     known = F.transform("names", lambda n: n["word"])
     seen = rows.where(hint).withColumn("names", name_words(F.col("text"))).withColumn("pattern", mention_pattern(known))
-    seen = seen.select("id", F.xxhash64("id", "text", F.lit(1)).alias("row"), "names", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("mentions"), F.split("text", F.col("pattern"), -1).alias("between"))
+    seen = seen.select("id", F.struct(F.xxhash64("id", "text", F.lit(1)).alias("a"), F.xxhash64(F.lit(2), "text", "id").alias("b")).alias("row"), "names", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("mentions"), F.split("text", F.col("pattern"), -1).alias("between"))
     seen = staged(seen, "mentions")
     some, plain = seen.where(F.size("mentions") > 0), seen.where(F.size("mentions") == 0)
     each = some.select("row", "names", F.posexplode("mentions").alias("at", "mention"))
@@ -213,7 +255,9 @@ def surrogates(docs: DataFrame, id_col="doc_id", text_col="text", key: str = "su
     gender = F.array_min(F.transform(F.filter("names", lambda n: n["word"] == word), lambda n: n["gender"]))
     each = each.select("row", "at", "mention", "kind", F.coalesce(gender, F.lit("unknown")).alias("gender")).distinct()
     each = staged(each.withColumn("entity", entity_of(F.col("kind"), F.col("mention"))), "each")
-    map_ = assign(each.groupBy("kind", "entity").agg(F.min("gender").alias("gender")), key)
+    shown = lambda g: F.count(F.when(F.col("gender") == g, 1))
+    most = F.when(shown("male") > shown("female"), "male").when(shown("female") > 0, "female").otherwise("unknown")
+    map_ = assign(each.groupBy("kind", "entity").agg(most.alias("gender")), key)
     worn = each.join(map_, ["kind", "entity"]).select("row", F.struct("at", dressed(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"), "kind").alias("m"))
     worn = worn.groupBy("row").agg(F.array_sort(F.collect_list("m")).alias("worn"))
     put = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice("between", 1, F.size("worn")).alias("b"), F.col("worn").alias("w")), lambda x: F.concat(x["b"], x["w"]["new"])), ""), F.element_at("between", -1))

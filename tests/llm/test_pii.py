@@ -73,3 +73,39 @@ def test_tokens_of_letters_alone_are_found(spark):
     texts = ["key sk-" + "abcdefghij" * 3, "xoxb-abcdefghijklmno", "ghp_" + "abcdef" * 6, "AKIA" + "ABCDEFGH" * 2, "abcdef" * 6]
     got = run(spark, texts)
     assert [got[i].kinds for i in range(5)] == [["secret"]] * 5 and not any(got[i].text == t for i, t in enumerate(texts))
+
+
+def luhn(number):
+    digits = [int(c) for c in reversed(number)]
+    return sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])
+
+
+def test_check_digits_stay_right(spark):
+    cards, ibans = ["4111-1111-1111-1111", "5500 0000 0000 0004", "340000000000009", "4111-1111-1111-1112"], ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"]
+    got = run(spark, [f"card {c} end" for c in cards] + [f"account {i} end" for i in ibans] + [f"number {100 + i}-{10 + i % 80}-{1000 + i} end" for i in range(300)])
+    for i, c in enumerate(cards):
+        new = got[i].text[5:-4]
+        assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", c) and new[0] == c[0] and new != c
+        assert luhn(re.sub("[^0-9]", "", new)) % 10 == 0 or i == 3
+    for i, c in enumerate(ibans, len(cards)):
+        new = got[i].text[8:-4]
+        plain = new.replace(" ", "")
+        assert new[:2] == c[:2] and len(new) == len(c) and new != c and int("".join(str(int(x, 36)) for x in plain[4:] + plain[:4])) % 97 == 1
+    numbers = [got[i].text[7:-4] for i in range(7, 307)]
+    assert len(set(numbers)) == 300
+    for n in numbers:
+        area, group, serial = map(int, n.split("-"))
+        assert 0 < area < 900 and area != 666 and group and serial
+
+
+def test_a_format_without_room_gets_longer_surrogates(spark):
+    texts = [f"call +1 {i:03d} now" for i in range(1000)]
+    got = run(spark, texts)
+    new = [got[i].text[5:-4] for i in range(1000)]
+    assert len(set(new)) == 1000 and not set(new) & {t[5:-4] for t in texts} and all(re.fullmatch(r"\+1 \d{4,6}", n) for n in new)
+
+
+def test_the_more_frequent_title_shows_the_gender(spark):
+    got = run(spark, ["Mr. Alex Kim", "Mr. Alex Kim!", "Mrs. Alex Kim", "Mr. Alex Kim?"])
+    first = {got[i].text.split()[1] for i in range(4)}
+    assert len(first) == 1 and first.pop()[-1] in "nr"
