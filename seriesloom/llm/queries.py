@@ -31,6 +31,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_boundary_chain": warc.OP2_SQL,
         "op6_schema_fingerprint_chat": chat.OP6_SQL,
+        "op8_spaced_seed_decontamination": decontam.OP8_SQL,
         "op9_block_at_a_time_top_k": topk.OP9_SQL,
         "op10_capped_water_filling": mixing.OP10_SQL,
     }

@@ -1,8 +1,10 @@
+import itertools
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -37,8 +39,6 @@ def brute(docs, items):
         a = code(text)
         for i, item in items:
             b = code(item)
-            if len(b) < decontam.SPAN:
-                continue
             best = [s for k in range(-len(b), len(a)) if (s := decontam.stretch(a, b, k))]
             if best:
                 out[d, i] = max(x[0] for x in best)
@@ -75,3 +75,44 @@ def test_a_long_text_is_read_whole(spark):
     docs = spark.createDataFrame([(1, "x " * 300_000 + item)], "doc_id long, text string")
     got = decontam.overlaps(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).first()
     assert (got.matched, got.doc_from) == (20, 300_000)
+
+
+def meet(doc, item):
+    """Whether a document's words, blanks around them, and an item's have a window of one kind and alignment in common."""
+    kinds = decontam.kinds_of(len(item))
+    return any((a[1 : len(b) + 1] == b[: len(a) - 1]).any() for a, b in zip(decontam.seeds(np.insert(doc, [0, len(doc)], np.uint64(0)), kinds), decontam.seeds(item, kinds), strict=True))
+
+
+@pytest.mark.parametrize("length", range(1, 18))
+def test_every_accepted_replacement_is_found(length):
+    rng = np.random.default_rng(length)
+    item = rng.integers(1, 1 << 63, length).astype(np.uint64)
+    accepted = missed = 0
+    for k in range(5 if length <= 12 else 4):
+        for places in itertools.combinations(range(length), k):
+            doc = item.copy()
+            doc[list(places)] = rng.integers(1, 1 << 63, k).astype(np.uint64)
+            if decontam.stretch(doc, item, 0):
+                accepted += 1
+                missed += not meet(doc, item)
+    assert accepted and missed == 0
+
+
+def test_longer_items_with_a_fifth_replaced_are_found():
+    rng = np.random.default_rng(0)
+    accepted = missed = 0
+    for _ in range(20_000):
+        length = int(rng.integers(18, 60))
+        item = rng.integers(1, 1 << 63, length).astype(np.uint64)
+        doc = np.where(rng.random(length) < rng.uniform(0.1, 0.3), rng.integers(1, 1 << 63, length).astype(np.uint64), item)
+        if decontam.stretch(doc, item, 0):
+            accepted += 1
+            missed += not meet(doc, item)
+    assert accepted > 5000 and missed == 0
+
+
+def test_short_items_are_found_whole_and_passages_at_the_ends_of_a_text(spark):
+    bench = spark.createDataFrame([(1, "One"), (2, "two three"), (3, "a b c d e f g"), (4, "p q r s t u v w"), (5, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "q r s t u v w"), (2, "x. p q r s t u v"), (3, "p q r s t u v"), (4, "three two three; ONE"), (5, "a b c d e f"), (6, "z a b c d e f g"), (7, "q r s t u v"), (8, "two-three")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.matched, r.doc_from, r.doc_to) for r in decontam.overlaps(docs, bench).collect()}
+    assert got == {(1, 4, 7, 0, 7), (2, 4, 7, 1, 8), (3, 4, 7, 0, 7), (4, 2, 2, 1, 3), (4, 1, 1, 3, 4), (6, 3, 7, 1, 8), (8, 2, 2, 0, 2)}
