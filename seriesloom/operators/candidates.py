@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,28 +85,54 @@ def oracle(df: DataFrame, scope: list[str], truth: str, candidates: list[str]) -
     return df.join(best, scope).withColumns({"oracle_name": F.element_at(names, F.col("__at") + 1), "oracle": F.element_at(values, F.col("__at") + 1)}).drop("__at")
 
 
-def bounded_nudge(df: DataFrame, scores: dict[str, str], prior: dict[str, str], coef: float, weight: float, bound: float) -> DataFrame:
-    """`df` with `parent`, `nudge` and `policy`: the candidate of least score, moved a bounded part towards that of least score + coef * prior.
+def _required(ok: Column, message: str, value: Column) -> Column:
+    """`value` where `ok` holds; any other row ends the query with an error."""
+    return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))
 
-    `scores` and `prior` map a candidate's column to those of its predicted error and of its fold's RMSE.
+
+def bounded_nudge(df: DataFrame, scores: dict[str, str], prior: dict[str, str], coef: float = 1.0, weight: float = 0.5, bound: float = 0.25, domain: list[str] | None = None) -> DataFrame:
+    """`df` with `parent`, `parent_name`, `leaning_name`, `nudge` and `policy`: the candidate of least score, moved a bounded part towards that of least score + coef * prior.
+
+    `scores` and `prior` map a candidate's column to those of its predicted error and of its fold's
+    RMSE. Only candidates of `domain` are chosen (all, if it isn't given); the first in its order
+    wins ties. It must name known candidates, each once. A row with a candidate, score or RMSE that
+    is null or not finite, an RMSE not above 0, or a fold without RMSEs ends the query with an error.
     """
     names = list(scores)
-    _, parent = row_argmin([scores[c] for c in names], names)
-    rows = df.withColumns({f"__t_{c}": F.col(scores[c]) + coef * F.col(prior[c]) for c in names})
-    _, leaning = row_argmin([f"__t_{c}" for c in names], names)
-    rows = rows.withColumns({"parent": parent, "__leaning": leaning})
+    domain = names if domain is None else list(domain)
+    if not domain or len(domain) != len(set(domain)) or not set(domain) <= set(names) or set(prior) != set(names):
+        raise ValueError("the domain must name known candidates, each once, and every candidate needs a prior")
+    if not (math.isfinite(coef) and coef >= 0 and 0 <= weight <= 1 and math.isfinite(bound) and bound > 0):
+        raise ValueError("coef must be at least 0, weight from 0 to 1 and bound above 0")
+    ok = reduce(lambda a, b: a & b, [*(is_finite(F.col(c)) for c in (*names, *scores.values(), *prior.values())), *(F.col(c) > 0 for c in prior.values())])
+    at, parent = row_argmin([scores[c] for c in domain], domain)
+    rows = df.withColumns({f"__t_{c}": F.col(scores[c]) + coef * F.col(prior[c]) for c in domain})
+    to, leaning = row_argmin([f"__t_{c}" for c in domain], domain)
+    name = lambda i: F.element_at(F.array(*(F.lit(c) for c in domain)), i + 1)
+    rows = rows.withColumns({"parent": _required(ok, "a candidate, score or RMSE isn't a valid number", parent), "parent_name": name(at), "leaning_name": name(to), "__leaning": leaning})
     nudge = clip(weight * (F.col("__leaning") - F.col("parent")), -bound, bound)
-    return rows.withColumns({"nudge": nudge, "policy": F.col("parent") + nudge}).drop("__leaning", *(f"__t_{c}" for c in names))
+    return rows.withColumns({"nudge": nudge, "policy": F.col("parent") + nudge}).drop("__leaning", *(f"__t_{c}" for c in domain))
 
 
-def truth_from_errors(values: list[str], errors: list[str]) -> tuple[Column, Column]:
-    """(truth, residual): what the first candidate and its absolute error imply, of both signs the one that fits all others best."""
+def truth_from_errors(values: list[str], errors: list[str], tolerance: float | None = 1e-6) -> tuple[Column, Column]:
+    """(truth, residual): what the first candidate and its absolute error imply.
+
+    Of both signs the one with the least mean misfit over all candidates counts, at a tie the
+    upper one. `residual` is its largest misfit; above `tolerance` a row ends the query with an
+    error, as do values that aren't finite and errors below 0. None: such rows stay.
+    """
 
-    def misfit(t: Column) -> Column:
-        return F.greatest(*(F.abs(F.abs(F.col(v) - t) - F.col(e)) for v, e in zip(values, errors, strict=True)), F.lit(0.0))
+    def misfits(t: Column) -> list[Column]:
+        return [F.abs(F.abs(F.col(v) - t) - F.col(e)) for v, e in zip(values, errors, strict=True)]
 
     low, high = F.col(values[0]) - F.col(errors[0]), F.col(values[0]) + F.col(errors[0])
-    return F.when(misfit(low) <= misfit(high), low).otherwise(high), F.least(misfit(low), misfit(high))
+    upper = sum(misfits(high)[1:], misfits(high)[0]) <= sum(misfits(low)[1:], misfits(low)[0])
+    most = lambda t: F.greatest(*misfits(t), F.lit(0.0))
+    truth, residual = F.when(upper, high).otherwise(low), F.when(upper, most(high)).otherwise(most(low))
+    if tolerance is None:
+        return truth, residual
+    ok = reduce(lambda a, b: a & b, [*(is_finite(F.col(c)) for c in (*values, *errors)), *(F.col(e) >= 0 for e in errors), residual <= tolerance])
+    return _required(ok, "candidates and errors don't agree on a truth", truth), residual
 
 
 def rmse_certificate(df: DataFrame, key: list[str], parent: str, policy: str, truth: str, bound: float) -> DataFrame:

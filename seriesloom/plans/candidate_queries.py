@@ -98,7 +98,26 @@ def bounded_nudge(spark, sf_dir):
     return rounded(got.select(KEY, ROW, "nudge", "policy"), "nudge", "policy", digits=4)
 
 
-@query("truth_from_errors", CANDIDATES + _MEAN + " SELECT user_id, row_idx, round(tvt, 3) AS truth FROM o")
+@query("nudge_in_a_domain", CANDIDATES + _MEAN + """,
+e AS (SELECT *, abs(last_anchor - tvt) AS ea, abs(mean - tvt) AS ec FROM o),
+r AS (SELECT fold, sqrt(avg(ea * ea)) AS ra, sqrt(avg(ec * ec)) AS rc FROM e GROUP BY fold)
+SELECT user_id, row_idx, CASE WHEN ec <= ea THEN 'mean' ELSE 'last_anchor' END AS parent_name, CASE WHEN ec + rc <= ea + ra THEN 'mean' ELSE 'last_anchor' END AS leaning_name,
+       round((CASE WHEN ec <= ea THEN mean ELSE last_anchor END) + greatest(-0.25, least(0.5 * ((CASE WHEN ec + rc <= ea + ra THEN mean ELSE last_anchor END) - (CASE WHEN ec <= ea THEN mean ELSE last_anchor END)), 0.25)), 4) AS policy
+FROM e JOIN r USING (fold)""")
+def nudge_in_a_domain(spark, sf_dir):
+    rows = _with_mean(spark, sf_dir)
+    rows = rows.withColumns({f"e_{c}": F.abs(F.col(c) - F.col("tvt")) for c in NAMES})
+    prior = rows.groupBy("fold").agg(*(F.sqrt(F.avg(F.col(f"e_{c}") * F.col(f"e_{c}"))).alias(f"r_{c}") for c in NAMES))
+    got = candidates.bounded_nudge(rows.join(prior, "fold"), {c: f"e_{c}" for c in NAMES}, {c: f"r_{c}" for c in NAMES}, domain=["mean", "last_anchor"])
+    return rounded(got.select(KEY, ROW, "parent_name", "leaning_name", "policy"), "policy", digits=4)
+
+
+@query("truth_from_errors", CANDIDATES + _MEAN + """,
+e AS (SELECT *, last_anchor + 17 AS third, abs(last_anchor - tvt) AS ea, abs(last_anchor + 17 - tvt) AS eb, abs(mean - tvt) AS ec FROM o),
+t AS (
+  SELECT *, (abs(abs(last_anchor - (last_anchor + ea)) - ea) + abs(abs(third - (last_anchor + ea)) - eb) + abs(abs(mean - (last_anchor + ea)) - ec)) / 3 AS up,
+         (abs(abs(last_anchor - (last_anchor - ea)) - ea) + abs(abs(third - (last_anchor - ea)) - eb) + abs(abs(mean - (last_anchor - ea)) - ec)) / 3 AS down FROM e)
+SELECT user_id, row_idx, round(CASE WHEN up <= down THEN last_anchor + ea ELSE last_anchor - ea END, 3) AS truth FROM t""")
 def truth_from_errors(spark, sf_dir):
     rows = _with_mean(spark, sf_dir).withColumn("third", F.col("last_anchor") + 17)
     names = ["last_anchor", "third", "mean"]

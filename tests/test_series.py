@@ -128,6 +128,33 @@ def test_truth_from_errors(spark):
     assert [tuple(r) for r in df.select(truth, residual).collect()] == [(100, 0), (-50, 0)]
 
 
+def test_truth_is_the_better_mean_fit_and_the_upper_one_at_ties(spark):
+    df = frame(spark, ["a", "e"], [(10.0, 1.0), (5.0, 0.0)], ["double", "double"])
+    truth, _ = candidates.truth_from_errors(["a"], ["e"])
+    assert [r[0] for r in df.orderBy("a").select(truth).collect()] == [5, 11]
+    wrong = frame(spark, ["a", "b", "ea", "eb"], [(10.0, 20.0, 1.0, 1.0)], ["double"] * 4)
+    with pytest.raises(Exception, match="agree on a truth"):
+        wrong.select(candidates.truth_from_errors(["a", "b"], ["ea", "eb"])[0]).collect()
+    assert wrong.select(*candidates.truth_from_errors(["a", "b"], ["ea", "eb"], None)).first()[1] == 8
+    # the lower truth fits better on average, the upper one in its largest misfit
+    mixed = frame(spark, [*"abcde", *(f"e{x}" for x in "abcde")], [(0.0, 0.5, 0.5, 0.5, -3.0, 1.0, 1.5, 1.5, 1.5, 4.5)], ["double"] * 10)
+    assert mixed.select(*candidates.truth_from_errors([*"abcde"], [f"e{x}" for x in "abcde"], None)).first() == (-1, 2.5)
+
+
+def test_nudge_refuses_bad_domains_and_values(spark):
+    rows = frame(spark, ["a", "b", "sa", "sb", "ra", "rb"], [(1.0, 2.0, 0.5, 0.5, 1.0, 1.0)], ["double"] * 6)
+    scores, prior = {"a": "sa", "b": "sb"}, {"a": "ra", "b": "rb"}
+    for domain in ([], ["a", "a"], ["a", "x"]):
+        with pytest.raises(ValueError):
+            candidates.bounded_nudge(rows, scores, prior, domain=domain)
+    with pytest.raises(ValueError):
+        candidates.bounded_nudge(rows, scores, prior, weight=1.5)
+    assert candidates.bounded_nudge(rows, scores, prior, domain=["b", "a"]).first().policy == 2
+    for bad in ({"sa": F.lit(float("nan"))}, {"b": F.lit(None).cast("double")}, {"rb": F.lit(0.0)}, {"ra": F.lit(None).cast("double")}):
+        with pytest.raises(Exception, match="valid number"):
+            candidates.bounded_nudge(rows.withColumns(bad), scores, prior).collect()
+
+
 def test_interval_mass(spark):
     df = spark.range(1).select(F.array(*(F.lit(float(x)) for x in range(4))).alias("g"), F.array(*(F.lit(x) for x in (0.2, 0.3, 0.2, 0.1))).alias("m"))
     got = df.select(candidates.interval_mass("g", "m", 1.5, 0.6), candidates.interval_mass("g", "m", 2.5, 0.6)).first()
