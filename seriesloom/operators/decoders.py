@@ -6,63 +6,126 @@ softmax over paths afterwards (ensembles, interval masses) stays a DataFrame pla
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.functions.scalars import stable_seed
-
 
 def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order: str, kernel: Callable[[pd.DataFrame, np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: str, curve_x: str, curve_y: str) -> DataFrame:
-    """Runs `kernel(rows, curve x, curve y)` on each group of `series` with the points of its curve.
+    """Runs `kernel(rows, curve x, curve y)` on each group of `series`, in the order of `order`, with the points of its curve.
 
-    The curve travels as one sorted array a curve key, so that only series rows are grouped. The
-    kernel gives one value a row for each of `columns`. A group is one task: a path is sequential.
+    A series travels as one row of sorted arrays and meets its curve, one row a curve key, only
+    then. The kernel gives one value a row for each of `columns`. A series is one task: a path is sequential.
     """
     point = F.struct(F.col(curve_x).cast("double").alias("x"), F.col(curve_y).cast("double").alias("y"))
     packed = curve.where(F.col(curve_x).isNotNull() & F.col(curve_y).isNotNull()).groupBy(F.col(curve_key)).agg(F.array_sort(F.collect_list(point)).alias("__c"))
     packed = packed.select(curve_key, F.col("__c.x").alias("__cx"), F.col("__c.y").alias("__cy"))
-    rows = series.join(packed, curve_key)
-    names = [c.split()[0] for c in columns.split(",")]
+    inner = [order, *(c for c in series.columns if c not in (key, curve_key, order))]
+    whole = series.groupBy(key).agg(F.first(curve_key).alias(curve_key), F.array_sort(F.collect_list(F.struct(*inner))).alias("__s"))
+    whole = whole.select(key, curve_key, *(F.col(f"__s.{c}").alias(c) for c in inner)).join(packed, curve_key)
+    names = [c.split()[0] for c in columns.split(", ")]
     schema = f"{key} {series.schema[key].dataType.simpleString()}, {order} {series.schema[order].dataType.simpleString()}, {columns}"
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable").reset_index(drop=True)
-        got = kernel(part, np.asarray(part["__cx"][0], float), np.asarray(part["__cy"][0], float))
-        return pd.DataFrame({key: part[key], order: part[order]} | {n: got[n] for n in names})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.to_dict("records"):
+                rows = pd.DataFrame({c: np.asarray(row[c]) for c in inner})
+                rows[key] = row[key]
+                got = kernel(rows, np.asarray(row["__cx"], float), np.asarray(row["__cy"], float))
+                yield pd.DataFrame({key: rows[key], order: rows[order]} | {n: got[n] for n in names})
+
+    return whole.mapInPandas(run, schema)
+
+
+def _reader(cx: np.ndarray, cy: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Linear interpolation of a curve, its end values beyond it; by direct places where the points are evenly spaced."""
+    gaps = np.diff(cx)
+    if len(cx) < 2 or not np.allclose(gaps, gaps[0], rtol=1e-9, atol=0):
+        return lambda x: np.interp(x, cx, cy)
+    rise = np.append(np.diff(cy), 0.0)
+
+    def read(x: np.ndarray) -> np.ndarray:
+        t = np.clip((x - cx[0]) / gaps[0], 0, len(cx) - 1)
+        at = t.astype(np.intp)
+        return cy[at] + (t - at) * rise[at]
 
-    return rows.groupBy(key).applyInPandas(run, schema)
+    return read
 
 
-def particle_filter(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray, seed: int, start: float, rate: float, sigma: float, n: int = 500, momentum: float = 0.998, noise: tuple[float, float] = (0.01, 0.002)) -> tuple[np.ndarray, float]:
-    """(path, log-likelihood) of rows with `step` and `observed`: positions move by rate * step plus noise.
+def particle_bank(step: np.ndarray, observed: np.ndarray, cx: np.ndarray, cy: np.ndarray, seeds: list[int], start: float, rate: float, sigma: float, n: int = 500, momentum: float = 0.998, noise: tuple[float, float] = (0.01, 0.002), outlier: float = 0.0, wide: tuple[float, float] = (0.0, 1.0), lag: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(paths, log-likelihoods) of all seeds at once, a row of `paths` each; every seed's are those of a run of its own, bit for bit.
 
-    Particles are weighted by a Gaussian likelihood of the observation against the curve, and drawn
-    anew systematically when fewer than half are effective. A missing observation moves them only.
+    Positions move by rate * step plus noise. Particles are weighted by a Gaussian likelihood of
+    the observation against the curve, and drawn anew systematically when fewer than half are
+    effective. A missing observation moves them only. Options: `outlier`, the share of observations
+    that may be anything (likelihood exp(-8) of the best); `wide`, the share of particles whose
+    position noise is larger, and by which factor; `lag`, how many later rows a position may still learn from.
     """
-    rng = np.random.Generator(np.random.PCG64(seed))
-    x, v, logw, total = np.full(n, start), np.full(n, rate), np.zeros(n), 0.0
-    path = np.empty(len(rows))
-    for i, (step, seen) in enumerate(zip(rows["step"].to_numpy(float), rows["observed"].to_numpy(float), strict=True)):
-        v = momentum * v + (1 - momentum) * rate + rng.normal(0, noise[1], n)
-        x = x + v * step + rng.normal(0, noise[0], n)
-        if np.isfinite(seen):
-            logw = logw + np.maximum(-0.5 * np.minimum(((seen - np.interp(x, cx, cy)) / sigma) ** 2, 600), np.log(1e-300))
-            top = logw.max()
-            total += top + np.log(np.mean(np.exp(logw - top)))
-            logw = logw - top - np.log(np.sum(np.exp(logw - top)))
-        w = np.exp(logw - logw.max())
-        w /= w.sum()
-        path[i] = w @ x
-        if 1 / (w @ w) < n / 2:
-            at = np.searchsorted(np.cumsum(w), (rng.random() + np.arange(n)) / n).clip(0, n - 1)
-            x, v, logw = x[at], v[at], np.full(n, -np.log(n))
-        else:
-            logw = np.log(np.maximum(w, 1e-300))
-    return path, float(total)
+    s, rows, chunk = len(seeds), len(step), 32
+    normal = [np.random.Generator(np.random.PCG64(k)) for k in seeds]
+    uniform = [np.random.Generator(np.random.PCG64(np.random.SeedSequence([int(k), 1]))) for k in seeds]
+    spread = np.full(n, noise[0])
+    spread[n - int(wide[0] * n) :] *= wide[1]
+    read = _reader(cx, cy)
+    x, v, w, total = np.full((s, n), float(start)), np.full((s, n), float(rate)), np.full((s, n), 1.0 / n), np.zeros(s)
+    paths, past = np.empty((s, rows)), []
+    for i in range(rows):
+        j = i % chunk
+        if not j:
+            size = min(chunk, rows - i)
+            z = np.stack([g.standard_normal((size, 2, n), np.float32) for g in normal], axis=1)
+            u = np.stack([g.random(size) for g in uniform], axis=1)
+        v = momentum * v + (1 - momentum) * rate + noise[1] * z[j, :, 0]
+        x = x + v * step[i] + spread * z[j, :, 1]
+        if np.isfinite(observed[i]):
+            miss = (observed[i] - read(x)) / sigma
+            like = -0.5 * np.minimum(miss * miss, 600)
+            if outlier:
+                like = np.logaddexp(np.log1p(-outlier) + like, np.log(outlier) - 8.0)
+            top = like.max(axis=1, keepdims=True)
+            w = w * np.exp(like - top)
+            mass = w.sum(axis=1, keepdims=True)
+            total += (top + np.log(np.maximum(mass, 1e-300)))[:, 0]
+            w = np.where(mass > 0, w / np.maximum(mass, 1e-300), 1.0 / n)
+        past.append(x)
+        if len(past) > lag:
+            paths[:, i - lag] = (w * past.pop(0)).sum(axis=1)
+        few = np.flatnonzero((w * w).sum(axis=1) > 2 / n)
+        if len(few):
+            drawn = np.clip(np.floor(np.cumsum(w[few], axis=1) * n - u[j, few, None]) + 1, 0, n).astype(np.intp)
+            drawn[:, -1] = n
+            at = np.repeat(np.tile(np.arange(n), len(few)), np.diff(drawn, axis=1, prepend=0).ravel()).reshape(len(few), n)
+            for a in (x, v, *(old for old in past if old is not x)):
+                a[few] = np.take_along_axis(a[few], at, axis=1)
+            w[few] = 1.0 / n
+    for k, old in enumerate(past):
+        paths[:, rows - len(past) + k] = (w * old).sum(axis=1)
+    return paths, total
+
+
+def particle_filter(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray, seed: int, start: float, rate: float, sigma: float, **options) -> tuple[np.ndarray, float]:
+    """(path, log-likelihood) of rows with `step` and `observed` for one seed; see `particle_bank`."""
+    paths, total = particle_bank(rows["step"].to_numpy(float), rows["observed"].to_numpy(float), cx, cy, [seed], start, rate, sigma, **options)
+    return paths[0], float(total[0])
+
+
+def blends(paths: Column, logliks: Column, temperatures: tuple[float, ...], low: Column | None = None, high: Column | None = None) -> dict[str, Column]:
+    """`mean` and a `scale_<t>` for each temperature, from arrays of all seeds: the plain mean, and that weighted by the softmax of log-likelihood / t.
+
+    Where `low` and `high` are given, blends are kept between them.
+    """
+    best = F.array_max(logliks)
+    kept = lambda c: F.greatest(low, F.least(c, high)) if low is not None and high is not None else c
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    out = {"mean": kept(total(paths) / F.size(paths))}
+    for t in temperatures:
+        w = F.transform(logliks, lambda x: F.exp((x - best) / F.lit(float(t))))  # noqa: B023
+        out[f"scale_{t:g}"] = kept(total(F.zip_with(paths, w, lambda p, q: p * q)) / total(w))
+    return out
 
 
 def ensemble(paths: DataFrame, key: str, order: str, path: str, loglik: str, temperature: float) -> DataFrame:
@@ -72,52 +135,131 @@ def ensemble(paths: DataFrame, key: str, order: str, path: str, loglik: str, tem
     return rows.groupBy(key, order).agg(F.avg(path).alias("mean"), (F.sum(F.col("__w") * F.col(path)) / F.sum("__w")).alias("tempered"))
 
 
-def seeded(series: DataFrame, key: str, seeds: int, salt: str, out: str = "seed_key") -> DataFrame:
-    """Every series once for each seed, with `seed` from the key's hash: each pair is a task of its own."""
-    rows = series.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    rows = rows.withColumn(out, F.concat_ws("::", F.lit(salt), F.col(key).cast("string"), F.col("__s").cast("string")))
-    return rows.withColumn("seed", stable_seed(out)).drop("__s")
+def seeds_of(key, count: int, salt: str) -> list[int]:
+    """The seeds of a key, from hashes of salt, key and number, as `stable_seed` takes them."""
+    return [int(hashlib.sha256(f"{salt}::{key}::{i}".encode()).hexdigest()[:16], 16) % (2**31 - 1) + 1 for i in range(count)]
+
+
+def rate_mixing(rates: np.ndarray, momentum: float, noise: float) -> np.ndarray:
+    """Chances from each rate (row) to each: a Gaussian around momentum * rate, or the nearest rate if all lie too far."""
+    z = (rates[None, :] - momentum * rates[:, None]) / noise
+    mix = np.exp(-0.5 * (z * z - (z * z).min(axis=1, keepdims=True)))
+    return mix / mix.sum(axis=1, keepdims=True)
 
 
-def hmm(step: np.ndarray, emission: np.ndarray, grid: np.ndarray, rates: np.ndarray, start: float, rate: float, keep: float = 0.998, width: float = 0.35) -> dict[str, np.ndarray]:
-    """Posterior mean and deviation of a position x rate lattice by forward-backward.
+class Lattice:
+    """Moves on a grid of positions: by a rate's way, spread over the five nearest cells.
 
-    emission: log-likelihood of each row at each grid point, zeros where nothing was observed. The
-    position moves by rate * step, dealt to the two nearest cells; a rate stays with `keep`, or goes to a neighbour.
+    A cell gets the Gaussian density of its distance from where the move ends, with a deviation of
+    `noise` or half a cell if that is more; chances of cells beyond the grid go to the others. With `pull` a
+    position first keeps only that part of its distance from `center`.
+    """
+
+    def __init__(self, grid: np.ndarray, rates: np.ndarray, noise: float, center: float = 0.0):
+        self.grid, self.rates, self.center = grid, rates, center
+        self.cell = grid[1] - grid[0]
+        self.wide = max(noise / self.cell, 0.5)
+        self.row = np.arange(len(grid))[:, None]
+
+    def moves(self, step: float, shift: float, pull: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """(flat target, chance), each 5 x positions x rates."""
+        way = (self.rates[None, :] * step + shift) / self.cell
+        if pull != 1.0:
+            way = way + (pull - 1.0) * (self.grid[:, None] - self.center) / self.cell
+        near = np.rint(way)
+        off = np.arange(-2, 3)[:, None, None]
+        chance = np.exp(-0.5 * ((off - (way - near)[None]) / self.wide) ** 2)
+        target = self.row + near.astype(np.intp) + off
+        inside = (target >= 0) & (target < len(self.grid))
+        chance = np.where(inside, chance, 0.0)
+        chance /= np.maximum(chance.sum(axis=0), 1e-300)
+        return np.clip(target, 0, len(self.grid) - 1) * len(self.rates) + np.arange(len(self.rates)), chance
+
+    def ahead(self, a: np.ndarray, moves: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        target, chance = moves
+        flat = target.ravel()
+        return np.stack([np.bincount(flat, (chance * m).ravel(), m.size).reshape(m.shape) for m in a])
+
+    def back(self, b: np.ndarray, moves: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        target, chance = moves
+        return np.stack([(chance * m.ravel()[target]).sum(axis=0) for m in b])
+
+
+def hmm(step: np.ndarray, emission: np.ndarray, grid: np.ndarray, rates: np.ndarray, start: float, rate: float, shift: np.ndarray | None = None, pull: np.ndarray | None = None, center: float = 0.0, switch: np.ndarray | None = None, start_sd: float = 0.75, rate_sd: float = 0.01, rate_noise: float = 0.002, noise: float = 0.02, momentum: float = 0.998, apart: float = 2.0) -> dict[str, np.ndarray]:
+    """Posteriors of a position x rate lattice by forward-backward: `mean`, `sd`, `loglik` (of the whole series), `first_mode` and `second_peak`.
+
+    emission: log-likelihood of each row at each grid point, constant where nothing was observed; or
+    one such table for each of several modes that follow one another by `switch` (chances from mode to mode,
+    the first one at the start). A row's rate is drawn around momentum * the last; its position moves
+    by rate * step + shift, after it kept `pull` of its distance from `center`. first_mode: the
+    chance of the first mode. second_peak: how high the highest local maximum at least `apart` from
+    the highest is, as a part of that. Only the states at each of about sqrt(rows) rows are kept; those between are computed again.
     """
     n, p, r = len(step), len(grid), len(rates)
-    d = grid[1] - grid[0]
-    mix = np.eye(r) * keep + (1 - keep) / 2 * (np.eye(r, k=1) + np.eye(r, k=-1))
-    mix /= mix.sum(axis=1, keepdims=True)
-
-    def moved(a: np.ndarray, s: float, back: bool) -> np.ndarray:
-        out = np.zeros_like(a)
-        for j in range(r):
-            shift = rates[j] * s / d * (-1 if back else 1)
-            low = int(np.floor(shift))
-            for k, w in ((low, 1 - (shift - low)), (low + 1, shift - low)):
-                if w > 0 and abs(k) < p:
-                    out[max(0, k) : p + min(0, k), j] += w * a[max(0, -k) : p - max(0, k), j]
-        return out
-
-    first = np.exp(-0.5 * ((grid - start) / width) ** 2)[:, None] * np.exp(-0.5 * ((rates - rate) / max(rates[1] - rates[0], 1e-9)) ** 2)[None, :]
-    like = np.exp(emission - emission.max(axis=1, keepdims=True))
-    ahead = np.empty((n, p, r))
-    a = first / first.sum()
+    emission = emission if emission.ndim == 3 else emission[None]
+    shift, pull = np.zeros(n) if shift is None else shift, np.ones(n) if pull is None else pull
+    switch = np.eye(len(emission)) if switch is None else switch
+    lattice, mix = Lattice(grid, rates, noise, center), rate_mixing(rates, momentum, rate_noise)
+    top = emission.max(axis=(0, 2))
+    like = np.exp(emission - top[None, :, None])
+
+    def forward(a: np.ndarray, i: int, moves: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, float]:
+        a = np.einsum("kpr,kl->lpr", a, switch) if len(a) > 1 else a
+        a = lattice.ahead(a @ mix, moves) * like[:, i, :, None]
+        mass = a.sum()
+        return (a / mass, float(np.log(mass))) if mass > 0 else (np.full_like(a, 1 / a.size), -690.0)
+
+    first = np.exp(-0.5 * ((grid - start) / start_sd) ** 2)[:, None] * np.exp(-0.5 * ((rates - rate) / rate_sd) ** 2)[None, :]
+    a = np.zeros((len(emission), p, r))
+    a[0] = first / first.sum()
+    block = max(1, int(np.ceil(np.sqrt(n))))
+    kept, loglik = [], float(top.sum())
     for i in range(n):
-        a = moved(a @ mix, step[i], False) * like[i][:, None]
-        a = a / a.sum() if a.sum() > 0 else np.full((p, r), 1 / (p * r))
-        ahead[i] = a
-    b = np.ones((p, r))
-    mean, sd = np.empty(n), np.empty(n)
-    for i in range(n - 1, -1, -1):
-        post = (ahead[i] * b).sum(axis=1)
-        post = post / post.sum() if post.sum() > 0 else ahead[i].sum(axis=1)
-        mean[i] = post @ grid
-        sd[i] = np.sqrt(max(0.0, post @ grid**2 - mean[i] ** 2))
-        b = moved(b * like[i][:, None], step[i], True) @ mix.T
-        b /= max(b.max(), 1e-300)
-    return {"mean": mean, "sd": sd}
+        if i % block == 0:
+            kept.append(a)
+        a, gain = forward(a, i, lattice.moves(step[i], shift[i], pull[i]))
+        loglik += gain
+    out = {k: np.empty(n) for k in ("mean", "sd", "first_mode", "second_peak")} | {"loglik": np.full(n, loglik)}
+    b = np.ones_like(a)
+    for k in range(len(kept) - 1, -1, -1):
+        rows = range(k * block, min(n, (k + 1) * block))
+        moves = [lattice.moves(step[i], shift[i], pull[i]) for i in rows]
+        a, ahead = kept[k], []
+        for i in rows:
+            a, _ = forward(a, i, moves[i - rows[0]])
+            ahead.append(a)
+        for i in reversed(rows):
+            joint = ahead[i - rows[0]] * b
+            mass = joint.sum()
+            joint = joint / mass if mass > 0 else ahead[i - rows[0]]
+            post = joint.sum(axis=(0, 2))
+            out["mean"][i] = post @ grid
+            out["sd"][i] = np.sqrt(max(0.0, post @ grid**2 - out["mean"][i] ** 2))
+            out["first_mode"][i] = joint[0].sum()
+            out["second_peak"][i] = second_peak(post, grid, apart)
+            b = lattice.back(b * like[:, i, :, None], moves[i - rows[0]]) @ mix.T
+            b = np.einsum("kpr,lk->lpr", b, switch) if len(b) > 1 else b
+            b /= max(b.max(), 1e-300)
+    return out
+
+
+def second_peak(mass: np.ndarray, grid: np.ndarray, apart: float) -> float:
+    """The height of the highest local maximum at least `apart` from the highest one, as a part of it; 0 if there is none."""
+    edge = np.concatenate(([-1.0], mass, [-1.0]))
+    peaks = np.flatnonzero((edge[1:-1] > edge[:-2]) & (edge[1:-1] >= edge[2:]))
+    best = int(np.argmax(mass))
+    far = peaks[np.abs(grid[peaks] - grid[best]) >= apart]
+    return float(mass[far].max() / mass[best]) if len(far) and mass[best] > 0 else 0.0
+
+
+def gaussian_moments(step: float, sigma: float, phases: int = 101, cells: int = 5) -> np.ndarray:
+    """(phase, bias, variance) of a Gaussian dealt to the nearest `cells` grid points by its density, for places from -1/2 to 1/2 of a step beside one."""
+    phase = np.linspace(-0.5, 0.5, phases)
+    at = (np.arange(cells) - cells // 2) * step
+    w = np.exp(-0.5 * ((at[None, :] - phase[:, None] * step) / sigma) ** 2)
+    w /= w.sum(axis=1, keepdims=True)
+    mean = w @ at
+    return np.stack((phase, mean - phase * step, w @ at**2 - mean**2), axis=1)
 
 
 def beam(step: np.ndarray, observed: np.ndarray, cx: np.ndarray, cy: np.ndarray, start: float, moves: np.ndarray, width: int = 32, move_cost: float = 15.0, scale: float = 100.0) -> np.ndarray:
@@ -258,16 +400,22 @@ def detail_energy(key: str, order: str, column: str, sizes=(4, 8, 16)) -> dict:
 def sticky_filter(df: DataFrame, key: str, order: str, good: str, bad: str, stay: tuple[float, float], start: float) -> DataFrame:
     """(key, order, p_good): the forward filter of a two-state chain with log-likelihoods `good` and `bad`.
 
-    The state is one number, so a sorted array is folded in the plan.
+    The state is one number. A series travels as sorted arrays and is passed over once.
     """
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(good).alias("g"), F.col(bad).alias("b")))).alias("s"))
-    empty = F.array().cast("array<struct<o:bigint,p:double>>")
-
-    def step(a, x):
-        last = F.coalesce(F.try_element_at(a, F.lit(-1))["p"], F.lit(float(start)))
-        prior = last * stay[0] + (1 - last) * (1 - stay[1])
-        top = F.greatest(x["g"], x["b"])
-        pg, pb = prior * F.exp(x["g"] - top), (1 - prior) * F.exp(x["b"] - top)
-        return F.concat(a, F.array(F.struct(x["o"].cast("bigint").alias("o"), (pg / (pg + pb)).alias("p"))))
-
-    return rows.select(key, F.explode(F.aggregate("s", empty, step)).alias("f")).select(key, F.col("f.o").alias(order), F.col("f.p").alias("p_good"))
+    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(good).cast("double").alias("g"), F.col(bad).cast("double").alias("b")))).alias("s"))
+
+    @F.pandas_udf("array<double>")
+    def chances(goods: pd.Series, bads: pd.Series) -> pd.Series:
+        out = []
+        for g, b in zip(goods, bads, strict=True):
+            ratio = np.exp(np.clip(np.asarray(b, float) - np.asarray(g, float), -700, 700)).tolist()
+            p, path = float(start), []
+            for x in ratio:
+                prior = p * stay[0] + (1 - p) * (1 - stay[1])
+                p = prior / (prior + (1 - prior) * x)
+                path.append(p)
+            out.append(path)
+        return pd.Series(out)
+
+    filtered = rows.select(key, F.col("s.o").alias("o"), chances("s.g", "s.b").alias("p"))
+    return filtered.select(key, F.explode(F.arrays_zip("o", "p")).alias("f")).select(key, F.col("f.o").alias(order), F.col("f.p").alias("p_good"))

@@ -10,8 +10,10 @@ from seriesloom.functions.staging import staged
 from seriesloom.operators import candidates, decoders, models, series
 from seriesloom.plans.base import KEY, ROW, base, folds, query, rounded, table, tails
 
-GRID = np.arange(-50.0, 50.5, 2.0)
-RATES = np.linspace(-0.2, 0.2, 5)
+GRID = np.arange(-50.0, 50.0 + 0.175, 0.35)
+RATES = np.linspace(-0.1, 0.1, 41)
+#: Seeds of a series' particle filter, and the temperatures at which their paths are blended.
+SEEDS, TEMPERATURES = 64, (3.0, 5.0, 8.0, 12.0)
 #: Points of a mean path, and the shifts along it that are tried.
 POINTS, SHIFTS = 192, np.arange(-24.0, 25.0, 2.0)
 
@@ -29,8 +31,8 @@ def _curve(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(q.alias("q")).select(F.lit("all").alias("curve"), F.posexplode("q").alias("i", "cy")).select("curve", (F.col("i") * 2.0 - 50).alias("cx"), "cy")
 
 
-def particle_paths(spark, sf_dir):
-    """(seed_key, user_id, row_idx, path, loglik): 500 particles and 4 seeds a user, whose noise, rate and start come from the known part of its series.
+def _calibrated(spark, sf_dir):
+    """Tail rows with `sigma`, `rate` and `start` from the known part of their series.
 
     There the position is taken as the value less 50, in which the curve is measured.
     """
@@ -39,28 +41,63 @@ def particle_paths(spark, sf_dir):
     rate = candidates.initial_rate(known, KEY, ROW, "hours", "place", "z", 30).select(KEY, "rate")
     start = known.groupBy(KEY).agg(F.max_by("place", ROW).alias("start"))
     fit = sigma.join(rate, KEY).join(start, KEY).select(KEY, F.coalesce("sigma", F.lit(60.0)).alias("sigma"), F.coalesce("rate", F.lit(0.0)).alias("rate"), F.coalesce("start", F.lit(0.0)).alias("start"))
+    return _tail(spark, sf_dir).join(fit, KEY)
+
+
+def particle_paths(spark, sf_dir, **options):
+    """(user_id, row_idx, paths, logliks): 500 particles for each of SEEDS seeds of a user, all in one pass over its tail."""
 
     def kernel(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> dict:
-        path, ll = decoders.particle_filter(rows, cx, cy, int(rows["seed"][0]), float(rows["start"][0]), float(rows["rate"][0]), float(rows["sigma"][0]))
-        return {"path": path, "loglik": np.full(len(path), ll), KEY: rows[KEY].to_numpy()}
+        paths, total = decoders.particle_bank(rows["step"].to_numpy(float), rows["observed"].to_numpy(float), cx, cy, decoders.seeds_of(rows[KEY][0], SEEDS, "pf"), float(rows["start"][0]), float(rows["rate"][0]), float(rows["sigma"][0]), **options)
+        return {"paths": list(paths.T), "logliks": [total] * len(rows)}
+
+    return decoders.decode(_calibrated(spark, sf_dir), _curve(spark, sf_dir), KEY, "curve", ROW, kernel, "paths array<double>, logliks array<double>", "cx", "cy")
+
 
-    runs = decoders.seeded(_tail(spark, sf_dir).join(fit, KEY), KEY, 4, "pf")
-    return decoders.decode(runs, _curve(spark, sf_dir), "seed_key", "curve", ROW, kernel, f"path double, loglik double, {KEY} long", "cx", "cy")
+def _blended(paths):
+    blends = decoders.blends(F.col("paths"), F.col("logliks"), TEMPERATURES, F.lit(-250.0), F.lit(250.0))
+    return paths.select(KEY, ROW, *(c.alias(n) for n, c in blends.items()))
 
 
 @query("particle_filter")
 def particle_filter(spark, sf_dir):
-    return decoders.ensemble(particle_paths(spark, sf_dir), KEY, ROW, "path", "loglik", 5.0)
+    return _blended(particle_paths(spark, sf_dir))
+
+
+@query("particle_filter_robust")
+def particle_filter_robust(spark, sf_dir):
+    """The filter with a share of outliers, a part of the particles in a wider regime, and a lag of 192 rows."""
+    return _blended(particle_paths(spark, sf_dir, outlier=0.05, wide=(0.25, 4.0), lag=192))
+
+
+def _emission(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
+    z = (rows["observed"].to_numpy(float)[:, None] - np.interp(GRID, cx, cy)[None, :]) / rows["sigma"].to_numpy(float)[:, None]
+    return np.where(np.isfinite(z), -0.5 * np.minimum(z * z, 600), 0.0)
+
+
+_POSTERIOR = "mean double, sd double, loglik double, first_mode double, second_peak double"
 
 
 @query("hmm_decode")
 def hmm_decode(spark, sf_dir):
     def kernel(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> dict:
-        z = (rows["observed"].to_numpy(float)[:, None] - np.interp(GRID, cx, cy)[None, :]) / 30
-        emission = np.where(np.isfinite(z), -0.5 * np.minimum(z * z, 600), 0.0)
-        return decoders.hmm(rows["step"].to_numpy(float), emission, GRID, RATES, 0.0, 0.0, width=10.0)
+        return decoders.hmm(rows["step"].to_numpy(float), _emission(rows, cx, cy), GRID, RATES, float(rows["start"][0]), float(rows["rate"][0]), start_sd=10.0)
+
+    return decoders.decode(_calibrated(spark, sf_dir), _curve(spark, sf_dir), KEY, "curve", ROW, kernel, _POSTERIOR, "cx", "cy")
+
+
+@query("hmm_reverting_sticky")
+def hmm_reverting_sticky(spark, sf_dir):
+    """Around the start, to which a position reverts by a half in 40 rows, with a mode in which observations tell nothing."""
+    switch = np.array([[0.98, 0.02], [0.1, 0.9]])
+
+    def kernel(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> dict:
+        seen = _emission(rows, cx, cy)
+        blind = np.where(np.isfinite(rows["observed"].to_numpy(float)), -2.0, 0.0)[:, None] + np.zeros(len(GRID))
+        n = len(rows)
+        return decoders.hmm(rows["step"].to_numpy(float), np.stack((seen, blind)), GRID, RATES, float(rows["start"][0]), float(rows["rate"][0]), shift=np.full(n, -0.01), pull=np.full(n, 0.5 ** (1 / 40)), center=float(rows["start"][0]), switch=switch, start_sd=10.0)
 
-    return decoders.decode(_tail(spark, sf_dir), _curve(spark, sf_dir), KEY, "curve", ROW, kernel, "mean double, sd double", "cx", "cy")
+    return decoders.decode(_calibrated(spark, sf_dir), _curve(spark, sf_dir), KEY, "curve", ROW, kernel, _POSTERIOR, "cx", "cy")
 
 
 @query("beam_decode")

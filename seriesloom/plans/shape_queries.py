@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from seriesloom.functions.staging import staged
 from seriesloom.operators import shapes
 from seriesloom.plans import decoder_queries
 from seriesloom.plans.base import BASE, KEY, ROW, base, query, rounded, tails
@@ -44,12 +44,16 @@ def trend_filters(spark, sf_dir):
 @query("path_medoids")
 def path_medoids(spark, sf_dir):
     """Two typical particle-filter paths of each user: the medoids of its seeds by the mean distance over the whole tail."""
-    paths = staged(decoder_queries.particle_paths(spark, sf_dir).select(KEY, ROW, "seed_key", "path"), "paths")
-    other = paths.select(KEY, ROW, F.col("seed_key").alias("other"), F.col("path").alias("theirs"))
-    apart = paths.join(other, [KEY, ROW]).groupBy(KEY, "seed_key", "other").agg(F.avg(F.abs(F.col("path") - F.col("theirs"))).alias("d"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        d = part.pivot(index="seed_key", columns="other", values="d")
-        return pd.DataFrame({KEY: part[KEY].iloc[0], "seed_key": d.index[shapes.medoids_of(d.to_numpy(), 2)]})
-
-    return apart.groupBy(KEY).applyInPandas(run, f"{KEY} long, seed_key string")
+    paths = decoder_queries.particle_paths(spark, sf_dir)
+    rows = paths.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(ROW, "paths"))).alias("s")).select(KEY, F.col("s.paths").alias("paths"))
+
+    @F.pandas_udf("array<int>")
+    def typical(series: pd.Series) -> pd.Series:
+        out = []
+        for s in series:
+            x = np.stack([np.asarray(row, float) for row in s], axis=1)
+            out.append([int(i) for i in shapes.medoids_of(np.stack([np.abs(x - y).mean(axis=1) for y in x]), 2)])
+        return pd.Series(out)
+
+    seed = F.explode(typical("paths")).alias("seed")
+    return rows.select(KEY, seed).select(KEY, F.concat_ws("::", F.lit("pf"), F.col(KEY).cast("string"), F.col("seed").cast("string")).alias("seed_key"))

@@ -2,7 +2,10 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+from seriesloom.functions.scalars import stable_seed
 from seriesloom.operators import decoders
 from seriesloom.plans import registry
 
@@ -35,29 +38,98 @@ def test_dtw_equals_full_table_and_identity():
     assert np.isclose(decoders.dtw(a, b, 1.0), full[12, 12])
 
 
-def test_hmm_posterior_equals_enumeration():
-    grid, rates, step = np.arange(0.0, 5.0), np.array([-1.0, 0.0, 1.0]), np.ones(3)
-    rng = np.random.default_rng(3)
-    em = rng.normal(size=(3, 5))
-    got = decoders.hmm(step, em, grid, rates, 2.0, 0.0, keep=0.8)
-    mix = np.eye(3) * 0.8 + 0.1 * (np.eye(3, k=1) + np.eye(3, k=-1))
-    mix /= mix.sum(axis=1, keepdims=True)
-    first = np.exp(-0.5 * ((grid - 2) / 0.35) ** 2)[:, None] * np.exp(-0.5 * (rates - 0.0) ** 2)[None, :]
-    mean, total = np.zeros(3), 0.0
-    for p0, r0, *rs in itertools.product(range(5), range(3), range(3), range(3), range(3)):
-        w, p, r, path = first[p0, r0], p0, r0, []
-        for i, nr in enumerate(rs):
-            w, r = w * mix[r, nr], nr
-            p += int(rates[r])
-            if not 0 <= p < 5:
-                w = 0.0
-                break
-            w *= np.exp(em[i, p])
-            path.append(p)
-        if w:
-            mean += w * np.array(path)
-            total += w
-    assert np.allclose(got["mean"], mean / total)
+def dense_move(grid, rates, noise, step, shift, pull, center):
+    """Chances from (position, rate) to position, by plain loops."""
+    cell, out = grid[1] - grid[0], np.zeros((len(grid), len(rates), len(grid)))
+    for (i, x), (j, r) in itertools.product(enumerate(grid), enumerate(rates)):
+        end = center + pull * (x - center) + r * step + shift
+        near = int(np.rint((end - grid[0]) / cell))
+        for k in range(near - 2, near + 3):
+            if 0 <= k < len(grid):
+                out[i, j, k] = np.exp(-0.5 * ((grid[0] + k * cell - end) / max(noise, cell / 2)) ** 2)
+        if out[i, j].sum():
+            out[i, j] /= out[i, j].sum()
+    return out
+
+
+@pytest.mark.parametrize("modes", [1, 2])
+def test_hmm_posterior_equals_dense_products(modes):
+    rng = np.random.default_rng(modes)
+    grid, rates, n = np.arange(9) * 0.35 + 10, np.linspace(-0.5, 0.5, 4), 7
+    step, shift, pull = rng.uniform(0.5, 1.5, n), rng.normal(0, 0.2, n), rng.uniform(0.8, 1.0, n)
+    em = rng.normal(size=(modes, n, 9))
+    switch = np.array([[0.9, 0.1], [0.3, 0.7]])[:modes, :modes] if modes == 2 else np.eye(1)
+    got = decoders.hmm(step, em, grid, rates, 11.0, 0.1, shift, pull, 11.0, switch, 0.5, 0.3, 0.2, 0.02, 0.9)
+    mix = decoders.rate_mixing(rates, 0.9, 0.2)
+    assert np.allclose(mix[1] / mix[1, 1], np.exp(-0.5 * (((rates - 0.9 * rates[1]) / 0.2) ** 2 - ((rates[1] - 0.9 * rates[1]) / 0.2) ** 2)))
+    a = np.zeros((modes, 9, 4))
+    a[0] = np.exp(-0.5 * ((grid - 11) / 0.5) ** 2)[:, None] * np.exp(-0.5 * ((rates - 0.1) / 0.3) ** 2)
+    a, states, ts = a / a.sum(), [], []
+    for i in range(n):
+        m = dense_move(grid, rates, 0.02, step[i], shift[i], pull[i], 11.0)
+        t = np.einsum("kl,rs,psq->kprlqs", switch, mix, m) * np.exp(em[:, i])[None, None, None, :, :, None]
+        ts.append(t)
+        a = np.einsum("kpr,kprlqs->lqs", a, t)
+        states.append(a)
+    b = np.ones_like(a)
+    for i in reversed(range(n)):
+        post = (states[i] * b / (states[i] * b).sum())
+        assert np.allclose(got["mean"][i], (post.sum(axis=(0, 2)) * grid).sum()) and np.allclose(got["first_mode"][i], post[0].sum())
+        b = np.einsum("kprlqs,lqs->kpr", ts[i], b)
+    assert np.allclose(got["loglik"], np.log(states[-1].sum())) and (got["sd"] >= 0).all()
+
+
+def test_a_missing_observation_changes_nothing_but_the_spread():
+    grid, rates = np.arange(-20, 21) * 0.35, np.linspace(-0.1, 0.1, 41)
+    got = decoders.hmm(np.ones(2), np.zeros((2, 41)), grid, rates, 0.0, 0.0)
+    assert np.allclose(got["mean"], 0, atol=1e-9) and abs(got["loglik"][0]) < 1e-9 and got["sd"][1] > got["sd"][0]
+
+
+def test_second_peak():
+    grid = np.arange(10.0)
+    mass = np.array([0, 1, 0, 0, 4, 3, 0, 0, 2, 0.0])
+    assert decoders.second_peak(mass, grid, 2.0) == 0.5 and decoders.second_peak(mass, grid, 4.5) == 0 and decoders.second_peak(np.eye(10)[3], grid, 1) == 0
+
+
+def test_gaussian_moments_against_a_plain_sum():
+    got = decoders.gaussian_moments(0.35, 0.2, 3)
+    for phase, bias, variance in got:
+        w = [np.exp(-0.5 * ((k * 0.35 - phase * 0.35) / 0.2) ** 2) for k in range(-2, 3)]
+        mean = sum(x * k * 0.35 for x, k in zip(w, range(-2, 3), strict=True)) / sum(w)
+        assert np.isclose(bias, mean - phase * 0.35) and np.isclose(variance, sum(x * (k * 0.35) ** 2 for x, k in zip(w, range(-2, 3), strict=True)) / sum(w) - mean**2)
+
+
+@pytest.mark.parametrize("options", [{}, {"outlier": 0.1, "wide": (0.3, 3.0), "lag": 5}])
+def test_a_bank_of_seeds_is_each_seed_alone(options):
+    rng = np.random.default_rng(0)
+    step, seen = rng.uniform(0.5, 1.5, 70), np.where(rng.random(70) < 0.2, np.nan, rng.normal(0, 5, 70))
+    bank, lls = decoders.particle_bank(step, seen, CX, CY, [3, 7, 11], 5.0, 0.1, 2.0, n=80, **options)
+    for i, seed in enumerate((3, 7, 11)):
+        path, ll = decoders.particle_bank(step, seen, CX, CY, [seed], 5.0, 0.1, 2.0, n=80, **options)
+        assert np.array_equal(path[0], bank[i]) and ll[0] == lls[i]
+    assert np.isfinite(bank).all() and not np.array_equal(bank[0], bank[1])
+
+
+def test_later_rows_help_with_a_lag():
+    truth = 5 + np.cumsum(np.where(np.arange(100) < 40, 0.02, 0.08))
+    seen = np.interp(truth, CX, CY)
+    seen[40:60] = np.nan
+    plain, _ = decoders.particle_bank(np.ones(100), seen, CX, CY, list(range(8)), 5.0, 0.02, 1.0, noise=(0.05, 0.02))
+    late, _ = decoders.particle_bank(np.ones(100), seen, CX, CY, list(range(8)), 5.0, 0.02, 1.0, noise=(0.05, 0.02), lag=30)
+    error = lambda p: np.sqrt(((p.mean(axis=0) - truth)[45:60] ** 2).mean())
+    assert error(late) < error(plain)
+
+
+def test_blends_weigh_seeds_by_likelihood(spark):
+    df = spark.createDataFrame([([1.0, 3.0], [0.0, -6.0])], "p array<double>, l array<double>")
+    got = df.select(*(c.alias(n) for n, c in decoders.blends(F.col("p"), F.col("l"), (3.0, 12.0), F.lit(0.0), F.lit(1.5)).items())).first()
+    w = np.exp(-2.0)
+    assert got["mean"] == 1.5 and np.isclose(got["scale_3"], (1 + 3 * w) / (1 + w)) and got["scale_12"] == 1.5
+
+
+def test_seeds_are_those_of_the_stable_rule(spark):
+    got = spark.range(1).select(stable_seed(F.lit("pf::7::1"))).first()[0]
+    assert decoders.seeds_of(7, 2, "pf")[1] == got
 
 
 def test_particle_filter_is_seeded_and_follows():
@@ -84,6 +156,6 @@ def test_huber_line_shrugs_off_outliers():
 
 
 def test_registered_decoders_give_a_value_for_each_row(spark, sf):
-    for name in ("hmm_decode", "beam_decode", "particle_filter"):
+    for name in ("hmm_decode", "hmm_reverting_sticky", "beam_decode", "particle_filter", "particle_filter_robust"):
         got = registry.QUERIES[name](spark, sf).toPandas()
         assert len(got) and not got.isna().any().any() and not got.duplicated(["user_id", "row_idx"]).any()
