@@ -46,12 +46,13 @@ def _reader(cx: np.ndarray, cy: np.ndarray) -> Callable[[np.ndarray], np.ndarray
     gaps = np.diff(cx)
     if len(cx) < 2 or not np.allclose(gaps, gaps[0], rtol=1e-9, atol=0):
         return lambda x: np.interp(x, cx, cy)
-    rise = np.append(np.diff(cy), 0.0)
+    y, rise = cy.astype(np.float32), np.append(np.diff(cy), 0.0).astype(np.float32)
+    low, per, last = np.float32(cx[0]), np.float32(1 / gaps[0]), np.float32(len(cx) - 1)
 
     def read(x: np.ndarray) -> np.ndarray:
-        t = np.clip((x - cx[0]) / gaps[0], 0, len(cx) - 1)
-        at = t.astype(np.intp)
-        return cy[at] + (t - at) * rise[at]
+        t = np.clip((x - low) * per, np.float32(0), last)
+        at = t.astype(np.int32)
+        return y[at] + (t - at.astype(np.float32)) * rise[at]
 
     return read
 
@@ -68,42 +69,43 @@ def particle_bank(step: np.ndarray, observed: np.ndarray, cx: np.ndarray, cy: np
     s, rows, chunk = len(seeds), len(step), 32
     normal = [np.random.Generator(np.random.PCG64(k)) for k in seeds]
     uniform = [np.random.Generator(np.random.PCG64(np.random.SeedSequence([int(k), 1]))) for k in seeds]
-    spread = np.full(n, noise[0])
-    spread[n - int(wide[0] * n) :] *= wide[1]
+    f = np.float32  # single precision is far finer than the noise, and twice as fast
+    spread = np.full(n, noise[0], f)
+    spread[n - int(wide[0] * n) :] *= f(wide[1])
     read = _reader(cx, cy)
-    x, v, w, total = np.full((s, n), float(start)), np.full((s, n), float(rate)), np.full((s, n), 1.0 / n), np.zeros(s)
-    paths, past = np.empty((s, rows)), []
+    x, v, w, total = np.full((s, n), start, f), np.full((s, n), rate, f), np.full((s, n), 1 / n, f), np.zeros(s)
+    paths, past, places = np.empty((s, rows)), [], np.arange(n)
     for i in range(rows):
         j = i % chunk
         if not j:
             size = min(chunk, rows - i)
-            z = np.stack([g.standard_normal((size, 2, n), np.float32) for g in normal], axis=1)
+            z = np.stack([g.standard_normal((size, 2, n), f) for g in normal], axis=1)
             u = np.stack([g.random(size) for g in uniform], axis=1)
-        v = momentum * v + (1 - momentum) * rate + noise[1] * z[j, :, 0]
-        x = x + v * step[i] + spread * z[j, :, 1]
+        v = v * f(momentum) + (z[j, :, 0] * f(noise[1]) + f((1 - momentum) * rate))
+        x = x + v * f(step[i]) + spread * z[j, :, 1]
         if np.isfinite(observed[i]):
-            miss = (observed[i] - read(x)) / sigma
-            like = -0.5 * np.minimum(miss * miss, 600)
+            miss = (f(observed[i]) - read(x)) * f(1 / sigma)
+            like = np.minimum(miss * miss, f(600)) * f(-0.5)
             if outlier:
-                like = np.logaddexp(np.log1p(-outlier) + like, np.log(outlier) - 8.0)
+                like = np.logaddexp(like + f(np.log1p(-outlier)), f(np.log(outlier) - 8.0))
             top = like.max(axis=1, keepdims=True)
             w = w * np.exp(like - top)
             mass = w.sum(axis=1, keepdims=True)
-            total += (top + np.log(np.maximum(mass, 1e-300)))[:, 0]
-            w = np.where(mass > 0, w / np.maximum(mass, 1e-300), 1.0 / n)
+            total += (top + np.log(np.maximum(mass, f(1e-37)))).astype(float)[:, 0]
+            w = np.where(mass > 0, w / np.maximum(mass, f(1e-37)), f(1 / n))
         past.append(x)
         if len(past) > lag:
-            paths[:, i - lag] = (w * past.pop(0)).sum(axis=1)
+            paths[:, i - lag] = (w * past.pop(0)).sum(axis=1, dtype=float)
         few = np.flatnonzero((w * w).sum(axis=1) > 2 / n)
         if len(few):
-            drawn = np.clip(np.floor(np.cumsum(w[few], axis=1) * n - u[j, few, None]) + 1, 0, n).astype(np.intp)
+            drawn = np.clip(np.floor(np.cumsum(w[few], axis=1, dtype=float) * n - u[j, few, None]) + 1, 0, n).astype(np.intp)
             drawn[:, -1] = n
-            at = np.repeat(np.tile(np.arange(n), len(few)), np.diff(drawn, axis=1, prepend=0).ravel()).reshape(len(few), n)
+            at = np.repeat(np.tile(places, len(few)), np.diff(drawn, axis=1, prepend=0).ravel()).reshape(len(few), n)
             for a in (x, v, *(old for old in past if old is not x)):
                 a[few] = np.take_along_axis(a[few], at, axis=1)
-            w[few] = 1.0 / n
+            w[few] = f(1 / n)
     for k, old in enumerate(past):
-        paths[:, rows - len(past) + k] = (w * old).sum(axis=1)
+        paths[:, rows - len(past) + k] = (w * old).sum(axis=1, dtype=float)
     return paths, total
 
 
@@ -209,7 +211,8 @@ def hmm(step: np.ndarray, emission: np.ndarray, grid: np.ndarray, rates: np.ndar
         mass = a.sum()
         return (a / mass, float(np.log(mass))) if mass > 0 else (np.full_like(a, 1 / a.size), -690.0)
 
-    first = np.exp(-0.5 * ((grid - start) / start_sd) ** 2)[:, None] * np.exp(-0.5 * ((rates - rate) / rate_sd) ** 2)[None, :]
+    first = ((grid - start) / start_sd)[:, None] ** 2 + ((rates - rate) / rate_sd)[None, :] ** 2
+    first = np.exp(-0.5 * (first - first.min()))  # a start beyond the lattice begins at its edge
     a = np.zeros((len(emission), p, r))
     a[0] = first / first.sum()
     block = max(1, int(np.ceil(np.sqrt(n))))
