@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -110,6 +110,11 @@ def row_argmin(scores: list[str], values: list[str] | None = None) -> tuple[Colu
     return F.when(~best["none"], best["i"]), F.when(~best["none"], best["v"])
 
 
+def with_prefix(df: DataFrame, prefix: str) -> list[str]:
+    """The names of a table's columns that begin with `prefix`, in its order."""
+    return [c for c in df.columns if c.startswith(prefix)]
+
+
 def row_mean(columns: list[str]) -> Column:
     """The mean of a row's non-null values."""
     n = sum((F.col(c).isNotNull().cast("int") for c in columns[1:]), F.col(columns[0]).isNotNull().cast("int"))
@@ -165,3 +170,8 @@ def geometry(x: str, y: str, z: str, md: str) -> dict[str, Column]:
         "azimuth_sin": F.when(radius > 0, y / radius).otherwise(0.0),
         "azimuth_cos": F.when(radius > 0, x / radius).otherwise(1.0),
     }
+
+
+def correlation(a, b) -> Column:
+    """Pearson's, null where one side doesn't vary."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.functions.scalars import clip, finite_or_null, gaussian_log_emission, is_finite, row_argmin
+from seriesloom.functions.scalars import clip, correlation, finite_or_null, gaussian_log_emission, is_finite, row_argmin
 from seriesloom.operators import joins, series
 
 
@@ -55,7 +55,7 @@ def shift_scan(df: DataFrame, curve: DataFrame, key: str, curve_key: list[str],
     rows = df.withColumn("shift", F.explode(F.array(*(F.lit(float(s)) for s in shifts)))).withColumn("__sx", F.col(x) + F.col("shift"))
     met = joins.interpolate_join(rows, curve, curve_key, "__sx", curve_x, curve_y, "__ref", clamp=False)
     both = F.col("__ref").isNotNull() & F.col(observed).isNotNull()
-    got = met.where(both).groupBy(key, "shift").agg(F.count("*").alias("n"), F.avg(gaussian_log_emission(observed, "__ref", sigma)).alias("likelihood"), F.corr(observed, "__ref").alias("c"), F.stddev_pop(observed).alias("so"), F.stddev_pop("__ref").alias("sr"))
+    got = met.where(both).groupBy(key, "shift").agg(F.count("*").alias("n"), F.avg(gaussian_log_emission(observed, "__ref", sigma)).alias("likelihood"), correlation(observed, "__ref").alias("c"), F.stddev_pop(observed).alias("so"), F.stddev_pop("__ref").alias("sr"))
     valid = (F.col("so") > 1e-9) & (F.col("sr") > 1e-9)
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("likelihood"), F.abs("shift"), "shift"))
     return got.select(key, "shift", "n", "likelihood", F.when(valid, F.col("c")).otherwise(-1.0).alias("zncc"), place.alias("place"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.functions.scalars import correlation
+
 
 def average_ranks(df: DataFrame, key: list[str], column: str, out: str) -> DataFrame:
     """`df` with ranks from 1, ties sharing their mean, over non-null values.
@@ -47,13 +49,13 @@ def spearman(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     """(key, rows, rho): the correlation of average ranks over rows that have both."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     rows = average_ranks(average_ranks(rows, key, a, "__ra"), key, b, "__rb")
-    return rows.groupBy(key).agg(F.count("*").alias("rows"), F.corr("__ra", "__rb").alias("rho"))
+    return rows.groupBy(key).agg(F.count("*").alias("rows"), correlation("__ra", "__rb").alias("rho"))
 
 
 def pearson(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     """(key, r): 0 where a side doesn't vary."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    got = df.where(both).groupBy(key).agg(F.corr(a, b).alias("r"), F.min(a).alias("a0"), F.max(a).alias("a1"), F.min(b).alias("b0"), F.max(b).alias("b1"))
+    got = df.where(both).groupBy(key).agg(correlation(a, b).alias("r"), F.min(a).alias("a0"), F.max(a).alias("a1"), F.min(b).alias("b0"), F.max(b).alias("b1"))
     return got.select(*key, F.when((F.col("a0") == F.col("a1")) | (F.col("b0") == F.col("b1")), 0.0).otherwise(F.col("r")).alias("r"))
 
 
