@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.operators.selection import numbered
+
 from seriesloom.functions.scalars import stable_choice
 
 
@@ -51,18 +53,18 @@ def envelope(df: DataFrame, reference: DataFrame, columns: list[str], low: float
 
 
 def transplanted(df: DataFrame, key: str, position: str, residual: str, size: int, out: str, salt: int = 0) -> DataFrame:
-    """`df` with the residuals of another group's block in place of its own, chosen by a hash of the block.
+    """`df` with the residuals of another group's block in place of its own, chosen by a hash of the group.
 
-    Blocks of equal number are dealt round in the order of a hash of their group, so none keeps its own where there are two.
+    Blocks of equal number are dealt round in the order of a SHA-256 of salt and group, so none keeps
+    its own where there are two; where the donor's block is shorter, the last rows have null.
     """
     block = F.floor(F.col(position) / size)
     rows = df.withColumns({"__b": block, "__o": F.pmod(F.col(position), F.lit(size))})
-    heads = rows.select(key, "__b").distinct()
-    w = Window.partitionBy("__b")
-    place = F.row_number().over(w.orderBy(F.xxhash64(F.col(key), F.lit(salt)), key))
-    heads = heads.withColumns({"__i": place, "__n": F.count("*").over(w)})
-    donors = heads.select(F.col("__b"), F.col(key).alias("__donor"), (F.pmod(F.col("__i"), F.col("__n")) + 1).alias("__i"))
-    plan = heads.join(donors, ["__b", "__i"]).select(key, "__b", "__donor")
+    heads = rows.select(key, "__b").distinct().withColumn("__h", F.sha2(F.concat_ws("::", F.lit(str(salt)), F.col(key).cast("string")).cast("binary"), 256))
+    placed = numbered(heads, ["__b", "__h", key], "__p")
+    spans = placed.groupBy("__b").agg(F.min("__p").alias("__low"), F.count("*").alias("__n"))
+    next_ = F.col("__low") + F.pmod(F.col("__p") - F.col("__low") + 1, F.col("__n"))
+    plan = placed.join(spans, "__b").select(key, "__b", next_.alias("__p")).join(placed.select("__p", F.col(key).alias("__donor")), "__p").select(key, "__b", "__donor")
     given = rows.select(F.col(key).alias("__donor"), "__b", "__o", F.col(residual).alias(out))
     return rows.join(plan, [key, "__b"]).join(given, ["__donor", "__b", "__o"], "left").drop("__b", "__o", "__donor")
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.functions.scalars import is_finite
+from seriesloom.functions.staging import staged
+
 
 def require_unique(df: DataFrame, keys: list[str], what: str) -> None:
     """Fails if `keys` repeat in `df`."""
@@ -97,29 +102,57 @@ def squared_distance(a: list[Column], b: list[Column]) -> Column:
     return sum(terms[1:], terms[0])
 
 
+def _fewest(rows: DataFrame, place: list[str], id_col: str, n: int, salts: int = 64) -> DataFrame:
+    """Of rows at one place those of the n smallest ids, in two steps, so that no task sorts all rows of a place."""
+    first = lambda keys: F.row_number().over(Window.partitionBy(keys).orderBy(id_col))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
+    dealt = dealt.withColumn("__n", first([*place, "__salt"])).where(F.col("__n") <= n)
+    return dealt.withColumn("__n", first(place)).where(F.col("__n") <= n).drop("__n", "__salt")
+
+
 def nearest_rows(queries: DataFrame, rows: DataFrame, coords: list[str], id_col: str, group: str, k: int, cell: float | None = None, same_group: bool = False, payload: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, neighbour, distance, rank, payload...): for each query the k nearest rows of other groups, ties by id.
 
-    With `cell`, rows are compared only within the cells of that width around a query's own, an
-    equi-join: exact where the k-th neighbour is nearer than `cell`. Without it every query meets
-    every row, which suits a small table of queries alone.
+    Exact, and never all pairs: a query meets the rows of the nine cells around it, by the first
+    two coordinates. It is done when its k-th neighbour is no farther than a cell is wide, as all
+    others are farther; the rest meet cells twice as wide, and so on. The first width (`cell`) gives
+    a cell about k rows on average. Of rows at one place in one group only the first k + 1 by id can
+    be among the nearest. Rows and queries with a coordinate that isn't finite take no part.
     """
-    q = queries.select(F.col(id_col), F.col(group).alias("__group"), *(F.col(c).alias(f"__q_{c}") for c in coords))
-    r = rows.select(F.col(id_col).alias("neighbour"), F.col(group).alias("__other"), *(F.col(c).alias(f"__r_{c}") for c in coords), *payload)
-    if cell is not None:
-        at = lambda c, p: F.floor(F.col(f"{p}{c}") / cell)
-        for i, c in enumerate(coords[:2]):
-            q = q.withColumn(f"__c{i}", at(c, "__q_")).withColumn(f"__c{i}", F.explode(F.sequence(F.col(f"__c{i}") - 1, F.col(f"__c{i}") + 1)))
-            r = r.withColumn(f"__c{i}", at(c, "__r_"))
-        pairs = q.join(r, [f"__c{i}" for i in range(min(2, len(coords)))])
-    else:
-        pairs = q.crossJoin(r)
+    good = reduce(lambda a, b: a & b, (is_finite(F.col(c)) for c in coords))
+    q = queries.where(good).select(F.col(id_col), F.col(group).alias("__group"), *(F.col(c).cast("double").alias(f"__q_{c}") for c in coords))
+    r = rows.where(good).select(F.col(id_col).alias("neighbour"), F.col(group).alias("__other"), *(F.col(c).cast("double").alias(f"__r_{c}") for c in coords), *payload)
+    r = staged(_fewest(r, ["__other", *(f"__r_{c}" for c in coords)], "neighbour", k + 1), "rows")
+    q = staged(q, "queries")
+    flat = coords[:2]
+    ends = lambda p: [f(f"{p}{c}").alias(f"{n}{i}") for i, c in enumerate(flat) for n, f in (("low", F.min), ("high", F.max))]
+    size, reach = r.agg(F.count("*").alias("n"), *ends("__r_")).first(), q.agg(*ends("__q_")).first()
+    both = lambda n: [x[n] for x in (size, reach) if x[n] is not None] or [0.0]
+    extent = max(max(both(f"high{i}")) - min(both(f"low{i}")) for i in range(len(flat)))
+    width = cell or max(extent * (k / max(size["n"], 1)) ** (1 / len(flat)), extent / 2**20, 1e-12)
     other = F.col("__group") == F.col("__other") if same_group else F.col("__group") != F.col("__other")
-    pairs = pairs.where(other & (F.col(id_col) != F.col("neighbour")))
     d2 = squared_distance([F.col(f"__q_{c}") for c in coords], [F.col(f"__r_{c}") for c in coords])
-    pairs = pairs.withColumn("distance", F.sqrt(d2))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy("distance", "neighbour"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(id_col, "neighbour", "distance", "rank", *payload)
+    done, cells = [], [f"__c{i}" for i in range(len(flat))]
+    while True:
+        near, held = q, r
+        for c, name in zip(flat, cells, strict=True):
+            at = F.floor(F.col(f"__q_{c}") / F.lit(width))
+            near = near.withColumn(name, F.explode(F.sequence(at - 1, at + 1)))
+            held = held.withColumn(name, F.floor(F.col(f"__r_{c}") / F.lit(width)))
+        pairs = near.join(held, cells).where(other & (F.col(id_col) != F.col("neighbour"))).withColumn("distance", F.sqrt(d2))
+        got = pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(id_col, "neighbour", "distance", "rank", *payload)
+        if width > extent:  # the cells around a query hold all rows
+            done.append(got)
+            break
+        got = staged(got, "nearest")
+        proven = got.where((F.col("rank") == k) & (F.col("distance") < width)).select(id_col)
+        done.append(got.join(proven, id_col, "left_semi"))
+        q = staged(q.join(proven, id_col, "left_anti"), "queries")
+        if q.limit(1).count() == 0:
+            break
+        width *= 2
+    return reduce(lambda a, b: a.unionByName(b), done)
 
 
 def knn_summary(neighbours: DataFrame, id_col: str, value: str) -> DataFrame:

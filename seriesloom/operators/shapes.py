@@ -12,7 +12,7 @@ from seriesloom.functions.staging import staged
 def self_matches(df: DataFrame, key: str, order: str, value: str, known: str, size: int, block: int = 4096) -> DataFrame:
     """(key, receiver, donor, orientation, ncc): for each window of the tail, the window of the known prefix it resembles most.
 
-    Windows are arrays of `size` rows, scaled to mean 0 and length 1, every `size` rows of the tail against all
+    Windows are arrays of `size` rows, scaled to mean 0 and length 1, all of the tail against all
     of the prefix, forward and reversed; the earliest donor wins ties. Windows with gaps or without variation take no part.
     Both sides are cut into blocks of `block` rows, and each pair of blocks is a join key of its own, so that no task pairs a whole long series.
     """
@@ -23,7 +23,7 @@ def self_matches(df: DataFrame, key: str, order: str, value: str, known: str, si
     rows = rows.withColumn("a", F.transform("a", lambda x: x - mean))
     rows = rows.withColumn("len", F.sqrt(F.aggregate("a", F.lit(0.0), lambda s, x: s + x * x))).where("len > 1e-9")
     rows = rows.withColumn("a", F.transform("a", lambda x: x / F.col("len")))
-    receivers = rows.where(F.col("tail") & (F.col(order) % size == 0)).select(key, F.col(order).alias("receiver"), F.col("a").alias("r"))
+    receivers = rows.where("tail").select(key, F.col(order).alias("receiver"), F.col("a").alias("r"))
     donors = rows.where("donor").select(key, F.col(order).alias("donor"), F.explode(F.map_from_arrays(F.array(F.lit("forward"), F.lit("reversed")), F.array("a", F.reverse("a")))).alias("orientation", "d"))
     dot = F.aggregate(F.zip_with("r", "d", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     number = lambda c: F.floor(F.col(c) / block)

@@ -16,7 +16,7 @@ w AS (SELECT user_id, row_idx, list(value) OVER p AS a, count(known) OVER p AS k
 m AS (SELECT user_id, row_idx, k, list_transform(a, lambda x: x - list_avg(a)) AS a FROM w WHERE len(a) = 8),
 v AS (SELECT user_id, row_idx, k, list_transform(a, lambda x: x / sqrt(list_inner_product(a, a))) AS a FROM m WHERE list_inner_product(a, a) > 1e-18),
 d AS (SELECT user_id, row_idx AS donor, 'forward' AS orientation, a FROM v WHERE k = 8 UNION ALL SELECT user_id, row_idx, 'reversed', list_reverse(a) FROM v WHERE k = 8),
-p AS (SELECT v.user_id, v.row_idx AS receiver, donor, orientation, round(list_inner_product(v.a, d.a), 9) AS ncc FROM v JOIN d USING (user_id) WHERE v.k = 0 AND v.row_idx % 8 = 0),
+p AS (SELECT v.user_id, v.row_idx AS receiver, donor, orientation, round(list_inner_product(v.a, d.a), 9) AS ncc FROM v JOIN d USING (user_id) WHERE v.k = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, receiver ORDER BY ncc DESC, donor, orientation) AS k FROM p)
 SELECT user_id, receiver, donor, orientation, round(ncc, 6) AS ncc FROM r WHERE k = 1""")
 def self_matches(spark, sf_dir):

@@ -147,12 +147,12 @@ def datum_shift(spark, sf_dir):
 
 @query("residual_transplant", BASE + """,
 r AS (SELECT user_id, row_idx, value - 50 AS res, row_idx // 16 AS blk, row_idx % 16 AS o FROM b),
-h AS (SELECT DISTINCT user_id, blk FROM r)
-SELECT blk AS block, count(*) AS rows FROM r GROUP BY ALL""")
+h AS (SELECT *, row_number() OVER (PARTITION BY blk ORDER BY sha256('0::' || user_id), user_id) - 1 AS i, count(*) OVER (PARTITION BY blk) AS c FROM (SELECT DISTINCT user_id, blk FROM r)),
+d AS (SELECT a.user_id, a.blk, g.user_id AS donor FROM h a JOIN h g ON a.blk = g.blk AND g.i = (a.i + 1) % a.c)
+SELECT r.user_id, r.row_idx, round(g.res, 6) + 0.0 AS given FROM r JOIN d USING (user_id, blk) LEFT JOIN r g ON g.user_id = donor AND g.blk = r.blk AND g.o = r.o""")
 def residual_transplant(spark, sf_dir):
     rows = base(spark, sf_dir).select(KEY, ROW, (F.col("value") - 50).alias("res"))
-    got = augment.transplanted(rows, KEY, ROW, "res", 16, "given")
-    return got.groupBy(F.floor(F.col(ROW) / 16).alias("block")).agg(F.count("*").alias("rows"))
+    return augment.transplanted(rows, KEY, ROW, "res", 16, "given").select(KEY, ROW, (F.round("given", 6) + 0.0).alias("given"))
 
 
 @query("envelope_guard", BASE + """,

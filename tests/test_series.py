@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.functions import scalars
-from seriesloom.operators import aggregates, augment, candidates, joins, series, splits, stats
+from seriesloom.operators import aggregates, augment, branches, candidates, joins, selection, series, splits, stats
 
 
 def frame(spark, columns, rows, kinds):
@@ -208,3 +208,69 @@ def test_knn_with_cells_equals_all_pairs(spark):
     df = spark.createDataFrame(pd.DataFrame({"id": range(300), "g": rng.integers(0, 5, 300), "x": rng.random(300), "y": rng.random(300)}))
     key = lambda d: sorted((r.id, r.neighbour, r["rank"]) for r in d.collect())
     assert key(joins.nearest_rows(df, df, ["x", "y"], "id", "g", 3)) == key(joins.nearest_rows(df, df, ["x", "y"], "id", "g", 3, cell=0.3))
+
+
+def test_nearest_rows_are_exact_among_clusters_copies_and_gaps(spark):
+    rng = np.random.default_rng(4)
+    places = np.concatenate([rng.normal(0, 0.01, (60, 2)), rng.normal(50, 5, (60, 2)), np.full((60, 2), 7.0), [[1e6, -1e6]]])
+    rows = [(i, i % 3, float(x), float(y)) for i, (x, y) in enumerate(places)] + [(900, 0, None, 1.0), (901, 1, math.nan, 1.0)]
+    df = frame(spark, ["id", "g", "x", "y"], rows, ["long", "long", "double", "double"])
+    want = {}
+    for i, g, x, y in rows[:181]:
+        far = sorted((math.sqrt((x - u) ** 2 + (y - v) ** 2), j) for j, h, u, v in rows[:181] if h != g and j != i)
+        want[i] = [j for _, j in far[:4]]
+    got = {}
+    for r in joins.nearest_rows(df, df, ["x", "y"], "id", "g", 4).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert got == want
+    few = joins.nearest_rows(df.limit(5), df.limit(5), ["x", "y"], "id", "g", 10)
+    assert few.count() == sum(sum(b[1] != a[1] for b in rows[:5]) for a in rows[:5]) and joins.nearest_rows(df.limit(0), df, ["x", "y"], "id", "g", 3).count() == 0
+
+
+def test_cover_then_fill_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"c{rng.integers(4)}", int(rng.integers(9)), i, float(rng.integers(1, 30))) for i in range(120)]
+    df = frame(spark, ["cause", "owner", "id", "score"], rows, ["string", "long", "long", "double"])
+    for most in (2, 6, 20):
+        totals = {}
+        for c, _, _, s in rows:
+            totals[c] = totals.get(c, 0) + s
+        ranked = sorted(rows, key=lambda r: (-r[3], r[2]))
+        want, taken = [], set()
+        for c in sorted(totals, key=lambda c: (-totals[c], c)):
+            if (best := next((r for r in ranked if r[0] == c and r[1] not in taken), None)) and len(want) < most:
+                taken.add(best[1])
+                want.append((best[1], best[2], "cover"))
+        for r in ranked:
+            if r[1] not in taken and len(want) < most:
+                taken.add(r[1])
+                want.append((r[1], r[2], "fill"))
+        got = selection.cover_then_fill(df, "cause", "owner", "id", "score", most).orderBy("selection_order").collect()
+        assert [(r.owner, r.id, r.phase) for r in got] == want
+
+
+def test_branches_hold_jumps_and_keep_their_order(spark):
+    df = frame(spark, ["k", "i", "p"], [("w", i, 98.0) for i in range(6)], ["string", "long", "double"])
+    got = branches.reset_branches(df, "k", "i", "p", [("base", 0.0, 0), ("up", 6.3, 3)], 0, 100).orderBy("branch", "i").collect()
+    assert [r.path for r in got] == [98.0] * 6 + [100.0] * 3 + [98.0] * 3
+    specs = branches.branch_specs()
+    assert [s[0] for s in specs[:4]] == ["base", "jump_m6p3_h128", "jump_m6p3_h256", "jump_m6p3_h512"] and len(specs) == 13 and specs[-1] == ("jump_p12p6_h512", 12.6, 512)
+    df = spark.range(1, 601).select(F.lit("w").alias("k"), "id", F.col("id").cast("double").alias("md"), F.lit(0.0).alias("z"), F.lit(1000.0).alias("last"), F.lit(0.0).alias("rate"))
+    ends = {r.sign: r.path for r in branches.signed_paths(df, "k", "id", "md", "z", "z", "z", "last", "rate", low=0, high=2000).where("id = 600").collect()}
+    rate = place = 0.0
+    for _ in range(600):
+        rate = 0.998 * rate + 0.005 / 512
+        place += rate
+    assert ends[0] == 1000 and abs(ends[1] - 1000 - place) < 1e-9 and abs(ends[-1] - 1000 + place) < 1e-9
+
+
+def test_choice_is_safe_at_ties_and_labels_are_all_best(spark):
+    rows = [("w", c, i, 1.0, True) for i, c in enumerate("abc")] + [("v", c, i, float(i), i < 2) for i, c in enumerate("abc")] + [("u", "a", 0, 1.0, False)]
+    df = frame(spark, ["k", "candidate", "position", "composite", "eligible"], rows, ["string", "string", "long", "double", "boolean"])
+    assert {r.k: r.selected for r in branches.target_free_choice(df, ["k"], "c").collect()} == {"w": "c", "v": "b", "u": "c"}
+    assert column(branches.best_labels(df.where("k = 'w'"), ["k"], "candidate", "composite"), "best", "candidate") == [True] * 3
+
+
+def test_scores_that_are_no_numbers_come_last(spark):
+    df = frame(spark, ["s"], [("1.5",), ("n/a",), (" 20 ",), (None,), ("NaN",), ("-3e2",)], ["string"])
+    assert [r.s for r in df.orderBy(F.desc(selection.score_key("s")), F.desc("s")).collect()][:3] == [" 20 ", "1.5", "-3e2"]
