@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -166,11 +167,22 @@ def bucket(column: str, edges: list[float], labels: list[str]) -> Column:
 def refractory(df: DataFrame, key: str, order: str, trigger: Column, gap: int) -> DataFrame:
     """(key, order): triggers that are accepted when each silences those within the next `gap` positions.
 
-    The accepted ones follow from each other, so a group's triggers are folded as a sorted array.
+    The accepted ones follow from each other, so a group's triggers travel as a sorted array, which is passed over once.
     """
     found = df.where(trigger).groupBy(key).agg(F.array_sort(F.collect_list(F.col(order).cast("long"))).alias("t"))
-    keep = F.aggregate("t", F.array().cast("array<bigint>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) >= gap), F.concat(a, F.array(x))).otherwise(a))
-    return found.select(key, F.explode(keep).alias(order))
+
+    @F.pandas_udf("array<bigint>")
+    def accepted(series: pd.Series) -> pd.Series:
+        out = []
+        for t in series:
+            kept: list[int] = []
+            for x in t.tolist():
+                if not kept or x - kept[-1] >= gap:
+                    kept.append(x)
+            out.append(kept)
+        return pd.Series(out)
+
+    return found.select(key, F.explode(accepted("t")).alias(order))
 
 
 def near_boundary(df: DataFrame, key, order: str, segment: str, radius: int, out: str = "near_boundary") -> DataFrame:

@@ -1,3 +1,6 @@
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +93,40 @@ def test_online_filter_emits_a_row_for_each_observation(spark, tmp_path):
     df = spark.createDataFrame([("a", i, 5.0) for i in range(12)], "id string, i long, value double")
     got = drain(spark, streaming.online_filter(stream(spark, df, tmp_path), "id", "i", "value", 1.0, 0.01), tmp_path, "append")
     assert len(got) == 12 and abs(got[-1].level - 5) < 0.01
+
+
+def in_order(spark, df, tmp_path):
+    """Three batches, each after the one before."""
+    last = df.agg(F.max("i")).first()[0] + 1
+    for k in range(3):
+        df.where((F.col("i") * 3 >= k * last) & (F.col("i") * 3 < (k + 1) * last)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # the source orders files by the second
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+
+def test_fixed_lag_smoother_equals_smoothing_each_window(spark, tmp_path):
+    values = [5.0, 6.0, None, 9.0, 8.0, 7.5, None, 7.0, 3.0, 2.0]
+    df = spark.createDataFrame([(k, i, v) for k in ("a", "b") for i, v in enumerate(values)], "id string, i long, value double")
+    got = drain(spark, streaming.fixed_lag_smoother(in_order(spark, df, tmp_path), "id", "i", "value", 1.0, 0.5, lag=3), tmp_path, "append")
+    assert sorted((r.id, r.i) for r in got) == [(k, i) for k in ("a", "b") for i in range(7)]
+    n = len(values)
+    for r in got:
+        # the level of row i by the normal equations of rows 0 to i + 3
+        m = r.i + 4
+        a, b = np.zeros((m, m)), np.zeros(m)
+        a[0, 0] += 1 / 1e6
+        for j in range(m):
+            if values[j] is not None:
+                a[j, j] += 1.0
+                b[j] += values[j]
+            if j:
+                a[j - 1 : j + 1, j - 1 : j + 1] += np.array([[1, -1], [-1, 1]]) / 0.5
+        assert m <= n and abs(np.linalg.solve(a, b)[r.i] - r.level) < 1e-3 and abs(np.linalg.inv(a)[r.i, r.i] - r.variance) < 1e-3
+
+
+def test_refractory_and_row_blocks_over_batches(spark, tmp_path):
+    df = spark.createDataFrame([("a", i, i in (1, 3, 6, 7, 13), float(i)) for i in range(20)], "id string, i long, hit boolean, value double")
+    got = drain(spark, streaming.refractory_triggers(in_order(spark, df, tmp_path), "id", "i", "hit", 5), tmp_path / "x", "append")
+    assert sorted(r.i for r in got) == [1, 6, 13]
+    got = drain(spark, streaming.row_blocks(in_order(spark, df, tmp_path / "y"), "id", "i", "value", 8, 4), tmp_path / "y", "append")
+    assert sorted((r.block, r.rows, r["mean"]) for r in got) == [(0, 8, 3.5), (1, 8, 7.5), (2, 8, 11.5), (3, 8, 15.5)]
