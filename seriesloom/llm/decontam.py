@@ -31,7 +31,7 @@ SPANS = [SPAN] * len(LEFT_OUT) + list(range(1, SPAN))
 #: An item counts as held if this many of its words stand in order with at least this part of them in place; of items below that, that part of all words, and of those below SPAN all.
 MIN_WORDS, MIN_SHARE = 13, 0.8
 #: Bits of the filter for each seed of the benchmark, and the most in all, as powers of 2: 32 MB to each executor.
-SEED_BITS, FILTER_BITS = 5, 28
+SEED_BITS, FILTER_BITS = 8, 28
 _FACTORS = np.random.Generator(np.random.Philox(8)).integers(0, 1 << 63, (len(MASKS), SPAN), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -80,15 +80,19 @@ def benchmark_items(benchmark: DataFrame, id_col="item_id", text_col="text") ->
 
 
 def _places(h, bits: int):
-    """Two places in a filter of 2 ** bits for each seed."""
-    low = np.uint64((1 << bits) - 1)
-    return (h & low).astype(np.int64), ((h >> np.uint64(32)) & low).astype(np.int64)
+    """Three places in a filter of 2 ** bits for each seed."""
+    return [((h >> np.uint64(s)) & np.uint64((1 << bits) - 1)).astype(np.int64) for s in _shifts(bits)]
+
+
+def _shifts(bits: int) -> tuple[int, int, int]:
+    """Where in a seed the places are read, with as few bits in common as can be."""
+    return 0, (64 - bits) // 2, 64 - bits
 
 
 def _filter(items: DataFrame, bits: int) -> np.ndarray:
     """The filter, filled in Spark; 2 ** (bits - 3) bytes reach the driver."""
     seed = items.select(F.explode("seeds").alias("s"))
-    place = F.explode(F.array(*(x.bitwiseAND(F.lit((1 << bits) - 1)) + 1 for x in (F.col("s"), F.shiftrightunsigned("s", 32))))).alias("p")
+    place = F.explode(F.array(*(x.bitwiseAND(F.lit((1 << bits) - 1)) + 1 for x in (F.shiftrightunsigned("s", k) for k in _shifts(bits))))).alias("p")
     parts = seed.select(place).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("part")).toArrow()
     size = 4096  # bytes of a bucket
     out = np.zeros(max(size, 1 << (bits - 3)), np.uint8)
@@ -126,9 +130,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="t
                 heads = w.bounds + np.arange(len(w.bounds))
                 where, kind, seed = [], [], []
                 for k, h in zip(kinds, seeds(padded, kinds), strict=True):
-                    p, q = _places(h, bits)
-                    i = np.flatnonzero(has(p))
-                    i = i[has(q[i])]
+                    first, *rest = _places(h, bits)
+                    i = np.flatnonzero(has(first))
+                    for at in rest:
+                        i = i[has(at[i])]
                     where.append(i)
                     kind.append(np.full(len(i), k))
                     seed.append(h[i])
