@@ -41,3 +41,26 @@ def test_an_empty_table_passes_through(spark, sf, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, sf):
+    """Every stage keeps the columns of what it gets, extra ones too, and treats null and repeated rows as its operator does."""
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    good = next(r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and 300 < len(r.text) < 2000 and not any(i in r.text for i in items))
+    leak = items[0]
+    rows = [(1, None, None, None, 0), (1, None, None, None, 0), (None, good.text, "en", "a", 1), (2, good.text, "en", "a", 2), (2, good.text, "en", "a", 2), (3, "", None, "b", 3), (4, good.text + " " + leak, "en", "b", 4), (5, "word " * 20_000, None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").selectExpr("*", "1 as item_id", "'x' as id", "0.5D as score", "7 as shard", "8 as size", "9 as words", "doc_id as label", "0 as taken", "1 as component_id")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf)
+        out = got.collect()
+        kept[name] = out
+        if name != "shard":
+            assert got.columns == docs.columns
+        if name not in ("mix", "shard"):
+            assert {tuple(r) for r in out} <= {tuple(r) for r in docs.collect()}
+    assert sum(r.text == good.text for r in kept["quality_filter"]) in (0, 3)
+    assert all(any(t is None or t.startswith(r.text) for t in (x[1] for x in rows)) for r in kept["mix"])
+    assert sum(r.text == good.text for r in kept["near_dedup"]) == 1
+    assert [r.doc_id for r in kept["decontaminate"] if r.text and leak in r.text] == [] and len(kept["decontaminate"]) == 7
+    assert len(kept["shard"]) == len(rows) and all(r.text_crc32 is not None for r in kept["shard"])
