@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.staging import staged
 from seriesloom.operators import candidates, decoders, models, series
-from seriesloom.plans.base import KEY, ROW, base, folds, query, rounded, table, tails
+from seriesloom.plans.base import CANDIDATES, KEY, ROW, base, folds, query, rounded, table, tails
 
 GRID = np.arange(-50.0, 50.0 + 0.175, 0.35)
 RATES = np.linspace(-0.1, 0.1, 41)
@@ -192,7 +192,7 @@ def pca_axis(spark, sf_dir):
     return models.first_axis(users.where("fold <> 0"), users.where("fold = 0"), ["n", "mean", "std"], "axis").select(KEY, "axis")
 
 
-@query("candidate_recentring")
+@query("candidate_recentring", CANDIDATES + " SELECT user_id, round((slope + avg(slope) OVER (PARTITION BY fold)) / 2, 9) AS slope FROM sl JOIN f USING (user_id)")
 def candidate_recentring(spark, sf_dir):
     """Recent slopes drawn towards the mean of each fold's others."""
     slopes = candidates.recent_slope(base(spark, sf_dir), KEY, ROW, "md", "known").join(folds(spark, sf_dir), KEY)
