@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.scalars import correlation
+from seriesloom.operators.selection import numbered
 
 
 def average_ranks(df: DataFrame, key: list[str], column: str, out: str) -> DataFrame:
@@ -61,14 +62,26 @@ def pearson(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
 
 def benjamini_hochberg(df: DataFrame, p: str, tie: str, key: list[str] | None = None) -> DataFrame:
     """`df` (a row for each test) with `q`, the false discovery rate at which a test is called."""
-    by = key or []
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(p, tie))
-    n = F.count("*").over(Window.partitionBy(by))
+    if not key:
+        return _whole_benjamini_hochberg(df, p, tie)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(p, tie))
+    n = F.count("*").over(Window.partitionBy(key))
     rows = df.withColumn("__raw", F.col(p) * n / rank).withColumn("__rank", rank)
-    q = F.min("__raw").over(Window.partitionBy(by).orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0))
+    q = F.min("__raw").over(Window.partitionBy(key).orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("q", F.least(q, F.lit(1.0))).drop("__raw", "__rank")
 
 
+def _whole_benjamini_hochberg(df: DataFrame, p: str, tie: str, block: int = 65_536) -> DataFrame:
+    """All tests as one family: ranks by ranges of p, least values from the end within blocks of ranks, and over the few blocks."""
+    rows = numbered(df, [p, tie], "__rank")
+    n = rows.count()
+    rows = rows.withColumns({"__raw": F.col(p) * n / (F.col("__rank") + 1), "__block": F.floor(F.col("__rank") / block)})
+    later = Window.orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("__block").agg(F.min("__raw").alias("m")).select("__block", F.min("m").over(later).alias("__later"))  # a row for each block
+    own = F.min("__raw").over(Window.partitionBy("__block").orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(F.broadcast(blocks), "__block").withColumn("q", F.least(own, "__later", F.lit(1.0))).drop("__raw", "__rank", "__block", "__later")
+
+
 def empirical_percentile(df: DataFrame, reference: DataFrame, key: list[str], column: str, out: str) -> DataFrame:
     """`df` with the part of the reference below each value, ties counted half; null where the reference is empty."""
     ref = reference.where(F.col(column).isNotNull()).groupBy(*key, column).agg(F.count("*").alias("__ref"))

@@ -274,3 +274,17 @@ def test_choice_is_safe_at_ties_and_labels_are_all_best(spark):
 def test_scores_that_are_no_numbers_come_last(spark):
     df = frame(spark, ["s"], [("1.5",), ("n/a",), (" 20 ",), (None,), ("NaN",), ("-3e2",)], ["string"])
     assert [r.s for r in df.orderBy(F.desc(selection.score_key("s")), F.desc("s")).collect()][:3] == [" 20 ", "1.5", "-3e2"]
+
+
+def test_q_values_of_one_family_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    ps = np.round(rng.random(200) ** 3, 3).tolist()
+    df = frame(spark, ["i", "p"], list(enumerate(ps)), ["long", "double"])
+    order = sorted(range(200), key=lambda i: (ps[i], i))
+    want, least = {}, 1.0
+    for rank in range(200, 0, -1):
+        least = min(least, ps[order[rank - 1]] * 200 / rank)
+        want[order[rank - 1]] = least
+    for block in (7, 65_536):
+        got = {r.i: r.q for r in stats._whole_benjamini_hochberg(df, "p", "i", block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
