@@ -4,7 +4,8 @@ Fingerprints that differ in at most 3 bits share at least 5 of their 8 bytes in
 inverted index has one posting list for each choice of 4 byte positions from a Steiner system and
 each content of these: 14 choices of positions meet every set of 5 shared positions, so no link
 is lost, and a list holds the few fingerprints that agree in 32 bits. In each list the shared
-bytes of a pair are tallied; pairs with at least 5 go on to the exact bit count.
+bytes of a pair are tallied, as zero bytes of the pair's XOR rather than by counting the lists that
+both stand in; pairs with at least 5 go on to the exact bit count.
 """
 
 from __future__ import annotations
