@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.staging import staged
+from seriesloom.functions.staging import drop_staged, staged
 from seriesloom.llm.tokens import words
 
 #: Newton steps at most, the step below which a model has settled, and the pull of the weights towards 0.
@@ -239,12 +239,13 @@ def train(rows: DataFrame, labels: DataFrame, id_col="doc_id", label_col="qualit
     trusted = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label")).where("label = 1").select("id", F.lit(True).alias("trusted"))
     rows = staged(rows.join(trusted, "id", "left").select("features", F.coalesce("trusted", F.lit(False)).alias("trusted")), "marked")
     measure = lambda w: _measure(rows, w)
-    zero = np.zeros(2 * len(FEATURES) + 1)
-    if not measure(zero)[0].n:
-        return zero
-    first = np.round(fit(measure, zero, None), 6)
-    prior = estimate_prior(_histogram(rows.where("trusted"), first), _histogram(rows, first))
-    return np.round(fit(measure, zero, prior), 6)
+    w = np.zeros(2 * len(FEATURES) + 1)
+    if measure(w)[0].n:
+        first = np.round(fit(measure, w, None), 6)
+        prior = estimate_prior(_histogram(rows.where("trusted"), first), _histogram(rows, first))
+        w = np.round(fit(measure, w, prior), 6)
+    drop_staged(rows)
+    return w
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", folds: int = 5) -> DataFrame:
@@ -271,7 +272,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="tex
     Learned from all labels. Texts are read a second time to be scored where they lie, so that no
     text is shuffled.
     """
-    w = train(staged(text_features(docs, id_col, text_col), "features"), labels, id_col, label_col)
+    rows = staged(text_features(docs, id_col, text_col), "features")
+    w = train(rows, labels, id_col, label_col)
+    drop_staged(rows)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
