@@ -19,13 +19,15 @@ def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order:
     """Runs `kernel(rows, curve x, curve y)` on each group of `series`, in the order of `order`, with the points of its curve.
 
     A series travels as one row of sorted arrays and meets its curve, one row a curve key, only
-    then. The kernel gives one value a row for each of `columns`. A series is one task: a path is sequential.
+    then. The kernel gives one value a row for each of `columns`. A series is in one task, as a path
+    is sequential; series are dealt to as many tasks as there are shuffle partitions.
     """
     point = F.struct(F.col(curve_x).cast("double").alias("x"), F.col(curve_y).cast("double").alias("y"))
     packed = curve.where(F.col(curve_x).isNotNull() & F.col(curve_y).isNotNull()).groupBy(F.col(curve_key)).agg(F.array_sort(F.collect_list(point)).alias("__c"))
     packed = packed.select(curve_key, F.col("__c.x").alias("__cx"), F.col("__c.y").alias("__cy"))
     inner = [order, *(c for c in series.columns if c not in (key, curve_key, order))]
-    whole = series.groupBy(key).agg(F.first(curve_key).alias(curve_key), F.array_sort(F.collect_list(F.struct(*inner))).alias("__s"))
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work a series: not to be put together
+    whole = series.repartition(tasks, key).groupBy(key).agg(F.first(curve_key).alias(curve_key), F.array_sort(F.collect_list(F.struct(*inner))).alias("__s"))
     whole = whole.select(key, curve_key, *(F.col(f"__s.{c}").alias(c) for c in inner)).join(packed, curve_key)
     names = [c.split()[0] for c in columns.split(", ")]
     schema = f"{key} {series.schema[key].dataType.simpleString()}, {order} {series.schema[order].dataType.simpleString()}, {columns}"
