@@ -143,15 +143,14 @@ def _valid_iban(entity: Column, made: Column) -> Column:
     return F.when(mod97(entity) == 1, F.concat(F.substring(made, 1, 2), F.lpad(check.cast("string"), 2, "0"), rest)).otherwise(made)
 
 
-def surrogate_of(kind: Column, entity: Column, gender: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity, in the form that `entity_of` gives.
+def surrogate_of(kind: Column, entity: Column, gender: Column, attempt: Column, d: Column) -> Column:
+    """The surrogate of an entity, in the form that `entity_of` gives, from the digits `d` that `_nibbles` drew for it.
 
     IP addresses come from the reserved block 240.0.0.0/4, email domains from example.org; phone
     numbers and cards keep their first digit, IBANs their country; hex stays hex. Cards and IBANs
     with right check digits get such; social security numbers are in the ranges that are given out.
     Later attempts are longer: digits and letters more, an IP address of version 6 from 2001:db8::/32.
     """
-    d = _nibbles(kind, entity, attempt, key)
     byte = lambda i: F.conv(F.substring(d, 2 * i + 1, 2), 16, 10).cast("int")
     wide = F.floor(attempt / WIDEN).cast("int")
     ip = F.concat_ws(".", *((x).cast("string") for x in (byte(0) % 15 + 240, byte(1), byte(2), byte(3))))
@@ -217,8 +216,10 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     """
     now = staged(entities.withColumn("attempt", F.lit(0)), "entities")
     columns = [F.col(c) for c in ("kind", "entity", "gender", "attempt")]
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work a row
     while True:
-        named = staged(now.withColumn("surrogate", surrogate_of(*columns, key)), "surrogates")
+        drawn = now.repartition(tasks, "kind", "entity").withColumn("d", _nibbles(F.col("kind"), F.col("entity"), F.col("attempt"), key))
+        named = staged(drawn.withColumn("surrogate", surrogate_of(*columns, F.col("d"))).drop("d"), "surrogates")
         first = named.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", "first")
         real = named.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         checked = named.join(first, ["kind", "surrogate"], "left").join(real, ["kind", "surrogate"], "left")
