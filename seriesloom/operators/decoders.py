@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -165,28 +166,61 @@ class Lattice:
         self.wide = max(noise / self.cell, 0.5)
         self.row = np.arange(len(grid))[:, None]
 
-    def moves(self, step: float, shift: float, pull: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """(flat target, chance), each 5 x positions x rates."""
+    def moves(self, step: float, shift: float, pull: float = 1.0) -> EvenMoves | Moves:
         way = (self.rates[None, :] * step + shift) / self.cell
         if pull != 1.0:
             way = way + (pull - 1.0) * (self.grid[:, None] - self.center) / self.cell
         near = np.rint(way)
         off = np.arange(-2, 3)[:, None, None]
         chance = np.exp(-0.5 * ((off - (way - near)[None]) / self.wide) ** 2)
+        if pull == 1.0:
+            return EvenMoves(near[0].astype(np.intp), chance[:, 0], self.row)
         target = self.row + near.astype(np.intp) + off
         inside = (target >= 0) & (target < len(self.grid))
         chance = np.where(inside, chance, 0.0)
         chance /= np.maximum(chance.sum(axis=0), 1e-300)
-        return np.clip(target, 0, len(self.grid) - 1) * len(self.rates) + np.arange(len(self.rates)), chance
+        return Moves(np.clip(target, 0, len(self.grid) - 1) * len(self.rates) + np.arange(len(self.rates)), chance)
 
-    def ahead(self, a: np.ndarray, moves: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        target, chance = moves
-        flat = target.ravel()
-        return np.stack([np.bincount(flat, (chance * m).ravel(), m.size).reshape(m.shape) for m in a])
 
-    def back(self, b: np.ndarray, moves: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        target, chance = moves
-        return np.stack([(chance * m.ravel()[target]).sum(axis=0) for m in b])
+class Moves(NamedTuple):
+    """(flat target, chance), each 5 x positions x rates."""
+
+    target: np.ndarray
+    chance: np.ndarray
+
+    def ahead(self, a: np.ndarray) -> np.ndarray:
+        flat = self.target.ravel()
+        return np.stack([np.bincount(flat, (self.chance * m).ravel(), m.size).reshape(m.shape) for m in a])
+
+    def back(self, b: np.ndarray) -> np.ndarray:
+        return np.stack([(self.chance * m.ravel()[self.target]).sum(axis=0) for m in b])
+
+
+class EvenMoves:
+    """Moves that are the same from every position: five shifted copies, scaled where the grid ends."""
+
+    def __init__(self, near: np.ndarray, chance: np.ndarray, row: np.ndarray):
+        self.near, self.chance, self.row, self.rates = near, chance, row, np.arange(len(near))
+        upto = np.concatenate((np.zeros((1, len(near))), np.cumsum(chance, axis=0)))
+        low, high = np.clip(2 - row - near, 0, 5), np.clip(len(row) + 2 - row - near, 0, 5)
+        inside = upto[high, self.rates] - upto[low, self.rates]
+        self.scale = np.where(inside > 0, 1 / np.maximum(inside, 1e-300), 0.0)
+        self.wide = min(int(np.abs(near).max()) + 2, len(row) + 2)
+
+    def _shifted(self, a: np.ndarray, sign: int) -> np.ndarray:
+        padded = np.zeros((len(a) + 2 * self.wide + 4, len(self.near)))
+        first = self.wide + 2
+        padded[first : first + len(a)] = a
+        base = np.clip(first + self.row + sign * self.near, 2, len(padded) - 3)
+        base = base * len(self.near) + self.rates
+        flat = padded.ravel()
+        return sum(self.chance[k] * flat[base + sign * (k - 2) * len(self.near)] for k in range(5))
+
+    def ahead(self, a: np.ndarray) -> np.ndarray:
+        return np.stack([self._shifted(m * self.scale, -1) for m in a])
+
+    def back(self, b: np.ndarray) -> np.ndarray:
+        return np.stack([self._shifted(m, 1) * self.scale for m in b])
 
 
 def hmm(step: np.ndarray, emission: np.ndarray, grid: np.ndarray, rates: np.ndarray, start: float, rate: float, shift: np.ndarray | None = None, pull: np.ndarray | None = None, center: float = 0.0, switch: np.ndarray | None = None, start_sd: float = 0.75, rate_sd: float = 0.01, rate_noise: float = 0.002, noise: float = 0.02, momentum: float = 0.998, apart: float = 2.0) -> dict[str, np.ndarray]:
@@ -207,9 +241,9 @@ def hmm(step: np.ndarray, emission: np.ndarray, grid: np.ndarray, rates: np.ndar
     top = emission.max(axis=(0, 2))
     like = np.exp(emission - top[None, :, None])
 
-    def forward(a: np.ndarray, i: int, moves: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, float]:
+    def forward(a: np.ndarray, i: int, moves: EvenMoves | Moves) -> tuple[np.ndarray, float]:
         a = np.einsum("kpr,kl->lpr", a, switch) if len(a) > 1 else a
-        a = lattice.ahead(a @ mix, moves) * like[:, i, :, None]
+        a = moves.ahead(a @ mix) * like[:, i, :, None]
         mass = a.sum()
         return (a / mass, float(np.log(mass))) if mass > 0 else (np.full_like(a, 1 / a.size), -690.0)
 
@@ -242,7 +276,7 @@ def hmm(step: np.ndarray, emission: np.ndarray, grid: np.ndarray, rates: np.ndar
             out["sd"][i] = np.sqrt(max(0.0, post @ grid**2 - out["mean"][i] ** 2))
             out["first_mode"][i] = joint[0].sum()
             out["second_peak"][i] = second_peak(post, grid, apart)
-            b = lattice.back(b * like[:, i, :, None], moves[i - rows[0]]) @ mix.T
+            b = moves[i - rows[0]].back(b * like[:, i, :, None]) @ mix.T
             b = np.einsum("kpr,lk->lpr", b, switch) if len(b) > 1 else b
             b /= max(b.max(), 1e-300)
     return out

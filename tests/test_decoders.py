@@ -85,6 +85,17 @@ def test_a_missing_observation_changes_nothing_but_the_spread():
     assert np.allclose(got["mean"], 0, atol=1e-9) and abs(got["loglik"][0]) < 1e-9 and got["sd"][1] > got["sd"][0]
 
 
+@pytest.mark.parametrize("step", [0.0, 1.0, -7.0, 400.0])
+def test_even_moves_equal_plain_loops(step):
+    rng = np.random.default_rng(1)
+    grid, rates = np.arange(11) * 0.35 - 2, np.linspace(-0.4, 0.5, 5)
+    even = decoders.Lattice(grid, rates, 0.02).moves(step, 0.3)
+    m = dense_move(grid, rates, 0.02, step, 0.3, 1.0, 0.0)
+    a = rng.random((2, 11, 5))
+    assert isinstance(even, decoders.EvenMoves)
+    assert np.allclose(even.ahead(a), np.einsum("kpr,prq->kqr", a, m)) and np.allclose(even.back(a), np.einsum("kqr,prq->kpr", a, m))
+
+
 def test_second_peak():
     grid = np.arange(10.0)
     mass = np.array([0, 1, 0, 0, 4, 3, 0, 0, 2, 0.0])
