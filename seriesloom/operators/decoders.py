@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Points of all curves together, 16 bytes each, that are broadcast at most.
+CURVE_POINTS = 500_000
+
+
 def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order: str, kernel: Callable[[pd.DataFrame, np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: str, curve_x: str, curve_y: str) -> DataFrame:
     """Runs `kernel(rows, curve x, curve y)` on each group of `series`, in the order of `order`, with the points of its curve.
 
@@ -26,6 +30,7 @@ def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order:
     point = F.struct(F.col(curve_x).cast("double").alias("x"), F.col(curve_y).cast("double").alias("y"))
     packed = curve.where(F.col(curve_x).isNotNull() & F.col(curve_y).isNotNull()).groupBy(F.col(curve_key)).agg(F.array_sort(F.collect_list(point)).alias("__c"))
     packed = packed.select(curve_key, F.col("__c.x").alias("__cx"), F.col("__c.y").alias("__cy"))
+    packed = F.broadcast(packed) if curve.count() <= CURVE_POINTS else packed  # else series are shuffled by their curve
     inner = [order, *(c for c in series.columns if c not in (key, curve_key, order))]
     tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work a series: not to be put together
     whole = series.repartition(tasks, key).groupBy(key).agg(F.first(curve_key).alias(curve_key), F.array_sort(F.collect_list(F.struct(*inner))).alias("__s"))
@@ -244,6 +249,7 @@ def hmm(step: np.ndarray, emission: np.ndarray, grid: np.ndarray, rates: np.ndar
     def forward(a: np.ndarray, i: int, moves: EvenMoves | Moves) -> tuple[np.ndarray, float]:
         a = np.einsum("kpr,kl->lpr", a, switch) if len(a) > 1 else a
         a = moves.ahead(a @ mix) * like[:, i, :, None]
+        a[a < 1e-200] = 0.0  # numbers that small are slow, and count for nothing
         mass = a.sum()
         return (a / mass, float(np.log(mass))) if mass > 0 else (np.full_like(a, 1 / a.size), -690.0)
 
