@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +17,9 @@ _TABLE = _RNG.integers(0, 1 << 64, (64, 256), np.uint64)
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: Letters and digits of ASCII, the underscore, and every byte of other characters.
 _WORD = np.array([c >= 128 or chr(c).isalnum() or c == 95 for c in range(256)])
+#: All bytes but ASCII white space; and letters and digits of ASCII with every byte of other characters.
+NO_SPACE = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
+ALNUM = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 
 
 class Words(NamedTuple):
@@ -53,20 +56,33 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def ascii_lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 def words(column: pa.Array) -> Iterator[Words]:
     """Maximal runs of word characters in lower case, for successive rows of `column`."""
+    return runs(column, _WORD, lowered)
+
+
+def runs(column: pa.Array, member: np.ndarray, fold: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[Words]:
+    """Maximal runs of the bytes that `member` (of 256 booleans) marks, for successive rows of `column`; hashes are of the folded bytes."""
     for first, offsets, data in slices(column):
-        inside = _WORD[data]
+        inside = member[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True  # a word ends with its text
         before = np.concatenate(([False], inside[:-1])) & ~edge[:-1]
         after = np.concatenate((inside[1:], [False])) & ~edge[1:]
         starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         if len(starts):
-            low, sizes = lowered(data)[inside], ends - starts
+            low, sizes = (fold(data) if fold else data)[inside], ends - starts
             heads = np.cumsum(sizes) - sizes
-            place = (np.arange(len(low)) - np.repeat(heads, sizes)) & 63
-            hashes = np.add.reduceat(_TABLE[place, low], heads)
+            place = np.arange(len(low)) - np.repeat(heads, sizes)
+            values = _TABLE[place & 63, low]
+            if sizes.max() > 64:  # equal bytes 64 places apart count differently
+                values *= (place >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1)
+            hashes = np.add.reduceat(values, heads)
             hashes ^= hashes >> np.uint64(29)
         else:
             hashes = np.zeros(0, np.uint64)
