@@ -1,17 +1,46 @@
-"""Small tables joined with texts, without shuffling the texts."""
+"""Small tables joined with texts, without shuffling the texts; and joins whose keys may be hot."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.staging import staged
 
 #: Rows of about 100 bytes that are broadcast at most, some 20 MB.
 ROWS = 200_000
+#: A key with more rows than this, and more than one part in so many of all, is dealt to many tasks: so many keys at most.
+HOT_ROWS, HOT_KEYS = 20_000, 1000
 
 
 def beside(df: DataFrame, what: str) -> DataFrame:
     """`df`, written, and to be broadcast where it has at most ROWS narrow rows; else joins with it are shuffled."""
     df = staged(df, what)
     return F.broadcast(df) if df.count() <= ROWS else df
+
+
+def few_entries(df: DataFrame, lists: str) -> DataFrame:
+    """The written table `df`, to be broadcast where its lists have at most ROWS narrow entries in all."""
+    return F.broadcast(df) if (df.agg(F.sum(F.size(lists))).first()[0] or 0) <= ROWS else df
+
+
+def joined(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """`rows` with the columns of the written table `keys`, which has a row for each key and in `n` its number of rows; rows without a key go.
+
+    Rows of a hot key are dealt to many tasks, to each of which the key is copied.
+    """
+    total, most = keys.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
+        return rows.join(keys.drop("n"), on)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = keys.where(F.col("n") > limit).select(*on, F.lit(True).alias("__hot"))  # at most HOT_KEYS rows
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__hot")
+    copies = keys.withColumn("__salt", F.explode(F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    return dealt.join(copies, [*on, "__salt"]).drop("__salt")
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are done; else they stay until the driver's JVM next collects its garbage."""
+    spark.sparkContext._jvm.System.gc()

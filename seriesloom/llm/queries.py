@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesloom.llm import chat, decontam, fim, langid, lexical, mixing, pii, quality, sharding, simhash, topk, warc
+from seriesloom.llm import chat, decontam, fim, langid, lexical, mixing, pii, quality, repeats, sharding, simhash, topk, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op8_spaced_seed_decontamination": decontam.op8_spaced_seed_decontamination,
         "op9_block_at_a_time_top_k": topk.op9_block_at_a_time_top_k,
         "op10_capped_water_filling": mixing.op10_capped_water_filling,
+        "op11_seed_and_extend_repeats": repeats.op11_seed_and_extend_repeats,
         "op12_sparse_index_fim": fim.op12_sparse_index_fim,
         "op13_range_maximum_search": lexical.op13_range_maximum_search,
     }
@@ -36,6 +37,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_spaced_seed_decontamination": decontam.OP8_SQL,
         "op9_block_at_a_time_top_k": topk.OP9_SQL,
         "op10_capped_water_filling": mixing.OP10_SQL,
+        "op11_seed_and_extend_repeats": repeats.OP11_SQL,
         "op12_sparse_index_fim": fim.OP12_SQL,
         "op13_range_maximum_search": lexical.OP13_SQL,
     }

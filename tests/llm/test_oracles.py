@@ -7,7 +7,7 @@ from seriesloom.llm import queries
 from tests.test_entry import con, test_query_equals_sql  # noqa: F401
 from tests.test_entry import registry as series_registry
 
-NAMES = ("op2_warc_boundary_chain", "op6_schema_fingerprint_chat", "op8_spaced_seed_decontamination", "op9_block_at_a_time_top_k", "op10_capped_water_filling", "op12_sparse_index_fim", "op13_range_maximum_search")
+NAMES = ("op2_warc_boundary_chain", "op6_schema_fingerprint_chat", "op8_spaced_seed_decontamination", "op9_block_at_a_time_top_k", "op10_capped_water_filling", "op11_seed_and_extend_repeats", "op12_sparse_index_fim", "op13_range_maximum_search")
 equals_sql = test_query_equals_sql
 del test_query_equals_sql
 
