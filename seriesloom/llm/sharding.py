@@ -3,7 +3,7 @@
 The tree splits a range of shards in two, at the weighted median (more exactly, the quantile that
 the two parts of the range need) along the dimension in which the node's units spread most. A
 unit is a group of equal texts, so that copies stay together; a group larger than a shard is cut
-into pieces by id. Medians come from sums over bins of the coordinate, refined once, over all
+into pieces of successive rows. Medians come from sums over bins of the coordinate, refined once, over all
 units; no node's rows are ever gathered. Every unit is placed by the tree.
 """
 
@@ -145,15 +145,14 @@ def shards(docs: DataFrame, n: int = 40, id_col="doc_id", text_col="text", meta:
         F.when(text.isNull(), F.lit(-1)).otherwise(F.xxhash64(text)).alias("same"),
         *(F.col(m).cast("string").alias(f"meta{i}") for i, m in enumerate(meta)),
     )
-    rows = staged(rows, "rows")
+    rows = staged(rows.withColumn("at", F.monotonically_increasing_id()), "rows")
     group = ["same", "crc", "size"]
     groups = rows.groupBy(*group).agg(F.count("*").alias("copies"))
     largest = groups.orderBy(F.desc(F.col("copies") * F.col("size")), *group).limit(n).collect()  # as many rows as shards
     total = rows.agg(F.sum("size")).first()[0] or 0
     target = max(1.0, level_bytes(total, [r["size"] for r in largest if r["copies"] == 1], n))
-    hot = [(r["same"], r["crc"], r["size"], -int(-r["copies"] * r["size"] * PIECES // target)) for r in largest if r["copies"] > 1 and r["copies"] * r["size"] > target]
-    cut = F.broadcast(rows.sparkSession.createDataFrame(hot, "same long, crc long, size long, pieces int"))  # at most n rows
-    pieced = rows.join(cut, group, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id"), F.col("pieces")), F.lit(0)).cast("int"))
+    hot = [(r["same"], r["crc"], r["size"], r["copies"], -int(-r["copies"] * r["size"] * PIECES // target)) for r in largest if r["copies"] > 1 and r["copies"] * r["size"] > target]
+    pieced = _pieced(rows, group, hot)
     key = [*group, "piece"]
     sums = pieced.groupBy(*key).agg(F.sum("size").alias("bytes"), *(F.min(f"meta{i}").alias(f"meta{i}") for i in range(len(meta))))
     tie = F.shiftrightunsigned(F.xxhash64(*key), 64 - TIE)
@@ -161,19 +160,37 @@ def shards(docs: DataFrame, n: int = 40, id_col="doc_id", text_col="text", meta:
     dims = [f"d{i}" for i in range(len(spot))]
     units = sums.select(*key, F.xxhash64(*key, F.lit(7)).alias("unit"), *(_coordinate(v, tie).alias(d) for v, d in zip(spot, dims, strict=True)), F.least(F.col("bytes").cast("double"), F.lit(float(target))).alias("weight"))
     leaves = _tree(staged(units, "units"), dims, n).select(*key, "shard")
-    out = pieced.select("id", *key).join(leaves, key).select("id", "size", "crc", "shard")
+    out = pieced.select("id", "at", *key).join(leaves, key).select("id", "size", "crc", "shard", "at")
     return _slots(out, n).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _pieced(rows: DataFrame, group: list[str], hot: list[tuple]) -> DataFrame:
+    """`rows` with `piece`: for rows of a group in `hot` (its key, rows and pieces) which of its pieces of near equal rows, else 0.
+
+    A row's place in its group counts the rows of it that earlier tasks wrote, and those before it of its own task.
+    """
+    if not hot:
+        return rows.withColumn("piece", F.lit(0))
+    cut = F.broadcast(rows.sparkSession.createDataFrame(hot, "same long, crc long, size long, copies long, pieces long"))  # at most as many rows as shards
+    all_rows = rows.join(cut, group, "left")
+    own = all_rows.where("pieces is not null").withColumn("task", F.shiftright("at", 33))
+    counts = own.groupBy(*group, "task").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("before") + F.row_number().over(Window.partitionBy(*group, "task").orderBy("at")) - 1
+    placed = own.join(counts.select(*group, "task", before.alias("before")), [*group, "task"])
+    placed = placed.withColumn("piece", F.floor(place * F.col("pieces") / F.col("copies")).cast("int")).select(*rows.columns, "piece")
+    return all_rows.where("pieces is null").select(*rows.columns, F.lit(0).alias("piece")).unionAll(placed)
+
+
 def _slots(rows: DataFrame, n: int) -> DataFrame:
-    """`rows` (id, shard, ...) with a gapless number in each shard; a task numbers a part of a shard, chosen by id."""
+    """`rows` (id, shard, at, ...) with a gapless number in each shard; a task numbers a part of a shard, chosen by `at`, which tells rows apart."""
     rows = staged(rows, "placed")
     parts = 1 + rows.count() // (n * SLOT_ROWS)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("at"), F.lit(parts)).cast("int"))
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("shard", "part", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "size", "crc"))
+    own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "size", "crc", "at"))
     return rows.withColumn("own", own).join(counts, ["shard", "part"]).withColumn("slot", F.col("before") + F.col("own") - 1)
 
 

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import pytest
+
 from seriesloom.llm import sharding
 
 
@@ -105,3 +107,15 @@ def test_rows_larger_than_the_level_leave_the_other_shards_even(spark):
         alone.setdefault(r.shard, []).append(r["size"])
     assert min(loads) > 0.7 * level
     assert all(x <= max(level + max(alone[s]) / 2, max(alone[s])) for s, x in enumerate(loads))
+
+
+@pytest.mark.parametrize("others", [0, 200])
+def test_repeated_rows_above_a_shard(spark, others, monkeypatch):
+    """Equal rows of one id part like any others, in shards and in numbering."""
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 10)
+    rows = [(7, "one text that repeats, " * 4)] * 1000 + [(1000 + i, f"another text, number {i:03}, " * 3) for i in range(others)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = sharding.shards(docs, 8).toPandas()
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() - sizes.min() <= 2 * out["size"].max()
+    assert len(out) == len(rows) and all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
