@@ -109,3 +109,14 @@ def test_the_more_frequent_title_shows_the_gender(spark):
     got = run(spark, ["Mr. Alex Kim", "Mr. Alex Kim!", "Mrs. Alex Kim", "Mr. Alex Kim?"])
     first = {got[i].text.split()[1] for i in range(4)}
     assert len(first) == 1 and first.pop()[-1] in "nr"
+
+
+def test_long_secrets(spark):
+    """Secrets of any length are found; of a table's columns only id and text play a part."""
+    secrets = ["0a1b2c3d" * 25, "sk-" + "Ab9_" * 60, "xoxb-" + "12ab-" * 50 + "z", "ghp_" + "A1b2" * 40]
+    texts = [f"it is {s} here" for s in secrets] + ['password = "' + "p4ss-" * 40 + '" too']
+    rows = [(i, t, i, ["x"], "a@b.co") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string, n_mentions long, kinds array<string>, kind string")).collect()}
+    for i, s in enumerate(secrets):
+        assert got[i].startswith("it is ") and got[i].endswith(" here") and s not in got[i] and len(got[i]) == len(texts[i])
+    assert got[4].startswith('password = "') and "p4ss" not in got[4]
