@@ -5,7 +5,7 @@ replaced words at those places. The masks are chosen such that every accepted ov
 of 8 to 17 words has a seed in common (by enumeration). Items of fewer words are sought whole.
 Documents' seeds are sifted by a filter that the benchmark's seeds fill; what passes is joined with
 them exactly. Around every hit the two word sequences are laid side by side and compared, replaced
-words allowed.
+words allowed. Of a short item only its first place in a text is looked at, as all others say the same.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.functions.keyed import joined
 from seriesloom.functions.staging import staged
 from seriesloom.llm.beside import beside
 from seriesloom.llm.tokens import words
@@ -141,37 +142,54 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="t
                 text = np.minimum(np.searchsorted(heads, where, "right") - 1, len(heads) - 2)
                 good = np.flatnonzero(where + np.array(SPANS)[kind] <= heads[text + 1] + 1)  # windows inside one text
                 good = good[np.lexsort((where[good], text[good]))]
-                where, seed, text = where[good], seed[good], text[good]
-                if not len(where):
-                    continue
+                where, kind, seed, text = where[good], kind[good], seed[good], text[good]
                 where = where - text - 1  # the place among all words; one less for the blank before a text
-                new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(where, prepend=where[0]) > 2 * longest))
                 out = [[] for _ in range(5)]
-                for a, z in zip(new, [*new[1:], len(where)], strict=True):
-                    t = text[a]
-                    low, high = max(w.bounds[t], where[a] - longest), min(w.bounds[t + 1], where[z - 1] + SPAN + longest)
-                    for values, v in zip(out, (w.first + t, low - w.bounds[t], w.hashes[low:high].view(np.int64), seed[a:z].view(np.int64), where[a:z] - w.bounds[t]), strict=True):
+
+                def add(t: int, low: int, high: int, hits: slice) -> None:
+                    for values, v in zip(out, (w.first + t, low - w.bounds[t], w.hashes[low:high].view(np.int64), seed[hits].view(np.int64), where[hits] - w.bounds[t]), strict=True):  # noqa: B023
                         values.append(v)
+
+                short = np.flatnonzero(kind >= len(LEFT_OUT))
+                first = np.lexsort((where[short], seed[short], text[short]))
+                head = (np.diff(text[short][first], prepend=-1) != 0) | np.append(True, seed[short][first][1:] != seed[short][first][:-1])[: len(first)]
+                for i in short[first[head]]:
+                    add(text[i], where[i], where[i] + SPANS[kind[i]], slice(i, i + 1))
+                long = kind < len(LEFT_OUT)
+                where, seed, text = where[long], seed[long], text[long]
+                new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(where, prepend=0) > 2 * longest))
+                for a, z in zip(new, [*new[1:], len(where)], strict=False):
+                    t = text[a]
+                    add(t, max(w.bounds[t], where[a] - longest), min(w.bounds[t + 1], where[z - 1] + SPAN + longest), slice(a, z))
+                if not out[0]:
+                    continue
                 yield pa.record_batch([b.column(0).take(pa.array(out[0])), pa.array(out[1], pa.int64()), _lists(out[2], pa.int64()), _lists(out[3], pa.int64()), _lists(out[4], pa.int32())], names=["id", "start", "words", "seeds", "at"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     regions = rows.mapInArrow(run, "id long, start long, words array<long>, seeds array<long>, at array<int>")
     regions = staged(regions.withColumn("region", F.struct(F.xxhash64("id", "start", "words").alias("a"), F.xxhash64(F.lit(2), "words", "start", "id").alias("b"))), "regions")
     hits = regions.select("region", F.explode(F.arrays_zip("seeds", "at")).alias("h")).select("region", "h.seeds", "h.at")
-    known = items.select("item", F.explode(F.arrays_zip("seeds", "at")).alias("h")).select("item", "h.seeds", F.col("h.at").alias("item_at"))
-    pairs = hits.join(known, "seeds").select("region", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    sides = pairs.join(regions.select("region", "id", "start", F.col("words").alias("doc_words")).dropDuplicates(["region"]), "region")
-    sides = sides.join(items.select("item", "item_id", "words"), "item").select("id", "item_id", "start", "shift", "doc_words", "words")
+    known = items.select("item", F.size("words").alias("size"), F.explode(F.arrays_zip("seeds", "at")).alias("h")).select("item", "size", "h.seeds", F.col("h.at").alias("item_at"))
+    known = staged(known.join(hits.groupBy("seeds").agg(F.count("*").alias("n")), "seeds"), "known")
+    shift = (F.col("at") - F.col("item_at")).alias("shift")
+    pairs = joined(hits, known, ["seeds"]).groupBy("region", "item", "size").agg(F.collect_set(shift).alias("shifts"))  # an item's places in a region
+    texts = regions.select("region", "id", "start", F.col("words").alias("doc_words")).dropDuplicates(["region"])
+    low = F.greatest(F.array_min("shifts") - F.col("start"), F.lit(0)).cast("int")  # of the region's words those on which the item can lie
+    part = F.slice("doc_words", low + 1, (F.array_max("shifts") - F.col("start")).cast("int") + F.col("size") - low)
+    sides = pairs.join(texts, "region").select("item", "id", (F.col("start") + low).alias("start"), "shifts", part.alias("doc_words"))
+    sides = sides.join(items.select("item", "item_id", "words"), "item").select("id", "item_id", "start", "shifts", "doc_words", "words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, rest = [], [[], [], [], []]
             for i in range(b.num_rows):
-                start, shift = b.column(2)[i].as_py(), b.column(3)[i].as_py()
-                doc, item = (b.column(c)[i].values.to_numpy() for c in (4, 5))
-                if best := stretch(doc, item, shift - start):
+                start = b.column(2)[i].as_py()
+                shifts, doc, item = (b.column(c)[i].values.to_numpy() for c in (3, 4, 5))
+                found = [f for f in (stretch(doc, item, s) for s in (shifts - start).tolist()) if f]
+                if found:
+                    matched, low, high = max(found, key=lambda f: (f[0], f[1] - f[2], -f[1]))
                     keep.append(i)
-                    for x, v in zip(rest, (best[0], best[2] - best[1], best[1] + start, best[2] + start), strict=True):
+                    for x, v in zip(rest, (matched, high - low, low + start, high + start), strict=True):
                         x.append(v)
             yield pa.record_batch([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), *(pa.array(x, pa.int64()) for x in rest)], names=["id", "item_id", "matched", "aligned", "doc_from", "doc_to"])
 

@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.functions.keyed import joined
 from seriesloom.functions.staging import drop_staged, staged
-from seriesloom.llm.beside import few_entries, forget_shuffles, joined
+from seriesloom.llm.beside import few_entries, forget_shuffles
 from seriesloom.llm.tokens import NO_SPACE, Words, runs
 
 #: Words of the shortest repeat, and of an anchor.

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from seriesloom.functions import keyed
 from seriesloom.llm import decontam, tokens
 
 
@@ -116,3 +117,14 @@ def test_short_items_are_found_whole_and_passages_at_the_ends_of_a_text(spark):
     docs = spark.createDataFrame([(1, "q r s t u v w"), (2, "x. p q r s t u v"), (3, "p q r s t u v"), (4, "three two three; ONE"), (5, "a b c d e f"), (6, "z a b c d e f g"), (7, "q r s t u v"), (8, "two-three")], "doc_id long, text string")
     got = {(r.doc_id, r.item_id, r.matched, r.doc_from, r.doc_to) for r in decontam.overlaps(docs, bench).collect()}
     assert got == {(1, 4, 7, 0, 7), (2, 4, 7, 1, 8), (3, 4, 7, 0, 7), (4, 2, 2, 1, 3), (4, 1, 1, 3, 4), (6, 3, 7, 1, 8), (8, 2, 2, 0, 2)}
+
+
+def test_one_word_repeated_over_a_long_text(spark, monkeypatch):
+    """A benchmark word that a text repeats makes one hit of a short item; a long item lies at many places of one region. Hot seeds are dealt."""
+    monkeypatch.setattr(keyed, "HOT_ROWS", 5)
+    monkeypatch.setattr(keyed, "HOT_KEYS", 100)
+    bench = spark.createDataFrame([(1, "same"), (2, "same same"), (3, "same " * 12), (4, "same " * 12 + "end of it")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "same " * 40_000), (2, "other " + "same " * 12 + "end of it " + "same " * 30), (3, "same"), *((10 + i, f"u{i} same v{i}") for i in range(30))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.matched, r.doc_from, r.doc_to) for r in decontam.overlaps(docs, bench).collect()}
+    want = {(1, 1, 1, 0, 1), (1, 2, 2, 0, 2), (1, 3, 12, 0, 12), (1, 4, 12, 0, 12), (2, 1, 1, 1, 2), (2, 2, 2, 1, 3), (2, 3, 12, 1, 13), (2, 4, 15, 1, 16), (3, 1, 1, 0, 1)}
+    assert got == want | {(10 + i, 1, 1, 1, 2) for i in range(30)}

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from seriesloom.functions import keyed
 from seriesloom.llm import beside, repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -54,8 +55,8 @@ def run(spark, rows, **how):
 @pytest.mark.parametrize("hot", [False, True])
 def test_equals_every_window(spark, monkeypatch, hot):
     if hot:  # hot keys are dealt, and lists joined by a shuffle
-        monkeypatch.setattr(beside, "HOT_ROWS", 2)
-        monkeypatch.setattr(beside, "HOT_KEYS", 40)
+        monkeypatch.setattr(keyed, "HOT_ROWS", 2)
+        monkeypatch.setattr(keyed, "HOT_KEYS", 40)
         monkeypatch.setattr(beside, "ROWS", 0)
     rows = corpus(random.Random(3 + hot))
     assert run(spark, rows) == plain_repeats(rows)
