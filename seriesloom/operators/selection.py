@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,21 @@ def numbered(df: DataFrame, order: list[str], out: str = "position") -> DataFram
     return ranged.join(F.broadcast(counts), "__part").withColumn(out, F.col("__before") + own - 1).drop("__part", "__before")
 
 
+def running_total(df: DataFrame, key: list[str], order: str, weight: str, out: str) -> DataFrame:
+    """`df` with the sum of `weight` up to each row of its group by `order`, of which no two rows of a group have the same value.
+
+    A group may be as large as the table: rows are dealt to tasks by ranges of group and order and summed up there; only sums of a
+    group's part of a range are added up together.
+    """
+    ranged = staged(df.repartitionByRange(*key, order).withColumn("__part", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy(*key, "__part").agg(F.sum(weight).alias("__s"))
+    before = F.coalesce(F.sum("__s").over(Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*(F.col(k).alias(f"__k_{k}") for k in key), F.col("__part").alias("__p"), before.alias("__before"))  # a group has a row a range that it reaches into
+    own = F.sum(weight).over(Window.partitionBy(*key, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in key), F.col("__part") == F.col("__p"))
+    return ranged.withColumn("__own", own).join(parts, same).withColumn(out, F.col("__before") + F.col("__own")).drop("__part", "__p", "__own", "__before", *(f"__k_{k}" for k in key))
+
+
 def spaced_picks(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """n rows whose places by `order` are evenly spaced, the first and the last among them, with `pick` from 0; all rows if there are no more."""
     rows = numbered(df, order)

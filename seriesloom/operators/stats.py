@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.scalars import correlation
-from seriesloom.operators.selection import numbered
+from seriesloom.operators.selection import numbered, running_total
 
 
 def average_ranks(df: DataFrame, key: list[str], column: str, out: str) -> DataFrame:
     """`df` with ranks from 1, ties sharing their mean, over non-null values.
 
-    Ranks come from counts of distinct values, so that a value that very many rows share is one row of the sort.
+    Ranks come from counts of distinct values, so that a value that very many rows share is one row of the sort, and from ranges, so that a large group isn't one task.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(*key, column).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(key).orderBy(column))
-    ranks = counts.withColumn(out, upto - (F.col("__n") - 1) / 2).drop("__n")
+    ranks = running_total(counts, key, column, "__n", "__upto")
+    ranks = ranks.withColumn(out, F.col("__upto") - (F.col("__n") - 1) / 2).drop("__n", "__upto")
     return df.join(ranks, [*key, column], "left")
 
 
@@ -87,9 +87,9 @@ def empirical_percentile(df: DataFrame, reference: DataFrame, key: list[str], co
     ref = reference.where(F.col(column).isNotNull()).groupBy(*key, column).agg(F.count("*").alias("__ref"))
     mine = df.where(F.col(column).isNotNull()).select(*key, column).distinct().withColumn("__ref", F.lit(0).cast("long"))
     both = ref.unionByName(mine).groupBy(*key, column).agg(F.sum("__ref").alias("__ref"))
-    upto = F.sum("__ref").over(Window.partitionBy(key).orderBy(column))
-    total = F.sum("__ref").over(Window.partitionBy(key))
-    table = both.withColumn(out, F.when(total > 0, (upto - F.col("__ref") / 2) / total)).drop("__ref")
+    totals = ref.groupBy(*key).agg(F.sum("__ref").alias("__total"))
+    table = running_total(both, key, column, "__ref", "__upto").join(totals, key, "left")
+    table = table.withColumn(out, F.when(F.col("__total") > 0, (F.col("__upto") - F.col("__ref") / 2) / F.col("__total"))).drop("__ref", "__upto", "__total")
     return df.join(table, [*key, column], "left")
 
 

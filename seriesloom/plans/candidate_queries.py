@@ -153,10 +153,11 @@ def pair_targets(spark, sf_dir):
     return rounded(candidates.pair_targets(_losses(spark, sf_dir), "blk", "cand", "ord", "loss"), "weight")
 
 
-@query("pair_features", _LOSS + """
-SELECT a.blk, a.cand AS "left", b3.cand AS "right", round(a.loss - b3.loss, 5) AS diff_loss, round((a.loss + b3.loss) / 2, 5) AS mean_loss FROM k a JOIN k b3 ON a.blk = b3.blk AND a.cand <> b3.cand""")
+@query("pair_features", _LOSS.replace("k AS (", "k AS MATERIALIZED (") + """
+SELECT a.blk, a.cand AS first_cand, b3.cand AS second_cand, round(a.loss - b3.loss, 5) AS diff_loss, round((a.loss + b3.loss) / 2, 5) AS mean_loss FROM k a JOIN k b3 ON a.blk = b3.blk WHERE a.cand <> b3.cand""")
 def pair_features(spark, sf_dir):
-    return rounded(candidates.pair_features(_losses(spark, sf_dir), "blk", "cand", ["loss"], []), "diff_loss", "mean_loss", digits=5)
+    pairs = candidates.pair_features(_losses(spark, sf_dir), "blk", "cand", ["loss"], [])
+    return rounded(pairs.withColumnsRenamed({"left": "first_cand", "right": "second_cand"}), "diff_loss", "mean_loss", digits=5)
 
 
 @query("borda_rank", _LOSS + """,
