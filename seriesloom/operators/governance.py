@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.scalars import is_finite
-from seriesloom.operators import joins
+from seriesloom.operators import joins, uniqueness
 
 FORBIDDEN = ("truth", "true_", "error", "oracle", "target", "label")
 
@@ -70,10 +70,7 @@ def promotion_gate(df: DataFrame, scope: list[str], key: str, base: str, new: st
 
 def merge_shards(shards: list[DataFrame], expected: DataFrame, keys: list[str]) -> DataFrame:
     """The union of shards whose keys neither overlap nor differ from those expected."""
-    out = shards[0]
-    for s in shards[1:]:
-        out = out.unionByName(s)
-    joins.require_unique(out, keys, "shards")
+    out = uniqueness.unique_across(shards, keys)
     if not joins.same_keys(expected, out, keys):
         raise ValueError("shards don't cover the expected keys")
     return out
