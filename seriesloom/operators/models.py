@@ -12,7 +12,7 @@ from pyspark.ml.feature import PCA, Imputer, RobustScaler, StandardScaler, Vecto
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,14 +88,43 @@ def searched(pipeline: Pipeline, grid: dict, label: str, folds: int = 3, seed: i
     return CrossValidator(estimator=pipeline, estimatorParamMaps=builder.build(), evaluator=RegressionEvaluator(labelCol=label), numFolds=folds, seed=seed)
 
 
-def positive_stack(df: DataFrame, candidates: list[str], truth: str, ridge: float = 1e-3, rounds: int = 500) -> dict[str, float]:
-    """Non-negative weights of candidates, from the normal equations: one row of sums, then projected coordinate steps."""
-    n = len(candidates)
-    sums = df.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(candidates) for j, b in enumerate(candidates) if j >= i), *(F.sum(F.col(a) * F.col(truth)).alias(f"b{i}") for i, a in enumerate(candidates))).first()
-    g = [[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]
+def _sums(candidates: list[str], truth: str) -> list[Column]:
+    """The normal equations of a stack as sums: products of candidates, and of each with the truth."""
+    products = [F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(candidates) for j, b in enumerate(candidates) if j >= i]
+    return [*products, *(F.sum(F.col(a) * F.col(truth)).alias(f"b{i}") for i, a in enumerate(candidates))]
+
+
+def _non_negative(sums: dict, n: int, ridge: float, rounds: int) -> list[float]:
+    """Non-negative weights of least squared error from its normal equations, by steps along one weight at a time."""
+    if sums["b0"] is None:
+        return [1.0 / n] * n
+    g = [[float(sums[f"g{min(i, j)}_{max(i, j)}"]) for j in range(n)] for i in range(n)]
     w = [1.0 / n] * n
     for _ in range(rounds):
         for i in range(n):
-            rest = sums[f"b{i}"] - sum(g[i][j] * w[j] for j in range(n) if j != i)
+            rest = float(sums[f"b{i}"]) - sum(g[i][j] * w[j] for j in range(n) if j != i)
             w[i] = max(0.0, rest / (g[i][i] + ridge))
-    return dict(zip(candidates, w, strict=True))
+    return w
+
+
+def positive_stack(df: DataFrame, candidates: list[str], truth: str, ridge: float = 1e-3, rounds: int = 500) -> dict[str, float]:
+    """Non-negative weights of candidates: one row of sums reaches the driver. Rows with a missing value are left out; without rows weights are equal."""
+    rows = df.dropna(subset=[*candidates, truth])
+    return dict(zip(candidates, _non_negative(rows.agg(*_sums(candidates, truth)).first().asDict(), len(candidates), ridge, rounds), strict=True))
+
+
+def stack_weights(df: DataFrame, fold: str, candidates: list[str], truth: str, ridge: float = 1e-3, rounds: int = 500) -> DataFrame:
+    """(fold, w_<candidate>...): for each fold the `positive_stack` of all others, from one pass; a row of sums a fold reaches the driver."""
+    got = df.dropna(subset=[*candidates, truth]).groupBy(fold).agg(*_sums(candidates, truth)).collect()
+    names = [c for c in (got[0].asDict() if got else {}) if c != fold]
+    out = []
+    for r in got:
+        rest = {c: (sum(x[c] for x in got) - r[c]) if len(got) > 1 else None for c in names}
+        out.append((r[fold], *_non_negative(rest, len(candidates), ridge, rounds)))
+    return df.sparkSession.createDataFrame(out, f"{fold} {df.schema[fold].dataType.simpleString()}, " + ", ".join(f"w_{c} double" for c in candidates))
+
+
+def stacked(df: DataFrame, weights: DataFrame, fold: str, candidates: list[str]) -> DataFrame:
+    """`df` with `stacked`, the candidates weighted by its fold's weights."""
+    rows = df.join(F.broadcast(weights), fold)  # a row for each fold
+    return rows.withColumn("stacked", sum((F.col(c) * F.col(f"w_{c}") for c in candidates), F.lit(0.0))).select(*df.columns, "stacked")

@@ -142,18 +142,6 @@ def dtw_to_reference(spark, sf_dir):
     return packed.crossJoin(F.broadcast(mean)).select(KEY, nearest("a", "t", "x", "y").alias("b")).select(KEY, "b.distance", "b.shift")
 
 
-@query("switching_path")
-def switching_path(spark, sf_dir):
-    rows = tails(spark, sf_dir).select(KEY, ROW, "tvt", "last_anchor", "recent_linear")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(ROW)
-        cost = np.abs(part[["last_anchor", "recent_linear"]].to_numpy() - part[["tvt"]].to_numpy())
-        return pd.DataFrame({KEY: part[KEY], ROW: part[ROW], "candidate": decoders.switching_path(cost, 50.0)})
-
-    return rows.groupBy(KEY).applyInPandas(run, f"{KEY} long, {ROW} long, candidate int")
-
-
 @query("affine_calibration")
 def affine_calibration(spark, sf_dir):
     rows = tails(spark, sf_dir).select(KEY, "last_anchor", "tvt")
