@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,49 +111,82 @@ def _fewest(rows: DataFrame, place: list[str], id_col: str, n: int, salts: int =
     return dealt.withColumn("__n", first(place)).where(F.col("__n") <= n).drop("__n", "__salt")
 
 
+#: Rows of cells that a query is compared with one by one; and pairs of cells that a round may come to if all are parted.
+COMPARED, PAIRS = 256, 200_000
+
+
+def _cell(prefix: str, coords: list[str], bits: int, level: int) -> Column:
+    """The number of a row's cell after `level` halvings of the whole, from its places at the finest level."""
+    parts = [F.shiftleft(F.shiftright(f"{prefix}{i}", bits - level), bits * i) for i in range(len(coords))]
+    return reduce(lambda a, b: a + b, parts)
+
+
+def _box(prefix: str, coords: list[str], out: str) -> list[Column]:
+    return [f(f"{prefix}{c}").alias(f"{out}{n}{i}") for i, c in enumerate(coords) for n, f in (("low", F.min), ("high", F.max))]
+
+
 def nearest_rows(queries: DataFrame, rows: DataFrame, coords: list[str], id_col: str, group: str, k: int, cell: float | None = None, same_group: bool = False, payload: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, neighbour, distance, rank, payload...): for each query the k nearest rows of other groups, ties by id.
 
-    Exact, and never all pairs: a query meets the rows of the nine cells around it, by the first
-    two coordinates. It is done when its k-th neighbour is no farther than a cell is wide, as all
-    others are farther; the rest meet cells twice as wide, and so on. The first width (`cell`) gives
-    a cell about k rows on average. Of rows at one place in one group only the first k + 1 by id can
-    be among the nearest. Rows and queries with a coordinate that isn't finite take no part.
+    Exact, and never all pairs. Space is halved along all coordinates, again and again. The queries of a group in one cell
+    keep a list of cells of rows: those whose rows can be among the k nearest of any of the queries, as told by the least and
+    largest distance between the boxes around both and by how many rows of other groups (with `same_group` of the own one) each cell holds.
+    Once the cells of a list hold few rows, own-group rows included, they are compared one by one; else both
+    sides are parted further. So rows of the own group are left behind by the cell, and where groups lie far apart only the near
+    side of a group is looked at. Of rows at one place in one group only the first k + 1 by id can be among the nearest.
+    Rows and queries of a null group, or with a coordinate that isn't finite, take no part. `cell` is the width of the first cells.
     """
-    good = reduce(lambda a, b: a & b, (is_finite(F.col(c)) for c in coords))
+    good = reduce(lambda a, b: a & b, (is_finite(F.col(c)) for c in coords), F.col(group).isNotNull())
     q = queries.where(good).select(F.col(id_col), F.col(group).alias("__group"), *(F.col(c).cast("double").alias(f"__q_{c}") for c in coords))
     r = rows.where(good).select(F.col(id_col).alias("neighbour"), F.col(group).alias("__other"), *(F.col(c).cast("double").alias(f"__r_{c}") for c in coords), *payload)
-    r = staged(_fewest(r, ["__other", *(f"__r_{c}" for c in coords)], "neighbour", k + 1), "rows")
-    q = staged(q, "queries")
-    flat = coords[:2]
-    ends = lambda p: [f(f"{p}{c}").alias(f"{n}{i}") for i, c in enumerate(flat) for n, f in (("low", F.min), ("high", F.max))]
-    size, reach = r.agg(F.count("*").alias("n"), *ends("__r_")).first(), q.agg(*ends("__q_")).first()
-    both = lambda n: [x[n] for x in (size, reach) if x[n] is not None] or [0.0]
-    extent = max(max(both(f"high{i}")) - min(both(f"low{i}")) for i in range(len(flat)))
-    width = cell or max(extent * (k / max(size["n"], 1)) ** (1 / len(flat)), extent / 2**20, 1e-12)
+    r = _fewest(r, ["__other", *(f"__r_{c}" for c in coords)], "neighbour", k + 1)
+    bits = min(24, 60 // len(coords))
+    ends = r.agg(*_box("__r_", coords, "r_")).crossJoin(q.agg(*_box("__q_", coords, "q_"))).first()  # one row each
+    ends = {n: v for n, v in ends.asDict().items() if v is not None}
+    low = [min((ends[f"{s}_low{i}"] for s in "rq" if f"{s}_low{i}" in ends), default=0.0) for i in range(len(coords))]
+    extent = max((ends[f"{s}_high{i}"] - low[i] for s in "rq" for i in range(len(coords)) if f"{s}_high{i}" in ends), default=0.0) or 1.0
+    place = lambda p, i, c: F.least(F.floor((F.col(f"{p}{c}") - F.lit(low[i])) / F.lit(extent) * F.lit(float(1 << bits))), F.lit((1 << bits) - 1)).cast("long")
+    r = staged(r.select("*", *(place("__r_", i, c).alias(f"__t{i}") for i, c in enumerate(coords))), "rows")
+    q = staged(q.select("*", *(place("__q_", i, c).alias(f"__c{i}") for i, c in enumerate(coords))), "queries")
+    of_rows, of_queries = (lambda level: _cell("__t", coords, bits, level)), (lambda level: _cell("__c", coords, bits, level))
+    pairs = q.select("__group").distinct().select("__group", F.lit(0).cast("long").alias("qc"), F.lit(0).cast("long").alias("tc"))
+    gap = lambda i: F.greatest(F.col(f"t_low{i}") - F.col(f"q_high{i}"), F.col(f"q_low{i}") - F.col(f"t_high{i}"), F.lit(0.0))
+    reach = lambda i: F.greatest(F.col(f"t_high{i}") - F.col(f"q_low{i}"), F.col(f"q_high{i}") - F.col(f"t_low{i}"))
+    length = lambda f: F.sqrt(reduce(lambda a, b: a + b, (f(i) * f(i) for i in range(len(coords)))))
+    own = Window.partitionBy("__group", "qc")
+    first = max(1, min(bits, math.ceil(math.log2(max(extent / cell, 1.0))))) if cell else max(1, 6 // len(coords))
+    level, step, levels, ready = 0, first, [], []
+    while level < bits:
+        above, level = level, min(bits, level + step)
+        levels.append(level)
+        cells = r.groupBy(of_rows(above).alias("tc"), of_rows(level).alias("t")).agg(F.count("*").alias("rows"), *_box("__r_", coords, "t_"))
+        mine = r.groupBy(of_rows(level).alias("t"), F.col("__other").alias("__group")).agg(F.count("*").alias("mine"))
+        asked = q.groupBy("__group", of_queries(above).alias("qc"), of_queries(level).alias("q")).agg(*_box("__q_", coords, "q_"))
+        finer = pairs.join(asked, ["__group", "qc"]).join(cells, "tc").drop("qc", "tc").withColumnsRenamed({"q": "qc", "t": "tc"})
+        finer = finer.join(mine.withColumnRenamed("t", "tc"), ["tc", "__group"], "left").withColumn("mine", F.coalesce("mine", F.lit(0)))
+        finer = finer.withColumn("able", F.col("mine") if same_group else F.col("rows") - F.col("mine")).where("able > 0")
+        finer = finer.select("__group", "qc", "tc", "rows", "able", length(gap).alias("near"), length(reach).alias("far"))
+        upto = F.sum("able").over(own.orderBy("far").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        enough = F.min(F.when(F.col("upto") > k, F.col("far"))).over(own)  # one more than k: a query may be among the rows itself
+        finer = finer.withColumn("upto", upto).withColumn("enough", F.coalesce(enough, F.lit(float("inf"))))
+        finer = finer.where(F.col("near") <= F.col("enough") * (1 + 1e-9))
+        finer = finer.withColumn("few", (F.sum("rows").over(own) <= COMPARED + 4 * k) | F.lit(level == bits))
+        finer = staged(finer.select("__group", "qc", "tc", "few"), "pairs")
+        ready.append(finer.where("few").select(F.lit(level).alias("level"), "__group", "qc", "tc"))
+        pairs = finer.where(~F.col("few")).drop("few")
+        if not (left := pairs.count()):
+            break
+        step = max(1, int(math.log2(max(1, PAIRS // left)) / (2 * len(coords))))  # few pairs: several halvings in a round
+    ready = reduce(lambda a, b: a.unionAll(b), ready)
+    at = lambda of: F.explode(F.array(*(F.struct(F.lit(x).alias("level"), of(x).alias("c")) for x in levels)))
+    held = r.withColumn("__at", at(of_rows)).select("*", F.col("__at.level").alias("level"), F.col("__at.c").alias("tc")).drop("__at", *(f"__t{i}" for i in range(len(coords))))
+    held = held.join(ready.select("level", "tc").distinct(), ["level", "tc"], "left_semi")
+    asks = q.withColumn("__at", at(of_queries)).select("*", F.col("__at.level").alias("level"), F.col("__at.c").alias("qc")).drop("__at", *(f"__c{i}" for i in range(len(coords))))
     other = F.col("__group") == F.col("__other") if same_group else F.col("__group") != F.col("__other")
     d2 = squared_distance([F.col(f"__q_{c}") for c in coords], [F.col(f"__r_{c}") for c in coords])
+    near = asks.join(ready, ["level", "__group", "qc"]).join(held, ["level", "tc"]).where(other & (F.col(id_col) != F.col("neighbour"))).withColumn("distance", F.sqrt(d2))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy("distance", "neighbour"))
-    done, cells = [], [f"__c{i}" for i in range(len(flat))]
-    while True:
-        near, held = q, r
-        for c, name in zip(flat, cells, strict=True):
-            at = F.floor(F.col(f"__q_{c}") / F.lit(width))
-            near = near.withColumn(name, F.explode(F.sequence(at - 1, at + 1)))
-            held = held.withColumn(name, F.floor(F.col(f"__r_{c}") / F.lit(width)))
-        pairs = near.join(held, cells).where(other & (F.col(id_col) != F.col("neighbour"))).withColumn("distance", F.sqrt(d2))
-        got = pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(id_col, "neighbour", "distance", "rank", *payload)
-        if width > extent:  # the cells around a query hold all rows
-            done.append(got)
-            break
-        got = staged(got, "nearest")
-        proven = got.where((F.col("rank") == k) & (F.col("distance") < width)).select(id_col)
-        done.append(got.join(proven, id_col, "left_semi"))
-        q = staged(q.join(proven, id_col, "left_anti"), "queries")
-        if q.limit(1).count() == 0:
-            break
-        width *= 2
-    return reduce(lambda a, b: a.unionByName(b), done)
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select(id_col, "neighbour", "distance", "rank", *payload)
 
 
 def knn_summary(neighbours: DataFrame, id_col: str, value: str) -> DataFrame:

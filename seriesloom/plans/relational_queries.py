@@ -103,6 +103,18 @@ def knn_exclude_self_group(spark, sf_dir):
     return rounded(joins.knn_summary(near, "vec_id", "v"), "knn_mean", "knn_std", "knn_distance")
 
 
+@query("same_group_top8", """
+WITH e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
+p AS (SELECT q.vec_id, r.vec_id AS neighbour, sqrt(power(q.x - r.x, 2) + power(q.y - r.y, 2) + power(q.z - r.z, 2)) AS d FROM e q JOIN e r ON q.label = r.label AND q.vec_id <> r.vec_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS INTEGER) AS rank FROM p)
+SELECT vec_id, rank, neighbour, round(1 / (1 + d), 6) AS similarity FROM k WHERE rank <= 8""")
+def same_group_top8(spark, sf_dir):
+    at = lambda i: F.element_at("embedding", i).cast("double")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", at(1).alias("x"), at(2).alias("y"), at(3).alias("z"))
+    near = joins.nearest_rows(e, e, ["x", "y", "z"], "vec_id", "label", 8, same_group=True)
+    return rounded(near.select("vec_id", "rank", "neighbour", (1 / (1 + F.col("distance"))).alias("similarity")), "similarity")
+
+
 @query("local_plane", """
 WITH e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS v FROM embeddings),
 p AS (SELECT q.vec_id, r.vec_id AS neighbour, sqrt(power(q.x - r.x, 2) + power(q.y - r.y, 2)) AS d, (r.x - q.x) / 0.1::DOUBLE AS dx, (r.y - q.y) / 0.1::DOUBLE AS dy, r.v FROM e q JOIN e r ON q.label <> r.label),

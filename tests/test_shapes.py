@@ -1,8 +1,9 @@
 import itertools
 
 import numpy as np
+import pytest
 
-from seriesloom.operators import shapes
+from seriesloom.operators import joins, shapes
 
 
 def test_corridor_equals_enumeration():
@@ -38,3 +39,22 @@ def test_huber_plane_ignores_outliers(spark):
     rows = [(g, x, y, v + (1000 if i % 20 == 0 else 0)) for i, (g, x, y, v) in enumerate(rows)]
     got = shapes.huber_plane(spark.createDataFrame(rows, "g string, x double, y double, v double"), ["g"], "x", "y", "v", rounds=12).first()
     assert np.allclose([got.a, got.b, got.c], [2, 3, -1], atol=0.05)
+
+
+@pytest.mark.parametrize("same", [False, True])
+@pytest.mark.parametrize("compared", [4, 256])
+def test_nearest_rows_of_groups_apart_small_groups_and_an_outlier(spark, monkeypatch, same, compared):
+    monkeypatch.setattr(joins, "COMPARED", compared)
+    rng = np.random.default_rng(8)
+    rows = [(i, 100.0 * (i % 2) + float(rng.normal()), float(rng.normal()), "ab"[i % 2]) for i in range(160)]
+    rows += [(200 + i, float(rng.uniform(-1, 101)), 0.0, f"s{i // 2}") for i in range(20)]  # groups of fewer than k + 1 rows
+    rows += [(300, 1e7, -1e7, "far"), (301, 0.5, 0.5, "one"), (302, None, 1.0, "a"), (303, float("inf"), 1.0, "a"), (304, 0.0, 0.0, None)] + [(400 + i, 3.0, 3.0, "abc"[i % 3]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, g string")
+    got = {}
+    for r in joins.nearest_rows(df, df, ["x", "y"], "id", "g", 6, same_group=same).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbour))
+    good = [r for r in rows if r[1] is not None and np.isfinite(r[1]) and r[3] is not None]
+    for i, x, y, g in good:
+        near = sorted((np.sqrt((x - a) ** 2 + (y - b) ** 2), j) for j, a, b, h in good if j != i and (h == g) == same)[:6]
+        assert [n for _, n in sorted(got.get(i, []))] == [j for _, j in near]
+    assert set(got) <= {r[0] for r in good}
