@@ -156,8 +156,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     plain = plain.join(beside(found.where("start = 0 and real").select("file").distinct(), "files"), "file", "left_semi").where(F.octet_length("piece") > 0).select("file", "piece")
     mixed = numbered.join(found.where("real and next <= until").select("file", "block", "row", "start"), ["file", "block", "row"]).select("file", "piece")
     parts = numbered.join(split, ["file", "block", "row"]).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("start", F.col("piece").cast("binary").alias("piece")))).alias("parts"))
-    glued = F.expr(f"aggregate(parts, cast(null as binary), (a, x) -> if(a is null, x.piece, concat(a, cast('{MAGIC}' as binary), x.piece)))")
-    sewn = parts.select("file", glued.cast("string").alias("piece"))
+    glued = F.array_join(F.transform("parts", lambda x: x["piece"].cast("string")), MAGIC)  # copies each piece once
+    sewn = parts.select("file", glued.alias("piece"))
     records = plain.unionByName(mixed).unionByName(sewn).withColumn("head", _head(F.col("piece")))
     size = header(F.col("head"), "Content-Length").try_cast("int")
     block = F.expr(f"substring(cast(piece as binary), octet_length(head) + {len(END) + 1})")

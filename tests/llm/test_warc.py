@@ -74,3 +74,12 @@ def test_archives_inside_payloads_come_back_whole(spark, small_splits):
     warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(3), path, records=17)
     got = warc.read_archives(spark, path).collect()
     assert sorted(bytes(r.payload) for r in got if "revisit" not in r.head) == sorted(r[2].encode() for r in rows)
+
+
+def test_a_page_of_many_magic_lines(spark, tmp_path):
+    """Pieces inside one payload are put together again, byte for byte."""
+    html = "".join(f"{warc.MAGIC}{i} of an archive that quotes\r\n\r\nitself é" for i in range(5000))
+    pages = spark.createDataFrame([(1, "u", html), (2, "v", "short"), (3, "w", html + "end")], "page_id long, url string, html string")
+    warc.write_archives(pages, f"{tmp_path}/warc")
+    got = sorted(bytes(r.payload).decode() for r in warc.read_archives(spark, f"{tmp_path}/warc").collect() if "response" in r.head)
+    assert got == sorted([html, "short", html + "end"])
