@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.functions.scalars import stable_bucket, stable_choice
+from seriesloom.operators.joins import interpolate_join
 from seriesloom.operators.selection import numbered
 
-from seriesloom.functions.scalars import stable_choice
-
 
 def datum_shift(df: DataFrame, chosen: DataFrame, key: str, shift: str, absolute: list[str], suffix: str = "_shifted") -> DataFrame:
     """`df` and a copy of the chosen groups whose absolute columns are moved by their shift; nulls stay null."""
@@ -44,6 +44,45 @@ def sheared_tail(df: DataFrame, axis: str, anchor: str, column: str, slope: floa
     return df.withColumn(column, F.col(column) + slope * F.greatest(F.lit(0.0), F.col(axis) - F.col(anchor)))
 
 
+def bends(key: str, part: Column, salt: str, controls: int = 5) -> Column:
+    """A line of a few bends for each group: 0 at part 0, from -1 to 1 (by hashes of the group) at evenly spaced parts up to 1, straight between."""
+    draw = F.transform(F.sequence(F.lit(1), F.lit(controls)), lambda i: stable_bucket(F.concat(F.lit(f"{salt}::"), F.col(key).cast("string"), F.lit("::"), i.cast("string")), 2001) / 1000 - 1)
+    at = F.concat(F.array(F.lit(0.0)), draw)
+    place = F.greatest(F.lit(0.0), F.least(part, F.lit(1.0))) * controls
+    cell = F.least(F.floor(place), F.lit(controls - 1)).cast("int")
+    t = place - cell
+    return F.element_at(at, cell + 1) * (1 - t) + F.element_at(at, cell + 2) * t
+
+
+def _ahead(axis: str, anchor: str, end: str) -> Column:
+    """How far beyond the anchor a row lies, as a part of the way to the end; 0 up to the anchor."""
+    return F.greatest(F.lit(0.0), F.coalesce((F.col(axis) - F.col(anchor)) / F.nullif(F.col(end) - F.col(anchor), F.lit(0.0)), F.lit(0.0)))
+
+
+def warped_tail(df: DataFrame, key: str, axis: str, anchor: str, end: str, amount: float, out: str, salt: str = "warp", controls: int = 5) -> DataFrame:
+    """`df` with `out`, the axis moved beyond its anchor by a line of a few bends, at most `amount` of the distance between two of them.
+
+    What is known (up to the anchor) stays, and so does the order of rows, for which `amount` must be below one half.
+    """
+    if not 0 <= amount < 0.5:
+        raise ValueError("an amount of one half or more could change the order of rows")
+    step = (F.col(end) - F.col(anchor)) / controls
+    return df.withColumn(out, F.col(axis) + amount * step * bends(key, _ahead(axis, anchor, end), salt, controls))
+
+
+def perturbed_tail(df: DataFrame, key: str, axis: str, anchor: str, end: str, scales: dict[str, float], salt: str = "perturb", controls: int = 5) -> DataFrame:
+    """`df` with each column of `scales` moved beyond the anchor by a line of a few bends of its own, at most by its scale; up to the anchor it stays."""
+    part = _ahead(axis, anchor, end)
+    return df.withColumns({c: F.col(c) + F.lit(float(s)) * bends(key, part, f"{salt}::{c}", controls) for c, s in scales.items()})
+
+
+def resampled(df: DataFrame, key: str, axis: str, moved: str, signal: str, out: str) -> DataFrame:
+    """`df` with `out`, the group's own signal over `axis` read at the `moved` places between its rows, its end values beyond them."""
+    curve = df.where(F.col(signal).isNotNull()).select(key, F.col(axis).alias("__x"), F.col(signal).alias("__y"))
+    curve = curve.groupBy(key, "__x").agg(F.avg("__y").alias("__y"))
+    return interpolate_join(df, curve, [key], moved, "__x", "__y", out)
+
+
 def envelope(df: DataFrame, reference: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, least: float = 0.9) -> DataFrame:
     """(column, inside, ok): the part of each column within the reference's quantiles."""
     bounds = reference.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__b_{c}") for c in columns))

@@ -435,6 +435,35 @@ def savgol(key: str, order: str, column: str):
     return sum((c / 35 * F.lag(column, -k).over(w) for k, c in weights.items()), F.lit(0.0))
 
 
+def savgol_weights(width: int, degree: int) -> np.ndarray:
+    """Row p: the weights by which `width` values give their least-squares polynomial's value at place p."""
+    x = np.linspace(-1, 1, width)
+    powers = np.vander(x, degree + 1)
+    return powers @ np.linalg.pinv(powers)
+
+
+def savgol_groups(df: DataFrame, key: str, order: str, column: str, window: int = 17, degree: int = 3, least: int = 5) -> DataFrame:
+    """(key, order, smooth): each series smoothed by polynomials over `window` rows, or the largest odd number of rows that it has.
+
+    A row is the middle of its window; near an end it lies where it does in the first or last window. Series with a window of fewer than
+    `least` rows stay as they are; a window with a missing value gives null. A series travels as one sorted array, as its windows overlap.
+    """
+    widths = range(least, window + 1, 2)
+    table = F.array(*(F.array(*(F.array(*(F.lit(float(w)) for w in row)) for row in savgol_weights(n, degree))) for n in widths))
+    whole = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).cast("double").alias("y")))).alias("s")).select(key, F.col("s.o").alias("o"), F.col("s.y").alias("y"))
+    n = F.size("y")
+    width = F.least(F.lit(window), n - 1 + n % 2)
+    whole = whole.withColumn("w", width).withColumn("t", F.when(F.col("w") >= least, F.element_at(table, F.greatest((F.col("w") - least) / 2 + 1, F.lit(1)).cast("int"))))
+
+    def value(y: Column, i: Column) -> Column:
+        start = F.greatest(F.lit(0), F.least(i - (F.col("w") - 1) / 2, F.size("y") - F.col("w"))).cast("int")
+        terms = F.zip_with(F.slice("y", start + 1, F.col("w")), F.element_at("t", (i - start + 1).cast("int")), lambda a, b: a * b)
+        return F.when(F.col("t").isNull(), y).otherwise(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))
+
+    smooth = whole.select(key, "o", F.transform("y", value).alias("v"))
+    return smooth.select(key, F.explode(F.arrays_zip("o", "v")).alias("r")).select(key, F.col("r.o").alias(order), F.col("r.v").alias("smooth"))
+
+
 def detail_energy(key: str, order: str, column: str, sizes=(4, 8, 16)) -> dict:
     """The squared difference of successive rolling means, scale by scale."""
     w = Window.partitionBy(key).orderBy(order)
