@@ -60,54 +60,78 @@ def huber_plane(df: DataFrame, key: list[str], x: str, y: str, value: str, round
     return fit.join(middle, key).select(*key, (F.col("a") - F.col("b") * F.col("mx") - F.col("c") * F.col("my")).alias("a"), "b", "c", "rows")
 
 
-def _trend_solver(n: int, rho: float):
-    """Solves (I + rho D'D) x = b, D the second differences, by an LDL' factor of the five bands."""
-    a, b, c = np.ones(n), np.zeros(n), np.zeros(n)
+def _trend_solvers(sizes: np.ndarray, rho: float):
+    """Solves (I + rho D'D) x = b, D the second differences, for many series at once, by LDL' factors of the five bands.
+
+    Series are columns, padded to the longest; a padded row stands for itself alone.
+    """
+    n, row = int(sizes.max()), np.arange(int(sizes.max()))[:, None]
+    a, b, c = np.ones((n, len(sizes))), np.zeros((n, len(sizes))), np.zeros((n, len(sizes)))
+    inner = row < sizes - 2  # a second difference begins here
     for k, w in enumerate((1, -2, 1)):
-        a[k : n - 2 + k] += rho * w * w
-    b[: n - 2] += rho * -2
-    b[1 : n - 1] += rho * -2
-    c[: n - 2] += rho
-    a, b, c = a.tolist(), b.tolist(), c.tolist()
-    d, e, f = [0.0] * n, [0.0] * n, [0.0] * n  # pivots, and the two bands below them
+        a[k:] += rho * w * w * inner[: n - k]
+    b += -2 * rho * inner
+    b[1:] += -2 * rho * inner[:-1]
+    c += rho * inner
+    d, e, f = np.ones_like(a), np.zeros_like(a), np.zeros_like(a)  # pivots, and the two bands below them
     for i in range(n):
         d[i] = a[i] - (e[i - 1] ** 2 * d[i - 1] if i else 0.0) - (f[i - 2] ** 2 * d[i - 2] if i > 1 else 0.0)
         e[i] = (b[i] - (e[i - 1] * f[i - 1] * d[i - 1] if i else 0.0)) / d[i]
         f[i] = c[i] / d[i]
 
     def solve(right: np.ndarray) -> np.ndarray:
-        x = right.tolist()
+        x = right.copy()
         for i in range(1, n):
-            x[i] -= e[i - 1] * x[i - 1] + (f[i - 2] * x[i - 2] if i > 1 else 0.0)
-        for i in range(n - 1, -1, -1):
-            x[i] = x[i] / d[i] - (e[i] * x[i + 1] if i < n - 1 else 0.0) - (f[i] * x[i + 2] if i < n - 2 else 0.0)
-        return np.array(x)
+            x[i] -= e[i - 1] * x[i - 1]
+            if i > 1:
+                x[i] -= f[i - 2] * x[i - 2]
+        x /= d
+        for i in range(n - 2, -1, -1):
+            x[i] -= e[i] * x[i + 1]
+            if i < n - 2:
+                x[i] -= f[i] * x[i + 2]
+        return x
 
     return solve
 
 
-def l1_trend(y: np.ndarray, strength: float, rounds: int = 200, rho: float = 1.0) -> np.ndarray:
-    """A piecewise linear trend: half the squared error plus strength times the absolute second differences, by ADMM."""
-    n = len(y)
-    if n < 3:
-        return y.astype(float)
-    solve = _trend_solver(n, rho)
-    bend = lambda x: x[:-2] - 2 * x[1:-1] + x[2:]
+def _trend_solver(n: int, rho: float):
+    """`_trend_solvers` for one series."""
+    solve = _trend_solvers(np.array([n]), rho)
+    return lambda right: solve(np.asarray(right, float)[:, None])[:, 0]
+
+
+def l1_trends(series: list[np.ndarray], strength: float, rounds: int = 200, rho: float = 1.0) -> list[np.ndarray]:
+    """Piecewise linear trends: half the squared error plus strength times the absolute second differences, by ADMM, of all series side by side."""
+    sizes = np.array([len(y) for y in series])
+    if not len(sizes) or sizes.max() < 3:
+        return [np.asarray(y, float) for y in series]
+    n = int(sizes.max())
+    y = np.zeros((n, len(series)))
+    for j, values in enumerate(series):
+        y[: len(values), j] = values
+    inner = np.arange(n - 2)[:, None] < sizes - 2
+    solve = _trend_solvers(sizes, rho)
 
     def unbend(v: np.ndarray) -> np.ndarray:
-        out = np.zeros(n)
+        out = np.zeros((n, len(series)))
         out[:-2] += v
         out[1:-1] -= 2 * v
         out[2:] += v
         return out
 
-    z, u = np.zeros(n - 2), np.zeros(n - 2)
+    z, u = np.zeros((n - 2, len(series))), np.zeros((n - 2, len(series)))
     for _ in range(rounds):
         x = solve(y + rho * unbend(z - u))
-        r = bend(x) + u
+        r = np.where(inner, x[:-2] - 2 * x[1:-1] + x[2:] + u, 0.0)
         z = np.sign(r) * np.maximum(np.abs(r) - strength / rho, 0)
         u = r - z
-    return x
+    return [x[:size, j] for j, size in enumerate(sizes)]
+
+
+def l1_trend(y: np.ndarray, strength: float, rounds: int = 200, rho: float = 1.0) -> np.ndarray:
+    """The trend of one series; see `l1_trends`."""
+    return l1_trends([np.asarray(y, float)], strength, rounds, rho)[0]
 
 
 def notch(y: np.ndarray, step: float, low: float, high: float, top: int = 2) -> np.ndarray:

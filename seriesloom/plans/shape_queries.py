@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -33,12 +35,17 @@ def huber_plane(spark, sf_dir):
 def trend_filters(spark, sf_dir):
     """Piecewise linear, notched and polynomial trends of each user's signal."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(ROW)
-        y, x = part["value"].to_numpy(float), part["md"].to_numpy(float)
-        return pd.DataFrame({KEY: part[KEY], ROW: part[ROW], "trend": shapes.l1_trend(y, 50.0), "notched": shapes.notch(y, 1.0, 2.0, 16.0), "poly": shapes.robust_polynomial(x, y)})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            series = [(row[KEY], np.asarray(row["at"]), np.asarray(row["md"], float), np.asarray(row["value"], float)) for row in part.to_dict("records")]
+            series.sort(key=lambda r: len(r[1]))  # series of like lengths are solved side by side
+            for group in (series[i : i + 64] for i in range(0, len(series), 64)):
+                for (key, at, x, y), trend in zip(group, shapes.l1_trends([r[3] for r in group], 50.0), strict=True):
+                    yield pd.DataFrame({KEY: key, ROW: at, "trend": trend, "notched": shapes.notch(y, 1.0, 2.0, 16.0), "poly": shapes.robust_polynomial(x, y)})
 
-    return base(spark, sf_dir).select(KEY, ROW, "md", "value").groupBy(KEY).applyInPandas(run, f"{KEY} long, {ROW} long, trend double, notched double, poly double")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work a series
+    whole = base(spark, sf_dir).select(KEY, ROW, "md", "value").repartition(tasks, KEY).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(F.col(ROW).alias("at"), "md", "value"))).alias("s"))
+    return whole.select(KEY, "s.at", "s.md", "s.value").mapInPandas(run, f"{KEY} long, {ROW} long, trend double, notched double, poly double")
 
 
 @query("path_medoids")

@@ -58,3 +58,21 @@ def test_nearest_rows_of_groups_apart_small_groups_and_an_outlier(spark, monkeyp
         near = sorted((np.sqrt((x - a) ** 2 + (y - b) ** 2), j) for j, a, b, h in good if j != i and (h == g) == same)[:6]
         assert [n for _, n in sorted(got.get(i, []))] == [j for _, j in near]
     assert set(got) <= {r[0] for r in good}
+
+
+def test_trends_side_by_side_equal_single_ones():
+    rng = np.random.default_rng(3)
+    series = [np.cumsum(rng.normal(0, 3, n)) for n in (1, 2, 3, 4, 30, 31, 7)]
+    together = shapes.l1_trends(series, 5.0, 60)
+    for y, x in zip(series, together, strict=True):
+        n = len(y)
+        d = np.diff(np.eye(n), 2, axis=0) if n > 2 else np.zeros((0, n))
+        z = u = np.zeros(max(n - 2, 0))
+        want = y
+        for _ in range(60 if n > 2 else 0):
+            want = np.linalg.solve(np.eye(n) + d.T @ d, y + d.T @ (z - u))
+            r = d @ want + u
+            z = np.sign(r) * np.maximum(np.abs(r) - 5.0, 0)
+            u = r - z
+        assert np.allclose(x, want)
+    assert shapes.l1_trends([], 1.0) == []
