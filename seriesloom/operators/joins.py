@@ -111,8 +111,8 @@ def _fewest(rows: DataFrame, place: list[str], id_col: str, n: int, salts: int =
     return dealt.withColumn("__n", first(place)).where(F.col("__n") <= n).drop("__n", "__salt")
 
 
-#: Rows of cells that a query is compared with one by one; and pairs of cells that a round may come to if all are parted.
-COMPARED, PAIRS = 256, 200_000
+#: Rows of cells that a query is compared with one by one; comparisons that are made at once whatever they are of; and pairs of cells that a round may come to if all are parted.
+COMPARED, AT_ONCE, PAIRS = 256, 20_000_000, 200_000
 
 
 def _cell(prefix: str, coords: list[str], bits: int, level: int) -> Column:
@@ -131,8 +131,8 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, coords: list[str], id_col:
     Exact, and never all pairs. Space is halved along all coordinates, again and again. The queries of a group in one cell
     keep a list of cells of rows: those whose rows can be among the k nearest of any of the queries, as told by the least and
     largest distance between the boxes around both and by how many rows of other groups (with `same_group` of the own one) each cell holds.
-    Once the cells of a list hold few rows, own-group rows included, they are compared one by one; else both
-    sides are parted further. So rows of the own group are left behind by the cell, and where groups lie far apart only the near
+    Once the cells of a list hold few rows, own-group rows included, they are compared one by one, or once all lists that are left
+    come to few comparisons; else both sides are parted further. So rows of the own group are left behind by the cell, and where groups lie far apart only the near
     side of a group is looked at. Of rows at one place in one group only the first k + 1 by id can be among the nearest.
     Rows and queries of a null group, or with a coordinate that isn't finite, take no part. `cell` is the width of the first cells.
     """
@@ -161,20 +161,22 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, coords: list[str], id_col:
         levels.append(level)
         cells = r.groupBy(of_rows(above).alias("tc"), of_rows(level).alias("t")).agg(F.count("*").alias("rows"), *_box("__r_", coords, "t_"))
         mine = r.groupBy(of_rows(level).alias("t"), F.col("__other").alias("__group")).agg(F.count("*").alias("mine"))
-        asked = q.groupBy("__group", of_queries(above).alias("qc"), of_queries(level).alias("q")).agg(*_box("__q_", coords, "q_"))
+        asked = q.groupBy("__group", of_queries(above).alias("qc"), of_queries(level).alias("q")).agg(F.count("*").alias("asks"), *_box("__q_", coords, "q_"))
         finer = pairs.join(asked, ["__group", "qc"]).join(cells, "tc").drop("qc", "tc").withColumnsRenamed({"q": "qc", "t": "tc"})
         finer = finer.join(mine.withColumnRenamed("t", "tc"), ["tc", "__group"], "left").withColumn("mine", F.coalesce("mine", F.lit(0)))
         finer = finer.withColumn("able", F.col("mine") if same_group else F.col("rows") - F.col("mine")).where("able > 0")
-        finer = finer.select("__group", "qc", "tc", "rows", "able", length(gap).alias("near"), length(reach).alias("far"))
+        finer = finer.select("__group", "qc", "tc", "asks", "rows", "able", length(gap).alias("near"), length(reach).alias("far"))
         upto = F.sum("able").over(own.orderBy("far").rangeBetween(Window.unboundedPreceding, Window.currentRow))
         enough = F.min(F.when(F.col("upto") > k, F.col("far"))).over(own)  # one more than k: a query may be among the rows itself
         finer = finer.withColumn("upto", upto).withColumn("enough", F.coalesce(enough, F.lit(float("inf"))))
         finer = finer.where(F.col("near") <= F.col("enough") * (1 + 1e-9))
         finer = finer.withColumn("few", (F.sum("rows").over(own) <= COMPARED + 4 * k) | F.lit(level == bits))
-        finer = staged(finer.select("__group", "qc", "tc", "few"), "pairs")
-        ready.append(finer.where("few").select(F.lit(level).alias("level"), "__group", "qc", "tc"))
-        pairs = finer.where(~F.col("few")).drop("few")
-        if not (left := pairs.count()):
+        finer = staged(finer.select("__group", "qc", "tc", "asks", "rows", "few"), "pairs")
+        left, work = finer.where(~F.col("few")).agg(F.count("*"), F.sum(F.col("asks") * F.col("rows"))).first()
+        over = (work or 0) > AT_ONCE
+        ready.append((finer.where("few") if over else finer).select(F.lit(level).alias("level"), "__group", "qc", "tc"))
+        pairs = finer.where(~F.col("few")).select("__group", "qc", "tc")
+        if not over:
             break
         step = max(1, int(math.log2(max(1, PAIRS // left)) / (2 * len(coords))))  # few pairs: several halvings in a round
     ready = reduce(lambda a, b: a.unionAll(b), ready)

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from seriesloom.functions.staging import staged
 
 
+#: Rows of a group that one task sorts at most.
+ONE_TASK = 1_000_000
+
+
 def score_key(text) -> Column:
     """The number that a text holds; what can't be read as one comes after all numbers, as minus infinity."""
     number = F.expr(f"try_cast(trim({text}) as double)")
@@ -32,9 +36,12 @@ def numbered(df: DataFrame, order: list[str], out: str = "position") -> DataFram
 def running_total(df: DataFrame, key: list[str], order: str, weight: str, out: str) -> DataFrame:
     """`df` with the sum of `weight` up to each row of its group by `order`, of which no two rows of a group have the same value.
 
-    A group may be as large as the table: rows are dealt to tasks by ranges of group and order and summed up there; only sums of a
-    group's part of a range are added up together.
+    A group may be as large as the table: if one has more than ONE_TASK rows, rows are dealt to tasks by ranges of group and order and
+    summed up there; only sums of a group's part of a range are added up together.
     """
+    df = staged(df, "totals")
+    if (df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0) <= ONE_TASK:
+        return df.withColumn(out, F.sum(weight).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     ranged = staged(df.repartitionByRange(*key, order).withColumn("__part", F.spark_partition_id()), "ranged")
     parts = ranged.groupBy(*key, "__part").agg(F.sum(weight).alias("__s"))
     before = F.coalesce(F.sum("__s").over(Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

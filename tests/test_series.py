@@ -210,7 +210,9 @@ def test_knn_with_cells_equals_all_pairs(spark):
     assert key(joins.nearest_rows(df, df, ["x", "y"], "id", "g", 3)) == key(joins.nearest_rows(df, df, ["x", "y"], "id", "g", 3, cell=0.3))
 
 
-def test_nearest_rows_are_exact_among_clusters_copies_and_gaps(spark):
+@pytest.mark.parametrize("at_once", [0, 20_000_000])
+def test_nearest_rows_are_exact_among_clusters_copies_and_gaps(spark, monkeypatch, at_once):
+    monkeypatch.setattr(joins, "AT_ONCE", at_once)
     rng = np.random.default_rng(4)
     places = np.concatenate([rng.normal(0, 0.01, (60, 2)), rng.normal(50, 5, (60, 2)), np.full((60, 2), 7.0), [[1e6, -1e6]]])
     rows = [(i, i % 3, float(x), float(y)) for i, (x, y) in enumerate(places)] + [(900, 0, None, 1.0), (901, 1, math.nan, 1.0)]

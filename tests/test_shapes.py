@@ -45,6 +45,7 @@ def test_huber_plane_ignores_outliers(spark):
 @pytest.mark.parametrize("compared", [4, 256])
 def test_nearest_rows_of_groups_apart_small_groups_and_an_outlier(spark, monkeypatch, same, compared):
     monkeypatch.setattr(joins, "COMPARED", compared)
+    monkeypatch.setattr(joins, "AT_ONCE", 0 if compared == 4 else 30_000)
     rng = np.random.default_rng(8)
     rows = [(i, 100.0 * (i % 2) + float(rng.normal()), float(rng.normal()), "ab"[i % 2]) for i in range(160)]
     rows += [(200 + i, float(rng.uniform(-1, 101)), 0.0, f"s{i // 2}") for i in range(20)]  # groups of fewer than k + 1 rows
