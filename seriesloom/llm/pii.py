@@ -27,10 +27,10 @@ TITLES = {
 _TITLES = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _MORE = "(?:(?:Dr|Prof|Д-р)\\.? )*+"
 _FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
-#: Patterns of each type, tried in this order.
+#: Patterns of each type, tried in this order. A run of more than 128 hex digits is a secret if a letter is among them.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?:(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9]))|(?<=[\"'])(?<=(?:secret|token|passwd|password|apikey|api_key)[ \t]{0,2}[=:][ \t]{0,2}[\"'])[^\"'\s]{8,}+(?=[\"'])",
+    "secret": r"(?:(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}+|(?=[0-9]*+[a-f])[0-9a-f]{129,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9]))|(?<=[\"'])(?<=(?:secret|token|passwd|password|apikey|api_key)[ \t]{0,2}[=:][ \t]{0,2}[\"'])[^\"'\s]{8,}+(?=[\"'])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "mac": r"(?<![A-Za-z0-9:])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![A-Za-z0-9:])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
