@@ -26,18 +26,28 @@ TITLES = {
 }
 _TITLES = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _MORE = "(?:(?:Dr|Prof|Д-р)\\.? )*+"
+#: Small words before a name, which stay.
+PARTICLES = ("de", "da", "di", "del", "della", "dos", "du", "van", "von", "zu", "bin", "ibn", "al", "ten", "ter", "la", "las", "los", "le", "den", "dem", "der")
+_SMALL = "(?:(?:de|da|di|del|della|dos|du|van|von|zu|bin|ibn|al|ten|ter)(?: (?:la|las|los|le|den|dem|der|de))? ){0,2}+"
+_LETTERS = r"A-Za-z\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}"
+_HEX = "[0-9A-Fa-f]"
+#: An address of version 6 that is given out or local: its first group is whole, and no more than seven colons follow each other's groups.
+_IPV6 = (
+    rf"(?<![0-9A-Za-z:.])(?=(?:{_HEX}*:){{2,7}}{_HEX}*(?![0-9A-Za-z]|:[0-9A-Za-z:]))(?:[23]{_HEX}{{3}}|[Ff][CDcd]{_HEX}{{2}}|[Ff][Ee][89ABab]{_HEX})"
+    rf"(?:(?::{_HEX}{{1,4}}){{7}}|(?::{_HEX}{{1,4}}){{0,6}}::(?:{_HEX}{{1,4}}(?::{_HEX}{{1,4}}){{0,5}})?)(?![0-9A-Za-z]|:[0-9A-Za-z:]|\.[0-9])"
+)
 _FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
 #: Patterns of each type, tried in this order. A run of more than 128 hex digits is a secret if a letter is among them.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "email": rf"(?<![{_LETTERS}])[{_LETTERS}0-9._%+-]{{1,64}}+@[{_LETTERS}0-9-]{{1,63}}(?:\.[{_LETTERS}0-9-]{{1,63}}){{0,8}}\.[{_LETTERS}]{{2,24}}",
     "secret": r"(?:(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}+|(?=[0-9]*+[a-f])[0-9a-f]{129,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9]))|(?<=[\"'])(?<=(?:secret|token|passwd|password|apikey|api_key)[ \t]{0,2}[=:][ \t]{0,2}[\"'])[^\"'\s]{8,}+(?=[\"'])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "mac": r"(?<![A-Za-z0-9:])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![A-Za-z0-9:])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])|" + _IPV6,
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,5}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}])(?:{_TITLES})(?![\p{{L}}\p{{N}}])\.? {_MORE}{_WORD}(?: {_WORD}){{0,2}}",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=[{_FIRST}])(?:{_TITLES})(?![\p{{L}}\p{{N}}])\.? {_MORE}{_SMALL}{_WORD}(?: {_SMALL}{_WORD}){{0,2}}",
 }
 #: Attempts after which a surrogate gets one more digit or letter, and again after as many: a format whose values are nearly all taken has no room.
 WIDEN = 4
@@ -46,7 +56,7 @@ PART = r"(?<![\p{L}\p{M}'’])(?:\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]+)+
 #: Any mention but names; none begins within an ASCII word, which spares most places the patterns.
 ANY = f"(?<![A-Za-z0-9])(?:{'|'.join(f'(?:{p})' for k, p in PATTERNS.items() if k != 'name')})"
 #: What a text with a mention holds at least, quick to look for.
-HINT = rf"[0-9@]|(?<![A-Za-z0-9])(?:AKIA|gh[pousr]_|sk-|xox[abprs]-|[a-f]{{32}})|[=:][ \t]{{0,2}}[\"']|(?=[{_FIRST}])(?:{_TITLES})\.? {_MORE}\p{{Lu}}"
+HINT = rf"[0-9@]|[Ff][CDEcde]{_HEX}{{2}}:|(?<![A-Za-z0-9])(?:AKIA|gh[pousr]_|sk-|xox[abprs]-|[a-f]{{32}})|[=:][ \t]{{0,2}}[\"']|(?=[{_FIRST}])(?:{_TITLES})\.? {_MORE}{_SMALL}\p{{Lu}}"
 #: Syllables from which names are built, and endings that show gender, by script.
 SYLLABLES = {
     "latin": (("ba", "ce", "di", "fo", "ga", "he", "ji", "ko", "la", "me", "ni", "po", "ra", "se", "ti", "vo"), {"male": ("n", "r"), "female": ("na", "ra"), "unknown": ("l", "s")}),
@@ -68,7 +78,8 @@ def name_words(text: Column) -> Column:
     """Array of (word, gender): the words of a text's titled names in lower case; the last of several shows no gender."""
 
     def words(mention: Column) -> Column:
-        found = F.regexp_extract_all(F.lower(_untitled(mention)), F.lit(PART), F.lit(0))
+        found = F.filter(F.regexp_extract_all(_untitled(mention), F.lit(PART), F.lit(0)), lambda x: ~x.isin(*PARTICLES))
+        found = F.transform(found, F.lower)
         found = F.when(F.size(found) == 0, F.array(F.lower(_untitled(mention)))).otherwise(found)
         shown = lambda i: F.when((i == 0) | (i < F.size(found) - 1), gender_of(mention)).otherwise("unknown")
         return F.transform(found, lambda x, i: F.struct(x.alias("word"), shown(i).alias("gender")))
@@ -82,11 +93,19 @@ def mention_pattern(words: Column) -> Column:
     return F.when(F.size(words) == 0, ANY).otherwise(known)
 
 
+def _groups_of(address: Column) -> Column:
+    """An address of version 6 with all its eight groups, of four digits each."""
+    halves = F.split(F.lower(address), "::")
+    left, right = F.split(F.element_at(halves, 1), ":"), F.when((F.size(halves) > 1) & (F.element_at(halves, -1) != ""), F.split(F.element_at(halves, -1), ":")).otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
+    return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), ":")
+
+
 def entity_of(kind: Column, mention: Column) -> Column:
-    """What a mention names, whatever its format: digits of numbers, letters in lower case; of names what follows the title."""
+    """What a mention names, whatever its format: digits of numbers, letters in lower case, all groups of an address; of names what follows the title."""
     plain = F.regexp_replace(mention, r"[^0-9A-Za-z]", "")
     name = F.lower(_untitled(mention))
-    return F.when(kind == "email", F.lower(mention)).when(kind.isin("iban", "mac"), F.upper(plain)).when(kind.isin("card", "ssn", "phone"), F.regexp_replace(mention, "[^0-9]", "")).when(kind == "name", name).otherwise(mention)
+    return F.when(kind == "email", F.lower(mention)).when(kind.isin("iban", "mac"), F.upper(plain)).when(kind.isin("card", "ssn", "phone"), F.regexp_replace(mention, "[^0-9]", "")).when(kind == "name", name).when((kind == "ip") & F.contains(mention, F.lit(":")), _groups_of(mention)).otherwise(mention)
 
 
 def gender_of(mention: Column) -> Column:
@@ -106,12 +125,13 @@ def _nibbles(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
 
 
 def _like(pattern: Column, digest: Column) -> Column:
-    """`pattern` with digits for digits and letters for letters of its case; the digest repeats beyond 128 characters."""
+    """`pattern` with digits for digits and letters for letters of its script and case; the digest repeats beyond 128 characters."""
+    scripts = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"(?=\p{IsCyrillic})\p{Ll}": "абвгдежзиклмнопрстуфхцчшщэюя", r"(?=\p{IsCyrillic})\p{Lu}": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", r"(?=\p{IsGreek})\p{Ll}": "αβγδεζηθικλμνξοπρστυφχψω", r"(?=\p{IsGreek})\p{Lu}": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", r"\p{Lu}": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"\p{L}": "abcdefghijklmnopqrstuvwxyz"}
 
     def drawn(c: Column, i: Column) -> Column:
         n = F.conv(F.substring(digest, (i % 128) * 2 + 1, F.lit(2)), 16, 10).cast("int")
         pick = lambda letters: F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))
-        return F.when(F.rlike(c, F.lit("[0-9]")), pick("0123456789")).when(F.rlike(c, F.lit("[a-z]")), pick("abcdefghijklmnopqrstuvwxyz")).when(F.rlike(c, F.lit("[A-Z]")), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
+        return F.coalesce(*(F.when(F.rlike(c, F.lit(p)), pick(letters)) for p, letters in scripts.items()), c)
 
     return F.array_join(F.transform(F.split(pattern, ""), drawn), "")
 
@@ -146,7 +166,7 @@ def _valid_iban(entity: Column, made: Column) -> Column:
 def surrogate_of(kind: Column, entity: Column, gender: Column, attempt: Column, d: Column) -> Column:
     """The surrogate of an entity, in the form that `entity_of` gives, from the digits `d` that `_nibbles` drew for it.
 
-    IP addresses come from the reserved block 240.0.0.0/4, email domains from example.org; phone
+    IP addresses come from the reserved block 240.0.0.0/4, those of version 6 from 2001:db8::/32, in which groups of zeros stay; email domains from example.org; phone
     numbers and cards keep their first digit, IBANs their country; hex stays hex. Cards and IBANs
     with right check digits get such; social security numbers are in the ranges that are given out.
     Later attempts are longer: digits and letters more, an IP address of version 6 from 2001:db8::/32.
@@ -154,7 +174,10 @@ def surrogate_of(kind: Column, entity: Column, gender: Column, attempt: Column,
     byte = lambda i: F.conv(F.substring(d, 2 * i + 1, 2), 16, 10).cast("int")
     wide = F.floor(attempt / WIDEN).cast("int")
     ip = F.concat_ws(".", *((x).cast("string") for x in (byte(0) % 15 + 240, byte(1), byte(2), byte(3))))
-    ip = F.when(wide > 0, F.concat(F.lit("2001:db8:"), F.concat_ws(":", *(F.substring(d, 4 * i + 1, 4) for i in range(6))))).otherwise(ip)
+    ip = F.when(wide > 0, F.concat(F.lit("2001:0db8:"), F.concat_ws(":", *(F.substring(d, 4 * i + 1, 4) for i in range(6))))).otherwise(ip)
+    own = lambda i: F.regexp_replace(F.substring(d, 4 * i + 1, 4), "^0000$", "0001")
+    six = F.concat_ws(":", F.lit("2001:0db8"), *(F.when((wide == 0) & (F.substring(entity, 5 * i + 1, 4) == "0000"), "0000").otherwise(own(i)) for i in range(2, 8)))
+    ip = F.when(F.contains(entity, F.lit(":")), six).otherwise(ip)
     email = F.concat(_like(F.substring_index(entity, "@", 1), d), F.lit("@"), F.translate(F.substring(d, F.lit(200), wide + 8), "0123456789", "ghijklmnop"), F.lit(".example.org"))
     hexed = F.substring(F.repeat(d, 4), F.lit(1), F.char_length(entity) + wide)
     longer = lambda x: F.concat(x, F.repeat(F.lit("0"), wide))
@@ -205,7 +228,10 @@ def dressed(kind: Column, mention: Column, surrogate: Column) -> Column:
     rest = F.substring(mention, F.char_length(title) + 1, F.char_length(mention))
     name = F.concat(title, F.when((rest == F.upper(rest)) & (F.char_length(rest) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate)))
     email = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("card", "ssn", "phone", "iban"), digits).when(kind == "mac", mac).when(kind == "name", name).when(kind == "email", email).otherwise(surrogate)
+    full = F.when(F.rlike(mention, F.lit(rf"(?:^|:)0{_HEX}")), surrogate).otherwise(F.regexp_replace(surrogate, r"(?<![0-9a-f])0{1,3}(?=[0-9a-f])", ""))
+    short = F.when(F.contains(mention, F.lit("::")), F.regexp_replace(full, "^((?:0*[1-9a-f][0-9a-f]*:)+)(?:0{1,4}(?::|$))+", "$1:")).otherwise(full)
+    ip = F.when(~F.contains(surrogate, F.lit(":")), surrogate).when(mention == F.lower(mention), short).otherwise(F.upper(short))
+    return F.when(kind.isin("card", "ssn", "phone", "iban"), digits).when(kind == "mac", mac).when(kind == "name", name).when(kind == "email", email).when(kind == "ip", ip).otherwise(surrogate)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from seriesloom.llm import pii
@@ -120,3 +121,71 @@ def test_long_secrets(spark):
     for i, s in enumerate(secrets):
         assert got[i].startswith("it is ") and got[i].endswith(" here") and s not in got[i] and len(got[i]) == len(texts[i])
     assert got[4].startswith('password = "') and "p4ss" not in got[4]
+
+
+def test_addresses_of_version_6(spark):
+    """One address has one surrogate however it is written; short ones stay short, and code is no address."""
+    got = run(spark, ["at 2001:db8::1f and 2001:0DB8:0:0:0:0:0:1F: up", "fe80::a1b2:c3d4%eth0, 2a00:1450:4001:81b:0:0:0:200e.", "std::vector a::b x[100::2] 12:30:45 de:ad:be:ef:00:11", "2001:db8::1f, fdab:cdef::abc"])
+    a = re.fullmatch(r"at (2001:db8::[0-9a-f]{1,4}) and (2001:0DB8:[0-9A-F:]+): up", got[0].text)
+    assert a and a[1] != "2001:db8::1f" and a[2].lower().split(":")[:-1] == ["2001", "0db8", "0000", "0000", "0000", "0000", "0000"] and int(a[2].split(":")[-1], 16) == int(a[1].split(":")[-1], 16)
+    b = re.fullmatch(r"(2001:db8::[0-9a-f]{1,4}:[0-9a-f]{1,4})%eth0, (2001:db8:[0-9a-f]+:[0-9a-f]+:0:0:0:[0-9a-f]+)\.", got[1].text)
+    assert b and got[2].text.startswith("std::vector a::b x[100::2] 12:30:45 ") and got[2].kinds == ["mac"]
+    assert re.fullmatch(rf"{a[1]}, 2001:db8::[0-9a-f]+", got[3].text) or re.fullmatch(rf"{a[1]}, 2001:db8:[0-9a-f]+::[0-9a-f]+", got[3].text)
+
+
+def test_mail_of_other_letters_and_names_with_particles(spark):
+    got = run(spark, ["josé.núñez@exämple.de wrote", "от иван@пример.рф и ИВАН@ПРИМЕР.РФ", "Dr. de la Cruz met Frau von der Leyen; Cruz left la Cruz.", "请联系foo@bar.com谢谢"])
+    assert re.fullmatch(r"[a-z]{4}\.[a-z]{5}@[g-z]\w*\.example\.org wrote", got[0].text) or re.fullmatch(r"[a-z.]+@[a-p0-9]+\.example\.org wrote", got[0].text)
+    b = re.fullmatch(r"от ([а-я]{4}@\S+) и (\S+)", got[1].text)
+    assert b and b[1].upper() == b[2] and "иван" not in got[1].text
+    c = re.fullmatch(r"Dr\. de la (\w+) met Frau von der (\w+); (\w+) left la (\w+)\.", got[2].text)
+    assert c and c[1] == c[3] == c[4] != "Cruz" and c[2] != "Leyen"
+    assert regex.fullmatch(r"请联系[a-z]{3}@\w+\.example\.org谢谢", got[3].text)
+
+
+def plain_mentions(text):
+    """(between, mentions) of a text by plain scanning; a mention is (kind, entity, text)."""
+    words = []
+    for m in regex.finditer(pii.PATTERNS["name"], text):
+        bare = regex.sub(rf"^(?:{pii._TITLES})\.? {pii._MORE}", "", m[0])
+        found = [w.lower() for w in regex.findall(pii.PART, bare) if w not in pii.PARTICLES] or [bare.lower()]
+        words += [w for w in found if w not in words]
+    pattern = pii.ANY + (rf"|(?<![\p{{L}}\p{{M}}])(?:(?=\p{{Lu}})|(?<=\p{{L}}-))(?i:{'|'.join(words)})(?![\p{{L}}\p{{M}}])" if words else "")
+    between, mentions, at = [], [], 0
+    for m in regex.finditer(pattern, text):
+        kind = "name" if m[0].lower() in words else next((k for k, p in pii.PATTERNS.items() if k != "secret" and regex.fullmatch(p, m[0])), "secret")
+        letters = re.sub("[^0-9A-Za-z]", "", m[0])
+        entity = {"email": m[0].lower(), "name": m[0].lower(), "iban": letters.upper(), "mac": letters.upper(), "secret": m[0], "ip": m[0]}.get(kind, re.sub("[^0-9]", "", m[0]))
+        between.append(text[at : m.start()])
+        mentions.append((kind, entity, m[0]))
+        at = m.end()
+    return [*between, text[at:]], mentions
+
+
+def test_the_query_is_a_plain_scan_with_one_surrogate_an_entity(spark, sf):
+    """The whole query against plain scanning of all texts: the same mentions, all else untouched, entities and surrogates one to one."""
+    after = {r.doc_id: r for r in pii.op4_surrogate_pii(spark, sf).collect()}
+    forms = {"email": r"[\w.%+-]+@[\w.-]+", "name": r"\p{L}+", "ip": "[0-9A-Fa-f.:]+"}
+    of, seen = {}, 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        if r.text is None:
+            assert after[r.doc_id].text is None
+            continue
+        between, mentions = plain_mentions(r.text)
+        shape = "".join(regex.escape(b) + f"({forms.get(k, f'.{{{len(m)}}}')})" for b, (k, _, m) in zip(between, mentions)) + regex.escape(between[-1])
+        new = regex.fullmatch(shape, after[r.doc_id].text, regex.DOTALL)
+        assert new and after[r.doc_id].kinds == sorted({k for k, _, _ in mentions})
+        for (kind, entity, _), got in zip(mentions, new.groups()):
+            plain = got.lower() if kind in ("email", "name") else got if kind in ("secret", "ip") else re.sub("[^0-9A-Za-z]", "", got).upper() if kind in ("iban", "mac") else re.sub("[^0-9]", "", got)
+            assert of.setdefault((kind, entity), plain) == plain
+            seen += 1
+    assert seen > 5 and len({(k, s) for (k, _), s in of.items()}) == len(of) and not {(k, s) for (k, _), s in of.items()} & set(of)
+
+
+def test_other_columns_play_no_part(spark):
+    """Columns of any name beside id and text, also the operator's own names, change nothing."""
+    names = ("row", "names", "mentions", "between", "pattern", "at", "mention", "kind", "entity", "surrogate", "worn", "attempt", "n_mentions", "kinds")
+    docs = spark.createDataFrame([(i, f"a{i}@b.co and Mr. Jones") for i in range(5)], "doc_id long, text string")
+    more = docs.select(*(F.lit("c@d.eu").alias(n) for n in names), "text", "doc_id")
+    rows = lambda df: sorted(map(tuple, pii.surrogates(df).collect()), key=str)
+    assert rows(docs) == rows(more)
