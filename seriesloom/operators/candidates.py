@@ -204,6 +204,14 @@ def clip_at_quantile(df: DataFrame, fit: DataFrame, column: str, q: float) -> Da
     return df.crossJoin(F.broadcast(bound)).withColumn(column, clip(column, -F.col("__b"), F.col("__b"))).drop("__b")  # one row
 
 
+def clip_to_reference(df: DataFrame, key: str, column: str, reference: DataFrame, value: str, out: str) -> DataFrame:
+    """`df` with `out`: `column` within the range of `value` in the reference rows of the same key; as it is where there are none."""
+    ends = reference.groupBy(F.col(key).alias("__key")).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    rows = df.join(ends, F.col(key) == F.col("__key"), "left")
+    inside = F.when(F.col(column).isNotNull(), F.least(F.greatest(F.col(column), F.col("__low")), F.col("__high")))
+    return rows.withColumn(out, inside).drop("__key", "__low", "__high")
+
+
 def restore_order(template: DataFrame, predictions: DataFrame, key: str, value: str) -> DataFrame:
     """The template's rows in its order with their predictions; unknown and missing keys are errors."""
     problems = joins.coverage(template, predictions, [key]).limit(3).collect()

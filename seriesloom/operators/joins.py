@@ -196,8 +196,27 @@ def knn_summary(neighbours: DataFrame, id_col: str, value: str) -> DataFrame:
     return neighbours.groupBy(id_col).agg(F.avg(value).alias("knn_mean"), F.stddev_pop(value).alias("knn_std"), F.avg("distance").alias("knn_distance"))
 
 
+def standardised(df: DataFrame, columns: list[str], suffix: str = "_z") -> DataFrame:
+    """`df` with each column's distance from its mean in standard deviations of all rows; 0 where a column doesn't vary."""
+    sums = df.agg(*(f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_pop))))  # one row
+    rows = df.crossJoin(F.broadcast(sums))
+    z = {f"{c}{suffix}": F.when(F.col(f"__sd_{c}") > 0, (F.col(c) - F.col(f"__mean_{c}")) / F.col(f"__sd_{c}")).when(F.col(c).isNotNull(), 0.0) for c in columns}
+    return rows.withColumns(z).drop(*sums.columns)
+
+
+def surface_moves(df: DataFrame, key: str, order: str, x: str, y: str, slope_x: str, slope_y: str, out: str = "move") -> DataFrame:
+    """`df` with `out`: how much a surface with these slopes rises from the row before to each row; 0 at a group's first row.
+
+    It is the part of a path's move that the surface explains, and the `shift` of a decoder's transition.
+    A null slope or coordinate moves nothing.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    d = lambda c: F.col(c) - F.lag(c).over(w)
+    return df.withColumn(out, F.coalesce(F.col(slope_x) * d(x) + F.col(slope_y) * d(y), F.lit(0.0)))
+
+
 def local_plane(neighbours: DataFrame, queries: DataFrame, id_col: str, x: str, y: str, value: str, bandwidth: float, ridge: float = 1e-6) -> DataFrame:
-    """(id_col, plane): a kernel-weighted linear fit around each query, at the query itself, from sums of moments.
+    """(id_col, plane, slope_x, slope_y): a kernel-weighted linear fit around each query, at the query itself, from sums of moments.
 
     `neighbours` has (id_col, distance, x, y, value). Solves the ridged 3 x 3 normal equations in closed form.
     """
@@ -208,7 +227,11 @@ def local_plane(neighbours: DataFrame, queries: DataFrame, id_col: str, x: str,
     c = {a: F.col(a) for a in ("s", "sx", "sy", "sxy", "sv", "sxv", "syv")} | {"sxx": F.col("sxx") + ridge, "syy": F.col("syy") + ridge}
     det = c["s"] * (c["sxx"] * c["syy"] - c["sxy"] ** 2) - c["sx"] * (c["sx"] * c["syy"] - c["sxy"] * c["sy"]) + c["sy"] * (c["sx"] * c["sxy"] - c["sxx"] * c["sy"])
     top = c["sv"] * (c["sxx"] * c["syy"] - c["sxy"] ** 2) - c["sx"] * (c["sxv"] * c["syy"] - c["sxy"] * c["syv"]) + c["sy"] * (c["sxv"] * c["sxy"] - c["sxx"] * c["syv"])
-    return m.select(id_col, F.when(F.abs(det) > 1e-12, top / det).otherwise(c["sv"] / c["s"]).alias("plane"))
+    top_x = c["s"] * (c["sxv"] * c["syy"] - c["sxy"] * c["syv"]) - c["sv"] * (c["sx"] * c["syy"] - c["sxy"] * c["sy"]) + c["sy"] * (c["sx"] * c["syv"] - c["sxv"] * c["sy"])
+    top_y = c["s"] * (c["sxx"] * c["syv"] - c["sxv"] * c["sxy"]) - c["sx"] * (c["sx"] * c["syv"] - c["sxv"] * c["sy"]) + c["sv"] * (c["sx"] * c["sxy"] - c["sxx"] * c["sy"])
+    ok = F.abs(det) > 1e-12
+    slopes = {n: F.when(ok, t / det / bandwidth).otherwise(0.0) for n, t in (("slope_x", top_x), ("slope_y", top_y))}
+    return m.select(id_col, F.when(ok, top / det).otherwise(c["sv"] / c["s"]).alias("plane"), *(s.alias(n) for n, s in slopes.items()))
 
 
 def kgram_pairs(rows: DataFrame, key: str, order: str, code: str, k: int, block: int = 500) -> DataFrame:

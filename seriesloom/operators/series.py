@@ -77,6 +77,16 @@ def fill_linear(df: DataFrame, key, order: str, column: str, axis: str, out: str
     return rows.withColumn(out, value).drop("__a", "__b")
 
 
+def fill_chain(df: DataFrame, key, order: str, column: str, axis: str, out: str, reference: DataFrame, by: str, value: str) -> DataFrame:
+    """Gaps filled by `fill_linear`; where a group knows no value at all, by the mean of `value` in the reference rows of its `by`.
+
+    Null where the reference has none either. `reference` may have columns of any name beside `by` and `value`.
+    """
+    means = reference.groupBy(F.col(by).alias("__by")).agg(F.avg(value).alias("__mean"))
+    rows = fill_linear(df, key, order, column, axis, out).join(means, F.col(by) == F.col("__by"), "left")
+    return rows.withColumn(out, F.coalesce(out, "__mean")).drop("__by", "__mean")
+
+
 def running_sum(key, order, column: str) -> Column:
     return F.sum(column).over(over(key, order).rowsBetween(Window.unboundedPreceding, 0))
 
@@ -122,6 +132,23 @@ def islands(df: DataFrame, key: str, order: str, mask: Column, breaks: Column |
     return rows.withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__on").drop("__on", "__new")
 
 
+def run_segments(df: DataFrame, key: str, order: str, donor: str, orientation: str, least: int, stride: int = 1) -> DataFrame:
+    """(key, segment, first, last, first_donor, last_donor, orientation, rows, supported): runs of matches that go on side by side.
+
+    A run goes on while `order` grows by `stride`, `orientation` stays, and `donor` moves by as much: up where
+    the orientation is `forward`, down where it is `reversed`. Null donors or orientations end a run and are in
+    none. A run of at least `least` rows is supported. Segments are numbered from 0 in each group.
+    """
+    w = over(key, order)
+    step = F.when(F.col(orientation) == "reversed", -stride).otherwise(stride)
+    back = lambda c: F.lag(c).over(w)
+    goes_on = (F.col(order) - back(order) == stride) & (F.col(orientation) == back(orientation)) & (F.col(donor) - back(donor) == step)
+    rows = df.where(F.col(donor).isNotNull() & F.col(orientation).isNotNull()).withColumn("__new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    rows = rows.withColumn("segment", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    ends = {"first": F.min(order), "last": F.max(order), "first_donor": F.min_by(donor, order), "last_donor": F.max_by(donor, order), "orientation": F.first(orientation), "rows": F.count("*")}
+    return rows.groupBy(key, "segment").agg(*(c.alias(n) for n, c in ends.items())).withColumn("supported", F.col("rows") >= least)
+
+
 def episodes(df: DataFrame, key: str, order: str, error: str, threshold: float, least: int) -> DataFrame:
     """(key, island, first, last, rows, median_error, sign_share): runs of at least `least` rows whose error is beyond the threshold."""
     runs = islands(df, key, order, F.abs(error) > threshold).groupBy(key, "island")

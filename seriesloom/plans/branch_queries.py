@@ -139,7 +139,19 @@ def spaced_picks(spark, sf_dir):
     return selection.spaced_picks(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"], 16).select(F.col("pick").cast("long").alias("pick"), "o_orderkey")
 
 
-@query("cover_then_fill")
+@query("cover_then_fill", """
+WITH RECURSIVE o AS MATERIALIZED (SELECT o_orderpriority AS c, o_custkey AS o, o_orderkey AS i, CAST(o_totalprice AS DOUBLE) AS s FROM orders),
+t AS MATERIALIZED (SELECT c, row_number() OVER (ORDER BY sum(s) DESC, c) AS place FROM o GROUP BY c),
+r AS (
+  SELECT 0::BIGINT AS place, []::BIGINT[] AS taken, NULL::VARCHAR AS c, NULL::BIGINT AS o, NULL::BIGINT AS i, NULL::DOUBLE AS s
+  UNION ALL
+  SELECT place, CASE WHEN o IS NULL THEN taken ELSE list_append(taken, o) END, c, o, i, s
+  FROM (SELECT t.place, r.taken, t.c, x.o, x.i, x.s, row_number() OVER (ORDER BY x.s DESC NULLS LAST, x.i) AS k FROM r JOIN t ON t.place = r.place + 1 LEFT JOIN o x ON x.c = t.c AND NOT list_contains(r.taken, x.o)) WHERE k = 1),
+v AS (SELECT row_number() OVER (ORDER BY place) - 1 AS k, o, i, c, s FROM r WHERE o IS NOT NULL),
+b AS (SELECT o, arg_min(i, (-s, i)) AS i, arg_min(c, (-s, i)) AS c, max(s) AS s FROM o WHERE o NOT IN (SELECT o FROM v) GROUP BY o),
+w AS (SELECT row_number() OVER (ORDER BY s DESC, i) - 1 + (SELECT count(*) FROM v) AS k, o, i, c, s FROM b)
+SELECT CAST(k AS INTEGER) AS selection_order, o AS o_custkey, i AS o_orderkey, c AS o_orderpriority, s AS o_totalprice, phase
+FROM (SELECT *, 'cover' AS phase FROM v UNION ALL SELECT *, 'fill' FROM w) WHERE k < 12""")
 def cover_then_fill(spark, sf_dir):
     """Twelve orders of different customers: for each priority the dearest of a customer not taken yet, then the dearest of all."""
     orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))

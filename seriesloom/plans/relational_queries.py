@@ -130,7 +130,7 @@ def local_plane(spark, sf_dir):
     at = lambda i: F.element_at("embedding", i).cast("double")
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", at(1).alias("x"), at(2).alias("y"), at(3).alias("v"), at(1).alias("px"), at(2).alias("py"))
     near = joins.nearest_rows(e, e, ["x", "y"], "vec_id", "label", 50, payload=("px", "py", "v"))
-    return rounded(joins.local_plane(near, e, "vec_id", "px", "py", "v", 0.1), "plane", digits=4).withColumn("plane", F.col("plane") + 0.0)  # no negative zero
+    return rounded(joins.local_plane(near, e, "vec_id", "px", "py", "v", 0.1).select("vec_id", "plane"), "plane", digits=4).withColumn("plane", F.col("plane") + 0.0)  # no negative zero
 
 
 @query("kgram_pairs", BASE + """,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import shapes
 from seriesloom.plans import decoder_queries
-from seriesloom.plans.base import BASE, KEY, ROW, base, query, rounded, tails
+from seriesloom.plans.base import BASE, CANDIDATES, KEY, ROW, base, query, rounded, tails
 
 
 @query("self_matches", BASE + """,
@@ -25,7 +25,26 @@ def self_matches(spark, sf_dir):
     return rounded(shapes.self_matches(base(spark, sf_dir), KEY, ROW, "value", "known", 8), "ncc")
 
 
-@query("huber_plane")
+def _huber_plane_sql(rounds: int = 5) -> str:
+    """Each round's sums, fit, residuals and weights as tables of their own."""
+    sql = CANDIDATES + """,
+mid AS MATERIALIZED (SELECT fold, avg(ahead) AS mx, avg(last_anchor) AS my FROM cf GROUP BY fold),
+d0 AS MATERIALIZED (SELECT fold, ahead - mx AS x, last_anchor - my AS y, tvt AS v, 1.0::DOUBLE AS w FROM cf JOIN mid USING (fold))"""
+    for i in range(rounds):
+        sql += f""",
+m{i} AS (SELECT fold, sum(w) AS s, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy, sum(w * v) AS sv, sum(w * x * v) AS sxv, sum(w * y * v) AS syv, count(*) AS rows FROM d{i} GROUP BY fold),
+c{i} AS (SELECT *, sxx - sx * sx / s AS xx, sxy - sx * sy / s AS xy, syy - sy * sy / s AS yy, sxv - sx * sv / s AS xv, syv - sy * sv / s AS yv FROM m{i}),
+b{i} AS (SELECT *, CASE WHEN xx * yy - xy * xy > 1e-9 * xx * yy THEN (xv * yy - yv * xy) / (xx * yy - xy * xy) ELSE 0 END AS b, CASE WHEN xx * yy - xy * xy > 1e-9 * xx * yy THEN (yv * xx - xv * xy) / (xx * yy - xy * xy) ELSE 0 END AS c FROM c{i}),
+f{i} AS MATERIALIZED (SELECT fold, (sv - b * sx - c * sy) / s AS a, b, c, rows FROM b{i})"""
+        if i < rounds - 1:
+            sql += f""",
+e{i} AS MATERIALIZED (SELECT d.*, abs(v - a - b * x - c * y) AS e FROM d{i} d JOIN f{i} USING (fold)),
+k{i} AS (SELECT fold, 1.4826::DOUBLE * median(e) AS sc FROM e{i} GROUP BY fold),
+d{i + 1} AS MATERIALIZED (SELECT fold, x, y, v, CASE WHEN sc <= 0 THEN 1 ELSE least(1, 1.345::DOUBLE * sc / greatest(e, 1e-12)) END AS w FROM e{i} JOIN k{i} USING (fold))"""
+    return sql + f" SELECT fold, round(a - b * mx - c * my, 4) AS a, round(b, 4) AS b, round(c, 4) AS c, rows FROM f{rounds - 1} JOIN mid USING (fold)"
+
+
+@query("huber_plane", _huber_plane_sql())
 def huber_plane(spark, sf_dir):
     rows = tails(spark, sf_dir).select("fold", "ahead", "last_anchor", "tvt")
     return rounded(shapes.huber_plane(rows, ["fold"], "ahead", "last_anchor", "tvt"), "a", "b", "c", digits=4)

@@ -89,7 +89,14 @@ def stable_sample(spark, sf_dir):
     return splits.stable_sample(table(spark, sf_dir, "events"), KEY, 0.3, "pick")
 
 
-@query("group_kfold")
+@query("group_kfold", """
+WITH RECURSIVE g AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n DESC, user_id) AS i, n FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)),
+r AS (
+  SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, [0, 0, 0, 0, 0]::BIGINT[] AS held
+  UNION ALL
+  SELECT g.i, list_transform(load, lambda x, j: x + CASE WHEN j = list_position(load, list_min(load)) THEN g.n ELSE 0 END), list_transform(held, lambda x, j: x + CASE WHEN j = list_position(load, list_min(load)) THEN 1 ELSE 0 END)
+  FROM r JOIN g ON g.i = r.i + 1)
+SELECT CAST(k - 1 AS INTEGER) AS fold, held[k] AS groups, load[k] AS rows FROM (SELECT * FROM r ORDER BY i DESC LIMIT 1), range(1, 6) t(k) WHERE held[k] > 0""")
 def group_kfold(spark, sf_dir):
     sizes = table(spark, sf_dir, "events").groupBy(KEY).agg(F.count("*").alias("rows"))
     return splits.group_kfold(sizes, KEY, "rows", 5).join(sizes, KEY).groupBy("fold").agg(F.count("*").alias("groups"), F.sum("rows").alias("rows"))
