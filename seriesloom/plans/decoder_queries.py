@@ -1,4 +1,4 @@
-"""Queries of the sequential decoders and models. SQL can't express them; tests hold them against brute force."""
+"""Queries of the sequential decoders and models. Those that SQL can't express are held against brute force in tests."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.staging import staged
 from seriesloom.operators import candidates, decoders, models, series
-from seriesloom.plans.base import CANDIDATES, KEY, ROW, base, folds, query, rounded, table, tails
+from seriesloom.plans.base import BASE, CANDIDATES, KEY, ROW, base, folds, query, rounded, table, tails
 
 GRID = np.arange(-50.0, 50.0 + 0.175, 0.35)
 RATES = np.linspace(-0.1, 0.1, 41)
@@ -108,14 +108,35 @@ def beam_decode(spark, sf_dir):
     return decoders.decode(_tail(spark, sf_dir), _curve(spark, sf_dir), KEY, "curve", ROW, kernel, "path double", "cx", "cy")
 
 
-@query("rts_smooth")
+@query("rts_smooth", BASE.replace("WITH s AS", "WITH RECURSIVE s AS", 1) + """,
+x AS MATERIALIZED (
+  SELECT user_id, row_idx, coalesce((md - lag(md) OVER w) / 3600, 0) AS d, gr, coalesce(first_value(gr IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS start
+  FROM b WINDOW w AS (PARTITION BY user_id ORDER BY row_idx)),
+fw AS (
+  SELECT user_id, CAST(-1 AS BIGINT) AS row_idx, 0::DOUBLE AS d, 0::DOUBLE AS sa, 0::DOUBLE AS sb, 0::DOUBLE AS s00, 0::DOUBLE AS s01, 0::DOUBLE AS s11, start AS a, 0::DOUBLE AS r, 1e6::DOUBLE AS v00, 0::DOUBLE AS v01, 1::DOUBLE AS v11 FROM x WHERE row_idx = 0
+  UNION ALL
+  SELECT user_id, row_idx, d, sa, sb, s00, s01, s11,
+         sa + CASE WHEN gr IS NULL THEN 0 ELSE s00 / (s00 + 900) * (gr - sa) END, sb + CASE WHEN gr IS NULL THEN 0 ELSE s01 / (s00 + 900) * (gr - sa) END,
+         s00 - CASE WHEN gr IS NULL THEN 0 ELSE s00 / (s00 + 900) * s00 END, s01 - CASE WHEN gr IS NULL THEN 0 ELSE s00 / (s00 + 900) * s01 END, s11 - CASE WHEN gr IS NULL THEN 0 ELSE s01 / (s00 + 900) * s01 END
+  FROM (SELECT x.user_id, x.row_idx, x.d, x.gr, a + x.d * r AS sa, r AS sb, v00 + 2 * x.d * v01 + x.d * x.d * v11 + x.d * x.d * x.d / 3 AS s00, v01 + x.d * v11 + x.d * x.d / 2 AS s01, v11 + x.d AS s11
+        FROM fw JOIN x ON x.user_id = fw.user_id AND x.row_idx = fw.row_idx + 1)),
+bw AS (
+  SELECT user_id, row_idx, a, r, v00, v01, v11 FROM fw WHERE (user_id, row_idx) IN (SELECT (user_id, max(row_idx)) FROM x GROUP BY user_id)
+  UNION ALL
+  SELECT user_id, row_idx, a + g00 * ea + g01 * er, r + g10 * ea + g11 * er,
+         v00 + g00 * g00 * w00 + 2 * g00 * g01 * w01 + g01 * g01 * w11, v01 + g00 * g10 * w00 + (g00 * g11 + g01 * g10) * w01 + g01 * g11 * w11, v11 + g10 * g10 * w00 + 2 * g10 * g11 * w01 + g11 * g11 * w11
+  FROM (SELECT p.user_id, p.row_idx, p.a, p.r, p.v00, p.v01, p.v11, bw.a - n.sa AS ea, bw.r - n.sb AS er, bw.v00 - n.s00 AS w00, bw.v01 - n.s01 AS w01, bw.v11 - n.s11 AS w11,
+               ((p.v00 + n.d * p.v01) * n.s11 - p.v01 * n.s01) / (n.s00 * n.s11 - n.s01 * n.s01) AS g00, (p.v01 * n.s00 - (p.v00 + n.d * p.v01) * n.s01) / (n.s00 * n.s11 - n.s01 * n.s01) AS g01,
+               ((p.v01 + n.d * p.v11) * n.s11 - p.v11 * n.s01) / (n.s00 * n.s11 - n.s01 * n.s01) AS g10, (p.v11 * n.s00 - (p.v01 + n.d * p.v11) * n.s01) / (n.s00 * n.s11 - n.s01 * n.s01) AS g11
+        FROM bw JOIN fw n ON n.user_id = bw.user_id AND n.row_idx = bw.row_idx JOIN fw p ON p.user_id = bw.user_id AND p.row_idx = bw.row_idx - 1 WHERE bw.row_idx > 0))
+SELECT user_id, row_idx, round(a, 4) AS level, round(v00, 4) AS variance FROM bw""")
 def rts_smooth(spark, sf_dir):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(ROW)
         got = decoders.rts(part["md"].to_numpy(float) / 3600, part["gr"].to_numpy(float), 900.0, 1.0)
         return pd.DataFrame({KEY: part[KEY], ROW: part[ROW], **got})
 
-    return base(spark, sf_dir).select(KEY, ROW, "md", "gr").groupBy(KEY).applyInPandas(run, f"{KEY} long, {ROW} long, level double, variance double")
+    return rounded(base(spark, sf_dir).select(KEY, ROW, "md", "gr").groupBy(KEY).applyInPandas(run, f"{KEY} long, {ROW} long, level double, variance double"), "level", "variance", digits=4)
 
 
 @query("dtw_to_reference")

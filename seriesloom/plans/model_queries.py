@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.staging import staged
 from seriesloom.operators import decoders, models, tuning
-from seriesloom.plans.base import KEY, ROW, query, rounded, tails
+from seriesloom.plans.base import CANDIDATES, KEY, ROW, query, rounded, tails
 from seriesloom.plans.decoder_queries import _features
 
 FEATURES = ["last_anchor", "recent_linear", "ahead", "gr", "gr__missing"]
@@ -70,7 +70,25 @@ def searched_linear(spark, sf_dir):
     return rounded(spark.createDataFrame([(i, t.round, t.values["regParam"], t.values["elasticNetParam"], t.loss) for i, t in enumerate(trials)], "trial int, round int, reg_param double, elastic_net double, rmse double"), "rmse", digits=3)
 
 
-@query("switching_path")
+@query("switching_path", CANDIDATES.replace("WITH s AS", "WITH RECURSIVE s AS", 1) + """,
+h AS MATERIALIZED (SELECT user_id, row_idx, fold, CAST(floor(log2(greatest(ahead, 1))) AS INTEGER) AS far, abs(last_anchor - tvt) AS e0, abs(recent_linear - tvt) AS e1 FROM cf),
+u AS (SELECT fold, far, count(*) AS n, sum(e0) AS s0, sum(e1) AS s1 FROM h GROUP BY fold, far),
+p AS (
+  SELECT fold, far, round(coalesce((sum(s0) OVER a - s0) / nullif(sum(n) OVER a - n, 0), (sum(s0) OVER () - sum(s0) OVER o) / nullif(sum(n) OVER () - sum(n) OVER o, 0), 0), 9) AS c0,
+         round(coalesce((sum(s1) OVER a - s1) / nullif(sum(n) OVER a - n, 0), (sum(s1) OVER () - sum(s1) OVER o) / nullif(sum(n) OVER () - sum(n) OVER o, 0), 0), 9) AS c1
+  FROM u WINDOW a AS (PARTITION BY far), o AS (PARTITION BY fold)),
+x AS MATERIALIZED (SELECT user_id, row_idx, row_number() OVER (PARTITION BY user_id ORDER BY row_idx) AS i, c0, c1 FROM h JOIN p USING (fold, far)),
+fw AS (
+  SELECT user_id, i, c0 AS t0, c1 AS t1, 0 AS b0, 0 AS b1 FROM x WHERE i = 1
+  UNION ALL
+  SELECT x.user_id, x.i, least(t0, least(t0, t1) + 50) + c0, least(t1, least(t0, t1) + 50) + c1,
+         CASE WHEN t0 <= least(t0, t1) + 50 THEN 0 ELSE 1 END, CASE WHEN t1 <= least(t0, t1) + 50 THEN 1 ELSE 0 END
+  FROM fw JOIN x ON x.user_id = fw.user_id AND x.i = fw.i + 1),
+bw AS (
+  SELECT user_id, i, CASE WHEN t0 <= t1 THEN 0 ELSE 1 END AS k FROM fw WHERE (user_id, i) IN (SELECT (user_id, max(i)) FROM x GROUP BY user_id)
+  UNION ALL
+  SELECT bw.user_id, bw.i - 1, CASE WHEN k = 0 THEN b0 ELSE b1 END FROM bw JOIN fw ON fw.user_id = bw.user_id AND fw.i = bw.i WHERE bw.i > 1)
+SELECT user_id, row_idx, k AS candidate FROM bw JOIN x USING (user_id, i)""")
 def switching_path(spark, sf_dir):
     """Of two candidates the one of each row on the cheapest path, by errors that are predicted without the truth of the row's fold.
 
