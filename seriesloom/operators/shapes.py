@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,6 +175,23 @@ def corridor(barrier: np.ndarray, start: int, end: int) -> tuple[float, list[int
     return float(cost[end]), path[::-1]
 
 
+def corridors(df: DataFrame, key: str, order: str, barrier: str, start: int, end: int) -> DataFrame:
+    """(key, order, column, bottleneck): each group's `corridor` through the arrays `barrier` of its rows, from column `start` to column `end`.
+
+    One group is one task's work, in time and memory in proportion to its rows. Arrays of a group are of one
+    length; null and missing barriers can't be passed. Where no path leads to `end`, the bottleneck is infinite.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def grouped(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        grid = np.stack([np.array(row, float) for row in part[barrier]])
+        bottleneck, path = corridor(np.where(np.isnan(grid), np.inf, grid), start, end)
+        return pd.DataFrame({key: part[key], order: part[order], "column": path, "bottleneck": bottleneck})
+
+    return df.select(key, order, barrier).groupBy(key).applyInPandas(grouped, f"{key} {kinds[key]}, {order} {kinds[order]}, column int, bottleneck double")
+
+
 def medoids(paths: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     """Which of some paths (rows) stand for all: k medoids by mean absolute distance, begun with the most central one, then the farthest."""
     return medoids_of(np.abs(paths[:, None, :] - paths[None, :, :]).mean(axis=2), k, rounds)

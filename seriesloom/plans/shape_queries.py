@@ -50,6 +50,26 @@ def huber_plane(spark, sf_dir):
     return rounded(shapes.huber_plane(rows, ["fold"], "ahead", "last_anchor", "tvt"), "a", "b", "c", digits=4)
 
 
+@query("corridors", BASE.replace("WITH s AS", "WITH RECURSIVE s AS", 1) + """,
+x AS MATERIALIZED (SELECT user_id, row_idx, list_transform(range(9), lambda c: round(abs(value - 12.5::DOUBLE * c), 6)) AS z FROM b),
+fw AS (
+  SELECT user_id, row_idx, list_transform(z, lambda v, j: CASE WHEN j = 5 THEN v ELSE 'infinity'::DOUBLE END) AS cost, list_transform(z, lambda v, j: CAST(j AS BIGINT)) AS back FROM x WHERE row_idx = 0
+  UNION ALL
+  SELECT x.user_id, x.row_idx, list_transform(z, lambda v, j: greatest(v, least(cost[j], coalesce(CASE WHEN j > 1 THEN cost[j - 1] END, 'infinity'::DOUBLE), coalesce(cost[j + 1], 'infinity'::DOUBLE)))),
+         list_transform(z, lambda v, j: CAST(CASE WHEN cost[j] <= coalesce(CASE WHEN j > 1 THEN cost[j - 1] END, 'infinity'::DOUBLE) AND cost[j] <= coalesce(cost[j + 1], 'infinity'::DOUBLE) THEN j
+                                                  WHEN coalesce(CASE WHEN j > 1 THEN cost[j - 1] END, 'infinity'::DOUBLE) <= coalesce(cost[j + 1], 'infinity'::DOUBLE) THEN j - 1 ELSE j + 1 END AS BIGINT))
+  FROM fw JOIN x ON x.user_id = fw.user_id AND x.row_idx = fw.row_idx + 1),
+bw AS (
+  SELECT user_id, row_idx, CAST(5 AS BIGINT) AS c, cost[5] AS bottleneck FROM fw WHERE (user_id, row_idx) IN (SELECT (user_id, max(row_idx)) FROM x GROUP BY user_id)
+  UNION ALL
+  SELECT bw.user_id, bw.row_idx - 1, back[c], bottleneck FROM bw JOIN fw ON fw.user_id = bw.user_id AND fw.row_idx = bw.row_idx WHERE bw.row_idx > 0)
+SELECT user_id, row_idx, CAST(c - 1 AS INTEGER) AS "column", bottleneck FROM bw""")
+def corridors(spark, sf_dir):
+    """Through nine levels of value, from the middle one to the middle one, the path of each user that stays nearest its values at the worst row."""
+    barrier = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda c: F.round(F.abs(F.col("value") - 12.5 * c), 6))
+    return shapes.corridors(base(spark, sf_dir).select(KEY, ROW, barrier.alias("barrier")), KEY, ROW, "barrier", 4, 4)
+
+
 @query("trend_filters")
 def trend_filters(spark, sf_dir):
     """Piecewise linear, notched and polynomial trends of each user's signal."""

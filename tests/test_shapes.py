@@ -77,3 +77,20 @@ def test_trends_side_by_side_equal_single_ones():
             u = r - z
         assert np.allclose(x, want)
     assert shapes.l1_trends([], 1.0) == []
+
+
+def test_corridors_of_groups(spark):
+    """Each group's path has the least bottleneck of all paths; nulls can't be passed."""
+    rng = np.random.default_rng(3)
+    grids = {k: rng.integers(0, 9, (n, 4)).astype(float) for k, n in ((1, 5), (2, 6), (3, 1))}
+    rows = [(k, i, [float(v) for v in row]) for k, g in grids.items() for i, row in enumerate(g)]
+    rows += [(4, 0, [1.0, None, 1.0, 1.0]), (4, 1, [None, None, 1.0, 1.0])]
+    got = {}
+    for r in shapes.corridors(spark.createDataFrame(rows, "k long, i long, b array<double>"), "k", "i", "b", 1, 1).orderBy("k", "i").collect():
+        got.setdefault(r.k, []).append((r.column, r.bottleneck))
+    for k, g in grids.items():
+        every = [p for p in itertools.product(range(4), repeat=len(g)) if p[0] == p[-1] == 1 and all(abs(a - b) <= 1 for a, b in zip(p, p[1:]))]
+        least = min(max(g[i, c] for i, c in enumerate(p)) for p in every)
+        path = tuple(c for c, _ in got[k])
+        assert {b for _, b in got[k]} == {least} and path in every and max(g[i, c] for i, c in enumerate(path)) == least
+    assert {b for _, b in got[4]} == {float("inf")}
