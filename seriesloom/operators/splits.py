@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.scalars import stable_bucket
 from seriesloom.functions.staging import staged
+from seriesloom.operators.selection import numbered
 
 
 def _sha(key: str, salt: str) -> Column:
@@ -146,6 +147,16 @@ def shuffled_within(df: DataFrame, key: str, order: str, column: str, out: str,
     return a.join(b, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q"))).drop("__p", "__k", "__q")
 
 
+def shuffled_labels(groups: DataFrame, key: str, label: str, out: str, salt: str = "labels") -> DataFrame:
+    """(key, label, out): each group's label, and that of another: the same labels with their numbers, dealt anew over all groups by hash.
+
+    `groups` has one row a key. Places are counted by ranges, so no task sorts all groups; null labels are dealt like others.
+    """
+    here = numbered(groups.select(key, label), [key], "__at")
+    there = numbered(groups.select(F.col(label).alias(out), _sha(key, salt).alias("__h"), F.col(key).alias("__k")), ["__h", "__k"], "__at")
+    return here.join(there.select("__at", out), "__at").select(key, label, out)
+
+
 def nested_plan(folds: DataFrame, key: str, fold: str, k: int) -> DataFrame:
     """(outer, inner, key, role): for every two different folds, which groups train, validate and test."""
     pairs = F.explode(F.array(*(F.struct(F.lit(o).alias("outer"), F.lit(i).alias("inner")) for o in range(k) for i in range(k) if i != o)))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesloom.operators import candidates, joins, series, shapes
+from seriesloom.functions.staging import new_path
+from seriesloom.operators import candidates, joins, series, shapes, splits
 from seriesloom.plans.base import BASE, CANDIDATES, KEY, ORACLES, ROW, base, folds, query, rounded, table, tails
+from seriesloom.sources import files
 
 _AT = "CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z"
 
@@ -80,3 +82,19 @@ def surface_moves(spark, sf_dir):
     slopes = joins.local_plane(near, e, "vec_id", "px", "py", "z", 0.1).select("vec_id", "slope_x", "slope_y")
     moves = joins.surface_moves(e.join(slopes, "vec_id", "left"), "track", "vec_id", "x", "y", "slope_x", "slope_y")
     return rounded(moves.select("vec_id", "track", "move"), "move", digits=4).withColumn("move", F.col("move") + 0.0)  # no negative zero
+
+
+@query("shuffled_labels", """
+WITH g AS (SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_custkey) AS p, row_number() OVER (ORDER BY sha256('labels::' || c_custkey), c_custkey) AS q FROM customer)
+SELECT a.c_custkey, a.c_mktsegment, d.c_mktsegment AS control FROM g a JOIN g d ON a.p = d.q""")
+def shuffled_labels(spark, sf_dir):
+    """A control in which customers have the market segments of others, each segment as often as before."""
+    return splits.shuffled_labels(table(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment", "control")
+
+
+@query("leaf_columns", "SELECT o_orderkey, o_totalprice::DOUBLE AS o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def leaf_columns(spark, sf_dir):
+    """One leaf folder of orders written by status, read for two columns without the folder's own."""
+    path = new_path(spark, "orders")
+    files.write_parquet(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_custkey", "o_orderstatus"), path, ["o_orderstatus"])
+    return files.read_parquet(spark, f"{path}/o_orderstatus=F", ["o_orderkey", "o_totalprice"], {"o_orderkey": "bigint", "o_totalprice": "double"})

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from seriesloom.operators import candidates, decoders, joins, series
+from seriesloom.operators import candidates, decoders, joins, series, splits
 
 
 def test_fill_chain(spark):
@@ -60,3 +60,13 @@ def test_a_lattice_follows_the_surface():
     grid = np.arange(-20.0, 20.5, 0.5)
     got = decoders.hmm(np.ones(4), np.zeros((4, len(grid))), grid, np.array([0.0]), 0.0, 0.0, shift=moves, start_sd=0.3, noise=0.01)
     assert got["mean"] == pytest.approx(np.cumsum(moves), abs=0.02)
+
+
+def test_shuffled_labels_keep_their_numbers(spark):
+    rows = [(i, None if i % 5 == 4 else "abc"[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, label string")
+    got = {r.k: (r.label, r.out) for r in splits.shuffled_labels(df, "k", "label", "out").collect()}
+    assert {k: v[0] for k, v in got.items()} == dict(rows)
+    assert sorted(str(v[1]) for v in got.values()) == sorted(str(x) for _, x in rows) and any(a != b for a, b in got.values())
+    assert got != {r.k: (r.label, r.out) for r in splits.shuffled_labels(df, "k", "label", "out", "other").collect()}
+    assert splits.shuffled_labels(df.limit(0), "k", "label", "out").count() == 0
