@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 HOT_ROWS, HOT_KEYS = 20_000, 1000
 
 
-def joined(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+def joined(rows: DataFrame, keys: DataFrame, on: list[str], hot_rows: int | None = None) -> DataFrame:
     """`rows` with the columns of the written table `keys`, which has in `n` how many of `rows` have a key; rows without a key go.
 
-    Rows of a hot key are dealt to many tasks, to each of which the key is copied.
+    Rows of a hot key are dealt to many tasks, to each of which the key is copied. `hot_rows` in place of HOT_ROWS suits rows
+    that are much work each.
     """
     each = keys.select(*on, "n").distinct()
     total, most = each.agg(F.sum("n"), F.max("n")).first()
-    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    limit = max(HOT_ROWS if hot_rows is None else hot_rows, (total or 0) // HOT_KEYS)
     if (most or 0) <= limit:
         return rows.join(keys.drop("n"), on)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

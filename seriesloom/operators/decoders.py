@@ -15,9 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.functions.keyed import joined
+from seriesloom.functions.staging import staged
 
 #: Points of all curves together, 16 bytes each, that are broadcast at most.
 CURVE_POINTS = 500_000
+#: Beyond that, a curve with more series than this is copied to many tasks, among which its series are dealt.
+CURVE_SERIES = 64
 
 
 def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order: str, kernel: Callable[[pd.DataFrame, np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: str, curve_x: str, curve_y: str) -> DataFrame:
@@ -29,12 +33,16 @@ def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order:
     """
     point = F.struct(F.col(curve_x).cast("double").alias("x"), F.col(curve_y).cast("double").alias("y"))
     packed = curve.where(F.col(curve_x).isNotNull() & F.col(curve_y).isNotNull()).groupBy(F.col(curve_key)).agg(F.array_sort(F.collect_list(point)).alias("__c"))
-    packed = packed.select(curve_key, F.col("__c.x").alias("__cx"), F.col("__c.y").alias("__cy"))
-    packed = F.broadcast(packed) if curve.count() <= CURVE_POINTS else packed  # else series are shuffled by their curve
+    packed = staged(packed.select(curve_key, F.col("__c.x").alias("__cx"), F.col("__c.y").alias("__cy")), "curves")
     inner = [order, *(c for c in series.columns if c not in (key, curve_key, order))]
     tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work a series: not to be put together
     whole = series.repartition(tasks, key).groupBy(key).agg(F.first(curve_key).alias(curve_key), F.array_sort(F.collect_list(F.struct(*inner))).alias("__s"))
-    whole = whole.select(key, curve_key, *(F.col(f"__s.{c}").alias(c) for c in inner)).join(packed, curve_key)
+    whole = whole.select(key, curve_key, *(F.col(f"__s.{c}").alias(c) for c in inner))
+    if (packed.agg(F.sum(F.size("__cx"))).first()[0] or 0) <= CURVE_POINTS:
+        whole = whole.join(F.broadcast(packed), curve_key)
+    else:  # series are shuffled by their curve
+        counts = series.groupBy(curve_key).agg(F.count_distinct(key).alias("n"))
+        whole = joined(whole, staged(packed.join(counts, curve_key), "curves"), [curve_key], CURVE_SERIES)
     names = [c.split()[0] for c in columns.split(", ")]
     schema = f"{key} {series.schema[key].dataType.simpleString()}, {order} {series.schema[order].dataType.simpleString()}, {columns}"
 

@@ -170,3 +170,16 @@ def test_registered_decoders_give_a_value_for_each_row(spark, sf):
     for name in ("hmm_decode", "hmm_reverting_sticky", "beam_decode", "particle_filter", "particle_filter_robust"):
         got = registry.QUERIES[name](spark, sf).toPandas()
         assert len(got) and not got.isna().any().any() and not got.duplicated(["user_id", "row_idx"]).any()
+
+
+def test_series_of_a_hot_curve_are_dealt_and_give_the_same(spark, monkeypatch):
+    rows = spark.createDataFrame([(s, i, float(i + s), "hot" if s < 20 else f"c{s}") for s in range(23) for i in range(5)] + [(99, 0, 1.0, None), (98, 0, 1.0, "none")], "series long, at long, value double, curve string")
+    curve = spark.createDataFrame([(c, float(x), float(x * k)) for k, c in enumerate(("hot", "c20", "c21", "c22"), 1) for x in range(8)], "curve string, cx double, cy double")
+    kernel = lambda part, cx, cy: {"read": np.interp(part["value"], cx, cy), "first": np.full(len(part), float(part["at"][0]))}
+    run = lambda: decoders.decode(rows, curve, "series", "curve", "at", kernel, "read double, first double", "cx", "cy")
+    want = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(decoders, "CURVE_POINTS", 0)
+    monkeypatch.setattr(decoders, "CURVE_SERIES", 4)
+    got = run()
+    assert len(want) == 23 * 5 and sorted(map(tuple, got.collect())) == want
+    assert "__salt" in got._jdf.queryExecution().toString()
