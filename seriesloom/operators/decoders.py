@@ -409,13 +409,13 @@ def switching_path(cost: np.ndarray, switch: float) -> np.ndarray:
 
 
 def huber_line(x: np.ndarray, y: np.ndarray, rounds: int = 10, delta: float = 1.345) -> tuple[float, float]:
-    """(slope, intercept) by a fixed number of reweighted least squares."""
+    """(slope, intercept) by a fixed number of reweighted least squares; the slope is 1 where all of x is equal."""
     w = np.ones(len(x))
     a, b = 1.0, 0.0
     for _ in range(rounds):
         mx, my = np.average(x, weights=w), np.average(y, weights=w)
         var = np.average((x - mx) ** 2, weights=w)
-        a = np.average((x - mx) * (y - my), weights=w) / var if var > 0 else 1.0
+        a = np.average((x - mx) * (y - my), weights=w) / var if var > 1e-18 * (1 + mx * mx) else 1.0  # equal values differ from their mean by rounding
         b = my - a * mx
         e = np.abs(y - a * x - b)
         s = 1.4826 * np.median(e)

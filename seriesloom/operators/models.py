@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -94,33 +95,50 @@ def _sums(candidates: list[str], truth: str) -> list[Column]:
     return [*products, *(F.sum(F.col(a) * F.col(truth)).alias(f"b{i}") for i, a in enumerate(candidates))]
 
 
-def _non_negative(sums: dict, n: int, ridge: float, rounds: int) -> list[float]:
-    """Non-negative weights of least squared error from its normal equations, by steps along one weight at a time."""
+def _non_negative(sums: dict, n: int, ridge: float) -> list[float]:
+    """Non-negative weights of least squared error from its normal equations, by an active set: exact, however alike the candidates are.
+
+    The weight whose growth lowers the error most is freed; where the free ones' best values fall below zero, the way there ends at the
+    first that reaches zero, which is bound again.
+    """
     if sums["b0"] is None:
         return [1.0 / n] * n
-    g = [[float(sums[f"g{min(i, j)}_{max(i, j)}"]) for j in range(n)] for i in range(n)]
-    w = [1.0 / n] * n
-    for _ in range(rounds):
-        for i in range(n):
-            rest = float(sums[f"b{i}"]) - sum(g[i][j] * w[j] for j in range(n) if j != i)
-            w[i] = max(0.0, rest / (g[i][i] + ridge))
-    return w
-
-
-def positive_stack(df: DataFrame, candidates: list[str], truth: str, ridge: float = 1e-3, rounds: int = 500) -> dict[str, float]:
+    g = np.array([[float(sums[f"g{min(i, j)}_{max(i, j)}"]) for j in range(n)] for i in range(n)]) + ridge * np.eye(n)
+    b = np.array([float(sums[f"b{i}"]) for i in range(n)])
+    w, free, least = np.zeros(n), np.zeros(n, bool), 1e-12 * max(1.0, float(np.abs(b).max()))
+    for _ in range(10 * n):  # each round lowers the error, so no set of free weights comes twice
+        growth = np.where(free, -np.inf, b - g @ w)
+        if growth.max() <= least:
+            break
+        free[int(growth.argmax())] = True
+        while free.any():
+            best = np.zeros(n)
+            best[free] = np.linalg.solve(g[np.ix_(free, free)], b[free])
+            if (best[free] > 0).all():
+                w = best
+                break
+            down = free & (best <= 0)
+            part = float((w[down] / np.maximum(w[down] - best[down], 1e-300)).min())
+            w = w + part * (best - w)
+            free &= ~(down & (w <= 1e-15 * max(1.0, float(w.max()))))
+            w[~free] = 0.0
+    return w.tolist()
+
+
+def positive_stack(df: DataFrame, candidates: list[str], truth: str, ridge: float = 1e-3) -> dict[str, float]:
     """Non-negative weights of candidates: one row of sums reaches the driver. Rows with a missing value are left out; without rows weights are equal."""
     rows = df.dropna(subset=[*candidates, truth])
-    return dict(zip(candidates, _non_negative(rows.agg(*_sums(candidates, truth)).first().asDict(), len(candidates), ridge, rounds), strict=True))
+    return dict(zip(candidates, _non_negative(rows.agg(*_sums(candidates, truth)).first().asDict(), len(candidates), ridge), strict=True))
 
 
-def stack_weights(df: DataFrame, fold: str, candidates: list[str], truth: str, ridge: float = 1e-3, rounds: int = 500) -> DataFrame:
+def stack_weights(df: DataFrame, fold: str, candidates: list[str], truth: str, ridge: float = 1e-3) -> DataFrame:
     """(fold, w_<candidate>...): for each fold the `positive_stack` of all others, from one pass; a row of sums a fold reaches the driver."""
     got = df.dropna(subset=[*candidates, truth]).groupBy(fold).agg(*_sums(candidates, truth)).collect()
     names = [c for c in (got[0].asDict() if got else {}) if c != fold]
     out = []
     for r in got:
         rest = {c: (sum(x[c] for x in got) - r[c]) if len(got) > 1 else None for c in names}
-        out.append((r[fold], *_non_negative(rest, len(candidates), ridge, rounds)))
+        out.append((r[fold], *_non_negative(rest, len(candidates), ridge)))
     return df.sparkSession.createDataFrame(out, f"{fold} {df.schema[fold].dataType.simpleString()}, " + ", ".join(f"w_{c} double" for c in candidates))
 
 

@@ -163,10 +163,39 @@ def dtw_to_reference(spark, sf_dir):
     return packed.crossJoin(F.broadcast(mean)).select(KEY, nearest("a", "t", "x", "y").alias("b")).select(KEY, "b.distance", "b.shift")
 
 
-@query("affine_calibration")
+def _affine_sql(x: str, rounds: int = 10) -> str:
+    """Each round's means, line, residuals and weights as tables of their own."""
+    sql = CANDIDATES + f""",
+d0 AS MATERIALIZED (SELECT user_id, {x} AS x, tvt AS y, 1.0::DOUBLE AS w FROM cf WHERE {x} IS NOT NULL AND tvt IS NOT NULL)"""
+    for i in range(rounds):
+        sql += f""",
+m{i} AS MATERIALIZED (SELECT user_id, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM d{i} GROUP BY user_id),
+v{i} AS (SELECT user_id, mx, my, sum(w * (x - mx) * (x - mx)) / sum(w) AS xx, sum(w * (x - mx) * (y - my)) / sum(w) AS xy, count(*) AS n FROM d{i} JOIN m{i} USING (user_id) GROUP BY ALL),
+l{i} AS MATERIALIZED (SELECT user_id, n, mx, my, CASE WHEN xx > 1e-18 * (1 + mx * mx) THEN xy / xx ELSE 1 END AS a FROM v{i})"""
+        if i < rounds - 1:
+            sql += f""",
+e{i} AS MATERIALIZED (SELECT user_id, x, y, abs(y - a * x - (my - a * mx)) AS e FROM d{i} JOIN l{i} USING (user_id)),
+k{i} AS (SELECT user_id, 1.4826::DOUBLE * median(e) AS sc FROM e{i} GROUP BY user_id),
+d{i + 1} AS MATERIALIZED (SELECT user_id, x, y, CASE WHEN sc = 0 THEN 1 ELSE least(1, 1.345::DOUBLE * sc / greatest(e, 1e-12)) END AS w FROM e{i} JOIN k{i} USING (user_id))"""
+    return sql + f"""
+SELECT user_id, n, n >= 5 AS valid, round(1 + n / (n + 20.0::DOUBLE) * (CASE WHEN n >= 5 THEN a ELSE 1 END - 1), 5) AS slope, round(n / (n + 20.0::DOUBLE) * CASE WHEN n >= 5 THEN my - a * mx ELSE 0 END, 4) AS intercept FROM l{rounds - 1}"""
+
+
+def _affine(spark, sf_dir, x: str):
+    got = decoders.affine_calibration(tails(spark, sf_dir).select(KEY, x, "tvt"), KEY, x, "tvt", 5, 20)
+    return rounded(rounded(got, "slope", digits=5), "intercept", digits=4)
+
+
+@query("affine_calibration", _affine_sql("last_anchor"))
 def affine_calibration(spark, sf_dir):
-    rows = tails(spark, sf_dir).select(KEY, "last_anchor", "tvt")
-    return rounded(decoders.affine_calibration(rows, KEY, "last_anchor", "tvt", 5, 20), "slope", "intercept")
+    """A candidate that is the same in a whole tail: its slope stays 1, the intercept is a robust mean."""
+    return _affine(spark, sf_dir, "last_anchor")
+
+
+@query("affine_calibration_linear", _affine_sql("recent_linear"))
+def affine_calibration_linear(spark, sf_dir):
+    """A candidate that moves: a robust line of the truth on it."""
+    return _affine(spark, sf_dir, "recent_linear")
 
 
 def _features(spark, sf_dir):

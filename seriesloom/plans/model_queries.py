@@ -1,4 +1,4 @@
-"""Queries of models out of fold. SQL can't express them; tests hold them against their rules."""
+"""Queries of models out of fold. Boosting and search are held against their rules by tests, what has a closed form against SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.staging import staged
 from seriesloom.operators import decoders, models, tuning
-from seriesloom.plans.base import CANDIDATES, KEY, ROW, query, rounded, tails
+from seriesloom.plans.base import CANDIDATES, FOLDS, KEY, ROW, folds, query, rounded, table, tails
 from seriesloom.plans.decoder_queries import _features
 
 FEATURES = ["last_anchor", "recent_linear", "ahead", "gr", "gr__missing"]
@@ -43,7 +43,15 @@ def boosted_importances(spark, sf_dir):
     return rounded(spark.createDataFrame(tuning.mean_importances(_boosted(spark, sf_dir), FEATURES), "feature string, importance double"), "importance", digits=4)
 
 
-@query("stacked_out_of_fold")
+@query("stacked_out_of_fold", CANDIDATES + """,
+u AS (SELECT fold, count(*) AS rows, sum(last_anchor * last_anchor) AS g00, sum(last_anchor * recent_linear) AS g01, sum(recent_linear * recent_linear) AS g11, sum(last_anchor * tvt) AS b0, sum(recent_linear * tvt) AS b1,
+             sqrt(avg(power(last_anchor - tvt, 2))) AS e0, sqrt(avg(power(recent_linear - tvt, 2))) AS e1 FROM cf GROUP BY fold),
+o AS (SELECT a.fold, sum(b.g00) + 0.001 AS g00, sum(b.g01) AS g01, sum(b.g11) + 0.001 AS g11, sum(b.b0) AS b0, sum(b.b1) AS b1 FROM u a JOIN u b ON a.fold <> b.fold GROUP BY a.fold),
+fit AS (SELECT *, (b0 * g11 - b1 * g01) / (g00 * g11 - g01 * g01) AS v0, (b1 * g00 - b0 * g01) / (g00 * g11 - g01 * g01) AS v1 FROM o),
+w AS (SELECT fold, CASE WHEN v0 < 0 THEN 0 WHEN v1 < 0 THEN greatest(0, b0 / g00) ELSE v0 END AS w0, CASE WHEN v1 < 0 THEN 0 WHEN v0 < 0 THEN greatest(0, b1 / g11) ELSE v1 END AS w1 FROM fit)
+SELECT fold, rows, round(sqrt(avg(power(w0 * last_anchor + w1 * recent_linear - tvt, 2))), 5) AS stacked_rmse, round(e0, 5) AS last_anchor_rmse, round(e1, 5) AS recent_linear_rmse,
+       round(w0, 5) AS w_last_anchor, round(w1, 5) AS w_recent_linear
+FROM cf JOIN w USING (fold) JOIN u USING (fold) GROUP BY fold, rows, e0, e1, w0, w1""")
 def stacked_out_of_fold(spark, sf_dir):
     """For each fold the non-negative weights of two candidates, fitted on the other folds, and the errors there."""
     rows = staged(tails(spark, sf_dir).select(KEY, ROW, "fold", "last_anchor", "recent_linear", "tvt"), "stack")
@@ -111,3 +119,24 @@ def switching_path(spark, sf_dir):
         return decoders.pd.DataFrame({KEY: part[KEY], ROW: part[ROW], "candidate": decoders.switching_path(part[[f"cost_{c}" for c in names]].to_numpy(), 50.0)})
 
     return costs.groupBy(KEY).applyInPandas(run, f"{KEY} long, {ROW} long, candidate int")
+
+
+@query("out_of_fold_line", CANDIDATES + """,
+l AS (SELECT o.fold, regr_slope(tvt, recent_linear) AS a, regr_intercept(tvt, recent_linear) AS b FROM (SELECT DISTINCT fold FROM f) o JOIN cf ON cf.fold <> o.fold GROUP BY o.fold)
+SELECT fold, count(*) AS rows, round(sqrt(avg(power(a * recent_linear + b - tvt, 2))), 5) AS rmse FROM cf JOIN l USING (fold) GROUP BY fold""")
+def out_of_fold_line(spark, sf_dir):
+    """The error in each fold of a line that was fitted on the others."""
+    rows = staged(tails(spark, sf_dir).select("fold", "recent_linear", "tvt"), "line")
+    got = models.out_of_fold(rows, "fold", 5, lambda d: models.linear(["recent_linear"], "tvt").fit(d))
+    return rounded(got.groupBy("fold").agg(F.count("*").alias("rows"), F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("tvt"), 2))).alias("rmse")), "rmse", digits=5)
+
+
+@query("pca_pair", "WITH z AS (SELECT 1)" + FOLDS + """,
+u AS (SELECT user_id, fold, count(*)::DOUBLE AS n, sum(value) AS total FROM events JOIN f USING (user_id) GROUP BY ALL),
+d AS (SELECT stddev_samp(n) AS sn, stddev_samp(total) AS st, corr(n, total) AS r FROM u WHERE fold <> 0)
+SELECT user_id, round((n / sn + CASE WHEN r > 0 THEN total / st END) / sqrt(2), 6) AS axis FROM u, d WHERE fold = 0""")
+def pca_pair(spark, sf_dir):
+    """Users of the first fold on the axis of the others' counts and sums, which grow together: of two scaled numbers both load alike."""
+    users = table(spark, sf_dir, "events").groupBy(KEY).agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("total")).join(folds(spark, sf_dir), KEY)
+    got = models.first_axis(users.where("fold <> 0"), users.where("fold = 0"), ["n", "total"], "axis")
+    return rounded(got.select(KEY, "axis"), "axis")
