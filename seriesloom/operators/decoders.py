@@ -7,6 +7,7 @@ softmax over paths afterwards (ensembles, interval masses) stays a DataFrame pla
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -24,12 +25,13 @@ CURVE_POINTS = 500_000
 CURVE_SERIES = 64
 
 
-def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order: str, kernel: Callable[[pd.DataFrame, np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: str, curve_x: str, curve_y: str) -> DataFrame:
+def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order: str, kernel: Callable[[pd.DataFrame, np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: str, curve_x: str, curve_y: str, together: int = 0) -> DataFrame:
     """Runs `kernel(rows, curve x, curve y)` on each group of `series`, in the order of `order`, with the points of its curve.
 
     A series travels as one row of sorted arrays and meets its curve, one row a curve key, only
     then. The kernel gives one value a row for each of `columns`. A series is in one task, as a path
-    is sequential; series are dealt to as many tasks as there are shuffle partitions.
+    is sequential; series are dealt to as many tasks as there are shuffle partitions. With `together`
+    the kernel gets lists of up to so many series, and gives a list.
     """
     point = F.struct(F.col(curve_x).cast("double").alias("x"), F.col(curve_y).cast("double").alias("y"))
     packed = curve.where(F.col(curve_x).isNotNull() & F.col(curve_y).isNotNull()).groupBy(F.col(curve_key)).agg(F.array_sort(F.collect_list(point)).alias("__c"))
@@ -48,11 +50,13 @@ def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for row in part.to_dict("records"):
-                rows = pd.DataFrame({c: np.asarray(row[c]) for c in inner})
-                rows[key] = row[key]
-                got = kernel(rows, np.asarray(row["__cx"], float), np.asarray(row["__cy"], float))
-                yield pd.DataFrame({key: rows[key], order: rows[order]} | {n: got[n] for n in names})
+            records = part.to_dict("records")
+            for some in (records[i : i + max(1, together)] for i in range(0, len(records), max(1, together))):
+                rows = [pd.DataFrame({c: np.asarray(row[c]) for c in inner} | {key: row[key]}) for row in some]
+                curves = [[np.asarray(row[c], float) for row in some] for c in ("__cx", "__cy")]
+                got = kernel(rows, *curves) if together else [kernel(rows[0], curves[0][0], curves[1][0])]
+                for one, values in zip(rows, got, strict=True):
+                    yield pd.DataFrame({key: one[key], order: one[order]} | {n: values[n] for n in names})
 
     return whole.mapInPandas(run, schema)
 
@@ -165,144 +169,344 @@ def rate_mixing(rates: np.ndarray, momentum: float, noise: float) -> np.ndarray:
     return mix / mix.sum(axis=1, keepdims=True)
 
 
-class Lattice:
+#: Cells beside the grid in which a move may end that still reaches it, with one to spare, as a pad at either side of a row of states.
+PAD = 3
+
+
+class Lattices:
     """Moves on a grid of positions: by a rate's way, spread over the five nearest cells.
 
     A cell gets the Gaussian density of its distance from where the move ends, with a deviation of
     `noise` or half a cell if that is more; chances of cells beyond the grid go to the others. With `pull` a
-    position first keeps only that part of its distance from `center`.
+    position first keeps only that part of its distance from `center`. States are arrays of (modes, series, rates, positions)
+    with PAD cells of zeros at either side of the positions.
     """
 
-    def __init__(self, grid: np.ndarray, rates: np.ndarray, noise: float, center: float = 0.0):
-        self.grid, self.rates, self.center = grid, rates, center
+    def __init__(self, grid: np.ndarray, rates: np.ndarray, noise: float):
+        self.grid, self.rates, self.size, self.width = grid, rates, len(grid), len(grid) + 2 * PAD
         self.cell = grid[1] - grid[0]
         self.wide = max(noise / self.cell, 0.5)
-        self.row = np.arange(len(grid))[:, None]
+        to = np.arange(-PAD, self.size + PAD) + np.arange(-2, 3)[:, None]
+        self.inside = ((to >= 0) & (to < self.size)).astype(float)  # of the five cells around each
+        self.ends = np.flatnonzero(self.inside.min(axis=0) == 0)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.rooms: dict[tuple, np.ndarray] = {}
+
+    def room(self, name: tuple | str, shape: tuple[int, ...]) -> np.ndarray:
+        """An array that is used again under this name: fresh memory for each row would cost more than the row's sums."""
+        size = math.prod(shape)
+        if len(self.rooms.get(name, ())) < size:
+            self.rooms[name] = np.empty(size)
+        return self.rooms[name][:size].reshape(shape)
+
+    def moves(self, step: np.ndarray, shift: np.ndarray, pull: np.ndarray, center: np.ndarray, slot: int) -> EvenShifts | PulledShifts:
+        """Of several series side by side, one value each. Moves of equal `slot` are not used at the same time."""
+        way = ((self.rates[None, :] * step[:, None] + shift[:, None]) / self.cell).ravel()
+        if (pull == 1.0).all():
+            return EvenShifts(way, self)
+        pulled = (pull - 1.0)[:, None] * (self.grid[None, :] - center[:, None]) / self.cell
+        way = way.reshape(len(step), -1, 1) + pulled[:, None, :]
+        return PulledShifts(way.reshape(-1, self.size), self, slot)
+
+    def chances(self, part: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        """exp(-(k - part)^2 / 2 wide^2) for k of -2 to 2 by powers, but for what is common to all."""
+        up = np.exp(part / self.wide**2)
+        one, two = np.exp(-0.5 / self.wide**2), np.exp(-2.0 / self.wide**2)
+        out = np.empty((5, *part.shape)) if out is None else out
+        np.multiply(up, one, out=out[3])
+        np.multiply(up, up, out=out[4])
+        out[4] *= two
+        down = np.divide(1.0, up, out=up)
+        np.multiply(down, one, out=out[1])
+        np.multiply(down, down, out=out[0])
+        out[0] *= two
+        out[2] = 1.0
+        return out
+
+    def scaled(self, chance: np.ndarray) -> np.ndarray:
+        """Chances by the cell (last axis) in which a move ends, so that those inside come to 1."""
+        total = chance.sum(axis=0)
+        near = (chance[:, :, self.ends] * self.inside[:, None, self.ends]).sum(axis=0)
+        total[:, self.ends] = np.where(near > 0, near, np.inf)
+        chance *= 1 / total
+        return chance
+
+    def padded(self, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """The middle of an array that is 0 elsewhere, and the view of it from each place, (rows, places, width)."""
+        if rows not in self.windows:
+            flat = np.zeros((rows, 3 * self.width))
+            self.windows[rows] = flat[:, self.width : 2 * self.width], np.lib.stride_tricks.sliding_window_view(flat, self.width, axis=1)
+        return self.windows[rows]
+
+
+def _spread(ended: np.ndarray, chance: np.ndarray, out: np.ndarray, term: np.ndarray) -> None:
+    """Puts what ended in each cell to five cells. Arrays are flat: what leaves a row comes to the pad of the next one."""
+    n, term = len(ended), term[: len(ended) - 4]
+    out[:2] = out[-2:] = 0.0
+    np.multiply(ended[4:], chance[0, 4:], out=out[2:-2])
+    for k in range(1, 5):
+        out[2:-2] += np.multiply(ended[4 - k : n - k], chance[k, 4 - k : n - k], out=term)
+
+
+def _gathered(b: np.ndarray, chance: np.ndarray, out: np.ndarray, term: np.ndarray) -> None:
+    """The reverse of `_spread`: for each cell in which a move may end the five cells' values by their chances."""
+    n, term = len(b), term[: len(b) - 4]
+    out[0] = out[-1] = 0.0
+    out[1], out[-2] = chance[1:, 1] @ b[:4], chance[:-1, -2] @ b[-4:]
+    np.multiply(b[:-4], chance[0, 2:-2], out=out[2:-2])
+    for k in range(1, 5):
+        out[2:-2] += np.multiply(b[k : n - 4 + k], chance[k, 2:-2], out=term)
+
+
+class EvenShifts:
+    """Moves that are the same from every position of a row (`way` cells): a shifted copy, spread over five cells."""
+
+    def __init__(self, way: np.ndarray, lattice: Lattices):
+        near = np.rint(way)
+        self.lattice, self.rows, self.width = lattice, np.arange(len(way)), lattice.width
+        self.middle, self.windows = lattice.padded(len(way))
+        self.few = lattice.chances(way - near)
+        self.few /= self.few.sum(axis=0)
+        inside = (self.few[:, :, None] * lattice.inside[:, None, lattice.ends]).sum(axis=0)
+        self.scale = np.where(inside > 0, 1 / np.maximum(inside, 1e-300), 0.0)
+        self.near = np.clip(near, -lattice.width, lattice.width).astype(np.intp)
+
+    def _room(self) -> tuple[np.ndarray, np.ndarray]:
+        chance = self.lattice.room("chance", (5, len(self.rows), self.width))
+        chance[:] = self.few[:, :, None]
+        chance[:, :, self.lattice.ends] *= self.scale
+        return chance.reshape(5, -1), self.lattice.room("term", (len(self.rows) * self.width,))
+
+    def ahead(self, a: np.ndarray, out: np.ndarray) -> np.ndarray:
+        chance, term = self._room()
+        for m, to in zip(a, out, strict=True):
+            self.middle[:] = m.reshape(-1, self.width)
+            _spread(self.windows[self.rows, self.width - self.near].reshape(-1), chance, to.reshape(-1), term)
+        return out
+
+    def back(self, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+        (chance, term), cells = self._room(), self.lattice.room("cells", (len(self.rows) * self.width,))
+        for m, to in zip(b, out, strict=True):
+            _gathered(m.reshape(-1), chance, cells, term)
+            self.middle[:] = cells.reshape(-1, self.width)
+            to.reshape(-1, self.width)[:] = self.windows[self.rows, self.width + self.near]
+        return out
+
+
+class PulledShifts:
+    """Moves that differ by position, from `way` (rows x positions, in cells).
+
+    Where moves of several positions end in one cell, the last has the cell; the others, few unless the pull is strong, are done one by one.
+    """
 
-    def moves(self, step: float, shift: float, pull: float = 1.0) -> EvenMoves | Moves:
-        way = (self.rates[None, :] * step + shift) / self.cell
-        if pull != 1.0:
-            way = way + (pull - 1.0) * (self.grid[:, None] - self.center) / self.cell
+    def __init__(self, way: np.ndarray, lattice: Lattices, slot: int):
         near = np.rint(way)
-        off = np.arange(-2, 3)[:, None, None]
-        chance = np.exp(-0.5 * ((off - (way - near)[None]) / self.wide) ** 2)
-        if pull == 1.0:
-            return EvenMoves(near[0].astype(np.intp), chance[:, 0], self.row)
-        target = self.row + near.astype(np.intp) + off
-        inside = (target >= 0) & (target < len(self.grid))
-        chance = np.where(inside, chance, 0.0)
-        chance /= np.maximum(chance.sum(axis=0), 1e-300)
-        return Moves(np.clip(target, 0, len(self.grid) - 1) * len(self.rates) + np.arange(len(self.rates)), chance)
+        way -= near
+        near += np.arange(PAD, lattice.size + PAD)
+        np.clip(near, 0, lattice.width - 1, out=near)
+        near += np.arange(len(way))[:, None] * float(lattice.width)
+        self.lattice, self.size, self.width, self.n = lattice, lattice.size, lattice.width, len(way) * lattice.width
+        self.cell = near.astype(np.intp).ravel()
+        same = self.cell[1:] - self.cell[:-1]
+        if same.min(initial=1) >= 0:
+            self.rest = np.flatnonzero(same == 0)
+        else:  # a pull below 0 turns positions about
+            own, every = np.empty(self.n, np.intp), np.arange(len(self.cell))
+            own[self.cell] = every
+            self.rest = np.flatnonzero(own[self.cell] != every)
+        way = way.ravel()
+        each, at = lattice.chances(way[self.rest]), self.cell[self.rest]
+        each *= lattice.inside[:, at % self.width]
+        inside = each.sum(axis=0)
+        self.each, self.to = each * np.where(inside > 0, 1 / np.maximum(inside, 1e-300), 0.0), np.clip(at + np.arange(-2, 3)[:, None], 0, self.n - 1)
+        way[self.rest] = 0.0
+        part = np.bincount(self.cell, way, self.n).reshape(-1, self.width)
+        self.chance = lattice.scaled(lattice.chances(part, lattice.room(("chance", slot), (5, *part.shape)))).reshape(5, -1)
+
+    def ahead(self, a: np.ndarray, out: np.ndarray) -> np.ndarray:
+        term = self.lattice.room("term", (self.n,))
+        for m, to in zip(a, out, strict=True):
+            m = m[:, :, PAD:-PAD].reshape(-1)
+            rest = m[self.rest]
+            m[self.rest] = 0.0
+            _spread(np.bincount(self.cell, m, self.n), self.chance, to.reshape(-1), term)
+            if len(rest):
+                np.add.at(to.reshape(-1), self.to, self.each * rest)
+        return out
+
+    def back(self, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+        term, cells = self.lattice.room("term", (self.n,)), self.lattice.room("cells", (self.n,))
+        for m, to in zip(b, out, strict=True):
+            m = m.reshape(-1)
+            _gathered(m, self.chance, cells, term)
+            got = cells.take(self.cell, mode="clip")
+            got[self.rest] = (self.each * m[self.to]).sum(axis=0)
+            to = to.reshape(-1, self.width)
+            to[:, :PAD] = to[:, -PAD:] = 0.0
+            to[:, PAD:-PAD] = got.reshape(-1, self.size)
+        return out
 
 
-class Moves(NamedTuple):
-    """(flat target, chance), each 5 x positions x rates."""
+class EvenMoves:
+    """EvenShifts of one series, over states without pads, (modes, positions, rates)."""
+
+    def __init__(self, shifts: EvenShifts):
+        self.shifts = shifts
 
-    target: np.ndarray
-    chance: np.ndarray
+    def _turned(self, a: np.ndarray, move: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        padded = np.pad(a.transpose(0, 2, 1), ((0, 0), (0, 0), (PAD, PAD)))[:, None]
+        return move(padded, np.empty(padded.shape))[:, 0, :, PAD:-PAD].transpose(0, 2, 1)
 
     def ahead(self, a: np.ndarray) -> np.ndarray:
-        flat = self.target.ravel()
-        return np.stack([np.bincount(flat, (self.chance * m).ravel(), m.size).reshape(m.shape) for m in a])
+        return self._turned(a, self.shifts.ahead)
 
     def back(self, b: np.ndarray) -> np.ndarray:
-        return np.stack([(self.chance * m.ravel()[self.target]).sum(axis=0) for m in b])
+        return self._turned(b, self.shifts.back)
 
 
-class EvenMoves:
-    """Moves that are the same from every position: five shifted copies, scaled where the grid ends."""
+class Lattice:
+    """Moves of one series without a pull; see Lattices."""
 
-    def __init__(self, near: np.ndarray, chance: np.ndarray, row: np.ndarray):
-        self.near, self.chance, self.row, self.rates = near, chance, row, np.arange(len(near))
-        upto = np.concatenate((np.zeros((1, len(near))), np.cumsum(chance, axis=0)))
-        low, high = np.clip(2 - row - near, 0, 5), np.clip(len(row) + 2 - row - near, 0, 5)
-        inside = upto[high, self.rates] - upto[low, self.rates]
-        self.scale = np.where(inside > 0, 1 / np.maximum(inside, 1e-300), 0.0)
-        self.wide = min(int(np.abs(near).max()) + 2, len(row) + 2)
+    def __init__(self, grid: np.ndarray, rates: np.ndarray, noise: float):
+        self.all = Lattices(grid, rates, noise)
 
-    def _shifted(self, a: np.ndarray, sign: int) -> np.ndarray:
-        padded = np.zeros((len(a) + 2 * self.wide + 4, len(self.near)))
-        first = self.wide + 2
-        padded[first : first + len(a)] = a
-        base = np.clip(first + self.row + sign * self.near, 2, len(padded) - 3)
-        base = base * len(self.near) + self.rates
-        flat = padded.ravel()
-        return sum(self.chance[k] * flat[base + sign * (k - 2) * len(self.near)] for k in range(5))
+    def moves(self, step: float, shift: float) -> EvenMoves:
+        return EvenMoves(self.all.moves(np.array([step]), np.array([shift]), np.ones(1), np.zeros(1), 0))
 
-    def ahead(self, a: np.ndarray) -> np.ndarray:
-        return np.stack([self._shifted(m * self.scale, -1) for m in a])
 
-    def back(self, b: np.ndarray) -> np.ndarray:
-        return np.stack([self._shifted(m, 1) * self.scale for m in b])
+#: States of series that are decoded side by side, and bytes of the states that are kept of them before some are computed again.
+CELLS, KEPT_BYTES = 16_384, 64_000_000
 
 
 def hmm(step: np.ndarray, emission: np.ndarray, grid: np.ndarray, rates: np.ndarray, start: float, rate: float, shift: np.ndarray | None = None, pull: np.ndarray | None = None, center: float = 0.0, switch: np.ndarray | None = None, start_sd: float = 0.75, rate_sd: float = 0.01, rate_noise: float = 0.002, noise: float = 0.02, momentum: float = 0.998, apart: float = 2.0) -> dict[str, np.ndarray]:
-    """Posteriors of a position x rate lattice by forward-backward: `mean`, `sd`, `loglik` (of the whole series), `first_mode` and `second_peak`.
+    """`hmm_each` of one series."""
+    n = len(step)
+    shift, pull = np.zeros(n) if shift is None else shift, np.ones(n) if pull is None else pull
+    return hmm_each([step], [emission], grid, rates, [start], [rate], [shift], [pull], [center], switch, start_sd, rate_sd, rate_noise, noise, momentum, apart)[0]
+
 
-    emission: log-likelihood of each row at each grid point, constant where nothing was observed; or
+def hmm_each(steps: list[np.ndarray], emissions: list[np.ndarray], grid: np.ndarray, rates: np.ndarray, start: list[float], rate: list[float], shifts: list[np.ndarray] | None = None, pulls: list[np.ndarray] | None = None, center: list[float] | None = None, switch: np.ndarray | None = None, start_sd: float = 0.75, rate_sd: float = 0.01, rate_noise: float = 0.002, noise: float = 0.02, momentum: float = 0.998, apart: float = 2.0) -> list[dict[str, np.ndarray]]:
+    """Posteriors of a position x rate lattice by forward-backward: `mean`, `sd`, `loglik` (of the whole series), `first_mode` and `second_peak`, for each of several series.
+
+    emissions: log-likelihood of each row at each grid point, constant where nothing was observed; or
     one such table for each of several modes that follow one another by `switch` (chances from mode to mode,
     the first one at the start). A row's rate is drawn around momentum * the last; its position moves
     by rate * step + shift, after it kept `pull` of its distance from `center`. first_mode: the
     chance of the first mode. second_peak: how high the highest local maximum at least `apart` from
-    the highest is, as a part of that. Only the states at each of about sqrt(rows) rows are kept; those between are computed again.
+    the highest is, as a part of that. Series are solved side by side, as many as have CELLS states, those of like lengths together. Where states of
+    all rows would come to more than KEPT_BYTES, only those at each of about sqrt(rows) rows are kept; those between are computed again.
     """
-    n, p, r = len(step), len(grid), len(rates)
-    emission = emission if emission.ndim == 3 else emission[None]
-    shift, pull = np.zeros(n) if shift is None else shift, np.ones(n) if pull is None else pull
-    switch = np.eye(len(emission)) if switch is None else switch
-    lattice, mix = Lattice(grid, rates, noise, center), rate_mixing(rates, momentum, rate_noise)
-    top = emission.max(axis=(0, 2))
-    like = np.exp(emission - top[None, :, None])
-
-    def forward(a: np.ndarray, i: int, moves: EvenMoves | Moves) -> tuple[np.ndarray, float]:
-        a = np.einsum("kpr,kl->lpr", a, switch) if len(a) > 1 else a
-        a = moves.ahead(a @ mix) * like[:, i, :, None]
-        a[a < 1e-200] = 0.0  # numbers that small are slow, and count for nothing
-        mass = a.sum()
-        return (a / mass, float(np.log(mass))) if mass > 0 else (np.full_like(a, 1 / a.size), -690.0)
-
-    first = ((grid - start) / start_sd)[:, None] ** 2 + ((rates - rate) / rate_sd)[None, :] ** 2
-    first = np.exp(-0.5 * (first - first.min()))  # a start beyond the lattice begins at its edge
-    a = np.zeros((len(emission), p, r))
-    a[0] = first / first.sum()
-    block = max(1, int(np.ceil(np.sqrt(n))))
-    kept, loglik = [], float(top.sum())
-    for i in range(n):
+    steps, emissions = [np.asarray(x, float) for x in steps], [e if e.ndim == 3 else e[None] for e in emissions]
+    lattice, mix = Lattices(grid, rates, noise), rate_mixing(rates, momentum, rate_noise)
+    out: list = [None] * len(steps)
+    order = sorted((i for i in range(len(steps))), key=lambda i: -len(steps[i]))
+    many = max(1, CELLS // (max((len(e) for e in emissions), default=1) * len(grid) * len(rates)))
+    for at in (order[i : i + many] for i in range(0, len(order), many)):
+        some = lambda x, default: [default(len(steps[i])) if x is None else x[i] for i in at]  # noqa: B023, E731
+        got = _side_by_side(
+            [steps[i] for i in at], [emissions[i] for i in at], lattice, mix, np.array([start[i] for i in at], float), np.array([rate[i] for i in at], float),
+            some(shifts, np.zeros), some(pulls, np.ones), np.array(some(center, lambda n: 0.0), float), switch, start_sd, rate_sd, apart,
+        )
+        for i, g in zip(at, got, strict=True):
+            out[i] = g
+    return out
+
+
+def _side_by_side(steps, emissions, lattice: Lattices, mix: np.ndarray, start: np.ndarray, rate: np.ndarray, shifts, pulls, center: np.ndarray, switch: np.ndarray | None, start_sd: float, rate_sd: float, apart: float) -> list[dict[str, np.ndarray]]:
+    """`hmm_each` of series in one pass, the longest first; states are (modes, series, rates, positions) of those that have the row."""
+    grid, rates = lattice.grid, lattice.rates
+    modes, p, r, each, w = len(emissions[0]), len(grid), len(rates), len(steps), lattice.width
+    sizes = [len(x) for x in steps]
+    n = sizes[0]
+    table = lambda x: np.stack([np.pad(np.asarray(v, float), (0, n - len(v))) for v in x])
+    step, shift, pull = table(steps), table(shifts), table(pulls)
+    top = [e.max(axis=(0, 2)) for e in emissions]
+    like = np.zeros((n, modes, each, 1, w))  # none beside the grid
+    for i, (e, t) in enumerate(zip(emissions, top, strict=True)):
+        like[: sizes[i], :, i, 0, PAD:-PAD] = np.exp(e - t[None, :, None]).transpose(1, 0, 2)
+    active = [sum(s > i for s in sizes) for i in range(n)]
+    mixed = np.ascontiguousarray(mix.T)
+
+    def switched(a: np.ndarray, chances: np.ndarray, name: str) -> np.ndarray:
+        return np.matmul(chances, a.reshape(modes, -1), out=lattice.room(name, (modes, a.size // modes))).reshape(a.shape)
+
+    def moves(i: int) -> EvenShifts | PulledShifts:
+        k = active[i]
+        return lattice.moves(step[:k, i], shift[:k, i], pull[:k, i], center[:k], i % block)
+
+    def forward(a: np.ndarray, i: int, way: EvenShifts | PulledShifts, name: tuple) -> tuple[np.ndarray, np.ndarray]:
+        a = a[:, : active[i]]
+        a = switched(a, switch.T, "switched") if switch is not None and modes > 1 else a
+        a = way.ahead(np.matmul(mixed, a, out=lattice.room("mixed", a.shape)), lattice.room(name, a.shape))
+        a *= like[i, :, : active[i]]
+        a -= 1e-200  # numbers that small are slow, and count for nothing
+        np.maximum(a, 0.0, out=a)
+        mass = a.sum(axis=(0, 2, 3))
+        lost = mass <= 0
+        a *= 1 / np.where(lost, 1.0, mass)[:, None, None]
+        if lost.any():
+            a[:, lost] = 0.0
+            a[:, lost, :, PAD:-PAD] = 1 / (modes * r * p)
+        return a, np.where(lost, -690.0, np.log(np.where(lost, 1.0, mass)))
+
+    first = ((grid[None, :] - start[:, None]) / start_sd)[:, None, :] ** 2 + ((rates[None, :] - rate[:, None]) / rate_sd)[:, :, None] ** 2
+    first = np.exp(-0.5 * (first - first.min(axis=(1, 2), keepdims=True)))  # a start beyond the lattice begins at its edge
+    a = np.zeros((modes, each, r, w))
+    a[0, :, :, PAD:-PAD] = first / first.sum(axis=(1, 2), keepdims=True)
+    block = n if 6 * n * a.nbytes <= KEPT_BYTES else max(1, int(np.ceil(np.sqrt(n))))
+    kept, loglik = [], np.array([float(t.sum()) for t in top])
+    for i in range(0 if block < n else n, n):
         if i % block == 0:
-            kept.append(a)
-        a, gain = forward(a, i, lattice.moves(step[i], shift[i], pull[i]))
-        loglik += gain
-    out = {k: np.empty(n) for k in ("mean", "sd", "first_mode", "second_peak")} | {"loglik": np.full(n, loglik)}
-    b = np.ones_like(a)
+            kept.append(a.copy())
+        a, gain = forward(a, i, moves(i), ("state", i % 2))
+        loglik[: active[i]] += gain
+    if block >= n:
+        kept = [a]
+    post, of_first = np.zeros((n, each, p)), np.zeros((n, each))
+    b = np.ones((modes, 0, r, w))
     for k in range(len(kept) - 1, -1, -1):
         rows = range(k * block, min(n, (k + 1) * block))
-        moves = [lattice.moves(step[i], shift[i], pull[i]) for i in rows]
+        ways = [moves(i) for i in rows]
         a, ahead = kept[k], []
         for i in rows:
-            a, _ = forward(a, i, moves[i - rows[0]])
+            a, gain = forward(a, i, ways[i - rows[0]], ("states", i - rows[0]))
             ahead.append(a)
+            if block >= n:
+                loglik[: active[i]] += gain
         for i in reversed(rows):
-            joint = ahead[i - rows[0]] * b
-            mass = joint.sum()
-            joint = joint / mass if mass > 0 else ahead[i - rows[0]]
-            post = joint.sum(axis=(0, 2))
-            out["mean"][i] = post @ grid
-            out["sd"][i] = np.sqrt(max(0.0, post @ grid**2 - out["mean"][i] ** 2))
-            out["first_mode"][i] = joint[0].sum()
-            out["second_peak"][i] = second_peak(post, grid, apart)
-            b = moves[i - rows[0]].back(b * like[:, i, :, None]) @ mix.T
-            b = np.einsum("kpr,lk->lpr", b, switch) if len(b) > 1 else b
-            b /= max(b.max(), 1e-300)
+            b = np.concatenate((b, np.ones((modes, active[i] - b.shape[1], r, w))), axis=1) if b.shape[1] < active[i] else b
+            joint = ahead.pop()
+            both = np.multiply(joint, b, out=lattice.room("both", joint.shape))
+            mass = both.sum(axis=(0, 2, 3))
+            joint = np.where((mass > 0)[:, None, None], both, joint) if (mass <= 0).any() else both
+            by_mode = joint.sum(axis=2)[:, :, PAD:-PAD]
+            by_mode = by_mode / np.where(mass > 0, mass, 1.0)[:, None]
+            post[i, : active[i]], of_first[i, : active[i]] = by_mode.sum(axis=0), by_mode[0].sum(axis=1)
+            seen = np.multiply(b, like[i, :, : active[i]], out=lattice.room("seen", b.shape))
+            b = np.matmul(mix, ways[i - rows[0]].back(seen, lattice.room("back", b.shape)), out=lattice.room("b", b.shape))
+            b = switched(b, switch, "switched back") if switch is not None and modes > 1 else b
+            b *= 1 / np.maximum(b[..., PAD:-PAD].max(axis=(0, 2, 3)), 1e-300)[:, None, None]
+    out = []
+    for i, size in enumerate(sizes):
+        mass = post[:size, i]
+        mean = mass @ grid
+        sd = np.sqrt(np.maximum(0.0, mass @ grid**2 - mean**2))
+        out.append({"mean": mean, "sd": sd, "first_mode": of_first[:size, i], "second_peak": second_peaks(mass, grid, apart), "loglik": np.full(size, loglik[i])})
     return out
 
 
+def second_peaks(mass: np.ndarray, grid: np.ndarray, apart: float) -> np.ndarray:
+    """Of each row of `mass` the height of the highest local maximum at least `apart` from the highest one, as a part of it; 0 if there is none."""
+    edge = np.pad(mass, ((0, 0), (1, 1)), constant_values=-1.0)
+    best = mass.argmax(axis=1)
+    far = (edge[:, 1:-1] > edge[:, :-2]) & (edge[:, 1:-1] >= edge[:, 2:]) & (np.abs(grid[None, :] - grid[best][:, None]) >= apart)
+    high = mass[np.arange(len(mass)), best]
+    return np.where(high > 0, np.where(far, mass, 0.0).max(axis=1, initial=0.0) / np.where(high > 0, high, 1.0), 0.0)
+
+
 def second_peak(mass: np.ndarray, grid: np.ndarray, apart: float) -> float:
-    """The height of the highest local maximum at least `apart` from the highest one, as a part of it; 0 if there is none."""
-    edge = np.concatenate(([-1.0], mass, [-1.0]))
-    peaks = np.flatnonzero((edge[1:-1] > edge[:-2]) & (edge[1:-1] >= edge[2:]))
-    best = int(np.argmax(mass))
-    far = peaks[np.abs(grid[peaks] - grid[best]) >= apart]
-    return float(mass[far].max() / mass[best]) if len(far) and mass[best] > 0 else 0.0
+    """`second_peaks` of one row."""
+    return float(second_peaks(mass[None], grid, apart)[0])
 
 
 def gaussian_moments(step: float, sigma: float, phases: int = 101, cells: int = 5) -> np.ndarray:

@@ -78,12 +78,17 @@ def _emission(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
 _POSTERIOR = "mean double, sd double, loglik double, first_mode double, second_peak double"
 
 
+#: Series whose lattices are handed to the decoder at once.
+TOGETHER = 64
+
+
 @query("hmm_decode")
 def hmm_decode(spark, sf_dir):
-    def kernel(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> dict:
-        return decoders.hmm(rows["step"].to_numpy(float), _emission(rows, cx, cy), GRID, RATES, float(rows["start"][0]), float(rows["rate"][0]), start_sd=10.0)
+    def kernel(rows: list[pd.DataFrame], cx: list[np.ndarray], cy: list[np.ndarray]) -> list[dict]:
+        steps, first = [x["step"].to_numpy(float) for x in rows], lambda c: [float(x[c][0]) for x in rows]
+        return decoders.hmm_each(steps, [_emission(*x) for x in zip(rows, cx, cy, strict=True)], GRID, RATES, first("start"), first("rate"), start_sd=10.0)
 
-    return decoders.decode(_calibrated(spark, sf_dir), _curve(spark, sf_dir), KEY, "curve", ROW, kernel, _POSTERIOR, "cx", "cy")
+    return decoders.decode(_calibrated(spark, sf_dir), _curve(spark, sf_dir), KEY, "curve", ROW, kernel, _POSTERIOR, "cx", "cy", TOGETHER)
 
 
 @query("hmm_reverting_sticky")
@@ -91,13 +96,16 @@ def hmm_reverting_sticky(spark, sf_dir):
     """Around the start, to which a position reverts by a half in 40 rows, with a mode in which observations tell nothing."""
     switch = np.array([[0.98, 0.02], [0.1, 0.9]])
 
-    def kernel(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> dict:
-        seen = _emission(rows, cx, cy)
+    def modes(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
         blind = np.where(np.isfinite(rows["observed"].to_numpy(float)), -2.0, 0.0)[:, None] + np.zeros(len(GRID))
-        n = len(rows)
-        return decoders.hmm(rows["step"].to_numpy(float), np.stack((seen, blind)), GRID, RATES, float(rows["start"][0]), float(rows["rate"][0]), shift=np.full(n, -0.01), pull=np.full(n, 0.5 ** (1 / 40)), center=float(rows["start"][0]), switch=switch, start_sd=10.0)
+        return np.stack((_emission(rows, cx, cy), blind))
+
+    def kernel(rows: list[pd.DataFrame], cx: list[np.ndarray], cy: list[np.ndarray]) -> list[dict]:
+        steps, first = [x["step"].to_numpy(float) for x in rows], lambda c: [float(x[c][0]) for x in rows]
+        shifts, pulls = ([np.full(len(x), v) for x in rows] for v in (-0.01, 0.5 ** (1 / 40)))
+        return decoders.hmm_each(steps, [modes(*x) for x in zip(rows, cx, cy, strict=True)], GRID, RATES, first("start"), first("rate"), shifts, pulls, first("start"), switch, start_sd=10.0)
 
-    return decoders.decode(_calibrated(spark, sf_dir), _curve(spark, sf_dir), KEY, "curve", ROW, kernel, _POSTERIOR, "cx", "cy")
+    return decoders.decode(_calibrated(spark, sf_dir), _curve(spark, sf_dir), KEY, "curve", ROW, kernel, _POSTERIOR, "cx", "cy", TOGETHER)
 
 
 @query("beam_decode")

@@ -59,18 +59,23 @@ FROM me JOIN x USING (user_id, t) JOIN ll USING (user_id)"""
 
 
 def _decoded(spark, sf_dir, modes: int, shift: float, pull: float):
-    def kernel(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> dict:
-        observed, n = rows["observed"].to_numpy(float), len(rows)
+    def emission(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
+        observed = rows["observed"].to_numpy(float)
         z = (observed[:, None] - np.interp(PLACES, cx, cy)[None, :]) / SIGMA
         seen = np.where(np.isfinite(z), -0.5 * np.minimum(z * z, 600), 0.0)
         blind = np.where(np.isfinite(observed), BLIND, 0.0)[:, None] + np.zeros(len(PLACES))
-        return decoders.hmm(
-            rows["step"].to_numpy(float), np.stack((seen, blind)) if modes > 1 else seen, PLACES, SLOPES, 0.0, 0.0, np.full(n, shift), np.full(n, pull),
+        return np.stack((seen, blind)) if modes > 1 else seen
+
+    def kernel(rows: list[pd.DataFrame], cx: list[np.ndarray], cy: list[np.ndarray]) -> list[dict]:
+        zeros = [0.0] * len(rows)
+        shifts, pulls = ([np.full(len(x), v) for x in rows] for v in (shift, pull))
+        return decoders.hmm_each(
+            [x["step"].to_numpy(float) for x in rows], [emission(*x) for x in zip(rows, cx, cy, strict=True)], PLACES, SLOPES, zeros, zeros, shifts, pulls,
             switch=np.array(SWITCH) if modes > 1 else None, start_sd=START_SD, rate_sd=RATE_SD, rate_noise=RATE_NOISE, momentum=MOMENTUM,
         )
 
     columns = "mean double, sd double, loglik double, first_mode double"
-    got = decoders.decode(_tail(spark, sf_dir), _curve(spark, sf_dir), KEY, "curve", ROW, kernel, columns, "cx", "cy")
+    got = decoders.decode(_tail(spark, sf_dir), _curve(spark, sf_dir), KEY, "curve", ROW, kernel, columns, "cx", "cy", 256)
     return rounded(rounded(got, "mean", "loglik", "first_mode", digits=5), "sd", digits=4)
 
 

@@ -79,6 +79,50 @@ def test_hmm_posterior_equals_dense_products(modes):
     assert np.allclose(got["loglik"], np.log(states[-1].sum())) and (got["sd"] >= 0).all()
 
 
+def plain_posterior(step, em, grid, rates, start, rate, shift, pull, center, switch, start_sd):
+    """Means, chances of the first mode and the log-likelihood by dense products."""
+    modes, n, p = em.shape
+    a, states, ts = np.zeros((modes, p, len(rates))), [], []
+    a[0] = np.exp(-0.5 * (((grid - start) / start_sd)[:, None] ** 2 + ((rates - rate) / 0.01)[None, :] ** 2))
+    a, mix = a / a.sum(), decoders.rate_mixing(rates, 0.998, 0.002)
+    for i in range(n):
+        m = dense_move(grid, rates, 0.02, step[i], shift[i], pull[i], center)
+        ts.append(np.einsum("kl,rs,psq->kprlqs", switch, mix, m) * np.exp(em[:, i])[None, None, None, :, :, None])
+        a = np.einsum("kpr,kprlqs->lqs", a, ts[-1])
+        states.append(a)
+    b, out = np.ones_like(a), np.empty((n, 2))
+    for i in reversed(range(n)):
+        post = states[i] * b / (states[i] * b).sum()
+        out[i] = (post.sum(axis=(0, 2)) * grid).sum(), post[0].sum()
+        b = np.einsum("kprlqs,lqs->kpr", ts[i], b)
+    return out, np.log(states[-1].sum())
+
+
+@pytest.mark.parametrize("kept", [64_000_000, 0])
+@pytest.mark.parametrize("strength", [None, 0.9, 0.3, -0.5])
+def test_series_side_by_side_equal_dense_products(monkeypatch, strength, kept):
+    monkeypatch.setattr(decoders, "KEPT_BYTES", kept)
+    rng = np.random.default_rng(3)
+    grid, rates, sizes = np.arange(13) * 0.35 - 2, np.linspace(-0.4, 0.4, 5), (4, 9, 1, 6)
+    switch = np.array([[0.9, 0.1], [0.3, 0.7]]) if strength else np.eye(1)
+    step, shift = ([rng.uniform(-1.0, 2.0, n) for n in sizes] for _ in range(2))
+    pull = [np.full(n, strength or 1.0) for n in sizes]
+    em = [rng.normal(size=(len(switch), n, 13)) for n in sizes]
+    start, rate, center = ([float(x) for x in rng.uniform(-0.02, 0.02, 4)] for _ in range(3))
+    got = decoders.hmm_each(step, em, grid, rates, start, rate, shift, pull, center, switch, start_sd=1.0)
+    for i, n in enumerate(sizes):
+        want, total = plain_posterior(step[i], em[i], grid, rates, start[i], rate[i], shift[i], pull[i], center[i], switch, 1.0)
+        assert np.allclose(np.stack((got[i]["mean"], got[i]["first_mode"]), axis=1), want) and np.allclose(got[i]["loglik"], total) and len(got[i]["sd"]) == n
+
+
+def test_lattices_do_each_row_once(monkeypatch):
+    """States of a short series are kept: no row is computed twice, and series of small lattices share a row's sums."""
+    calls, every = [], decoders.Lattices.moves
+    monkeypatch.setattr(decoders.Lattices, "moves", lambda self, step, *a: (calls.append(len(step)), every(self, step, *a))[1])
+    decoders.hmm_each([np.ones(30)] * 40, [np.zeros((30, 25))] * 40, np.arange(25.0), np.linspace(-1, 1, 5), [12.0] * 40, [0.0] * 40)
+    assert calls == [40] * 30
+
+
 def test_a_missing_observation_changes_nothing_but_the_spread():
     grid, rates = np.arange(-20, 21) * 0.35, np.linspace(-0.1, 0.1, 41)
     got = decoders.hmm(np.ones(2), np.zeros((2, 41)), grid, rates, 0.0, 0.0)
