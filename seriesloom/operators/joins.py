@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.functions.keyed import HOT_KEYS, HOT_ROWS
 from seriesloom.functions.scalars import is_finite
 from seriesloom.functions.staging import staged
 
@@ -51,18 +52,49 @@ def collapse_curve(curve: DataFrame, key: list[str], x: str, y: str) -> DataFram
     return curve.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*key, x).agg(F.median(y).alias(y))
 
 
+#: Rows that a task sorts, about: with more rows there are more tasks, not larger ones.
+SORTED = 100_000
+
+
+def _dealt(a: DataFrame, b: DataFrame, left: DataFrame, key: list[str]) -> tuple[DataFrame, list[str]]:
+    """Queries and points together with `__query`, and the key to sort them by.
+
+    Queries of a key that has many, by the measure of `keyed`, are dealt to many sorts, each with a copy of the key's points; so many
+    that a copy has no more points than the sort has queries.
+    """
+    a, b = a.withColumn("__query", F.lit(True)), b.withColumn("__query", F.lit(False))
+    asked = left.groupBy(*key).agg(F.count("*").alias("n"))
+    total, most = asked.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((total or 0) / SORTED))
+    spread = lambda rows, by: rows.repartition(tasks, *by) if (total or 0) > SORTED else rows
+    if (most or 0) <= limit:
+        return spread(a.unionByName(b).withColumn("__salt", F.lit(0)), key), key
+    held = b.groupBy(*key).agg(F.count("*").alias("points"))
+    same = lambda x, y: reduce(lambda p, q: p & q, (x[c].eqNullSafe(y[f"__k_{c}"]) for c in key))
+    hot = asked.where(F.col("n") > limit).withColumnsRenamed({c: f"__k_{c}" for c in key})  # at most HOT_KEYS rows
+    hot = hot.join(held, same(held, hot), "left")
+    hot = hot.select(*(f"__k_{c}" for c in key), F.ceil(F.col("n") / F.greatest(F.lit(HOT_ROWS), F.coalesce("points", F.lit(0)))).cast("int").alias("__salts"))
+    hot = F.broadcast(staged(hot, "hot"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__salts")), F.lit(0)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    a = a.join(hot, same(a, hot), "left").select(*a.columns, salt.alias("__salt"))
+    b = b.join(hot, same(b, hot), "left").select(*b.columns, every.alias("__salt"))
+    return spread(a.unionByName(b), [*key, "__salt"]), [*key, "__salt"]
+
+
 def _merged(left: DataFrame, right: DataFrame, key: list[str], x: str, rx: str, payload: list[str]) -> DataFrame:
     """Left rows with the last curve point at or before x, and the first at or after it, from one sort of both sides."""
     point = F.struct(F.col(rx).alias("x"), *(F.col(c).alias(c) for c in payload))
     a = left.select(*left.columns, F.lit(None).cast(right.select(point.alias("p")).schema["p"].dataType).alias("__point"), F.col(x).alias("__x"))
     b = right.select(*((F.col(c) if c in key else F.lit(None).cast(left.schema[c].dataType)).alias(c) for c in left.columns), point.alias("__point"), F.col(rx).alias("__x"))
-    rows = a.withColumn("__query", F.lit(True)).unionByName(b.withColumn("__query", F.lit(False)))
+    rows, key = _dealt(a, b, left, key)
     # at equal x points stand before queries on the way up, and so after them on the way down
     up = Window.partitionBy(key).orderBy("__x", "__query")
     down = Window.partitionBy(key).orderBy(F.desc("__x"), "__query")
     rows = rows.withColumn("__before", F.last("__point", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("__after", F.last("__point", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where("__query").drop("__point", "__x", "__query")
+    return rows.where("__query").drop("__point", "__x", "__query", "__salt")
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: list[str], x: str, right_x: str, payload: list[str], direction: str = "backward", tolerance: float | None = None) -> DataFrame:

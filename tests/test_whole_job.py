@@ -95,3 +95,22 @@ def test_group_kfold_is_greedy_without_collecting_groups(spark, monkeypatch):
             one[at] += 3
             want[at] += 1
         assert splits._dealt(taken, 3, n) == want
+
+
+def test_curve_joins_deal_a_hot_key_to_many_sorts(spark, monkeypatch):
+    rows = spark.createDataFrame([("a" if i % 5 else None if i % 2 else "b", i, float(i % 37) / 3) for i in range(400)], "k string, i long, x double")
+    curve = spark.createDataFrame([(k, float(x), float(x * x)) for k in ("a", "b", "c", None) for x in range(1, 11)], "k string, cx double, cy double")
+    ways = {
+        "clamped": lambda: joins.interpolate_join(rows, curve, ["k"], "x", "cx", "cy", "y"),
+        "inside": lambda: joins.interpolate_join(rows, curve, ["k"], "x", "cx", "cy", "y", clamp=False),
+        "nearest": lambda: joins.asof_join(rows, curve, ["k"], "x", "cx", ["cy"], "nearest"),
+    }
+    want = {n: sorted(f().collect(), key=lambda r: r.i) for n, f in ways.items()}
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
+    for n, f in ways.items():
+        assert sorted(f().collect(), key=lambda r: r.i) == want[n] and len(want[n]) == 400
+    sizes, every = [], joins._dealt
+    monkeypatch.setattr(joins, "_dealt", lambda *a: (sizes.append(got := every(*a)), got)[1])
+    ways["clamped"]().collect()
+    dealt, key = sizes[0]
+    assert dealt.groupBy(*key).count().agg({"count": "max"}).first()[0] < 60
