@@ -572,28 +572,37 @@ def dtw_each(a: np.ndarray, bs: np.ndarray, band: float = 0.12) -> np.ndarray:
 
 def rts(axis: np.ndarray, seen: np.ndarray, noise: float, drift: float) -> dict[str, np.ndarray]:
     """A level and its rate smoothed both ways (Rauch-Tung-Striebel), with the level's variance; missing values are bridged."""
-    n = len(axis)
-    x, p = np.zeros((n, 2)), np.zeros((n, 2, 2))
-    xs, ps = np.zeros((n, 2)), np.zeros((n, 2, 2))
-    good = np.flatnonzero(np.isfinite(seen))
-    m, v = np.array([seen[good[0]] if good.size else 0.0, 0.0]), np.diag([1e6, 1.0])
-    for i in range(n):
-        d = axis[i] - axis[i - 1] if i else 0.0
-        f = np.array([[1.0, d], [0.0, 1.0]])
-        q = drift * np.array([[d**3 / 3, d**2 / 2], [d**2 / 2, d]])
-        m, v = f @ m, f @ v @ f.T + q
-        xs[i], ps[i] = m, v
-        if np.isfinite(seen[i]):
-            k = v[:, 0] / (v[0, 0] + noise)
-            m, v = m + k * (seen[i] - m[0]), v - np.outer(k, v[0])
-        x[i], p[i] = m, v
-    for i in range(n - 2, -1, -1):
-        d = axis[i + 1] - axis[i]
-        f = np.array([[1.0, d], [0.0, 1.0]])
-        g = p[i] @ f.T @ np.linalg.pinv(ps[i + 1])
-        x[i] = x[i] + g @ (x[i + 1] - xs[i + 1])
-        p[i] = p[i] + g @ (p[i + 1] - ps[i + 1]) @ g.T
-    return {"level": x[:, 0], "variance": p[:, 0, 0]}
+    axis, seen = np.asarray(axis, float).tolist(), np.asarray(seen, float).tolist()
+    m0, m1, v00, v01, v11 = next((x for x in seen if math.isfinite(x)), 0.0), 0.0, 1e6, 0.0, 1.0
+    before, known = [], []  # each row's state before and after its value
+    last = axis[0] if axis else 0.0
+    for at, y in zip(axis, seen, strict=True):
+        d, last = at - last, at
+        m0, v00, v01, v11 = m0 + d * m1, v00 + 2 * d * v01 + d * d * v11 + drift * d**3 / 3, v01 + d * v11 + drift * d**2 / 2, v11 + drift * d
+        before.append((d, m0, m1, v00, v01, v11))
+        if math.isfinite(y):
+            k0, k1, e = v00 / (v00 + noise), v01 / (v00 + noise), y - m0
+            m0, m1, v00, v01, v11 = m0 + k0 * e, m1 + k1 * e, v00 - k0 * v00, v01 - k0 * v01, v11 - k1 * v01
+        known.append((m0, m1, v00, v01, v11))
+    level, variance = np.zeros(len(axis)), np.zeros(len(axis))
+    for i in range(len(axis) - 1, -1, -1):
+        if i < len(axis) - 1:
+            d, s0, s1, s00, s01, s11 = before[i + 1]
+            p0, p1, p00, p01, p11 = known[i]
+            a0, a1 = p00 + d * p01, p01 + d * p11
+            det = s00 * s11 - s01 * s01
+            if det > 1e-15 * (s00 + s11) ** 2:
+                i00, i01, i11 = s11 / det, -s01 / det, s00 / det
+            else:
+                (i00, i01), (_, i11) = np.linalg.pinv(np.array([[s00, s01], [s01, s11]])).tolist()
+            g00, g01, g10, g11 = a0 * i00 + p01 * i01, a0 * i01 + p01 * i11, a1 * i00 + p11 * i01, a1 * i01 + p11 * i11
+            e0, e1, w00, w01, w11 = m0 - s0, m1 - s1, v00 - s00, v01 - s01, v11 - s11
+            m0, m1 = p0 + g00 * e0 + g01 * e1, p1 + g10 * e0 + g11 * e1
+            v00 = p00 + g00 * g00 * w00 + 2 * g00 * g01 * w01 + g01 * g01 * w11
+            v01 = p01 + g00 * g10 * w00 + (g00 * g11 + g01 * g10) * w01 + g01 * g11 * w11
+            v11 = p11 + g10 * g10 * w00 + 2 * g10 * g11 * w01 + g11 * g11 * w11
+        level[i], variance[i] = m0, v00
+    return {"level": level, "variance": variance}
 
 
 def switching_path(cost: np.ndarray, switch: float) -> np.ndarray:

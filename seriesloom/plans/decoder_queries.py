@@ -139,12 +139,17 @@ bw AS (
         FROM bw JOIN fw n ON n.user_id = bw.user_id AND n.row_idx = bw.row_idx JOIN fw p ON p.user_id = bw.user_id AND p.row_idx = bw.row_idx - 1 WHERE bw.row_idx > 0))
 SELECT user_id, row_idx, round(a, 4) AS level, round(v00, 4) AS variance FROM bw""")
 def rts_smooth(spark, sf_dir):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(ROW)
-        got = decoders.rts(part["md"].to_numpy(float) / 3600, part["gr"].to_numpy(float), 900.0, 1.0)
-        return pd.DataFrame({KEY: part[KEY], ROW: part[ROW], **got})
-
-    return rounded(base(spark, sf_dir).select(KEY, ROW, "md", "gr").groupBy(KEY).applyInPandas(run, f"{KEY} long, {ROW} long, level double, variance double"), "level", "variance", digits=4)
+    def run(parts):
+        for part in parts:
+            for some in (part.iloc[i : i + 1000] for i in range(0, len(part), 1000)):
+                got = [decoders.rts(np.asarray(md, float) / 3600, np.asarray(gr, float), 900.0, 1.0) for md, gr in zip(some["md"], some["gr"], strict=True)]
+                rows = {KEY: np.repeat(some[KEY].to_numpy(), [len(x) for x in some["at"]]), ROW: np.concatenate(some["at"].to_list())}
+                yield pd.DataFrame(rows | {c: np.concatenate([g[c] for g in got]) for c in ("level", "variance")})
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work a series
+    whole = base(spark, sf_dir).select(KEY, ROW, "md", "gr").repartition(tasks, KEY).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(F.col(ROW).alias("at"), "md", "gr"))).alias("s"))
+    got = whole.select(KEY, "s.at", "s.md", "s.gr").mapInPandas(run, f"{KEY} long, {ROW} long, level double, variance double")
+    return rounded(got, "level", "variance", digits=4)
 
 
 @query("dtw_to_reference")
