@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.scalars import correlation
+from seriesloom.functions.staging import staged
 from seriesloom.operators.selection import numbered, running_total
 
 
@@ -100,14 +103,32 @@ def ranking_metrics(df: DataFrame, event: str, relevant: str, score: str, tie: s
     return first.agg(F.count("*").alias("events"), F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))).alias("mrr"), *(F.avg(F.coalesce((F.col("r") <= k).cast("double"), F.lit(0.0))).alias(f"top{k}") for k in (1, 3)))
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """The quantiles of a column's values, between two of them by a line, as `percentile` gives them; nulls take no part.
+
+    Equal values are counted together and counts are summed up by ranges of values; two values a quantile come to the driver.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.lit(0).alias("__all"), F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    table = staged(running_total(counts, ["__all"], "__v", "__n", "__upto"), "quantiles")
+    total = table.agg(F.sum("__n")).first()[0] or 0
+    if not total:
+        return [None] * len(shares)
+    places = [(total - 1) * s for s in shares]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    at = F.explode(F.filter(F.array(*(F.lit(r).cast("long") for r in ranks)), lambda r: (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__n"))))
+    found = {r["r"]: r["__v"] for r in table.select("__v", at.alias("r")).collect()}
+    ends = ((p, math.floor(p), math.ceil(p)) for p in places)
+    return [found[low] if low == high or found[low] == found[high] else (high - p) * found[low] + (p - low) * found[high] for p, low, high in ends]
+
+
 def lift_by_bucket(df: DataFrame, score: str, tie: str, hit: str, n: int) -> DataFrame:
     """(bucket, rows, hits, rate, lift): equal buckets of the score, each rate against the whole's; infinite over a rate of 0.
 
-    Buckets come from exact quantile edges, two scans; no global sort.
+    Buckets come from exact quantile edges, found from counts of values by ranges: no task holds all values.
     """
-    edges = df.agg(F.percentile(score, F.array(*(F.lit(i / n) for i in range(1, n)))).alias("e"), F.avg(F.col(hit).cast("double")).alias("base"))
-    rows = df.crossJoin(F.broadcast(edges))  # one row
-    bucket = F.size(F.filter("e", lambda e: F.col(score) > e)) + 1
+    edges = exact_quantiles(df, score, [i / n for i in range(1, n)])
+    rows = df.crossJoin(F.broadcast(df.agg(F.avg(F.col(hit).cast("double")).alias("base"))))  # one row
+    bucket = F.size(F.filter(F.array(*(F.lit(e).cast("double") for e in edges)), lambda e: F.col(score) > e)) + 1
     got = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("rows"), F.sum(F.col(hit).cast("long")).alias("hits"), F.max("base").alias("base"))
     rate = F.col("hits") / F.col("rows")
     return got.select("bucket", "rows", "hits", rate.alias("rate"), F.when(F.col("base") > 0, rate / F.col("base")).otherwise(F.lit(float("inf"))).alias("lift"))

@@ -3,9 +3,10 @@
 import datetime
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from seriesloom.operators import decoders, joins, shapes, splits
+from seriesloom.operators import decoders, joins, selection, shapes, splits, stats
 from seriesloom.plans import base, registry
 
 
@@ -114,3 +115,23 @@ def test_curve_joins_deal_a_hot_key_to_many_sorts(spark, monkeypatch):
     ways["clamped"]().collect()
     dealt, key = sizes[0]
     assert dealt.groupBy(*key).count().agg({"count": "max"}).first()[0] < 60
+
+
+def test_lift_finds_its_edges_without_all_values_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, float(v), bool(v > 50)) for i, v in enumerate(rng.integers(0, 100, 503))] + [(999, None, False)], "i long, v double, hit boolean")
+    shares = [0.0, 0.2, 0.4, 0.61, 1.0]
+    want = rows.agg(F.percentile("v", F.array(*(F.lit(s) for s in shares)))).first()[0]
+    assert stats.exact_quantiles(rows, "v", shares) == want
+    monkeypatch.setattr(selection, "ONE_TASK", 10)
+    assert stats.exact_quantiles(rows, "v", shares) == want and stats.exact_quantiles(rows.where("v is null"), "v", [0.5]) == [None]
+    got = stats.lift_by_bucket(rows.where("v is not null"), "v", "i", "hit", 5)
+    assert "percentile" not in got._jdf.queryExecution().toString() and sum(r.rows for r in got.collect()) == 503
+
+
+def test_rts_of_many_series_makes_no_frame_a_group(spark, sf, monkeypatch):
+    """Series travel packed; those that share times (no inverse there) are done like the others."""
+    got = registry.QUERIES["rts_smooth"](spark, sf)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString() and got.count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    same = decoders.rts(np.array([0.0, 0.0, 1.0, 1.0]), np.array([1.0, 3.0, np.nan, 5.0]), 0.1, 0.0)
+    assert np.isfinite(same["level"]).all() and np.isfinite(same["variance"]).all()
