@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from seriesloom.streaming.series import columns_of
+
 
 class _Episodes(StatefulProcessor):
     """The open run's errors as a list, and (runs so far, first and last place of the open one)."""
@@ -33,11 +35,11 @@ class _Episodes(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         _key, order, error = self.names
-        part = pd.concat(list(rows)).sort_values(order, kind="stable")
-        runs, first, last = self.about.get() if self.about.exists() else (0, None, None)
+        places, errors = columns_of(rows, order, error)
+        before = runs, first, last = tuple(self.about.get() or (0, None, None))
         held = [e for (e,) in self.errors.get()] if first is not None else []
         grown, kept, out = len(held), True, []  # kept: what is stored is still the head of the open run
-        for place, x in zip(part[order].tolist(), part[error].tolist(), strict=True):
+        for place, x in zip(places, errors, strict=True):
             if x is not None and abs(x) > self.threshold:  # not so for NaN
                 if first is None:
                     runs, first, held = runs + 1, place, []
@@ -47,12 +49,14 @@ class _Episodes(StatefulProcessor):
                 out += self._episode(key[0], (runs, first, last), held)
                 first, last, held, kept = None, None, [], False
         if not kept or grown == 0:
-            self.errors.clear()
             if held:
                 self.errors.put([(e,) for e in held])
+            elif grown:
+                self.errors.clear()
         elif len(held) > grown:
             self.errors.appendList([(e,) for e in held[grown:]])
-        self.about.update((runs, first, last))
+        if (runs, first, last) != before:
+            self.about.update((runs, first, last))
         if self.idle_ms:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)

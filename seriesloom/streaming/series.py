@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def columns_of(parts: Iterator[pd.DataFrame], order: str, *names: str) -> list[list]:
+    """Values of a key's rows by `order`, of `order` itself first, and then of `names`; a frame is made only if rows came in several."""
+    parts = list(parts)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+    at = rows[order].to_numpy()
+    values = [at, *(rows[n].to_numpy() for n in names)]
+    if len(at) > 1 and not (at[1:] >= at[:-1]).all():
+        by = np.argsort(at, kind="stable")
+        values = [v[by] for v in values]
+    return [v.tolist() for v in values]
+
+
 def running_error(stream: DataFrame, key: str, error: str) -> DataFrame:
     """(key, rows, sse): sums that grow with the stream; complete or update mode."""
     return stream.groupBy(key).agg(F.count(error).alias("rows"), F.sum(F.col(error) * F.col(error)).alias("sse"))
@@ -31,16 +44,17 @@ def online_filter(stream: DataFrame, key: str, order: str, value: str, noise: fl
 
     def run(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         level, var = state.get if state.exists else (0.0, 1e6)
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-        out = []
-        for o, x in zip(rows[order], rows[value], strict=True):
+        orders, values = columns_of(parts, order, value)
+        levels, variances = [], []
+        for x in values:
             var += drift
-            if pd.notna(x):
+            if x is not None and x == x:
                 k = var / (var + noise)
                 level, var = level + k * (x - level), (1 - k) * var
-            out.append((group[0], o, level, var))
+            levels.append(level)
+            variances.append(var)
         state.update((level, var))
-        yield pd.DataFrame(out, columns=[key, order, "level", "variance"])
+        yield pd.DataFrame({key: group[0], order: orders, "level": levels, "variance": variances})
 
     kind = {f.name: f.dataType.simpleString() for f in stream.schema}
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, {order} {kind[order]}, level double, variance double", "level double, variance double", "append", GroupStateTimeout.NoTimeout)
@@ -75,10 +89,9 @@ def fixed_lag_smoother(stream: DataFrame, key: str, order: str, value: str, nois
             out = list(zip(orders, *smoothed(means, variances, drift), strict=True))
             state.remove()
         else:
-            rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-            for o, x in zip(rows[order], rows[value], strict=True):
+            for o, x in zip(*columns_of(parts, order, value), strict=True):
                 level, var = (means[-1], variances[-1] + drift) if means else (0.0, 1e6)
-                if pd.notna(x):
+                if x is not None and x == x:
                     gain = var / (var + noise)
                     level, var = level + gain * (x - level), (1 - gain) * var
                 orders.append(o)
@@ -105,16 +118,14 @@ def refractory_triggers(stream: DataFrame, key: str, order: str, trigger: str, g
 
     def run(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
         out = []
-        for o, hit in zip(rows[order], rows[trigger], strict=True):
-            if pd.notna(hit) and hit and (last is None or o - last >= gap):
+        for o, hit in zip(*columns_of(parts, order, trigger), strict=True):
+            if hit is not None and hit == hit and hit and (last is None or o - last >= gap):
                 last = o
-                out.append((group[0], o))
-        if last is not None:
-            state.update((last,))
+                out.append(o)
         if out:
-            yield pd.DataFrame(out, columns=[key, order])
+            state.update((last,))
+            yield pd.DataFrame({key: group[0], order: out})
 
     kind = _kinds(stream)
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, {order} {kind[order]}", f"last {kind[order]}", "append", GroupStateTimeout.NoTimeout)
@@ -125,13 +136,12 @@ def row_blocks(stream: DataFrame, key: str, order: str, value: str, size: int =
 
     def run(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, counts, sums = (state.get[0], list(state.get[1]), list(state.get[2])) if state.exists else (0, [], [])
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
         out = []
-        for x in rows[value]:
+        for x in columns_of(parts, order, value)[1]:
             if at % step == 0:
                 counts.append(0)
                 sums.append(0.0)
-            if pd.notna(x):
+            if x is not None and x == x:
                 counts = [c + 1 for c in counts]
                 sums = [s + float(x) for s in sums]
             at += 1

@@ -3,11 +3,13 @@
 import datetime
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from seriesloom.operators import decoders, joins, selection, shapes, splits, stats
 from seriesloom.plans import base, registry
+from seriesloom.streaming import series
 
 
 def events(spark, path, users, n):
@@ -135,3 +137,11 @@ def test_rts_of_many_series_makes_no_frame_a_group(spark, sf, monkeypatch):
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString() and got.count() == spark.read.parquet(f"{sf}/events.parquet").count()
     same = decoders.rts(np.array([0.0, 0.0, 1.0, 1.0]), np.array([1.0, 3.0, np.nan, 5.0]), 0.1, 0.0)
     assert np.isfinite(same["level"]).all() and np.isfinite(same["variance"]).all()
+
+
+def test_stream_states_take_a_key_s_rows_without_new_frames(monkeypatch):
+    first, later = pd.DataFrame({"o": [1, 2, 2], "x": [5.0, np.nan, 7.0]}), pd.DataFrame({"o": [2, 0], "x": [8.0, 9.0]})
+    orders, values = series.columns_of(iter([first, later]), "o", "x")
+    assert orders == [0, 1, 2, 2, 2] and values[:2] == [9.0, 5.0] and values[3:] == [7.0, 8.0] and values[2] != values[2]
+    monkeypatch.setattr(series.pd, "concat", None)
+    assert series.columns_of(iter([first]), "o", "x")[0] == [1, 2, 2]
