@@ -25,28 +25,31 @@ CURVE_POINTS = 500_000
 CURVE_SERIES = 64
 
 
-def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order: str, kernel: Callable[[pd.DataFrame, np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: str, curve_x: str, curve_y: str, together: int = 0) -> DataFrame:
+def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order: str, kernel: Callable[[pd.DataFrame, np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: str, curve_x: str, curve_y: str, together: int = 0, each_row: bool = True) -> DataFrame:
     """Runs `kernel(rows, curve x, curve y)` on each group of `series`, in the order of `order`, with the points of its curve.
 
     A series travels as one row of sorted arrays and meets its curve, one row a curve key, only
     then. The kernel gives one value a row for each of `columns`. A series is in one task, as a path
     is sequential; series are dealt to as many tasks as there are shuffle partitions. With `together`
-    the kernel gets lists of up to so many series, and gives a list.
+    the kernel gets lists of up to so many series, and gives a list. Without `each_row` it gives one
+    value a series for each of `columns`, and nothing a row is sent on.
     """
     point = F.struct(F.col(curve_x).cast("double").alias("x"), F.col(curve_y).cast("double").alias("y"))
     packed = curve.where(F.col(curve_x).isNotNull() & F.col(curve_y).isNotNull()).groupBy(F.col(curve_key)).agg(F.array_sort(F.collect_list(point)).alias("__c"))
     packed = staged(packed.select(curve_key, F.col("__c.x").alias("__cx"), F.col("__c.y").alias("__cy")), "curves")
     inner = [order, *(c for c in series.columns if c not in (key, curve_key, order))]
-    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work a series: not to be put together
-    whole = series.repartition(tasks, key).groupBy(key).agg(F.first(curve_key).alias(curve_key), F.array_sort(F.collect_list(F.struct(*inner))).alias("__s"))
+    whole = series.groupBy(key).agg(F.first(curve_key).alias(curve_key), F.array_sort(F.collect_list(F.struct(*inner))).alias("__s"))
     whole = whole.select(key, curve_key, *(F.col(f"__s.{c}").alias(c) for c in inner))
     if (packed.agg(F.sum(F.size("__cx"))).first()[0] or 0) <= CURVE_POINTS:
-        whole = whole.join(F.broadcast(packed), curve_key)
+        tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work a series: not to be put together
+        dealt = F.xxhash64(key)  # by the key itself they lie already, and would not be dealt anew
+        whole = whole.repartition(tasks, dealt).join(F.broadcast(packed), curve_key)
     else:  # series are shuffled by their curve
         counts = series.groupBy(curve_key).agg(F.count_distinct(key).alias("n"))
         whole = joined(whole, staged(packed.join(counts, curve_key), "curves"), [curve_key], CURVE_SERIES)
     names = [c.split()[0] for c in columns.split(", ")]
-    schema = f"{key} {series.schema[key].dataType.simpleString()}, {order} {series.schema[order].dataType.simpleString()}, {columns}"
+    kept = [key, order] if each_row else [key]
+    schema = ", ".join([*(f"{c} {series.schema[c].dataType.simpleString()}" for c in kept), columns])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -55,30 +58,85 @@ def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order:
                 rows = [pd.DataFrame({c: np.asarray(row[c]) for c in inner} | {key: row[key]}) for row in some]
                 curves = [[np.asarray(row[c], float) for row in some] for c in ("__cx", "__cy")]
                 got = kernel(rows, *curves) if together else [kernel(rows[0], curves[0][0], curves[1][0])]
-                for one, values in zip(rows, got, strict=True):
-                    yield pd.DataFrame({key: one[key], order: one[order]} | {n: values[n] for n in names})
+                if each_row:
+                    for one, values in zip(rows, got, strict=True):
+                        yield pd.DataFrame({key: one[key], order: one[order]} | {n: values[n] for n in names})
+                else:
+                    yield pd.DataFrame({key: [row[key] for row in some]} | {n: [values[n] for values in got] for n in names})
 
     return whole.mapInPandas(run, schema)
 
 
-def _reader(cx: np.ndarray, cy: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """Linear interpolation of a curve, its end values beyond it; by direct places where the points are evenly spaced."""
+def _reader(cx: np.ndarray, cy: np.ndarray) -> Callable[[np.ndarray, np.ndarray], None]:
+    """Puts a curve's values at x to `out`, by linear interpolation, its end values beyond it; by direct places where the points are evenly spaced."""
     gaps = np.diff(cx)
     if len(cx) < 2 or not np.allclose(gaps, gaps[0], rtol=1e-9, atol=0):
-        return lambda x: np.interp(x, cx, cy)
-    y, rise = cy.astype(np.float32), np.append(np.diff(cy), 0.0).astype(np.float32)
+        return lambda x, out: np.copyto(out, np.interp(x, cx, cy), casting="same_kind")
+    both = np.stack((cy, np.append(np.diff(cy), 0.0)), axis=1).astype(np.float32).view(np.complex64)[:, 0]  # a value and its rise, fetched together
     low, per, last = np.float32(cx[0]), np.float32(1 / gaps[0]), np.float32(len(cx) - 1)
 
-    def read(x: np.ndarray) -> np.ndarray:
-        t = np.clip((x - low) * per, np.float32(0), last)
-        at = t.astype(np.int32)
-        return y[at] + (t - at.astype(np.float32)) * rise[at]
+    def read(x: np.ndarray, out: np.ndarray) -> None:
+        np.subtract(x, low, out=out)
+        out *= per
+        np.clip(out, np.float32(0), last, out=out)
+        got = both.take(out.astype(np.intp), mode="clip")
+        out -= np.floor(out)
+        out *= got.imag
+        out += got.real
 
     return read
 
 
+class Lagged:
+    """Positions of the last `lag` rows, as today's particles descend from them.
+
+    Draws are kept as maps and followed back once a block of `lag` rows, so that the work of a row doesn't grow with the lag.
+    """
+
+    def __init__(self, s: int, n: int, lag: int):
+        self.lag, self.own = lag, np.arange(s * n, dtype=np.int32).reshape(s, n)
+        self.rows, self.maps = [], []  # of this block
+        self.done, self.since = [], None  # the block before, by the particles at its end, and what was drawn since
+
+    def add(self, x: np.ndarray) -> None:
+        if len(self.rows) == self.lag:
+            self.done, self.since, self.rows, self.maps = self._by_now(), None, [], []
+        self.rows.append(x.copy())
+        self.maps.append(None)
+
+    def draw(self, few: np.ndarray, at: np.ndarray) -> None:
+        """The seeds `few` go on with the particles `at`, counted over all seeds."""
+        to = self.own.copy()
+        to[few] = at
+        self.maps[-1] = to
+        self.since = to if self.since is None else self.since.take(to)
+
+    def oldest(self) -> np.ndarray:
+        """The positions `lag` rows ago."""
+        return self._since(self.done[len(self.rows) - 1])
+
+    def rest(self) -> list[np.ndarray]:
+        """The positions of the last `lag` rows, or of all if there are fewer."""
+        return [self._since(x) for x in self.done[len(self.rows) :]] + self._by_now()
+
+    def _since(self, x: np.ndarray) -> np.ndarray:
+        return x if self.since is None else x.take(self.since)
+
+    def _by_now(self) -> list[np.ndarray]:
+        out, at = [], None
+        for x, to in zip(reversed(self.rows), reversed(self.maps), strict=True):
+            if to is not None:
+                at = to if at is None else to.take(at)
+            out.append(x if at is None else x.take(at))
+        return out[::-1]
+
+
+#: Seeds that go on side by side: their arrays stay in a core's cache.
+SIDE_BY_SIDE = 32
+
+
 def particle_bank(step: np.ndarray, observed: np.ndarray, cx: np.ndarray, cy: np.ndarray, seeds: list[int], start: float, rate: float, sigma: float, n: int = 500, momentum: float = 0.998, noise: tuple[float, float] = (0.01, 0.002), outlier: float = 0.0, wide: tuple[float, float] = (0.0, 1.0), lag: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(paths, log-likelihoods) of all seeds at once, a row of `paths` each; every seed's are those of a run of its own, bit for bit.
+    """(paths, log-likelihoods) of all seeds, a row of `paths` each; every seed's are those of a run of its own, bit for bit.
 
     Positions move by rate * step plus noise. Particles are weighted by a Gaussian likelihood of
     the observation against the curve, and drawn anew systematically when fewer than half are
@@ -86,46 +144,87 @@ def particle_bank(step: np.ndarray, observed: np.ndarray, cx: np.ndarray, cy: np
     that may be anything (likelihood exp(-8) of the best); `wide`, the share of particles whose
     position noise is larger, and by which factor; `lag`, how many later rows a position may still learn from.
     """
-    s, rows, chunk = len(seeds), len(step), 32
+    read, parts = _reader(cx, cy), range(0, len(seeds), SIDE_BY_SIDE)
+    got = [_particle_bank(step, observed, read, seeds[i : i + SIDE_BY_SIDE], start, rate, sigma, n, momentum, noise, outlier, wide, lag) for i in parts]
+    return np.concatenate([paths for paths, _ in got]), np.concatenate([total for _, total in got])
+
+
+def _particle_bank(step, observed, read, seeds, start, rate, sigma, n, momentum, noise, outlier, wide, lag) -> tuple[np.ndarray, np.ndarray]:
+    s, rows, chunk = len(seeds), len(step), 4
     normal = [np.random.Generator(np.random.PCG64(k)) for k in seeds]
-    uniform = [np.random.Generator(np.random.PCG64(np.random.SeedSequence([int(k), 1]))) for k in seeds]
+    uniform = np.stack([np.random.Generator(np.random.PCG64(np.random.SeedSequence([int(k), 1]))).random(rows) for k in seeds])
     f = np.float32  # single precision is far finer than the noise, and twice as fast
     spread = np.full(n, noise[0], f)
     spread[n - int(wide[0] * n) :] *= f(wide[1])
-    read = _reader(cx, cy)
     x, v, w, total = np.full((s, n), start, f), np.full((s, n), rate, f), np.full((s, n), 1 / n, f), np.zeros(s)
-    paths, past, places = np.empty((s, rows)), [], np.arange(n)
+    z, t, fine, drawn = np.empty((s, chunk, 2, n), f), np.empty((s, n), f), np.empty((s, n)), np.empty((s, n))
+    paths, lagged = np.empty((s, rows)), Lagged(s, n, lag) if lag else None
+    firsts = np.arange(s)[:, None]
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        np.multiply(w, x, out=t)
+        np.copyto(fine, t)
+        return fine.sum(axis=1)
+
     for i in range(rows):
         j = i % chunk
         if not j:
-            size = min(chunk, rows - i)
-            z = np.stack([g.standard_normal((size, 2, n), f) for g in normal], axis=1)
-            u = np.stack([g.random(size) for g in uniform], axis=1)
-        v = v * f(momentum) + (z[j, :, 0] * f(noise[1]) + f((1 - momentum) * rate))
-        x = x + v * f(step[i]) + spread * z[j, :, 1]
+            for g, to in zip(normal, z[:, : min(chunk, rows - i)], strict=True):
+                g.standard_normal(dtype=f, out=to)
+        kick, push = z[:, j, 0], z[:, j, 1]
+        kick *= f(noise[1])
+        kick += f((1 - momentum) * rate)
+        v *= f(momentum)
+        v += kick
+        x += np.multiply(v, f(step[i]), out=t)
+        push *= spread
+        x += push
         if np.isfinite(observed[i]):
-            miss = (f(observed[i]) - read(x)) * f(1 / sigma)
-            like = np.minimum(miss * miss, f(600)) * f(-0.5)
+            read(x, t)
+            np.subtract(f(observed[i]), t, out=t)
+            t *= f(1 / sigma)
+            np.multiply(t, t, out=t)
+            np.minimum(t, f(600), out=t)
+            t *= f(-0.5)
             if outlier:
-                like = np.logaddexp(like + f(np.log1p(-outlier)), f(np.log(outlier) - 8.0))
-            top = like.max(axis=1, keepdims=True)
-            w = w * np.exp(like - top)
+                t += f(np.log1p(-outlier))
+                np.logaddexp(t, f(np.log(outlier) - 8.0), out=t)
+            top = t.max(axis=1, keepdims=True)
+            t -= top
+            w *= np.exp(t, out=t)
             mass = w.sum(axis=1, keepdims=True)
-            total += (top + np.log(np.maximum(mass, f(1e-37)))).astype(float)[:, 0]
-            w = np.where(mass > 0, w / np.maximum(mass, f(1e-37)), f(1 / n))
-        past.append(x)
-        if len(past) > lag:
-            paths[:, i - lag] = (w * past.pop(0)).sum(axis=1, dtype=float)
-        few = np.flatnonzero((w * w).sum(axis=1) > 2 / n)
+            some = np.maximum(mass, f(1e-37))
+            total += (top + np.log(some)).astype(float)[:, 0]
+            w /= some
+            w[~(mass[:, 0] > 0)] = f(1 / n)
+        if lagged is None:
+            paths[:, i] = mean(x)
+        else:
+            lagged.add(x)
+            if i >= lag:
+                paths[:, i - lag] = mean(lagged.oldest())
+        few = np.flatnonzero(np.multiply(w, w, out=t).sum(axis=1) > 2 / n)
         if len(few):
-            drawn = np.clip(np.floor(np.cumsum(w[few], axis=1, dtype=float) * n - u[j, few, None]) + 1, 0, n).astype(np.intp)
-            drawn[:, -1] = n
-            at = np.repeat(np.tile(places, len(few)), np.diff(drawn, axis=1, prepend=0).ravel()).reshape(len(few), n)
-            for a in (x, v, *(old for old in past if old is not x)):
-                a[few] = np.take_along_axis(a[few], at, axis=1)
+            ends = drawn[: len(few)]
+            np.cumsum(w[few], axis=1, dtype=float, out=ends)
+            ends *= n
+            ends -= uniform[few, i, None]
+            np.floor(ends, out=ends)
+            ends += 1
+            np.clip(ends, 0, n, out=ends)
+            ends[:, -1] = n
+            ends += firsts[: len(few)] * (n + 1)
+            held = np.bincount(ends.astype(np.intp).ravel(), minlength=len(few) * (n + 1)).reshape(len(few), n + 1)  # draws that end before each place
+            at = held[:, :n].cumsum(axis=1)
+            at += few[:, None] * n
+            if lagged is not None:
+                lagged.draw(few, at)
+            for a in (x, v):
+                a[few] = a.take(at, mode="clip")
             w[few] = f(1 / n)
-    for k, old in enumerate(past):
-        paths[:, rows - len(past) + k] = (w * old).sum(axis=1, dtype=float)
+    if lagged is not None:
+        for i, old in enumerate(lagged.rest(), max(0, rows - lag)):
+            paths[:, i] = mean(old)
     return paths, total
 
 
@@ -150,6 +249,16 @@ def blends(paths: Column, logliks: Column, temperatures: tuple[float, ...], low:
     return out
 
 
+def blended(paths: np.ndarray, logliks: np.ndarray, temperatures: tuple[float, ...], low: float, high: float) -> dict[str, np.ndarray]:
+    """`blends` of paths that are still arrays, a row a seed: no row has to carry all seeds on."""
+    total = lambda a: np.cumsum(a, axis=0)[-1]  # noqa: E731  # seed by seed, as there
+    out = {"mean": np.clip(total(paths) / len(paths), low, high)}
+    for t in temperatures:
+        w = np.exp((logliks - logliks.max()) / t)
+        out[f"scale_{t:g}"] = np.clip(total(paths * w[:, None]) / total(w), low, high)
+    return out
+
+
 def ensemble(paths: DataFrame, key: str, order: str, path: str, loglik: str, temperature: float) -> DataFrame:
     """(key, order, mean, tempered): over seeds, the plain mean and that weighted by the softmax of log-likelihood / temperature."""
     w = F.exp((F.col(loglik) - F.max(loglik).over(Window.partitionBy(key, order))) / temperature)

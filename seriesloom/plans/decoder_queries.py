@@ -44,30 +44,29 @@ def _calibrated(spark, sf_dir):
     return _tail(spark, sf_dir).join(fit, KEY)
 
 
-def particle_paths(spark, sf_dir, **options):
-    """(user_id, row_idx, paths, logliks): 500 particles for each of SEEDS seeds of a user, all in one pass over its tail."""
+def particles(spark, sf_dir, kernel, columns: str, each_row: bool = True, **options):
+    """What `kernel(paths, log-likelihoods)` makes of a user's tail: 500 particles for each of SEEDS seeds, all in one pass over it."""
 
-    def kernel(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> dict:
-        paths, total = decoders.particle_bank(rows["step"].to_numpy(float), rows["observed"].to_numpy(float), cx, cy, decoders.seeds_of(rows[KEY][0], SEEDS, "pf"), float(rows["start"][0]), float(rows["rate"][0]), float(rows["sigma"][0]), **options)
-        return {"paths": list(paths.T), "logliks": [total] * len(rows)}
+    def run(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> dict:
+        return kernel(*decoders.particle_bank(rows["step"].to_numpy(float), rows["observed"].to_numpy(float), cx, cy, decoders.seeds_of(rows[KEY][0], SEEDS, "pf"), float(rows["start"][0]), float(rows["rate"][0]), float(rows["sigma"][0]), **options))
 
-    return decoders.decode(_calibrated(spark, sf_dir), _curve(spark, sf_dir), KEY, "curve", ROW, kernel, "paths array<double>, logliks array<double>", "cx", "cy")
+    return decoders.decode(_calibrated(spark, sf_dir), _curve(spark, sf_dir), KEY, "curve", ROW, run, columns, "cx", "cy", each_row=each_row)
 
 
-def _blended(paths):
-    blends = decoders.blends(F.col("paths"), F.col("logliks"), TEMPERATURES, F.lit(-250.0), F.lit(250.0))
-    return paths.select(KEY, ROW, *(c.alias(n) for n, c in blends.items()))
+def _blended(spark, sf_dir, **options):
+    columns = ", ".join(f"{c} double" for c in ("mean", *(f"scale_{t:g}" for t in TEMPERATURES)))
+    return particles(spark, sf_dir, lambda paths, logliks: decoders.blended(paths, logliks, TEMPERATURES, -250.0, 250.0), columns, **options)
 
 
 @query("particle_filter")
 def particle_filter(spark, sf_dir):
-    return _blended(particle_paths(spark, sf_dir))
+    return _blended(spark, sf_dir)
 
 
 @query("particle_filter_robust")
 def particle_filter_robust(spark, sf_dir):
     """The filter with a share of outliers, a part of the particles in a wider regime, and a lag of 192 rows."""
-    return _blended(particle_paths(spark, sf_dir, outlier=0.05, wide=(0.25, 4.0), lag=192))
+    return _blended(spark, sf_dir, outlier=0.05, wide=(0.25, 4.0), lag=192)
 
 
 def _emission(rows: pd.DataFrame, cx: np.ndarray, cy: np.ndarray) -> np.ndarray:

@@ -90,16 +90,9 @@ def trend_filters(spark, sf_dir):
 @query("path_medoids")
 def path_medoids(spark, sf_dir):
     """Two typical particle-filter paths of each user: the medoids of its seeds by the mean distance over the whole tail."""
-    paths = decoder_queries.particle_paths(spark, sf_dir)
-    rows = paths.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(ROW, "paths"))).alias("s")).select(KEY, F.col("s.paths").alias("paths"))
-
-    @F.pandas_udf("array<int>")
-    def typical(series: pd.Series) -> pd.Series:
-        out = []
-        for s in series:
-            x = np.stack([np.asarray(row, float) for row in s], axis=1)
-            out.append([int(i) for i in shapes.medoids_of(np.stack([np.abs(x - y).mean(axis=1) for y in x]), 2)])
-        return pd.Series(out)
-
-    seed = F.explode(typical("paths")).alias("seed")
-    return rows.select(KEY, seed).select(KEY, F.concat_ws("::", F.lit("pf"), F.col(KEY).cast("string"), F.col("seed").cast("string")).alias("seed_key"))
+
+    def typical(paths: np.ndarray, logliks: np.ndarray) -> dict:
+        return {"seeds": [int(i) for i in shapes.medoids_of(np.stack([np.abs(paths - path).mean(axis=1) for path in paths]), 2)]}
+
+    rows = decoder_queries.particles(spark, sf_dir, typical, "seeds array<int>", each_row=False)
+    return rows.select(KEY, F.explode("seeds").alias("seed")).select(KEY, F.concat_ws("::", F.lit("pf"), F.col(KEY).cast("string"), F.col("seed").cast("string")).alias("seed_key"))

@@ -3,6 +3,8 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import TaskContext
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.scalars import stable_seed
@@ -227,3 +229,50 @@ def test_series_of_a_hot_curve_are_dealt_and_give_the_same(spark, monkeypatch):
     got = run()
     assert len(want) == 23 * 5 and sorted(map(tuple, got.collect())) == want
     assert "__salt" in got._jdf.queryExecution().toString()
+
+
+def test_series_are_dealt_to_all_tasks(spark):
+    """They lie by their key already and are few bytes: dealt by the key again they stayed together."""
+    rows = spark.createDataFrame([(s, i) for s in range(200) for i in range(3)], "series long, at long").withColumn("last", F.max("at").over(Window.partitionBy("series"))).withColumn("curve", F.lit("c"))
+    curve = spark.createDataFrame([("c", 0.0, 1.0), ("c", 1.0, 2.0)], "curve string, cx double, cy double")
+    kernel = lambda part, cx, cy: {"task": np.full(len(part), TaskContext.get().partitionId())}
+    got = decoders.decode(rows, curve, "series", "curve", "at", kernel, "task int", "cx", "cy").collect()
+    assert len(got) == 600 and len({r.task for r in got}) == 8
+
+
+def test_positions_follow_their_descent():
+    rng, s, n = np.random.default_rng(2), 3, 5
+    for lag in (1, 2, 4, 7, 30):
+        kept, past = decoders.Lagged(s, n, lag), []
+        for _ in range(17):
+            x = rng.random((s, n)).astype(np.float32)
+            kept.add(x)
+            past.append(x.copy())
+            if len(past) > lag:
+                assert np.array_equal(kept.oldest(), past.pop(0))
+            few = np.flatnonzero(rng.random(s) < 0.5)
+            if len(few):
+                at = np.sort(rng.integers(0, n, (len(few), n)), axis=1) + few[:, None] * n
+                kept.draw(few, at)
+                for old in past:
+                    old[few] = old.take(at)
+        assert all(map(np.array_equal, kept.rest(), past)) and len(kept.rest()) == len(past)
+
+
+def test_seeds_side_by_side_are_those_alone():
+    rng = np.random.default_rng(3)
+    seen = np.where(rng.random(30) < 0.2, np.nan, rng.random(30) * 5)
+    for options in ({}, {"lag": 3}, {"lag": 192, "outlier": 0.05, "wide": (0.25, 4.0)}):
+        paths, total = decoders.particle_bank(np.ones(30), seen, CX, CY, list(range(1, 41)), 5.0, 0.1, 1.0, **options)
+        for k in (0, 31, 32, 39):
+            path, ll = decoders.particle_bank(np.ones(30), seen, CX, CY, [k + 1], 5.0, 0.1, 1.0, **options)
+            assert np.array_equal(path[0], paths[k]) and ll[0] == total[k]
+
+
+def test_blends_of_arrays_are_those_of_columns(spark):
+    rng = np.random.default_rng(4)
+    paths, ll = rng.random((6, 3)) * 3, rng.random(6) * 9
+    df = spark.createDataFrame([(i, paths[:, i].tolist(), ll.tolist()) for i in range(3)], "i long, p array<double>, l array<double>")
+    want = df.select("i", *(c.alias(n) for n, c in decoders.blends(F.col("p"), F.col("l"), (3.0, 12.0), F.lit(0.5), F.lit(1.5)).items())).orderBy("i").toPandas()
+    got = decoders.blended(paths, ll, (3.0, 12.0), 0.5, 1.5)
+    assert list(got) == list(want)[1:] and all(np.allclose(got[n], want[n], rtol=1e-12) for n in got)

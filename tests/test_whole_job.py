@@ -71,6 +71,13 @@ def test_path_medoids_stand_for_every_user(spark, tmp_path):
     assert sorted(r.user_id for r in got) == [u for u in range(6) for _ in range(2)] and len({r.seed_key for r in got}) == 12
 
 
+def test_no_paths_of_all_seeds_leave_the_filter(spark, sf):
+    for name in ("path_medoids", "particle_filter", "particle_filter_robust"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" in plan and "array<double>" not in registry.QUERIES[name](spark, sf).schema.simpleString()
+        assert "Aggregate" not in plan.partition("MapInPandas")[0] and "paths#" not in plan
+
+
 def test_self_matches_in_blocks(spark, sf):
     rows = base.base(spark, sf)
     whole, cut = (sorted(map(tuple, shapes.self_matches(rows, "user_id", "row_idx", "value", "known", 8, block).collect())) for block in (4096, 16))
