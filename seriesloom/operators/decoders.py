@@ -59,8 +59,8 @@ def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order:
                 curves = [[np.asarray(row[c], float) for row in some] for c in ("__cx", "__cy")]
                 got = kernel(rows, *curves) if together else [kernel(rows[0], curves[0][0], curves[1][0])]
                 if each_row:
-                    for one, values in zip(rows, got, strict=True):
-                        yield pd.DataFrame({key: one[key], order: one[order]} | {n: values[n] for n in names})
+                    whole_of = lambda parts: parts[0] if len(parts) == 1 else np.concatenate(parts)  # noqa: E731  # one frame for all: a frame costs more than its rows
+                    yield pd.DataFrame({c: whole_of([x[c] for x in rows]) for c in kept} | {n: whole_of([values[n] for values in got]) for n in names})
                 else:
                     yield pd.DataFrame({key: [row[key] for row in some]} | {n: [values[n] for values in got] for n in names})
 

@@ -56,6 +56,22 @@ def test_narrow_beam_keeps_cheap_cells():
     assert narrow[0] >= wide[0] - 1e-9 and len(narrow) == 8 and (np.diff(narrow) >= 0).all()
 
 
+def test_series_side_by_side_have_the_paths_of_each_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    for moves in (np.array([0, -1, 1, -2, 2]), np.array([-3, 0, 2])):
+        seen = [np.where(rng.random(n) < 0.3, np.nan, rng.integers(0, 9, n)) for n in (7, 1, 12, 7, 3)]
+        values, starts = [rng.integers(0, 9, 20).astype(float) for _ in seen], [0, 19, 10, 4, 7]
+        alone = [paths.cheapest_paths(x, v, s, moves, 4, 6) for x, v, s in zip(seen, values, starts)]
+        for x, v, s, (cells, costs) in zip(seen, values, starts, alone):
+            way = np.diff(np.concatenate((np.full((len(cells), 1), s), cells), axis=1), axis=1)
+            paid = np.abs(way).sum(axis=1) * 15.0 + np.where(np.isfinite(x), (x - v[cells]) ** 2 / 100, 0.0).sum(axis=1)
+            assert np.isin(way, moves).all() and np.allclose(paid, costs)
+        for rows in (20_000, 13):
+            monkeypatch.setattr(paths, "ROWS_TOGETHER", rows)
+            got = paths.cheapest_paths_each(seen, values, starts, moves, 4, 6)
+            assert all(np.array_equal(a, b) for x, y in zip(got, alone) for a, b in zip(x, y))
+
+
 def test_query_has_every_tail_row(spark, sf):
     got = path_queries.beam_top_paths(spark, sf).toPandas()
     want = registry.QUERIES["beam_decode"](spark, sf).count()
