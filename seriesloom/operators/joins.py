@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -266,18 +268,40 @@ def local_plane(neighbours: DataFrame, queries: DataFrame, id_col: str, x: str,
     return m.select(id_col, F.when(ok, top / det).otherwise(c["sv"] / c["s"]).alias("plane"), *(s.alias(n) for n, s in slopes.items()))
 
 
-def kgram_pairs(rows: DataFrame, key: str, order: str, code: str, k: int, block: int = 500) -> DataFrame:
+#: Pairs of equal windows that one task compares at a time, about 100 bytes each.
+PAIRS_TOGETHER = 3_000_000
+
+
+def kgram_pairs(rows: DataFrame, key: str, order: str, code: str, k: int, together: int | None = None) -> DataFrame:
     """(left_key, right_key, shared): groups that share k successive codes, and how many distinct such windows, over all windows.
 
-    The groups that hold a window are dealt into blocks of about `block`, and each pair of blocks is
-    a join key of its own, so that no task pairs all holders of a common window.
+    The groups are dealt into blocks, and each two blocks meet in a task of their own, which
+    counts what their groups share. Only windows are shuffled, once for each block, never pairs. There are so many blocks
+    that two of them have about `together` pairs of equal windows, however many the holders of one window are.
     """
     w = Window.partitionBy(key).orderBy(order).rowsBetween(0, k - 1)
-    grams = rows.withColumn("g", F.collect_list(code).over(w)).where(F.size("g") == k)
-    grams = grams.select(key, F.sha2(F.concat_ws(",", F.transform("g", lambda x: x.cast("string"))).cast("binary"), 256).alias("gram")).distinct()
-    common = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    held = grams.join(common, "gram").withColumn("own", F.pmod(F.xxhash64(key), "blocks").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = held.select("gram", F.col(key).alias("left_key"), F.col("own").alias("i"), every.alias("j"))
-    b = held.select("gram", F.col(key).alias("right_key"), every.alias("i"), F.col("own").alias("j"))
-    return a.join(b, ["gram", "i", "j"]).where("left_key < right_key").groupBy("left_key", "right_key").agg(F.count("*").alias("shared"))
+    grams = rows.where(F.col(key).isNotNull()).withColumn("g", F.collect_list(code).over(w)).where(F.size("g") == k)
+    grams = grams.select(key, F.unhex(F.sha2(F.concat_ws(",", F.transform("g", lambda x: x.cast("string"))).cast("binary"), 256)).alias("gram")).distinct()
+    grams = staged(grams, "grams")
+    common = staged(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", "n", F.monotonically_increasing_id().alias("id")), "common")
+    pairs = common.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    blocks = max(1, math.ceil(math.sqrt(2 * pairs / (together or PAIRS_TOGETHER))))
+    held = grams.join(common.select("gram", "id"), "gram").groupBy(key).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    every = held.withColumn("own", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = every.select(key, "ids", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def shared(part: pd.DataFrame) -> pd.DataFrame:
+        part, i, j = part.sort_values(key), part["i"].iloc[0], part["j"].iloc[0]
+        names, sizes, window = part[key].to_numpy(), part["ids"].map(len), np.concatenate(part["ids"].to_list())
+        group, own = np.repeat(np.arange(len(part)), sizes), np.repeat(part["own"].to_numpy(), sizes)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        right = right[np.argsort(window[right], kind="stable")]
+        low, high = (np.searchsorted(window[right], window[left], side) for side in ("left", "right"))
+        left = np.repeat(left, high - low)
+        a, b = group[left], group[right[np.arange(len(left)) + np.repeat(low - np.cumsum(high - low) + high - low, high - low)]]
+        pair = (np.minimum(a, b) * len(names) + np.maximum(a, b))[(a < b) if i == j else slice(None)]
+        pair, n = np.unique(pair, return_counts=True)
+        return pd.DataFrame({"left_key": names[pair // len(names)], "right_key": names[pair % len(names)], "shared": n})
+
+    return met.groupBy("i", "j").applyInPandas(shared, f"left_key {kind}, right_key {kind}, shared long")

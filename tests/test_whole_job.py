@@ -32,6 +32,19 @@ def test_kgram_pairs_in_blocks(spark):
     assert whole == cut and len(whole) == 23 * 22 // 2
 
 
+def test_kgram_pairs_shuffle_no_pairs(spark):
+    """Holders of a window are as many as groups here, so pairs are many times the rows."""
+    rows = spark.range(300).select(F.concat(F.lit("k"), "id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).withColumn("c", F.col("i") % 2)
+    rows = rows.union(spark.createDataFrame([(None, i, i % 2) for i in range(4)], "k string, i int, c int"))
+    for together in (None, 5000):
+        got = joins.kgram_pairs(rows, "k", "i", "c", 3, together)
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().partition("FlatMapGroupsInPandas")[0]
+        found = got.collect()
+        assert len(found) == 300 * 299 // 2 == len({(r.left_key, r.right_key) for r in found}) and all(r.left_key < r.right_key and r.shared == 2 for r in found)
+        assert "FlatMapGroupsInPandas" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.kgram_pairs(rows.where("k = 'k1'"), "k", "i", "c", 3).count() == 0
+
+
 def test_dtw_each_equals_dtw():
     rng = np.random.default_rng(0)
     for n, m, band in ((12, 12, 0.12), (30, 30, 0.12), (9, 14, 0.2), (14, 9, 1.0), (1, 1, 0.12), (40, 40, 0.05)):
