@@ -67,20 +67,25 @@ def decode(series: DataFrame, curve: DataFrame, key: str, curve_key: str, order:
     return whole.mapInPandas(run, schema)
 
 
-def _reader(cx: np.ndarray, cy: np.ndarray) -> Callable[[np.ndarray, np.ndarray], None]:
-    """Puts a curve's values at x to `out`, by linear interpolation, its end values beyond it; by direct places where the points are evenly spaced."""
+def _reader(cx: np.ndarray, cy: np.ndarray, scale: float = 1.0, offset: float = 0.0) -> Callable[[np.ndarray, float, np.ndarray], None]:
+    """Puts a curve's values at scale * x + base + offset to `out`, by linear interpolation, its end values beyond it; by direct places where the points are evenly spaced."""
     gaps = np.diff(cx)
     if len(cx) < 2 or not np.allclose(gaps, gaps[0], rtol=1e-9, atol=0):
-        return lambda x, out: np.copyto(out, np.interp(x, cx, cy), casting="same_kind")
+        return lambda x, base, out: np.copyto(out, np.interp(x * scale + (base + offset), cx, cy), casting="same_kind")
     both = np.stack((cy, np.append(np.diff(cy), 0.0)), axis=1).astype(np.float32).view(np.complex64)[:, 0]  # a value and its rise, fetched together
-    low, per, last = np.float32(cx[0]), np.float32(1 / gaps[0]), np.float32(len(cx) - 1)
-
-    def read(x: np.ndarray, out: np.ndarray) -> None:
-        np.subtract(x, low, out=out)
-        out *= per
+    low, per, last = float(cx[0]) - offset, 1 / float(gaps[0]), np.float32(len(cx) - 1)
+    at, got, whole = np.empty(0, np.intp), np.empty(0, np.complex64), np.empty(0, np.float32)
+
+    def read(x: np.ndarray, base: float, out: np.ndarray) -> None:
+        nonlocal at, got, whole
+        if at.shape != x.shape:  # fresh memory for each row would cost more than the row's sums
+            at, got, whole = np.empty(x.shape, np.intp), np.empty(x.shape, np.complex64), np.empty(x.shape, np.float32)
+        np.multiply(x, np.float32(scale * per), out=out)
+        out += np.float32((base - low) * per)
         np.clip(out, np.float32(0), last, out=out)
-        got = both.take(out.astype(np.intp), mode="clip")
-        out -= np.floor(out)
+        np.copyto(at, out, casting="unsafe")
+        both.take(at, mode="clip", out=got)
+        out -= np.floor(out, out=whole)
         out *= got.imag
         out += got.real
 
@@ -131,8 +136,8 @@ class Lagged:
         return out[::-1]
 
 
-#: Seeds that go on side by side: their arrays stay in a core's cache.
-SIDE_BY_SIDE = 32
+#: Seeds that go on side by side: their arrays stay near a core, and each of NumPy's calls has much to do.
+SIDE_BY_SIDE = 64
 
 
 def particle_bank(step: np.ndarray, observed: np.ndarray, cx: np.ndarray, cy: np.ndarray, seeds: list[int], start: float, rate: float, sigma: float, n: int = 500, momentum: float = 0.998, noise: tuple[float, float] = (0.01, 0.002), outlier: float = 0.0, wide: tuple[float, float] = (0.0, 1.0), lag: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -144,71 +149,77 @@ def particle_bank(step: np.ndarray, observed: np.ndarray, cx: np.ndarray, cy: np
     that may be anything (likelihood exp(-8) of the best); `wide`, the share of particles whose
     position noise is larger, and by which factor; `lag`, how many later rows a position may still learn from.
     """
-    read, parts = _reader(cx, cy), range(0, len(seeds), SIDE_BY_SIDE)
-    got = [_particle_bank(step, observed, read, seeds[i : i + SIDE_BY_SIDE], start, rate, sigma, n, momentum, noise, outlier, wide, lag) for i in parts]
+    k = np.sqrt(0.5) / sigma  # the curve is read in units in which half a square is a likelihood's logarithm
+    read, parts = _reader(cx, cy * k, noise[0] or 1.0, start), range(0, len(seeds), SIDE_BY_SIDE)
+    got = [_particle_bank(step, observed * k, read, seeds[i : i + SIDE_BY_SIDE], start, rate, n, momentum, noise, outlier, wide, lag) for i in parts]
     return np.concatenate([paths for paths, _ in got]), np.concatenate([total for _, total in got])
 
 
-def _particle_bank(step, observed, read, seeds, start, rate, sigma, n, momentum, noise, outlier, wide, lag) -> tuple[np.ndarray, np.ndarray]:
+def _particle_bank(step, observed, read, seeds, start, rate, n, momentum, noise, outlier, wide, lag) -> tuple[np.ndarray, np.ndarray]:
+    """`particle_bank` of seeds side by side. Positions are kept as their distance from start + rate * steps in units of their noise, rates as theirs from `rate` in units of theirs: draws are used as they come."""
     s, rows, chunk = len(seeds), len(step), 4
-    normal = [np.random.Generator(np.random.PCG64(k)) for k in seeds]
-    uniform = np.stack([np.random.Generator(np.random.PCG64(np.random.SeedSequence([int(k), 1]))).random(rows) for k in seeds])
+    normal, uniform = [np.random.Generator(np.random.PCG64(k)) for k in seeds], {}
     f = np.float32  # single precision is far finer than the noise, and twice as fast
-    spread = np.full(n, noise[0], f)
-    spread[n - int(wide[0] * n) :] *= f(wide[1])
-    x, v, w, total = np.full((s, n), start, f), np.full((s, n), rate, f), np.full((s, n), 1 / n, f), np.zeros(s)
+    unit, calm, drift = noise[0] or 1.0, n - int(wide[0] * n), rate * np.cumsum(step)
+    x, v, w, total = np.zeros((s, n), f), np.zeros((s, n), f), np.full((s, n), 1 / n, f), np.zeros(s)
     z, t, fine, drawn = np.empty((s, chunk, 2, n), f), np.empty((s, n), f), np.empty((s, n)), np.empty((s, n))
     paths, lagged = np.empty((s, rows)), Lagged(s, n, lag) if lag else None
     firsts = np.arange(s)[:, None]
 
-    def mean(x: np.ndarray) -> np.ndarray:
+    def mean(x: np.ndarray, i: int) -> np.ndarray:
         np.multiply(w, x, out=t)
         np.copyto(fine, t)
-        return fine.sum(axis=1)
+        return fine.sum(axis=1) * unit + (start + drift[i])
+
+    def uniforms(k: int) -> np.ndarray:
+        if k not in uniform:  # few seeds are ever drawn anew
+            uniform[k] = np.random.Generator(np.random.PCG64(np.random.SeedSequence([int(seeds[k]), 1]))).random(rows)
+        return uniform[k]
 
     for i in range(rows):
         j = i % chunk
         if not j:
             for g, to in zip(normal, z[:, : min(chunk, rows - i)], strict=True):
                 g.standard_normal(dtype=f, out=to)
-        kick, push = z[:, j, 0], z[:, j, 1]
-        kick *= f(noise[1])
-        kick += f((1 - momentum) * rate)
+        push = z[:, j, 1]
         v *= f(momentum)
-        v += kick
-        x += np.multiply(v, f(step[i]), out=t)
-        push *= spread
-        x += push
+        v += z[:, j, 0]
+        x += np.multiply(v, f(step[i] * noise[1] / unit), out=t)
+        if noise[0]:
+            if calm < n:
+                push[:, calm:] *= f(wide[1])
+            x += push
         if np.isfinite(observed[i]):
-            read(x, t)
-            np.subtract(f(observed[i]), t, out=t)
-            t *= f(1 / sigma)
+            read(x, drift[i], t)
+            t -= f(observed[i])
             np.multiply(t, t, out=t)
-            np.minimum(t, f(600), out=t)
-            t *= f(-0.5)
-            if outlier:
-                t += f(np.log1p(-outlier))
-                np.logaddexp(t, f(np.log(outlier) - 8.0), out=t)
-            top = t.max(axis=1, keepdims=True)
-            t -= top
-            w *= np.exp(t, out=t)
+            np.minimum(t, f(300), out=t)
+            if outlier:  # a sum of likelihoods is never far from its best one
+                np.exp(np.negative(t, out=t), out=t)
+                t *= f(1 - outlier)
+                t += f(outlier * np.exp(-8.0))
+                w *= t
+                top = f(0)
+            else:
+                top = t.min(axis=1, keepdims=True)
+                w *= np.exp(np.subtract(top, t, out=t), out=t)
             mass = w.sum(axis=1, keepdims=True)
             some = np.maximum(mass, f(1e-37))
-            total += (top + np.log(some)).astype(float)[:, 0]
-            w /= some
+            total += (np.log(some) - top).astype(float)[:, 0]
+            w *= 1 / some
             w[~(mass[:, 0] > 0)] = f(1 / n)
         if lagged is None:
-            paths[:, i] = mean(x)
+            paths[:, i] = mean(x, i)
         else:
             lagged.add(x)
             if i >= lag:
-                paths[:, i - lag] = mean(lagged.oldest())
-        few = np.flatnonzero(np.multiply(w, w, out=t).sum(axis=1) > 2 / n)
+                paths[:, i - lag] = mean(lagged.oldest(), i - lag)
+        few = np.flatnonzero(np.vecdot(w, w) > 2 / n)
         if len(few):
             ends = drawn[: len(few)]
             np.cumsum(w[few], axis=1, dtype=float, out=ends)
             ends *= n
-            ends -= uniform[few, i, None]
+            ends -= np.array([uniforms(k)[i] for k in few])[:, None]
             np.floor(ends, out=ends)
             ends += 1
             np.clip(ends, 0, n, out=ends)
@@ -224,7 +235,7 @@ def _particle_bank(step, observed, read, seeds, start, rate, sigma, n, momentum,
             w[few] = f(1 / n)
     if lagged is not None:
         for i, old in enumerate(lagged.rest(), max(0, rows - lag)):
-            paths[:, i] = mean(old)
+            paths[:, i] = mean(old, i)
     return paths, total
 
 
