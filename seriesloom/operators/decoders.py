@@ -310,23 +310,29 @@ class Lattices:
         self.inside = ((to >= 0) & (to < self.size)).astype(float)  # of the five cells around each
         self.ends = np.flatnonzero(self.inside.min(axis=0) == 0)
         self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.counted = np.arange(0)
         self.rooms: dict[tuple, np.ndarray] = {}
 
-    def room(self, name: tuple | str, shape: tuple[int, ...]) -> np.ndarray:
+    def room(self, name: tuple | str, shape: tuple[int, ...], kind: type = float) -> np.ndarray:
         """An array that is used again under this name: fresh memory for each row would cost more than the row's sums."""
         size = math.prod(shape)
         if len(self.rooms.get(name, ())) < size:
-            self.rooms[name] = np.empty(size)
+            self.rooms[name] = np.empty(size, kind)
         return self.rooms[name][:size].reshape(shape)
 
+    def every(self, n: int) -> np.ndarray:
+        """0 to n - 1."""
+        if len(self.counted) < n:
+            self.counted = np.arange(n)
+        return self.counted[:n]
+
     def moves(self, step: np.ndarray, shift: np.ndarray, pull: np.ndarray, center: np.ndarray, slot: int) -> EvenShifts | PulledShifts:
         """Of several series side by side, one value each. Moves of equal `slot` are not used at the same time."""
         way = ((self.rates[None, :] * step[:, None] + shift[:, None]) / self.cell).ravel()
         if (pull == 1.0).all():
             return EvenShifts(way, self)
         pulled = (pull - 1.0)[:, None] * (self.grid[None, :] - center[:, None]) / self.cell
-        way = way.reshape(len(step), -1, 1) + pulled[:, None, :]
-        return PulledShifts(way.reshape(-1, self.size), self, slot)
+        return PulledShifts(way.reshape(len(step), -1), np.pad(pulled, ((0, 0), (PAD, PAD)), "edge"), self, slot)
 
     def chances(self, part: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
         """exp(-(k - part)^2 / 2 wide^2) for k of -2 to 2 by powers, but for what is common to all."""
@@ -414,56 +420,93 @@ class EvenShifts:
 
 
 class PulledShifts:
-    """Moves that differ by position, from `way` (rows x positions, in cells).
+    """Moves that differ by position: by a rate's `way` (series x rates) and a position's `pulled` (series x positions with their pads), both in cells.
 
     Where moves of several positions end in one cell, the last has the cell; the others, few unless the pull is strong, are done one by one.
+    The chances of the five cells around it are `level` times (down^2, down / one, 1, up / one, up^2): what differs is a product of one
+    part for the rate and one for the position, so that no cell needs an exponential, and no cell's five chances are kept. `one` is the chance one cell beside.
     """
 
-    def __init__(self, way: np.ndarray, lattice: Lattices, slot: int):
-        near = np.rint(way)
-        way -= near
-        near += np.arange(PAD, lattice.size + PAD)
-        np.clip(near, 0, lattice.width - 1, out=near)
-        near += np.arange(len(way))[:, None] * float(lattice.width)
-        self.lattice, self.size, self.width, self.n = lattice, lattice.size, lattice.width, len(way) * lattice.width
-        self.cell = near.astype(np.intp).ravel()
-        same = self.cell[1:] - self.cell[:-1]
-        if same.min(initial=1) >= 0:
-            self.rest = np.flatnonzero(same == 0)
-        else:  # a pull below 0 turns positions about
-            own, every = np.empty(self.n, np.intp), np.arange(len(self.cell))
-            own[self.cell] = every
-            self.rest = np.flatnonzero(own[self.cell] != every)
-        way = way.ravel()
-        each, at = lattice.chances(way[self.rest]), self.cell[self.rest]
-        each *= lattice.inside[:, at % self.width]
-        inside = each.sum(axis=0)
-        self.each, self.to = each * np.where(inside > 0, 1 / np.maximum(inside, 1e-300), 0.0), np.clip(at + np.arange(-2, 3)[:, None], 0, self.n - 1)
-        way[self.rest] = 0.0
-        part = np.bincount(self.cell, way, self.n).reshape(-1, self.width)
-        self.chance = lattice.scaled(lattice.chances(part, lattice.room(("chance", slot), (5, *part.shape)))).reshape(5, -1)
+    def __init__(self, way: np.ndarray, pulled: np.ndarray, lattice: Lattices, slot: int):
+        self.lattice, self.width, self.n = lattice, lattice.width, way.size * lattice.width
+        shape, by, self.one = (*way.shape, self.width), 1 / lattice.wide**2, np.exp(-0.5 / lattice.wide**2)
+        near, along = np.rint(way), np.rint(pulled)
+        way, pulled = way - near, pulled - along
+        part = np.add(way[:, :, None], pulled[:, None, :], out=lattice.room("part", shape))
+        more = lattice.room("more", shape, np.intp)  # -1, 0 or 1
+        np.copyto(more, np.rint(part, out=part), casting="unsafe")
+        up = np.multiply(np.exp(way * by - by)[:, :, None], np.exp(pulled * by)[:, None, :], out=part)
+        up *= np.exp(np.array([0.0, -by, by])).take(more, mode="wrap", out=lattice.room("factor", shape))
+        more += np.clip(near, -3 * self.width, 3 * self.width).astype(np.intp)[:, :, None]
+        more += (along.astype(np.intp) + np.arange(self.width))[:, None, :]
+        np.clip(more, 0, self.width - 1, out=more)
+        self.cell = np.add(more.reshape(-1, self.width), (np.arange(self.n // self.width) * self.width)[:, None], out=lattice.room(("cell", slot), (self.n // self.width, self.width), np.intp)).ravel()
+        self.source, every = lattice.room(("source", slot), (self.n,), np.intp), lattice.every(self.n)
+        self.source.fill(0)  # where no move ends: a pad, in which nothing is
+        self.source[self.cell] = every
+        last = self.source.take(self.cell, mode="clip", out=lattice.room("last", (self.n,), np.intp))
+        rest = np.flatnonzero(last != every)
+        at = self.cell[rest]
+        far = at % self.width
+        inside = (far > 0) & (far < self.width - 1)  # the others reach no cell of the grid, wherever they are counted
+        self.rest, at, up = rest[inside], at[inside], up.reshape(-1)
+        self.up, self.down, self.level = (lattice.room((name, slot), (self.n,)) for name in ("up", "down", "level"))
+        up.take(self.source, mode="clip", out=self.up)
+        np.divide(self.one**4, self.up, out=self.down)
+        total = np.add(self.up, self.down, out=self.level)
+        square = np.multiply(total, total, out=lattice.room("term", (self.n,)))
+        total *= 1 / self.one
+        total += square
+        total += 1 - 2 * self.one**4
+        np.divide(1.0, total, out=total)
+        ends = self.level.reshape(-1, self.width)
+        few = sum(self._five(self.up.reshape(-1, self.width)[:, lattice.ends], lattice.inside[:, None, lattice.ends]))
+        ends[:, lattice.ends] = np.where(few > 0, 1 / np.maximum(few, 1e-300), 0.0)
+        each = self._five(up[self.rest], lattice.inside[:, at % self.width])
+        few = sum(each)
+        self.each, self.to = np.stack(each) * np.where(few > 0, 1 / np.maximum(few, 1e-300), 0.0), np.clip(at + np.arange(-2, 3)[:, None], 0, self.n - 1)
+
+    def _five(self, up: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
+        down = self.one**4 / up
+        return [down * down * inside[0], down * inside[1] / self.one, inside[2] + 0.0 * up, up * inside[3] / self.one, up * up * inside[4]]
 
     def ahead(self, a: np.ndarray, out: np.ndarray) -> np.ndarray:
-        term = self.lattice.room("term", (self.n,))
+        n = self.n
+        here, left, right = (self.lattice.room(name, (n,)) for name in ("term", "left", "right"))
         for m, to in zip(a, out, strict=True):
-            m = m[:, :, PAD:-PAD].reshape(-1)
+            m, to = m.reshape(-1), to.reshape(-1)
             rest = m[self.rest]
-            m[self.rest] = 0.0
-            _spread(np.bincount(self.cell, m, self.n), self.chance, to.reshape(-1), term)
+            m.take(self.source, mode="clip", out=here)
+            here *= self.level
+            np.multiply(here, self.up, out=right)
+            np.multiply(here, self.down, out=left)
+            to[:2] = to[-2:] = 0.0
+            np.add(right[1:-3], left[3:-1], out=to[2:-2])
+            to *= 1 / self.one
+            to += here
+            right *= self.up
+            to[2:] += right[:-2]
+            left *= self.down
+            to[:-2] += left[2:]
             if len(rest):
-                np.add.at(to.reshape(-1), self.to, self.each * rest)
+                np.add.at(to, self.to, self.each * rest)
         return out
 
     def back(self, b: np.ndarray, out: np.ndarray) -> np.ndarray:
-        term, cells = self.lattice.room("term", (self.n,)), self.lattice.room("cells", (self.n,))
+        n = self.n
+        near, term, cells = (self.lattice.room(name, (n,)) for name in ("left", "term", "cells"))
         for m, to in zip(b, out, strict=True):
-            m = m.reshape(-1)
-            _gathered(m, self.chance, cells, term)
-            got = cells.take(self.cell, mode="clip")
-            got[self.rest] = (self.each * m[self.to]).sum(axis=0)
-            to = to.reshape(-1, self.width)
-            to[:, :PAD] = to[:, -PAD:] = 0.0
-            to[:, PAD:-PAD] = got.reshape(-1, self.size)
+            m, to = m.reshape(-1), to.reshape(-1)
+            np.multiply(m, 1 / self.one, out=near)
+            np.copyto(cells, m)
+            for way, one, two, all_but in ((self.up, near[1:], m[2:], slice(0, -2)), (self.down, near[:-1], m[:-2], slice(2, None))):
+                part = np.multiply(way[all_but], two, out=term[all_but])
+                part += one[:-1] if way is self.up else one[1:]
+                part *= way[all_but]
+                cells[all_but] += part
+            cells *= self.level
+            cells.take(self.cell, mode="clip", out=to)
+            to[self.rest] = (self.each * m[self.to]).sum(axis=0)
         return out
 
 
@@ -495,7 +538,7 @@ class Lattice:
 
 
 #: States of series that are decoded side by side, and bytes of the states that are kept of them before some are computed again.
-CELLS, KEPT_BYTES = 16_384, 64_000_000
+CELLS, KEPT_BYTES = 96_000, 256_000_000
 
 
 def hmm(step: np.ndarray, emission: np.ndarray, grid: np.ndarray, rates: np.ndarray, start: float, rate: float, shift: np.ndarray | None = None, pull: np.ndarray | None = None, center: float = 0.0, switch: np.ndarray | None = None, start_sd: float = 0.75, rate_sd: float = 0.01, rate_noise: float = 0.002, noise: float = 0.02, momentum: float = 0.998, apart: float = 2.0) -> dict[str, np.ndarray]:

@@ -313,3 +313,17 @@ def test_single_precision_loses_nothing_far_from_zero(options):
         for k, seed in enumerate((3, 4)):
             path, ll = filtered_in_double(step, seen, seed, start, rate, 9.0, **options)
             assert np.abs(paths[k] - path).max() < 2e-5 and np.isclose(total[k], ll, rtol=1e-5, atol=1e-4)
+
+
+def test_series_of_a_fine_lattice_share_a_row_s_sums(monkeypatch):
+    """Two modes of a fine lattice filled a block alone, so that every row of every series was a pass of its own."""
+    rng, calls, every = np.random.default_rng(6), [], decoders.Lattices.moves
+    grid, rates, switch = np.arange(-50.0, 50.175, 0.35), np.linspace(-0.1, 0.1, 41), np.array([[0.98, 0.02], [0.1, 0.9]])
+    step, em = [rng.exponential(10.0, 5) for _ in range(4)], [rng.normal(size=(2, 5, len(grid))) * 3 for _ in range(4)]
+    start, shift, pull = [-30.0, 0.0, 10.0, 288.0], [np.full(5, -0.01)] * 4, [np.full(5, 0.98)] * 4
+    monkeypatch.setattr(decoders.Lattices, "moves", lambda self, step, *a: (calls.append(len(step)), every(self, step, *a))[1])
+    got = decoders.hmm_each(step, em, grid, rates, start, [0.0, 0.05, -0.1, 0.7], shift, pull, start, switch, start_sd=10.0)
+    assert calls == [4] * 5
+    for i, r in enumerate((0.0, 0.05, -0.1, 0.7)):
+        one = decoders.hmm(step[i], em[i], grid, rates, start[i], r, shift[i], pull[i], start[i], switch, 10.0)
+        assert all(np.allclose(got[i][c], one[c], rtol=1e-10, atol=1e-10) for c in one)
