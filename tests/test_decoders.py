@@ -327,3 +327,11 @@ def test_series_of_a_fine_lattice_share_a_row_s_sums(monkeypatch):
     for i, r in enumerate((0.0, 0.05, -0.1, 0.7)):
         one = decoders.hmm(step[i], em[i], grid, rates, start[i], r, shift[i], pull[i], start[i], switch, 10.0)
         assert all(np.allclose(got[i][c], one[c], rtol=1e-10, atol=1e-10) for c in one)
+
+
+def test_an_uneven_curve_of_the_same_values_gives_the_same_paths():
+    rng, more = np.random.default_rng(8), np.array([0.5, 3.25, 17.75])
+    step, seen, at = rng.uniform(0.5, 1.5, 30), rng.normal(0, 5, 30), np.sort(np.concatenate((CX, more)))
+    even, total = decoders.particle_bank(step, seen, CX, CY, [3, 7], 5.0, 0.1, 2.0)
+    uneven, other = decoders.particle_bank(step, seen, at, np.interp(at, CX, CY), [3, 7], 5.0, 0.1, 2.0)
+    assert np.abs(even - uneven).max() < 1e-4 and np.allclose(total, other, rtol=1e-5)
